@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from assayer.llm import mixing, packing, secrets, simhash, toxicity
+from assayer.llm import chat, embeddings, katz, media, mixing, packing, quality, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_katz_scores": katz.op1_katz_scores,
+    "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
+    "op3_perspective_rotation": chat.op3_perspective_rotation,
+    "op4_media_columns": media.op4_media_columns,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_quality_rules": quality.op10_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op5_mix_sources": mixing.OP5_SQL}
+#: Trained models, hashes, positions of matches and codecs are beyond SQL; tests compare those with brute force.
+ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": embeddings.OP2_SQL,
+    "op3_perspective_rotation": chat.OP3_SQL,
+    "op5_mix_sources": mixing.OP5_SQL,
+}
