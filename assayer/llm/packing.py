@@ -15,14 +15,17 @@ from assayer.llm.scratch import stored, table
 from assayer.llm.tokens import as_text, hash_spans, split_words, text_slices
 
 #: Tokens of a sequence, the id after each document, words that a task's cache of token ids holds at most.
-MOST_TOKENS, END_ID, CACHED_WORDS = 4096, 1, 400_000
+MOST_TOKENS, END_ID, CACHED_WORDS = 4096, 1, 1_000_000
+STOPS = np.isin(np.arange(256), list(b".,;:!?"))
+LETTERS = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
 class WordTokenizer:
     """Ids of whole texts from the ids of their words.
 
-    The vocabulary's rules never join characters across white space, so a text's ids are those of its words in
-    order. Each distinct word is encoded once; the rest is numpy.
+    The vocabulary's rules drop white space and never join characters across it, nor letters or digits with the
+    stops after them, so a text's ids are those of its stems and stops in order. Each distinct one is encoded
+    once; the rest is numpy.
     """
 
     def __init__(self, path: str | None):
@@ -34,22 +37,43 @@ class WordTokenizer:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.encoder = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.encoder.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.encoder.get_vocab().items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.start, self.size, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
-
-    def _learn(self, codes: list[int], words: list[str]) -> None:
-        ids = [e.ids for e in self.encoder.encode_batch(words, add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], np.uint32)
+        self.known, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, ids per word). Words of letters only go through the encoder as one line."""
+        size, parts = np.zeros(len(words), np.int64), [none := np.zeros(0, np.uint32)] * len(words)
+        others = [i for i, w in enumerate(words) if not w.isalpha()]
+        letters = np.array([i for i, w in enumerate(words) if w.isalpha()], np.int64)
+        for k in range(0, len(letters), 4096):
+            own = letters[k : k + 4096].tolist()
+            ids = np.array(self.encoder.encode(" ".join([words[i] for i in own]), add_special_tokens=False).ids, np.uint32)
+            edge = np.flatnonzero(self.ends[ids]) + 1
+            if len(edge) != len(own):  # a letter that lower-casing takes apart
+                others += own
+                continue
+            edge = [0, *edge.tolist()]
+            for i, lo, hi in zip(own, edge, edge[1:], strict=False):
+                parts[i] = ids[lo:hi]
+        for i, e in zip(others, self.encoder.encode_batch_fast([words[i] for i in others], add_special_tokens=False), strict=True):
+            parts[i] = np.array(e.ids, np.uint32)
+        size[:] = [len(p) for p in parts]
+        return np.concatenate([none, *parts]), size
+
+    def _learn(self, codes: np.ndarray, words: list[str]) -> None:
+        flat, size = self._encode(words)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
-        self.place.update(zip(codes, range(len(self.start), len(self.start) + len(codes)), strict=True))
-        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+        at = np.searchsorted(self.known, codes)
+        self.known = np.insert(self.known, at, codes)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
         self.used += len(flat)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,22 +81,44 @@ class WordTokenizer:
         data, start, end, doc, _ = split_words(texts)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        code = hash_spans(data, start, end, fold=False)
+        raw = data.tobytes()
+        start, end, doc = _stems_and_stops(data, start, end, doc)
+        special = b"<|" in raw  # the names of special tokens keep their case
+        code = hash_spans(data, start, end, 9 if special else 0, fold=not special)
         found, first, each = np.unique(code, return_index=True, return_inverse=True)
-        if len(self.place) + len(found) > CACHED_WORDS:
+        if len(self.known) + len(found) > CACHED_WORDS:
             self.clear()
-        names = found.tolist()
-        new = [k for k, name in enumerate(names) if name not in self.place]
-        if new:
-            raw = data.tobytes()
-            self._learn([names[k] for k in new], [raw[start[first[k]] : end[first[k]]].decode("utf-8", "replace") for k in new])
-        at = np.fromiter((self.place[name] for name in names), np.int64, len(names))[each]
+        new = ~_among(self.known, found)
+        if new.any():
+            self._learn(found[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+        at = np.searchsorted(self.known, found)[each]
         size = self.size[at]
         total = np.cumsum(size)
         ids = self.pool[np.repeat(self.start[at] - (total - size), size) + np.arange(int(total[-1]))]
         return ids, np.bincount(doc, size, len(texts)).astype(np.int64)
 
 
+def _among(ascending: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
+def _stems_and_stops(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with up to four closing stops cut off, where a letter or digit (ASCII or of the block at U+00C0) precedes."""
+    stem = end.copy()
+    for _ in range(4):
+        stem -= STOPS[data[stem - 1]] & (stem - start > 1)
+    last, before = data[stem - 1], data[np.maximum(stem - 2, start)]
+    letter = LETTERS[last] | ((before == 0xC3) & (last >= 0x80) & (last < 0xC0) & (last != 0x97) & (last != 0xB7))
+    cut = (stem < end) & letter
+    at = np.arange(len(start)) + np.cumsum(cut) - cut
+    out = np.empty((2, len(start) + int(cut.sum())), np.int64)
+    out[0, at], out[1, at] = start, np.where(cut, stem, end)
+    out[0, at[cut] + 1], out[1, at[cut] + 1] = stem[cut], end[cut]
+    return out[0], out[1], np.repeat(doc, 1 + cut)
+
+
 def _piece_batches(path: str | None, most: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer(path)
