@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.plans import cleaning, quality, trust, versions  # noqa: F401
+from assayer.plans import alerts, cleaning, metering, quality, trust, versions  # noqa: F401
 from assayer.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

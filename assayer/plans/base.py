@@ -48,7 +48,7 @@ def _needed(sql: str, found: list[str]) -> list[str]:
 
 def oracle(sql: str) -> str:
     """sql with its fixtures as leading common table expressions."""
-    parts = [f"{name} AS ({_NAME.sub(r'\1', FIXTURES[name])})" for name in _needed(sql, [])]
+    parts = [f"{name} AS ({_NAME.sub(r'\1', FIXTURES[name]).replace('{{', '{').replace('}}', '}')})" for name in _needed(sql, [])]
     body = _NAME.sub(r"\1", sql).strip()
     recursive = body.upper().startswith("WITH RECURSIVE")
     if body.upper().startswith("WITH"):
