@@ -60,9 +60,7 @@ def website_kind(url: Column) -> Column:
     text = F.trim(F.coalesce(url, F.lit("")))
     name = F.regexp_replace(host(F.when(text.contains("://"), text).otherwise(F.concat(F.lit("http://"), text))), r"^www\.", "")
     valid = (F.length(name) <= 253) & name.rlike(r"^([a-z0-9]([a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,}$")
-    social = F.lit(False)
-    for s in SOCIAL:
-        social = social | (name == s) | name.endswith(f".{s}")
+    social = name.rlike(r"(^|\.)(" + "|".join(s.replace(".", r"\.") for s in SOCIAL) + ")$")
     return F.when((text == "") | ~valid, "none").when(social, "social").otherwise("own")
 
 
