@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.plans import alerts, cleaning, crawl, leads, metering, quality, trust, versions  # noqa: F401
+from assayer.plans import alerts, cleaning, crawl, leads, ledgers, metering, pages, quality, sources, streams, texts, trust, versions  # noqa: F401
 from assayer.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
