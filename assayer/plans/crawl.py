@@ -42,7 +42,7 @@ fixture("site_links", """
 fixture("seeds", "SELECT concat('https://s.example/p/', CAST(n_nationkey AS STRING)) AS url FROM {nation} WHERE n_nationkey < 3")
 query("c5_crawl_bfs", lambda t: C.crawl_bfs(t.site_links, _checked(t.seeds), 4), """
   WITH RECURSIVE reach AS (SELECT CAST(regexp_extract(url, '([0-9]+)$', 1) AS BIGINT) AS k, 0 AS depth FROM {seeds}
-    UNION SELECT (k * m + a) % 1500, depth + 1 FROM reach, (VALUES (7, 3), (11, 5)) AS f(m, a) WHERE depth < 4)
+    UNION SELECT (k * m + a) % 1500, depth + 1 FROM reach JOIN {customer} ON c_custkey = k, (VALUES (7, 3), (11, 5)) AS f(m, a) WHERE depth < 4)
   SELECT 'https://s.example/p/' || k AS url, min(depth) AS depth FROM reach GROUP BY k""")
 
 
