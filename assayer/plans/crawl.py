@@ -30,11 +30,11 @@ query("b2_filter_unsafe_urls", lambda t: t.fetch_urls.select("seq", U.unsafe_rea
     WHEN 6 THEN CASE WHEN a = 127 THEN 'IP literal in loopback range' WHEN a BETWEEN 224 AND 239 THEN 'IP literal in multicast range' WHEN a >= 240 THEN 'IP literal in reserved range' WHEN a = 10 THEN 'IP literal in private range' WHEN a = 172 THEN 'IP literal in private range' WHEN a = 0 THEN 'IP literal in reserved range' END
     WHEN 7 THEN 'IP literal in private range' WHEN 8 THEN 'IP literal in reserved range' WHEN 9 THEN 'cloud metadata endpoint' WHEN 10 THEN 'empty URL' WHEN 11 THEN 'IP literal in loopback range' END AS reason FROM (SELECT seq, seq % 14 AS o, seq % 256 AS a FROM {fetch_urls})""")
 
-fixture("robots", "SELECT concat('h', CAST(n_nationkey AS STRING), '.example') AS host, concat('# rules', chr(10), 'User-agent: other', chr(10), 'Disallow: /', chr(10), 'User-agent: *', chr(10), 'Disallow: /private', chr(10), CASE WHEN n_nationkey % 2 = 0 THEN 'Allow: /private/open' ELSE 'Disallow: /*.pdf$' END, chr(10), 'Disallow:', chr(10), 'Sitemap: x') AS text FROM {nation}")
-fixture("robot_urls", "SELECT DISTINCT concat('https://h', CAST(c_custkey % 30 AS STRING), '.example', CASE c_custkey % 7 WHEN 0 THEN '/private/a' WHEN 1 THEN '/private/open/b' WHEN 2 THEN '/doc.pdf' WHEN 3 THEN '/doc.pdf?x=1' WHEN 4 THEN '' ELSE '/ok' END) AS url FROM {customer}")
+fixture("robots", "SELECT concat('h', CAST(c_custkey AS STRING), '.example') AS host, concat('# rules', chr(10), 'User-agent: other', chr(10), 'Disallow: /', chr(10), 'User-agent: *', chr(10), 'Disallow: /private', chr(10), CASE WHEN c_custkey % 2 = 0 THEN 'Allow: /private/open' ELSE 'Disallow: /*.pdf$' END, chr(10), 'Disallow:', chr(10), 'Sitemap: x') AS text FROM {customer} WHERE c_acctbal > 0")
+fixture("robot_urls", "SELECT DISTINCT concat('https://h', CAST(o_custkey AS STRING), '.example', CASE o_orderkey % 7 WHEN 0 THEN '/private/a' WHEN 1 THEN '/private/open/b' WHEN 2 THEN '/doc.pdf' WHEN 3 THEN '/doc.pdf?x=1' WHEN 4 THEN '' ELSE '/ok' END) AS url FROM {orders}")
 query("c4_robots_filter", lambda t: C.robots_filter(t.robot_urls, t.robots), """
-  SELECT url, CASE WHEN h >= 25 THEN true WHEN h % 2 = 0 THEN NOT starts_with(p, '/private') OR starts_with(p, '/private/open') ELSE NOT (starts_with(p, '/private') OR regexp_matches(p, '[.]pdf$')) END AS allowed
-  FROM (SELECT url, CAST(regexp_extract(url, 'h([0-9]+)', 1) AS INTEGER) AS h, regexp_extract(url, '^https://[^/]+(.*)$', 1) AS p FROM {robot_urls})""")
+  SELECT url, CASE WHEN c_custkey IS NULL THEN true WHEN h % 2 = 0 THEN NOT starts_with(p, '/private') OR starts_with(p, '/private/open') ELSE NOT (starts_with(p, '/private') OR regexp_matches(p, '[.]pdf$')) END AS allowed
+  FROM (SELECT url, CAST(regexp_extract(url, 'h([0-9]+)[.]', 1) AS BIGINT) AS h, regexp_extract(url, '^https://[^/]+(.*)$', 1) AS p FROM {robot_urls}) LEFT JOIN {customer} ON c_custkey = h AND c_acctbal > 0""")
 
 fixture("site_links", """
   SELECT concat('https://s.example/p/', CAST(c_custkey AS STRING)) AS from_url, concat('https://S.example/p/', CAST((c_custkey * 7 + 3) % 1500 AS STRING), '#x') AS url FROM {customer}

@@ -13,9 +13,12 @@ from assayer.sources import writers as W
 query("a1_read_url_list", lambda t: R.clean_url_list(t.pages.select(F.col("page_id").alias("seq"), F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("# "), "url")).when(F.col("page_id") % 7 == 1, "").when(F.col("page_id") % 7 == 2, "ftp://x.example/y").otherwise(F.concat(F.lit(" HTTPS://S"), (F.col("page_id") % 40).cast("string"), F.lit(".Example:443/p#x "))).alias("line"))),
       "SELECT min(page_id) AS seq, 'https://s' || (page_id % 40) || '.example/p' AS url FROM {pages} WHERE page_id % 7 > 2 GROUP BY page_id % 40")
 fixture("sitemaps", """
-  SELECT concat('https://h', CAST(n_nationkey AS STRING), '.example/sitemap.xml') AS sitemap_url, CASE n_nationkey % 4 WHEN 0 THEN concat('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://h', CAST(n_nationkey + 1 AS STRING), '.example/sitemap.xml</loc></sitemap></sitemapindex>')
-    WHEN 3 THEN '<urlset><url>' ELSE concat('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://h', CAST(n_nationkey AS STRING), '.example/a </loc><priority>0.5</priority></url><url><loc></loc></url><url><loc>https://x.example/b</loc><lastmod>2024-01-01</lastmod></url></urlset>') END AS xml FROM {nation}""")
-query("a2_sitemap_urls", lambda t: R.sitemap_urls(t.sitemaps))
+  SELECT concat('https://h', CAST(c_custkey AS STRING), '.example/sitemap.xml') AS sitemap_url, CASE c_custkey % 4 WHEN 0 THEN concat('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://h', CAST(c_custkey + 1 AS STRING), '.example/sitemap.xml</loc></sitemap></sitemapindex>')
+    WHEN 3 THEN '<urlset><url>' ELSE concat('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://h', CAST(c_custkey AS STRING), '.example/a </loc><priority>0.5</priority></url><url><loc></loc></url><url><loc>https://x.example/b</loc><lastmod>2024-01-01</lastmod></url></urlset>') END AS xml FROM {customer}""")
+query("a2_sitemap_urls", lambda t: R.sitemap_urls(t.sitemaps).select("root", "url", "lastmod", "priority", "warning"), """
+  SELECT 'https://h' || (c_custkey - CASE WHEN c_custkey % 4 = 1 THEN 1 ELSE 0 END) || '.example/sitemap.xml' AS root, CASE WHEN c_custkey % 4 = 3 THEN NULL WHEN k = 0 THEN 'https://h' || c_custkey || '.example/a' ELSE 'https://x.example/b' END AS url,
+         CASE WHEN c_custkey % 4 <> 3 AND k = 1 THEN '2024-01-01' END AS lastmod, CASE WHEN c_custkey % 4 <> 3 AND k = 0 THEN 0.5 END AS priority, CASE WHEN c_custkey % 4 = 3 THEN 'malformed sitemap' END AS warning
+  FROM {customer}, (VALUES (0), (1)) AS e(k) WHERE c_custkey % 4 IN (1, 2) OR (c_custkey % 4 = 3 AND k = 0)""")
 fixture("templates", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN concat('https://x.example/', CAST(c_custkey AS STRING), '?p={{{{1..5:2}}}}&c={{{{red, blue}}}}') WHEN 1 THEN 'https://x.example/{{{{3..1}}}}' ELSE 'https://x.example/plain' END AS template FROM {customer}".replace("{{{{", "{{").replace("}}}}", "}}"))
 query("a3_expand_url_templates", lambda t: R.expand_url_templates(t.templates), """
   SELECT id, 'https://x.example/' || id || '?p=' || p || '&c=' || c AS url FROM {templates}, (VALUES (1), (3), (5)) AS a(p), (VALUES ('red'), ('blue')) AS b(c) WHERE id % 3 = 0

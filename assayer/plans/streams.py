@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.plans.base import query
+from assayer.sources.readers import read_usage_stream
 from assayer.streaming import keyed as K
 from assayer.streaming import usage as U
 
@@ -50,3 +51,14 @@ query("i5_incident_stream", lambda t: drained(K.incident_stream(_events(t).where
 query("i6_frontier_stream", lambda t: drained(K.frontier_stream(_events(t).select((F.col("user_id") * 13 + F.col("event_id") % 13).cast("string").alias("url"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") == "view").alias("ok"), F.lit(False).alias("blocked"))), "update").groupBy("url").agg(F.max_by("state", "attempts").alias("state"), F.max("attempts").alias("attempts")), """
   WITH n AS (SELECT user_id * 13 + event_id % 13 AS u, event_type = 'view' AS ok, row_number() OVER (PARTITION BY user_id * 13 + event_id % 13 ORDER BY ts, event_id) AS k FROM {events}), g AS (SELECT u, count(*) AS n, min(k) FILTER (ok) AS e FROM n GROUP BY u)
   SELECT CAST(u AS VARCHAR) AS url, CASE WHEN e <= 3 THEN 'EXTRACTED' WHEN n >= 3 THEN 'FAILED' ELSE 'QUEUED' END AS state, least(3, n, coalesce(e, 3)) AS attempts FROM g""")
+
+
+def _usage_files(t) -> DataFrame:
+    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-assayer-")
+    path = f"{root.rstrip('/')}/assayer/{uuid.uuid4().hex}/usage"
+    rows = t.events.select(F.col("event_id").cast("string").alias("event_id"), F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("client_id"), F.col("event_type").alias("resource_type"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 9).alias("quantity"), F.col("ts").cast("timestamp").alias("occurred_at"))
+    rows.write.option("ignoreNullFields", "true").json(path)
+    return read_usage_stream(t.spark, path)
+
+
+query("a6_read_usage_stream", lambda t: drained(_usage_files(t)).select("event_id", "client_id", F.col("quantity").cast("long").alias("quantity"), "metadata"), "SELECT CAST(event_id AS VARCHAR) AS event_id, 'c' || (user_id % 5) AS client_id, CASE WHEN event_id % 4 > 0 THEN event_id % 9 ELSE 0 END AS quantity, chr(123) || chr(125) AS metadata FROM {events}")

@@ -17,7 +17,7 @@ fixture("contacts", "SELECT doc_id, concat('Mail a', CAST(doc_id % 5 AS STRING),
 query("h12_redact_contacts", lambda t: T.redact_contacts(t.contacts).select("doc_id", "redacted", "has_pii", (T.restore_contacts(F.col("redacted"), F.col("replacements")) == F.col("text")).alias("restored")), """
   SELECT doc_id, 'Mail <EMAIL_1> or <EMAIL_2>, <EMAIL_1>; call <PHONE_1> by 2024-01-05' || CASE WHEN doc_id % 2 = 0 THEN ' or <PHONE_2>' ELSE '' END AS redacted, true AS has_pii, true AS restored FROM {contacts}""")
 fixture("prompts", """
-  SELECT conv_id, turn, concat(CASE turn % 9 WHEN 0 THEN 'Get all products as CSV ' WHEN 1 THEN 'just this page, in excel ' WHEN 2 THEN 'up to 12 pages with full description ' WHEN 3 THEN 'bypass the paywall ' WHEN 4 THEN 'solve   the captcha and give JSON ' WHEN 5 THEN 'log in with my password ' ELSE '' END, CASE WHEN conv_id % 3 = 0 THEN 'x' ELSE substr(text, 1, 40) END) AS text FROM {conversations}""")
+  SELECT conv_id, turn, concat(CASE turn % 9 WHEN 0 THEN 'Get all products as CSV ' WHEN 1 THEN 'just this page, in excel ' WHEN 2 THEN 'up to 12 pages with full description ' WHEN 3 THEN 'bypass the paywall ' WHEN 4 THEN 'solve   the captcha and give JSON ' WHEN 5 THEN 'log in with my password ' ELSE '' END, CASE WHEN conv_id % 3 = 0 THEN 'x' ELSE text END) AS text FROM {conversations}""")
 
 
 def _tag(name: str, pattern: str) -> str:
