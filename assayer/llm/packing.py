@@ -187,7 +187,7 @@ def plan_slots(counts: dict[int, int], most: int = MOST_TOKENS) -> list[tuple[in
     return slots
 
 
-def ranked(rows: DataFrame, key: str, unique: list[str], salts: int = 64) -> DataFrame:
+def ranked(rows: DataFrame, key: str, unique: list[str], salts: int) -> DataFrame:
     """rows with rank: 0, 1, ... within key, in an order fixed by the unique columns.
 
     A key that holds most rows is counted and ranked in `salts` slices; their counts give each its first rank.
@@ -215,7 +215,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, most: int = MO
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = pieces.sparkSession.createDataFrame(plan_slots(counts, most), "slot_length long, low long, high long, first long, each long, begin long")
     slot = F.col("rank") - F.col("low")
-    placed = ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"]).join(
+    salts = max(64, max(counts.values(), default=0) // 1_000_000)  # slices of a hot length hold about a million pieces
+    placed = ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"], salts).join(
         F.broadcast(plan), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",

@@ -136,6 +136,7 @@ def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float = 2e-3, rounds:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> RuleEnsemble:
     """Fits on at most max_rows labelled documents, chosen by a hash of doc_id; null labels and ids are left out.
+    An id that several documents share brings all of them.
 
     Statistics are computed by Spark over the whole texts; the driver gets one short row of numbers per labelled
     document of the sample. No labelled row, or one label only: a constant.

@@ -129,6 +129,7 @@ def train(index: list[np.ndarray], label: np.ndarray, terms: np.ndarray, rank: i
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> FactorizationMachine:
     """Fits on at most max_rows labelled documents, chosen by a hash of doc_id; null labels and ids are left out.
+    An id that several documents share brings all of them.
 
     Tasks count documents per term and label; the max_terms terms whose document shares differ most between the
     labels (at least four standard errors) become the machine's inputs. The driver gets those and the sample's
