@@ -8,15 +8,39 @@ import numpy as np
 import zstandard
 
 
-def dump(*arrays: np.ndarray) -> bytes:
+class Near:
+    """Wraps an array of ids below 2**48 to be stored as differences: runs of ascending values take fewer bytes."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+
+
+_MASK = np.uint64((1 << 48) - 1)
+
+
+def fixed(x: np.ndarray) -> np.ndarray:
+    """Reals as whole multiples of 2**-32, signs folded in: five bytes for most logarithms, and sums without rounding."""
+    v = np.rint(x * 2.0**32).astype(np.int64)
+    return ((v << 1) ^ (v >> 63)).view(np.uint64)
+
+
+def unfixed(z: np.ndarray) -> np.ndarray:
+    v = (z >> np.uint64(1)).astype(np.int64) ^ -(z & np.uint64(1)).astype(np.int64)
+    return v / 2.0**32
+
+
+def dump(*arrays: np.ndarray | Near) -> bytes:
     """Non-negative integers in as few bytes as the largest needs, doubles in eight; byte planes, then zstd."""
     out, squeeze = [struct.pack("<B", len(arrays))], zstandard.ZstdCompressor(level=1)
     for x in arrays:
+        near = isinstance(x, Near)
+        if near:
+            x = np.diff(x.values.astype(np.uint64), prepend=np.uint64(0)) & _MASK
         real = x.dtype == np.float64
         flat = np.ascontiguousarray(x, np.float64 if real else np.uint64).view(np.uint64)
         width = 8 if real else max(1, (int(flat.max()).bit_length() + 7) // 8 if len(flat) else 1)
         body = squeeze.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
-        out += [struct.pack("<?BII", real, width, len(flat), len(body)), body]
+        out += [struct.pack("<BBII", 2 * near + real, width, len(flat), len(body)), body]
     return b"".join(out)
 
 
@@ -24,11 +48,12 @@ def load(data: bytes) -> list[np.ndarray]:
     """The arrays of dump: uint64 or float64."""
     out, at, open_ = [], 1, zstandard.ZstdDecompressor()
     for _ in range(data[0]):
-        real, width, n, size = struct.unpack_from("<?BII", data, at)
-        at += struct.calcsize("<?BII")
+        kind, width, n, size = struct.unpack_from("<BBII", data, at)
+        at += struct.calcsize("<BBII")
         planes = np.frombuffer(open_.decompress(data[at : at + size], max_output_size=max(1, n * width)), np.uint8).reshape(width, n)
         flat = np.zeros((n, 8), np.uint8)
         flat[:, :width] = planes.T
-        out.append(flat.reshape(-1).view(np.float64 if real else np.uint64))
+        values = flat.reshape(-1).view(np.float64 if kind == 1 else np.uint64)
+        out.append(np.cumsum(values, dtype=np.uint64) & _MASK if kind == 2 else values)
         at += size
     return out

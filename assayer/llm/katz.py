@@ -21,12 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.blobs import dump, load
+from assayer.llm.blobs import Near, dump, fixed, load, unfixed
 from assayer.llm.scratch import stored, table
 from assayer.llm.tokens import as_text, hash_spans, mix, split_words, text_slices
 
 #: Counts up to this are discounted; tokens that a task sorts at once; a hot word has more than 1 / (HOT * buckets) of all tokens.
-MOST_DISCOUNTED, CHUNK_TOKENS, HOT = 5, 3_000_000, 4
+MOST_DISCOUNTED, CHUNK_TOKENS, HOT = 5, 2_500_000, 4
 START, END = (1 << 48) - 1, (1 << 48) - 2
 WORDS, GRAMS, PAIRS, DOCS, OPEN, PART = range(6)
 ROW = "bucket int, kind int, chunk long, data binary"
@@ -99,12 +99,13 @@ class Chunk:
         inner = np.ones(len(w), bool)
         inner[last] = False
         w[inner] = np.concatenate(ids)
-        self.names, self.word = np.unique(w, return_inverse=True)
+        self.names, word = np.unique(w, return_inverse=True)
+        self.word = word.astype(np.int32)
         self.context = np.empty_like(self.word)
         self.context[1:] = self.word[:-1]
         self.context[last - count] = len(self.names)
         self.names = np.append(self.names, np.uint64(START))
-        self.doc = np.repeat(np.arange(len(count)), count + 1)
+        self.doc = np.repeat(np.arange(len(count), dtype=np.int32), count + 1)
         self.count = count
 
 
@@ -140,7 +141,7 @@ def _count_words(buckets: int):
             count = np.bincount(chunk.word, minlength=len(names))
             bucket = _bucket(names, buckets)
             order = np.argsort(bucket, kind="stable")
-            rows = [_row(b, WORDS, 0, dump(names[order[s]], count[order[s]])) for b, s in _split(bucket[order], buckets)]
+            rows = [_row(b, WORDS, 0, dump(Near(names[order[s]]), count[order[s]])) for b, s in _split(bucket[order], buckets)]
             yield _rows(rows)
 
     return run
@@ -154,7 +155,7 @@ def _merge_words(rows: pa.Table) -> pa.Table:
     top = np.argsort(counts)[::-1][:16]
     seen = np.bincount(np.minimum(counts, MOST_DISCOUNTED + 2).astype(np.int64), minlength=MOST_DISCOUNTED + 3)
     return pa.table({
-        "bucket": rows.column("bucket")[:1], "data": pa.array([dump(names, counts)], pa.binary()), "tokens": pa.array([int(counts.sum())]),
+        "bucket": rows.column("bucket")[:1], "data": pa.array([dump(Near(names), counts)], pa.binary()), "tokens": pa.array([int(counts.sum())]),
         "types": pa.array([len(names)]), "seen": pa.array([seen[1 : MOST_DISCOUNTED + 2].tolist()]),
         "top": pa.array([names[top].astype(np.int64).tolist()]), "top_count": pa.array([counts[top].astype(np.int64).tolist()])})
 
@@ -165,7 +166,7 @@ def _pair_rows(chunk: Chunk, buckets: int, hot: np.ndarray) -> tuple[np.ndarray,
     token_bucket = bucket[chunk.word]
     spread = np.isin(chunk.names, hot)[chunk.word]
     token_bucket[spread] = _bucket(chunk.names ^ np.uint64(0x5555), buckets)[chunk.context[spread]]
-    key = (token_bucket << 48) | (chunk.word << 24) | chunk.context
+    key = (token_bucket << 48) | (chunk.word.astype(np.int64) << 24) | chunk.context
     order = np.argsort(key)
     return key[order], order
 
@@ -188,7 +189,7 @@ def _count_pairs(buckets: int, hot: np.ndarray, with_docs: bool):
                 n = np.diff(np.append(at, len(own)))
                 word = own[at] >> 24 & 0xFFFFFF
                 starts = _first(word)
-                parts = [chunk.names[word[starts]], np.diff(np.append(starts, len(word))), chunk.names[own[at] & 0xFFFFFF], n]
+                parts = [Near(chunk.names[word[starts]]), np.diff(np.append(starts, len(word))), Near(chunk.names[own[at] & 0xFFFFFF]), n]
                 rows.append(_row(b, PAIRS, name, dump(*parts, *([docs] if with_docs else []))))
             yield _rows(rows)
             if with_docs:
@@ -230,7 +231,7 @@ def _merge_pairs(hot: np.ndarray, hot_count: np.ndarray):
         count = _lookup(*words[0], own) if words else np.zeros(len(own), np.uint64)
         count = np.maximum(count, _lookup(hot, hot_count, own))
         seen = np.bincount(np.minimum(c, MOST_DISCOUNTED + 2).astype(np.int64), minlength=MOST_DISCOUNTED + 3)
-        data = dump(own, count, np.diff(np.append(starts, len(w))), h, c)
+        data = dump(Near(own), count, np.diff(np.append(starts, len(w))), Near(h), c)
         return pa.table({"bucket": rows.column("bucket")[:1], "data": pa.array([data], pa.binary()), "seen": pa.array([seen[1 : MOST_DISCOUNTED + 2].tolist()], pa.list_(pa.int64()))})
 
     return run
@@ -249,7 +250,7 @@ def _sum_contexts(buckets: int, d1: np.ndarray, d2: np.ndarray, total: int, left
                 mass = np.bincount(at, np.repeat(unigram(count, d1, total, left), per.astype(np.int64)))
                 bucket = _bucket(names, buckets)
                 order = np.argsort(bucket, kind="stable")
-                yield _rows([_row(b, OPEN, 0, dump(names[order[s]], free[order[s]], mass[order[s]])) for b, s in _split(bucket[order], buckets)])
+                yield _rows([_row(b, OPEN, 0, dump(Near(names[order[s]]), free[order[s]], mass[order[s]])) for b, s in _split(bucket[order], buckets)])
 
     return run
 
@@ -274,7 +275,7 @@ def _finish_words(hot: np.ndarray, starts: int):
         mine = np.isin(all_names, hot)
         return pa.table({
             "bucket": rows.column("bucket")[:1], "kind": pa.array([WORDS], pa.int32()), "chunk": pa.array([0], pa.int64()),
-            "data": pa.array([dump(all_names, count, deep, back)], pa.binary()),
+            "data": pa.array([dump(Near(all_names), count, fixed(deep), fixed(back))], pa.binary()),
             "hot": pa.array([all_names[mine].astype(np.int64).tolist()], pa.list_(pa.int64())),
             "hot_values": pa.array([np.stack([count[mine], deep[mine], back[mine]], 1).ravel().tolist()], pa.list_(pa.float64()))})
 
@@ -334,14 +335,15 @@ def _score_bucket(m: KatzModel) -> Callable[[pa.Table], pa.Table]:
 
     def run(rows: pa.Table) -> pa.Table:
         words = [load(d) for d in _of(rows, WORDS)]
-        names, count, deep, _ = words[0] if words else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+        names, count, deep, _ = words[0] if words else [np.zeros(0, np.uint64)] * 4
+        deep = unfixed(deep)
         grams, seen = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for data in _of(rows, GRAMS):
             w, _, per, h, c = load(data)
             grams = _gram_key(np.repeat(w, per.astype(np.int64)), h)
             order = np.argsort(grams)
             grams, seen = grams[order], c[order]
-        out = []
+        out, far = [], []
         for kind, chunk, data in zip(*(rows.column(x).to_pylist() for x in ("kind", "chunk", "data")), strict=True):
             if kind == DOCS:
                 out.append(_row(0, DOCS, chunk, data))
@@ -361,13 +363,15 @@ def _score_bucket(m: KatzModel) -> Callable[[pa.Table], pa.Table]:
             value = value + np.where(near, _lookup(hot, hot_values[:, 2], h), 0.0)
             own, at = np.unique(docs, return_inverse=True)
             sums = [np.bincount(at, x, len(own)) for x in (np.repeat(value, n), base, np.repeat(np.repeat(c1 > 0, per), n).astype(np.float64))]
-            out.append(_row(0, PART, chunk, dump(own, sums[0], sums[1], sums[2].astype(np.uint64))))
-            far = np.repeat(new & ~near, n)
-            if far.any():
-                who, doc = np.repeat(h, n)[far], docs[far]
-                bucket = _bucket(who, buckets)
-                order = np.lexsort((who, bucket))
-                out += [_row(b, OPEN, chunk, dump(who[order[s]], doc[order[s]])) for b, s in _split(bucket[order], buckets)]
+            out.append(_row(0, PART, chunk, dump(Near(own), fixed(sums[0]), fixed(sums[1]), sums[2].astype(np.uint64))))
+            gone = np.repeat(new & ~near, n)
+            if gone.any():
+                far.append((np.repeat(h, n)[gone], np.full(int(gone.sum()), chunk, np.uint64), docs[gone]))
+        if far:
+            who, whose, doc = (np.concatenate(x) for x in zip(*far, strict=True))
+            bucket = _bucket(who, buckets)
+            order = np.lexsort((who, whose, bucket))
+            out += [_row(b, OPEN, 0, dump(Near(who[order[s]]), Near(whose[order[s]]), doc[order[s]])) for b, s in _split(bucket[order], buckets)]
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -376,13 +380,20 @@ def _score_bucket(m: KatzModel) -> Callable[[pa.Table], pa.Table]:
 def _back_off(rows: pa.Table) -> pa.Table:
     """log10 of denominator times alpha for the contexts of unseen bigrams; a context that training lacks adds nothing."""
     words = [load(d) for d in _of(rows, WORDS)]
-    names, _, _, back = words[0] if words else (np.zeros(0, np.uint64), 0, 0, np.zeros(0))
+    names, _, _, back = words[0] if words else [np.zeros(0, np.uint64)] * 4
+    back = unfixed(back)
+    asked = [load(d) for d in _of(rows, OPEN)]
     out = []
-    for kind, chunk, data in zip(*(rows.column(x).to_pylist() for x in ("kind", "chunk", "data")), strict=True):
-        if kind == OPEN:
-            h, doc = load(data)
-            own, at = np.unique(doc, return_inverse=True)
-            out.append(_row(0, PART, chunk, dump(own, np.bincount(at, _lookup(names, back, h), len(own)), np.zeros(len(own)), np.zeros(len(own), np.uint64))))
+    if asked:
+        h, whose, doc = (np.concatenate(x) for x in zip(*asked, strict=True))
+        value = _lookup(names, back, h)
+        order = np.lexsort((doc, whose))
+        whose, doc = whose[order], doc[order]
+        at = np.flatnonzero(np.concatenate([[True], (whose[1:] != whose[:-1]) | (doc[1:] != doc[:-1])]))
+        sums, whose, doc = np.add.reduceat(value[order], at), whose[at], doc[at]
+        starts = _first(whose)
+        for a, b in zip(starts, np.append(starts[1:], len(whose)), strict=True):
+            out.append(_row(0, PART, int(whose[a]), dump(Near(doc[a:b]), fixed(sums[a:b]), np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64))))
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -391,9 +402,9 @@ def _finish_chunk(start: float):
         ids, known, n = load(_of(rows, DOCS)[0])
         sums = np.zeros((3, len(ids)))
         for data in _of(rows, PART):
-            own, *parts = load(data)
-            for k in range(3):
-                sums[k][own.astype(np.int64)] += parts[k]
+            own, score, base, known_words = load(data)
+            for k, values in enumerate((unfixed(score), unfixed(base), known_words)):
+                sums[k][own.astype(np.int64)] += values
         return pa.table({
             "doc_id": pa.array(ids.view(np.int64), mask=known == 0), "n_tokens": pa.array(n.astype(np.int64)),
             "n_known": pa.array(sums[2].astype(np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[0] - start)})
