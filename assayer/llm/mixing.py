@@ -46,6 +46,10 @@ def source_targets(sizes: DataFrame, most: int = MOST_EPOCHS, weights: tuple[int
     return levels.withColumn("chosen", chosen).select("source", "source_size", F.least("cap", F.col("weight") * F.coalesce("chosen", "level")).alias("target"))
 
 
+def _key(seed: int) -> Column:
+    return -F.log(uniform("doc_id", "size", seed=seed)) / text_quality(F.col("text"), F.col("size"))
+
+
 def mix_sources(docs: DataFrame, most: int = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
     """(rid, doc_id, source, size, source_size, target, copies, taken), one row per input row.
 
@@ -58,8 +62,9 @@ def mix_sources(docs: DataFrame, most: int = MOST_EPOCHS, weights: tuple[int, ..
     """
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), F.col("text"))
-    keyed = sized.select("doc_id", "source", "size", (-F.log(uniform("doc_id", "size", seed=seed)) / text_quality(F.col("text"), F.col("size"))).alias("key"))
+    keyed = sized.select("doc_id", "source", "size", _key(seed).alias("key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = stored(keyed, "sizes")  # ranges are found from a sample: the texts should not be read for it again
     keyed = keyed.repartitionByRange(4 * parts, F.asc_nulls_last("source"), "key", F.asc_nulls_last("doc_id"), "size")
     keyed = stored(keyed.withColumn("part", F.spark_partition_id()), "keys")
     totals = keyed.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
@@ -74,7 +79,28 @@ def mix_sources(docs: DataFrame, most: int = MOST_EPOCHS, weights: tuple[int, ..
     fraction = F.col("target") - F.col("epochs") * F.col("source_size")
     extra = ((before + F.col("size") / 2 <= fraction) & (fraction > 0)).cast("int")
     copies = F.least(F.col("epochs") + extra, F.lit(most)).cast("int")
-    return joined.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return joined.withColumn("copies", copies).select("doc_id", "source", "size", "key", "source_size", "target", "epochs", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _place() -> Column:
+    """What the order within a source compares: key, then doc_id (null last), then size."""
+    return F.struct("key", F.col("doc_id").isNull().alias("absent"), F.coalesce("doc_id", F.lit(0)).alias("id"), "size")
+
+
+def repeat_by_mix(docs: DataFrame, most: int = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
+    """docs, each row as often as the mix takes it; the texts stay where they are.
+
+    The documents that enter beyond whole epochs are the first of their source's order, so a source's epochs and the
+    place of its last one settle every row where it is read: only one row per source is joined. Rows in the same
+    place (equal ids and sizes) enter together.
+    """
+    last = F.max(F.when(F.col("copies") > F.col("epochs"), _place())).alias("last")
+    cut = mix_sources(docs, most, weights, seed).groupBy("source").agg(F.first("epochs").alias("epochs"), last)
+    cut = stored(cut.withColumnRenamed("source", "of"), "cuts")
+    keyed = docs.withColumn("size", text_size(F.col("text"))).withColumn("key", _key(seed))
+    copies = F.least(F.col("epochs") + F.coalesce(_place() <= F.col("last"), F.lit(False)).cast("int"), F.lit(most)).cast("int")
+    joined = keyed.join(cut, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies).where("copies > 0")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,19 +104,52 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
-def _mask_batches(mask: str):
+def _masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
+    """text with the union of the spans (ascending by start) replaced."""
+    out, at = [], 0
+    for start, end in spans:
+        if end > at:
+            out += [text[at : max(at, start)], mask if start >= at else ""]
+            at = end
+    return "".join(out) + text[at:]
+
+
+def _mask_certain(mask: str):
+    """Rows without weak parts, their certain parts masked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for k, found in enumerate(spans):
-                if found:
-                    out, at = [], 0
-                    for span in found:
-                        if span["end"] > at:
-                            out += [texts[k][at : max(at, span["start"])], mask if span["start"] >= at else ""]
-                            at = span["end"]
-                    texts[k] = "".join(out) + texts[k][at:]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["rid", "text"])
+            k = batch.schema.get_field_index("text")
+            texts, keep = batch.column(k).to_pylist(), np.ones(batch.num_rows, bool)
+            for i, text in enumerate(texts):
+                parts = text_parts(text) if text else []
+                keep[i] = all(kind < 3 for _, kind, _ in parts)
+                if parts:
+                    texts[i] = _masked(text, [(a, b) for a, _, b in parts], mask)
+            yield batch.set_column(k, "text", pa.array(texts, pa.string())).filter(pa.array(keep))
+
+    return run
+
+
+def _weak_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with weak parts, and all their parts."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        parts = [text_parts(t) if t else [] for t in texts]
+        keep = [any(kind >= 3 for _, kind, _ in p) for p in parts]
+        found = [[{"start": a, "kind": k, "end": b} for a, k, b in p] for p, ok in zip(parts, keep, strict=True) if ok]
+        kinds = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+        rows = batch.filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, kinds)], [*rows.schema.names, "_parts"])
+
+
+def _mask_linked(mask: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.schema.get_field_index("text")
+            spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
+            texts = [_masked(t, [(s["start"], s["end"]) for s in own], mask) for t, own in zip(batch.column(k).to_pylist(), spans, strict=True)]
+            yield batch.set_column(k, "text", pa.array(texts, pa.string())).select([n for n in batch.schema.names if n != "_spans"])
 
     return run
 
@@ -124,16 +157,15 @@ def _mask_batches(mask: str):
 def mask_spans(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -> DataFrame:
     """docs with every reported span of text replaced by mask; overlapping spans become one. Null texts stay null.
 
-    rid is drawn once, with the rows it belongs to, so repeated rows keep their own texts.
+    Most texts have certain parts at most and are masked where they are read. Only rows with weak parts take part
+    in the interval join; no other text is moved.
     """
-    columns = docs.columns
-    kept = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
-    scanned = stored(kept.select("_rid", "text").mapInArrow(_scan, "doc_id long, parts array<struct<start:int,kind:int,end:int>>")
-                     .where(F.size("parts") > 0).withColumnRenamed("doc_id", "rid"), "parts")
-    linked = link_parts(scanned, scope)
-    base = F.filter("parts", lambda p: p["kind"] < 3)
-    spans = scanned.join(linked, "rid", "left").select(
-        F.col("rid").alias("_rid"), F.array_sort(F.concat(base, F.coalesce("linked", F.slice(base, 1, 0)))).alias("_spans")).where(F.size("_spans") > 0)
-    hit = kept.select("_rid", "text").join(stored(spans, "spans"), "_rid").mapInArrow(_mask_batches(mask), "rid long, masked string")
-    return kept.join(stored(hit, "masked"), kept["_rid"] == F.col("rid"), "left").select(
-        *(F.coalesce("masked", "text").alias("text") if c == "text" else F.col(c) for c in columns))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    certain = docs.mapInArrow(_mask_certain(mask), schema)
+    weak = docs.mapInArrow(_weak_rows, f"{schema}, _parts array<struct<start:int,kind:int,end:int>>").withColumn("_rid", F.monotonically_increasing_id())
+    weak = stored(weak, "weak")
+    linked = link_parts(weak.select(F.col("_rid").alias("rid"), F.col("_parts").alias("parts")), scope).withColumnRenamed("rid", "_rid")
+    base = F.filter("_parts", lambda p: p["kind"] < 3)
+    spans = F.array_sort(F.concat(base, F.coalesce("linked", F.slice(base, 1, 0))))
+    joined = weak.join(linked, "_rid", "left").select(*docs.columns, spans.alias("_spans"))
+    return certain.unionAll(joined.mapInArrow(_mask_linked(mask), schema))

@@ -36,8 +36,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    copies = stored(mixing.mix_sources(docs).where("copies > 0").select("doc_id", F.col("copies").alias("n_copies")).groupBy("doc_id").agg(F.max("n_copies").alias("n_copies")), "copies")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "n_copies"))).select(*COLUMNS)
+    return mixing.repeat_by_mix(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -318,6 +318,15 @@ def test_mix_awkward_rows(spark):
     assert mixing.mix_sources(X.docs(spark, empty=True)).count() == 0
 
 
+def test_repeating_agrees_with_the_mix(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(X.docs(spark).where("doc_id is null or doc_id = 2"))
+    wanted = Counter()
+    for r in mixing.mix_sources(df).collect():
+        wanted[r.doc_id] += r.copies
+    got = Counter(r.doc_id for r in mixing.repeat_by_mix(df).collect())
+    assert got == +wanted and len(set(wanted.values())) > 1
+
+
 # op6 and op10
 
 
