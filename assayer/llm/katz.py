@@ -1,13 +1,15 @@
-"""A Katz backoff language model over words, fitted and evaluated as Spark jobs.
-
-P(w | h) is the Good-Turing discounted share of h w where training saw that bigram, else alpha(h) P(w); P(w) is
-the discounted share of w where training saw the word, else the mass left for all unseen words. alpha(h) is
-what the discounts leave of h divided by 1 - sum of P(w) over the words seen after h, so that every
-distribution sums to one over the training words, the end and one unseen word.
-
-All rows of a kind travel in byte strings, one per task and bucket. A bigram goes to the bucket of its word w,
-where w's count is at hand; a word that makes up much of the corpus is spread over all buckets by h, and the
-short list of such words (their number is bounded by the number of buckets) goes with every task.
+"""A Katz backoff language model of any order over words, fitted and evaluated as Spark jobs.
+
+P(w | h) is the Good-Turing discounted share of h w where training saw that n-gram, else alpha(h) P(w | h'), where h'
+is h without its first word; a history h that training lacks gives P(w | h') itself. P(w) is the discounted share of
+w where training saw the word, else the mass left for all unseen words. alpha(h) is what the discounts leave of h
+divided by 1 - sum of P(w | h') over the words seen after h, so that every distribution sums to one over the training
+words, the end and one unseen word. The start of a document is padded with start marks.
+
+All rows of a kind travel in byte strings, one per task and bucket. An n-gram goes to the bucket of its last word w,
+where w's count and the counts of all its shorter endings are at hand; a word that makes up much of the corpus is
+spread over all buckets by the word before it, and the short list of such words (their number is bounded by the number
+of buckets) goes with every task. What belongs to a history is where that history is as an n-gram of its own.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from assayer.llm.tokens import as_text, hash_spans, mix, split_words, text_slice
 #: Counts up to this are discounted; tokens that a task sorts at once; a hot word has more than 1 / (HOT * buckets) of all tokens.
 MOST_DISCOUNTED, CHUNK_TOKENS, HOT = 5, 2_500_000, 4
 START, END = (1 << 48) - 1, (1 << 48) - 2
-WORDS, GRAMS, PAIRS, DOCS, OPEN, PART = range(6)
+WORDS, GRAMS, PAIRS, DOCS, OPEN, PART, HISTORIES = range(7)
 ROW = "bucket int, kind int, chunk long, data binary"
 _SHIFT = np.uint64(16)
 
@@ -55,31 +57,44 @@ def discounts(seen: list[int]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class KatzModel:
-    """Tables: words (bucket, id, count, denominators, backoff) and grams (bucket, word, context, count)."""
+    """Tables: words (bucket, id, count, denominators, backoff), grams (bucket, n-gram, count), histories (bucket, history, denominators, backoff).
+
+    d: discounts of orders 1 to order. starts: for orders 2 to order, log10 of denominator and of denominator times alpha of the start.
+    """
 
+    order: int
     buckets: int
     words: DataFrame
     grams: DataFrame
+    histories: DataFrame | None
     tokens: int
     types: int
     total: int
-    d1: np.ndarray
-    d2: np.ndarray
+    d: list[np.ndarray]
     left: float
     hot: np.ndarray
     hot_values: np.ndarray
+    starts: list[tuple[float, float]]
 
 
 def unigram(count: np.ndarray, d1: np.ndarray, total: int, left: float) -> np.ndarray:
     """P(w) from training counts; left is the mass of all unseen words together."""
-    factor = np.where(count <= MOST_DISCOUNTED, d1[np.minimum(count, MOST_DISCOUNTED).astype(np.int64)], 1.0)
-    return np.where(count > 0, factor * count / total, left)
+    return np.where(count > 0, _factor(count, d1) * count / total, left)
 
 
 def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(ids + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _spread(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """Where n-grams of hot words go by the word before."""
+    return _bucket(ids ^ np.uint64(0x5555), buckets)
+
+
+def _factor(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(count <= MOST_DISCOUNTED, d[np.minimum(count, MOST_DISCOUNTED).astype(np.int64)], 1.0)
+
+
 def _row(bucket: int, kind: int, chunk: int, data: bytes) -> tuple:
     return bucket, kind, chunk, data
 
@@ -90,9 +105,9 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Chunk:
-    """The tokens of some documents: distinct words, each token's place among them, and each token's context."""
+    """The tokens of some documents: distinct words, each token's place among them, and the order - 1 words before each token."""
 
-    def __init__(self, ids: list[np.ndarray], counts: list[np.ndarray]):
+    def __init__(self, ids: list[np.ndarray], counts: list[np.ndarray], order: int = 2):
         count = np.concatenate(counts)
         last = np.cumsum(count + 1) - 1
         w = np.full(int(last[-1]) + 1 if len(last) else 0, END, np.uint64)
@@ -101,15 +116,18 @@ class Chunk:
         w[inner] = np.concatenate(ids)
         self.names, word = np.unique(w, return_inverse=True)
         self.word = word.astype(np.int32)
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
-        self.context[last - count] = len(self.names)
+        self.columns = [self.word]
+        for _ in range(order - 1):
+            before = np.empty_like(self.word)
+            before[1:] = self.columns[-1][:-1]
+            before[last - count] = len(self.names)
+            self.columns.append(before)
         self.names = np.append(self.names, np.uint64(START))
         self.doc = np.repeat(np.arange(len(count), dtype=np.int32), count + 1)
         self.count = count
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, list[pa.Array]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], order: int = 2) -> Iterator[tuple[Chunk, list[pa.Array]]]:
     """Documents in chunks of about CHUNK_TOKENS tokens, with the first column's values. The text is the last column."""
     ids, counts, firsts, n = [], [], [], 0
     for batch in batches:
@@ -121,10 +139,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, list[pa.
             firsts.append(batch.column(0)[lo:hi])
             n += len(own) + len(count)
             if n >= CHUNK_TOKENS:
-                yield Chunk(ids, counts), firsts
+                yield Chunk(ids, counts, order), firsts
                 ids, counts, firsts, n = [], [], [], 0
     if counts:
-        yield Chunk(ids, counts), firsts
+        yield Chunk(ids, counts, order), firsts
 
 
 def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
@@ -160,37 +178,89 @@ def _merge_words(rows: pa.Table) -> pa.Table:
         "top": pa.array([names[top].astype(np.int64).tolist()]), "top_count": pa.array([counts[top].astype(np.int64).tolist()])})
 
 
-def _pair_rows(chunk: Chunk, buckets: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens in the order of (bucket, word, context): (sorted keys, order)."""
-    bucket = _bucket(chunk.names, buckets)
-    token_bucket = bucket[chunk.word]
+def _gram_rows(chunk: Chunk, buckets: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens in the order of (bucket, word, word before, ...): (ascending buckets, order)."""
+    token_bucket = _bucket(chunk.names, buckets)[chunk.word]
     spread = np.isin(chunk.names, hot)[chunk.word]
-    token_bucket[spread] = _bucket(chunk.names ^ np.uint64(0x5555), buckets)[chunk.context[spread]]
-    key = (token_bucket << 48) | (chunk.word.astype(np.int64) << 24) | chunk.context
+    token_bucket[spread] = _spread(chunk.names, buckets)[chunk.columns[1][spread]]
+    key = (token_bucket << 48) | (chunk.word.astype(np.int64) << 24) | chunk.columns[1]
     order = np.argsort(key)
-    return key[order], order
+    for column in chunk.columns[2:]:
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
+        key = (rank << 24) | column
+        order = np.argsort(key)
+    return token_bucket[order], order
 
 
 def _first(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
-def _count_pairs(buckets: int, hot: np.ndarray, with_docs: bool):
-    """One row per chunk and bucket: words, contexts per word, contexts, tokens per pair and, to score, each token's document."""
+def _levels(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """For sorted columns, per number of leading columns: the rows where a new combination starts."""
+    change = np.zeros(len(columns[0]), bool)
+    change[:1] = True
+    out = []
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+        out.append(np.flatnonzero(change))
+    return out
+
+
+def _up(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """For every start of a longer combination, the number of the shorter one that it lies in."""
+    return np.searchsorted(outer, inner, "right") - 1
+
+
+def _nest(columns: list[np.ndarray]) -> list[np.ndarray | Near]:
+    """Sorted distinct rows of ids for dump: each combination once, with how many longer ones it has; from the third column on as places in a list."""
+    firsts = _levels(columns)
+    out: list[np.ndarray | Near] = [Near(columns[0][firsts[0]])]
+    for k in range(1, len(columns)):
+        out.append(np.bincount(_up(firsts[k], firsts[k - 1]), minlength=len(firsts[k - 1])))
+        own = columns[k][firsts[k]]
+        if k == 1:
+            out.append(Near(own))
+        else:
+            names, at = np.unique(own, return_inverse=True)
+            out += [Near(names), at]
+    return out
+
+
+def _flat(parts: list[np.ndarray], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(columns, what follows them in parts), the inverse of _nest for `width` columns."""
+    columns, at = [parts[0]], 1
+    for k in range(1, width):
+        per = parts[at].astype(np.int64)
+        columns = [np.repeat(c, per) for c in columns]
+        columns.append(parts[at + 1] if k == 1 else parts[at + 1][parts[at + 2].astype(np.int64)])
+        at += 2 if k == 1 else 3
+    return columns, parts[at:]
+
+
+def _keys(columns: list[np.ndarray], firsts: list[np.ndarray]) -> list[np.ndarray]:
+    """64-bit keys of the combinations of every number of leading columns."""
+    out = [mix(columns[0][firsts[0]])]
+    for k in range(1, len(firsts)):
+        out.append(mix(out[-1][_up(firsts[k], firsts[k - 1])] + columns[k][firsts[k]]))
+    return out
+
+
+def _count_grams(order: int, buckets: int, hot: np.ndarray, with_docs: bool):
+    """One row per chunk and bucket: its n-grams, tokens per n-gram and, to score, each token's document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (chunk, firsts) in enumerate(_chunks(batches)):
+        for number, (chunk, firsts) in enumerate(_chunks(batches, order)):
             name = TaskContext.get().partitionId() << 24 | number
-            key, order = _pair_rows(chunk, buckets, hot)
+            bucket, place = _gram_rows(chunk, buckets, hot)
             rows = []
-            for b, s in _split(key >> 48, buckets):
-                own, docs = key[s], chunk.doc[order[s]]
-                at = _first(own)
-                n = np.diff(np.append(at, len(own)))
-                word = own[at] >> 24 & 0xFFFFFF
-                starts = _first(word)
-                parts = [Near(chunk.names[word[starts]]), np.diff(np.append(starts, len(word))), Near(chunk.names[own[at] & 0xFFFFFF]), n]
-                rows.append(_row(b, PAIRS, name, dump(*parts, *([docs] if with_docs else []))))
+            for b, s in _split(bucket, buckets):
+                own = place[s]
+                columns = [c[own] for c in chunk.columns]
+                at = _levels(columns)[-1]
+                parts = [*_nest([chunk.names[c[at]] for c in columns]), np.diff(np.append(at, len(own)))]
+                rows.append(_row(b, PAIRS, name, dump(*parts, *([chunk.doc[own]] if with_docs else []))))
             yield _rows(rows)
             if with_docs:
                 ids = pa.concat_arrays(firsts).cast(pa.int64())
@@ -213,44 +283,122 @@ def _lookup(names: np.ndarray, values: np.ndarray, wanted: np.ndarray, default:
     return np.where(names[at] == wanted, values[at], default)
 
 
-def _merge_pairs(hot: np.ndarray, hot_count: np.ndarray):
+def _merge_grams(order: int, hot: np.ndarray, hot_count: np.ndarray):
+    """One row per bucket: all its n-grams with counts, the counts of their last words, and per order from two the counts of counts."""
+
     def run(rows: pa.Table) -> pa.Table:
         words = [load(d) for d in _of(rows, WORDS)]
-        parts = [load(d) for d in _of(rows, PAIRS)]
+        parts = [_flat(load(d), order) for d in _of(rows, PAIRS)]
         if not parts:
             return pa.table({"bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary()), "seen": pa.array([], pa.list_(pa.int64()))})
-        w = np.concatenate([np.repeat(x[0], x[1].astype(np.int64)) for x in parts])
-        h, c = (np.concatenate([x[k] for x in parts]) for k in (2, 3))
-        order = np.lexsort((h, w))
-        w, h = w[order], h[order]
-        at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])]))
-        c = np.add.reduceat(c[order], at)
-        w, h = w[at], h[at]
-        starts = _first(w)
-        own = w[starts]
+        columns = [np.concatenate([x[0][k] for x in parts]) for k in range(order)]
+        c = np.concatenate([x[1][0] for x in parts])
+        place = np.lexsort(columns[::-1])
+        columns = [x[place] for x in columns]
+        at = _levels(columns)[-1]
+        c = np.add.reduceat(c[place], at)
+        columns = [x[at] for x in columns]
+        firsts = _levels(columns)
+        own = columns[0][firsts[0]]
         count = _lookup(*words[0], own) if words else np.zeros(len(own), np.uint64)
         count = np.maximum(count, _lookup(hot, hot_count, own))
-        seen = np.bincount(np.minimum(c, MOST_DISCOUNTED + 2).astype(np.int64), minlength=MOST_DISCOUNTED + 3)
-        data = dump(Near(own), count, np.diff(np.append(starts, len(w))), Near(h), c)
-        return pa.table({"bucket": rows.column("bucket")[:1], "data": pa.array([data], pa.binary()), "seen": pa.array([seen[1 : MOST_DISCOUNTED + 2].tolist()], pa.list_(pa.int64()))})
+        seen = []
+        for f in firsts[1:]:
+            seen += np.bincount(np.minimum(np.add.reduceat(c, f), MOST_DISCOUNTED + 2).astype(np.int64), minlength=MOST_DISCOUNTED + 3)[1 : MOST_DISCOUNTED + 2].tolist()
+        return pa.table({"bucket": rows.column("bucket")[:1], "data": pa.array([dump(*_nest(columns), c, count)], pa.binary()), "seen": pa.array([seen], pa.list_(pa.int64()))})
 
     return run
 
 
-def _sum_contexts(buckets: int, d1: np.ndarray, d2: np.ndarray, total: int, left: float):
-    """Per bucket of grams, for every context: mass that discounts free, and unigram mass of the words seen after it."""
+def _sum_histories(order: int, lengths: range, buckets: int, hot: np.ndarray, d: list[np.ndarray], total: int, left: float):
+    """Per bucket of grams, for every history of so many words: mass that discounts free, and mass of the words seen after it without its first word.
+
+    For one word the latter is unigram mass; for more it has yet to be divided by the shorter history's denominator.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                _, count, per, h, c = load(data)
-                free = np.where(c <= MOST_DISCOUNTED, (1 - d2[np.minimum(c, MOST_DISCOUNTED).astype(np.int64)]) * c, 0.0)
-                names, at = np.unique(h, return_inverse=True)
-                free = np.bincount(at, free)
-                mass = np.bincount(at, np.repeat(unigram(count, d1, total, left), per.astype(np.int64)))
-                bucket = _bucket(names, buckets)
-                order = np.argsort(bucket, kind="stable")
-                yield _rows([_row(b, OPEN, 0, dump(Near(names[order[s]]), free[order[s]], mass[order[s]])) for b, s in _split(bucket[order], buckets)])
+                columns, (c, count) = _flat(load(data), order)
+                firsts = _levels(columns)
+                for k in lengths:
+                    f, up = firsts[k], _up(firsts[k], firsts[k - 1])
+                    own = np.add.reduceat(c, f)
+                    lower = unigram(count, d[0], total, left) if k == 1 else _factor(s := np.add.reduceat(c, firsts[k - 1]), d[k - 1]) * s
+                    if k == 1:
+                        names, one, at = np.unique(columns[1][f], return_index=True, return_inverse=True)
+                        bucket = _bucket(names, buckets)
+                    else:
+                        key = mix(columns[1][f])
+                        for x in columns[2 : k + 1]:
+                            key = mix(key + x[f])
+                        names, one, at = np.unique(key, return_index=True, return_inverse=True)
+                        last, before = columns[1][f][one], columns[2][f][one]
+                        bucket = np.where(np.isin(last, hot), _spread(before, buckets), _bucket(last, buckets))
+                    free = np.bincount(at, np.where(own <= MOST_DISCOUNTED, (1 - _factor(own, d[k])) * own, 0.0))
+                    mass = np.bincount(at, lower[up])
+                    place = np.argsort(bucket, kind="stable")
+                    names = names[place]
+                    yield _rows([_row(b, OPEN, k, dump(Near(names[s]) if k == 1 else names[s], free[place[s]], mass[place[s]])) for b, s in _split(bucket[place], buckets)])
+
+    return run
+
+
+def _start_key(length: int) -> np.uint64:
+    one = np.array([START], np.uint64)
+    key = mix(one)
+    for _ in range(length - 1):
+        key = mix(key + one)
+    return key[0]
+
+
+def _finish_histories(order: int, hot: np.ndarray, hot_values: np.ndarray):
+    """Two rows per bucket: its n-grams with counts; its shorter ones from two words on as histories, with log10 of denominator and of denominator times alpha.
+
+    starts: (length, freed mass, mass) of histories that are nothing but the start.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, grams = rows.column("bucket")[0].as_py(), _of(rows, GRAMS)
+        asked: dict[int, list] = {}
+        for kind, k, data in zip(*(rows.column(x).to_pylist() for x in ("kind", "chunk", "data")), strict=True):
+            if kind == OPEN:
+                asked.setdefault(k, []).append(load(data))
+        starts = []
+        for k, parts in asked.items():
+            bare = _start_key(k)
+            starts += [float(x) for p in parts for i in np.flatnonzero(p[0] == bare) for x in (k, p[1][i], p[2][i])]
+        out = []
+        if grams:
+            columns, (c, _) = _flat(load(grams[0]), order)
+            out.append((GRAMS, dump(*_nest(columns), c)))
+            firsts = _levels(columns)[:-1]
+            keys = _keys(columns, firsts)
+            own = columns[0][firsts[0]]
+            words = [load(d) for d in _of(rows, WORDS)]
+            deep = _lookup(words[0][0], unfixed(words[0][2]), own) if words else np.zeros(len(own))
+            below = np.rint(10.0 ** np.where(np.isin(own, hot), _lookup(hot, hot_values[:, 1], own), deep))
+            values = []
+            for k in range(2, order):
+                total = np.add.reduceat(c, firsts[k - 1]).astype(np.float64)
+                sort = np.argsort(keys[k - 1])
+                ordered = keys[k - 1][sort]
+                free, mass = np.zeros(len(total)), np.zeros(len(total))
+                for key, f, m in asked.get(k, []):
+                    at = np.minimum(np.searchsorted(ordered, key), len(ordered) - 1)
+                    hit = ordered[at] == key
+                    free[sort[at[hit]]] += f[hit]
+                    mass[sort[at[hit]]] += m[hit]
+                bare = free <= 0
+                total, free = total + bare, np.where(bare, 1.0, free)
+                values += [fixed(np.log10(total)), fixed(np.log10(free / np.maximum(1 - mass / below[_up(firsts[k - 1], firsts[k - 2])], 1e-300)))]
+                below = total
+            out.append((HISTORIES, dump(*_nest([x[firsts[-1]] for x in columns[:-1]]), *values)))
+        if not out:
+            out.append((PART, b""))
+        return pa.table({
+            "bucket": pa.array([bucket] * len(out), pa.int32()), "kind": pa.array([k for k, _ in out], pa.int32()), "chunk": pa.array([0] * len(out), pa.int64()),
+            "data": pa.array([d for _, d in out], pa.binary()), "starts": pa.array([starts] + [[]] * (len(out) - 1), pa.list_(pa.float64()))})
 
     return run
 
@@ -287,13 +435,15 @@ def _sum_lists(df: DataFrame, column: str, n: int) -> list[int]:
     return [int(x) for x in row]
 
 
-def fit_katz(texts: DataFrame, buckets: int | None = None) -> KatzModel:
-    """Learns from the column text of all rows of texts (null: empty). buckets: by default the shuffle partitions.
+def fit_katz(texts: DataFrame, buckets: int | None = None, order: int = 2) -> KatzModel:
+    """Learns from the column text of all rows of texts (null: empty). buckets: by default the shuffle partitions. order: words of an n-gram, from 2.
 
-    Three shuffles: words by bucket, bigrams by their word's bucket, per-context sums by the context's bucket.
-    Each is counted within tasks first, so a frequent word costs a task one entry. The driver gets sums and up to
+    Three shuffles, and one more above order two: words by bucket, n-grams by their last word's bucket, per-history
+    sums by the history's bucket. Each is counted within tasks first, so a frequent word costs a task one entry. The driver gets sums and up to
     16 frequent words a bucket.
     """
+    if order < 2:
+        raise ValueError("order must be two or more")
     spark = texts.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     only = texts.select(F.lit(0).alias("one"), "text")
@@ -312,89 +462,163 @@ def fit_katz(texts: DataFrame, buckets: int | None = None) -> KatzModel:
     by_name = {r.top: r.top_count for r in top}
     hot_count = np.array([by_name.get(int(x), starts if int(x) == START else 0) for x in hot], np.uint64)
     words = counted.select("bucket", F.lit(WORDS).alias("kind"), F.lit(0).cast("long").alias("chunk"), "data")
-    pairs = only.mapInArrow(_count_pairs(buckets, hot, False), ROW).unionAll(words)
-    grams = stored(pairs.groupBy("bucket").applyInArrow(_merge_pairs(hot, hot_count), "bucket int, data binary, seen array<long>"), "grams")
-    d2 = discounts(_sum_lists(grams, "seen", MOST_DISCOUNTED + 1))
-    sums = grams.select("data").mapInArrow(_sum_contexts(buckets, d1, d2, total, left), ROW).unionAll(words)
+    counts = only.mapInArrow(_count_grams(order, buckets, hot, False), ROW).unionAll(words)
+    grams = stored(counts.groupBy("bucket").applyInArrow(_merge_grams(order, hot, hot_count), "bucket int, data binary, seen array<long>"), "grams")
+    seen, n = _sum_lists(grams, "seen", (order - 1) * (MOST_DISCOUNTED + 1)), MOST_DISCOUNTED + 1
+    d = [d1, *(discounts(seen[k * n : k * n + n]) for k in range(order - 1))]
+    sums = grams.select("data").mapInArrow(_sum_histories(order, range(1, 2), buckets, hot, d, total, left), ROW).unionAll(words)
     finished = stored(sums.groupBy("bucket").applyInArrow(_finish_words(hot, starts), f"{ROW}, hot array<long>, hot_values array<double>"), "words")
     values = {}
     for r in finished.where(F.size("hot") > 0).select("hot", "hot_values").collect():
         values |= {h: r.hot_values[3 * k : 3 * k + 3] for k, h in enumerate(r.hot)}
     hot_values = np.array([values.get(int(x), [0.0, 0.0, 0.0]) for x in hot], np.float64)
-    return KatzModel(buckets, finished.drop("hot", "hot_values"), grams, int(tokens), int(types), total, d1, d2, left, hot, hot_values)
-
-
-def _gram_key(w: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return mix(mix(w) + h)
+    begin = [tuple(hot_values[hot == START][0, 1:].tolist())]
+    finished, histories = finished.drop("hot", "hot_values"), None
+    grams = grams.select("bucket", F.lit(GRAMS).alias("kind"), F.lit(0).cast("long").alias("chunk"), "data")
+    if order > 2:
+        sums = grams.select("data").mapInArrow(_sum_histories(order, range(2, order), buckets, hot, d, total, left), ROW)
+        both = stored(sums.unionAll(finished).unionAll(grams).groupBy("bucket").applyInArrow(_finish_histories(order, hot, hot_values), f"{ROW}, starts array<double>"), "histories")
+        found = [r.starts for r in both.where(F.size("starts") > 0).select("starts").collect()]
+        for k in range(2, order):
+            free, mass = (sum(x[i + j] for x in found for i in range(0, len(x), 3) if x[i] == k) for j in (1, 2))
+            count = max(starts + (free <= 0), 1)
+            begin.append((float(np.log10(count)), float(np.log10((free if free > 0 else 1.0) / max(1 - mass / round(10 ** begin[-1][0]), 1e-300)))))
+        both = both.drop("starts")
+        grams, histories = both.where(F.col("kind") == GRAMS), both.where(F.col("kind") == HISTORIES)
+    return KatzModel(order, buckets, finished, grams, histories, int(tokens), int(types), total, d, left, hot, hot_values, begin)
+
+
+def _history_tables(rows: pa.Table, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per length from two to order - 1: (ascending keys, log10 of denominator, log10 of denominator times alpha)."""
+    for data in _of(rows, HISTORIES):
+        columns, values = _flat(load(data), order - 1)
+        out = []
+        for k, keys in enumerate(_keys(columns, _levels(columns))[1:]):
+            place = np.argsort(keys)
+            out.append((keys[place], unfixed(values[2 * k])[place], unfixed(values[2 * k + 1])[place]))
+        return out
+    return [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))] * (order - 2)
 
 
 def _score_bucket(m: KatzModel) -> Callable[[pa.Table], pa.Table]:
-    """For every chunk that asks this bucket: sums per document; contexts of unseen bigrams go on to their own bucket."""
-    buckets, hot, hot_values, d2 = m.buckets, m.hot, m.hot_values, m.d2
-    d1, total, left, events = m.d1, m.total, m.left, m.tokens + m.types + 1
+    """For every chunk that asks this bucket: sums per document; histories of unseen n-grams go on to their own bucket.
+
+    A token's own n-gram is the next token's history, so its denominator is taken off here; the start's is taken off at the end.
+    """
+    order, buckets, hot, hot_values, d, begin = m.order, m.buckets, m.hot, m.hot_values, m.d, m.starts
+    total, left, events = m.total, m.left, m.tokens + m.types + 1
+    #: What the start adds to a token whose longest seen n-gram has so many words.
+    opening = np.array([sum(b for k, (_, b) in enumerate(begin, 2) if seen < k) - sum(a for k, (a, _) in enumerate(begin, 2) if seen <= k < order) for seen in range(order + 1)])
 
     def run(rows: pa.Table) -> pa.Table:
-        words = [load(d) for d in _of(rows, WORDS)]
+        words = [load(x) for x in _of(rows, WORDS)]
         names, count, deep, _ = words[0] if words else [np.zeros(0, np.uint64)] * 4
         deep = unfixed(deep)
-        grams, seen = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        tables = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))] * (order - 1)
         for data in _of(rows, GRAMS):
-            w, _, per, h, c = load(data)
-            grams = _gram_key(np.repeat(w, per.astype(np.int64)), h)
-            order = np.argsort(grams)
-            grams, seen = grams[order], c[order]
+            columns, rest = _flat(load(data), order)
+            firsts = _levels(columns)
+            tables = []
+            for keys, f in zip(_keys(columns, firsts)[1:], firsts[1:], strict=True):
+                place = np.argsort(keys)
+                tables.append((keys[place], np.add.reduceat(rest[0], f)[place]))
+        histories = _history_tables(rows, order) if order > 2 else []
         out, far = [], []
         for kind, chunk, data in zip(*(rows.column(x).to_pylist() for x in ("kind", "chunk", "data")), strict=True):
             if kind == DOCS:
                 out.append(_row(0, DOCS, chunk, data))
             if kind != PAIRS:
                 continue
-            w, per, h, n, docs = load(data)
-            per, n, docs = per.astype(np.int64), n.astype(np.int64), docs.astype(np.int64)
+            columns, (n, docs) = _flat(load(data), order)
+            n, docs = n.astype(np.int64), docs.astype(np.int64)
+            firsts = _levels(columns)
+            keys = _keys(columns, firsts)
+            leaf = lambda x, k: np.repeat(x, np.diff(np.append(firsts[k], len(columns[0]))))  # noqa: B023, E731
+            w = columns[0][firsts[0]]
             c1 = np.maximum(_lookup(names, count, w).astype(np.float64), _lookup(hot, hot_values[:, 0], w))
-            below = np.where(np.isin(w, hot), _lookup(hot, hot_values[:, 1], w), _lookup(names, deep, w)) * (w != END)
-            base = np.repeat(np.repeat(np.log10((c1 + 1) / events), per), n)
-            c2 = _lookup(grams, seen, _gram_key(np.repeat(w, per), h)).astype(np.float64)
-            new = c2 == 0
-            factor = np.where(c2 <= MOST_DISCOUNTED, d2[np.minimum(c2, MOST_DISCOUNTED).astype(np.int64)], 1.0)
-            value = np.where(new, np.repeat(np.log10(unigram(c1, d1, total, left)), per), np.log10(np.where(new, 1.0, factor * c2)))
-            value = value - np.repeat(below, per)
-            near = new & np.isin(h, hot)
-            value = value + np.where(near, _lookup(hot, hot_values[:, 2], h), 0.0)
+            base = np.repeat(leaf(np.log10((c1 + 1) / events), 0), n)
+            value, seen = leaf(np.log10(unigram(c1, d[0], total, left)), 0), np.ones(len(columns[0]), np.int64)
+            for k in range(1, order):
+                c = _lookup(*tables[k - 1], keys[k]).astype(np.float64)
+                here = c > 0
+                known = leaf(here, k)
+                value = np.where(known, leaf(np.log10(np.where(here, _factor(c, d[k]) * c, 1.0)), k), value)
+                seen[known] = k + 1
+            if order == 2:
+                below = np.where(np.isin(w, hot), _lookup(hot, hot_values[:, 1], w), _lookup(names, deep, w)) * (w != END)
+                near = np.isin(columns[1], hot) & (seen == 1)
+                value = value + np.where(near, _lookup(hot, hot_values[:, 2], columns[1]), 0.0)
+            else:
+                below = _lookup(*histories[-1][:2], keys[-2]) * (columns[0][firsts[-2]] != END)
+                near = columns[1] == START
+                value = value + np.where(near & (seen < order), opening[seen], 0.0)
+            value = value - leaf(below, order - 2)
             own, at = np.unique(docs, return_inverse=True)
-            sums = [np.bincount(at, x, len(own)) for x in (np.repeat(value, n), base, np.repeat(np.repeat(c1 > 0, per), n).astype(np.float64))]
+            sums = [np.bincount(at, x, len(own)) for x in (np.repeat(value, n), base, np.repeat(leaf(c1 > 0, 0), n).astype(np.float64))]
             out.append(_row(0, PART, chunk, dump(Near(own), fixed(sums[0]), fixed(sums[1]), sums[2].astype(np.uint64))))
-            gone = np.repeat(new & ~near, n)
+            gone = np.repeat((seen < order) & ~near, n)
             if gone.any():
-                far.append((np.repeat(h, n)[gone], np.full(int(gone.sum()), chunk, np.uint64), docs[gone]))
+                far.append((np.full(int(gone.sum()), chunk, np.uint64), docs[gone], *(np.repeat(x, n)[gone] for x in (seen, *columns[1:]))))
         if far:
-            who, whose, doc = (np.concatenate(x) for x in zip(*far, strict=True))
-            bucket = _bucket(who, buckets)
-            order = np.lexsort((who, whose, bucket))
-            out += [_row(b, OPEN, 0, dump(Near(who[order[s]]), Near(whose[order[s]]), doc[order[s]])) for b, s in _split(bucket[order], buckets)]
+            whose, doc, seen, *before = (np.concatenate(x) for x in zip(*far, strict=True))
+            bucket = _bucket(before[0], buckets)
+            if order == 2:
+                place = np.lexsort((before[0], whose, bucket))
+                out += [_row(b, OPEN, 0, dump(Near(before[0][o]), Near(whose[o]), doc[o])) for b, s in _split(bucket[place], buckets) for o in (place[s],)]
+            else:
+                bucket = np.where(np.isin(before[0], hot), _spread(before[1], buckets), bucket)
+                place = np.lexsort((doc, whose, seen, *before[::-1], bucket))
+                for b, s in _split(bucket[place], buckets):
+                    o = place[s]
+                    own = [x[o] for x in (*before, seen.astype(np.uint64))]
+                    at = _levels(own)[-1]
+                    chunks, mine = np.unique(whose[o], return_inverse=True)
+                    out.append(_row(b, OPEN, 0, dump(*_nest([x[at] for x in own]), np.diff(np.append(at, len(o))), Near(chunks), mine, doc[o])))
         return pa.Table.from_batches([_rows(out)])
 
     return run
 
 
-def _back_off(rows: pa.Table) -> pa.Table:
-    """log10 of denominator times alpha for the contexts of unseen bigrams; a context that training lacks adds nothing."""
-    words = [load(d) for d in _of(rows, WORDS)]
-    names, _, _, back = words[0] if words else [np.zeros(0, np.uint64)] * 4
-    back = unfixed(back)
-    asked = [load(d) for d in _of(rows, OPEN)]
-    out = []
-    if asked:
-        h, whose, doc = (np.concatenate(x) for x in zip(*asked, strict=True))
-        value = _lookup(names, back, h)
-        order = np.lexsort((doc, whose))
-        whose, doc = whose[order], doc[order]
-        at = np.flatnonzero(np.concatenate([[True], (whose[1:] != whose[:-1]) | (doc[1:] != doc[:-1])]))
-        sums, whose, doc = np.add.reduceat(value[order], at), whose[at], doc[at]
-        starts = _first(whose)
-        for a, b in zip(starts, np.append(starts[1:], len(whose)), strict=True):
-            out.append(_row(0, PART, int(whose[a]), dump(Near(doc[a:b]), fixed(sums[a:b]), np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64))))
-    return pa.Table.from_batches([_rows(out)])
+def _back_off(m: KatzModel) -> Callable[[pa.Table], pa.Table]:
+    """log10 of denominator times alpha for the histories of unseen n-grams, less the denominators of the shorter ones down to
+    the longest n-gram that was seen; a history that training lacks adds nothing."""
+    order, hot, hot_values = m.order, m.hot, m.hot_values
+
+    def run(rows: pa.Table) -> pa.Table:
+        words = [load(d) for d in _of(rows, WORDS)]
+        names, _, deep, back = words[0] if words else [np.zeros(0, np.uint64)] * 4
+        deep, back = unfixed(deep), unfixed(back)
+        histories = _history_tables(rows, order) if order > 2 else []
+        asked = []
+        for data in _of(rows, OPEN):
+            if order == 2:
+                h, whose, doc = load(data)
+                asked.append((_lookup(names, back, h), whose, doc))
+                continue
+            columns, (n, chunks, mine, doc) = _flat(load(data), order)
+            seen, firsts = columns[-1], _levels(columns[:-1])
+            keys, h = _keys(columns[:-1], firsts), columns[0][firsts[0]]
+            hit = np.isin(h, hot)
+            values = [[np.where(hit, _lookup(hot, hot_values[:, j], h), _lookup(names, x, h)) for j, x in ((1, deep), (2, back))]]
+            values += [[_lookup(t[0], x, key) for x in t[1:]] for t, key in zip(histories, keys[1:], strict=True)]
+            value = np.zeros(len(seen))
+            for k, (a, b) in enumerate(values, 2):
+                up = _up(np.arange(len(seen)), firsts[k - 2])
+                value += np.where(seen < k, b[up], 0.0) - np.where((seen <= k) & (k < order), a[up], 0.0)
+            asked.append((np.repeat(value, n.astype(np.int64)), chunks[mine.astype(np.int64)], doc))
+        out = []
+        if asked:
+            value, whose, doc = (np.concatenate(x) for x in zip(*asked, strict=True))
+            place = np.lexsort((doc, whose))
+            whose, doc = whose[place], doc[place]
+            at = np.flatnonzero(np.concatenate([[True], (whose[1:] != whose[:-1]) | (doc[1:] != doc[:-1])]))
+            sums, whose, doc = np.add.reduceat(value[place], at), whose[at], doc[at]
+            starts = _first(whose)
+            for a, b in zip(starts, np.append(starts[1:], len(whose)), strict=True):
+                out.append(_row(0, PART, int(whose[a]), dump(Near(doc[a:b]), fixed(sums[a:b]), np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64))))
+        return pa.Table.from_batches([_rows(out)])
+
+    return run
 
 
 def _finish_chunk(start: float):
@@ -415,24 +639,31 @@ def _finish_chunk(start: float):
 def score_katz(docs: DataFrame, model: KatzModel) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score), one row per row of docs (doc_id, text; null text: empty).
 
-    A document's tokens go to the buckets of their words, where seen bigrams are settled; only contexts of unseen
+    A document's tokens go to the buckets of their words, where seen n-grams are settled; only histories of unseen
     ones go on. Sums come back per chunk of documents (a task's place in the scan), so docs should be a table
     scan or a stored table, whose partitions a rerun reads alike. Repeated rows are scored each for itself.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    asked = docs.mapInArrow(_count_pairs(model.buckets, model.hot, True), ROW)
-    grams = model.grams.select("bucket", F.lit(GRAMS).alias("kind"), F.lit(0).cast("long").alias("chunk"), "data")
-    tables = model.words.unionAll(grams)
+    asked = docs.mapInArrow(_count_grams(model.order, model.buckets, model.hot, True), ROW)
+    longer = model.words if model.histories is None else model.words.unionAll(model.histories)
+    tables = longer.unionAll(model.grams)
     first = stored(asked.unionAll(tables).groupBy("bucket").applyInArrow(_score_bucket(model), ROW), "scores")
-    later = first.where(F.col("kind") == OPEN).unionAll(model.words).groupBy("bucket").applyInArrow(_back_off, ROW)
-    start = float(model.hot_values[model.hot == START][0, 1])
+    later = first.where(F.col("kind") == OPEN).unionAll(longer).groupBy("bucket").applyInArrow(_back_off(model), ROW)
     return first.where(F.col("kind") != OPEN).unionAll(later).groupBy("chunk").applyInArrow(
-        _finish_chunk(start), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        _finish_chunk(model.starts[-1][0]), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _held_out_scores(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    model = fit_katz(docs.where(F.coalesce(~held_out, F.lit(True))))
+    model = fit_katz(docs.where(F.coalesce(~held_out, F.lit(True))), order=order)
     scored = score_katz(docs, model)
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held_out_scores(spark, sf_dir, 2)
+
+
+def op1_katz_trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held_out_scores(spark, sf_dir, 3)

@@ -1,5 +1,6 @@
 """The operators against brute force, round trips, held-out accuracy, and awkward rows."""
 
+import functools
 import hashlib
 import math
 import re
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import helpers as X
 from assayer.llm import chat, embeddings, jpeg, katz, media, mixing, packing, quality, registry, secrets, simhash, toxicity
@@ -108,6 +110,70 @@ def test_katz_awkward_rows(spark):
     assert katz.score_katz(X.docs(spark, empty=True), model).count() == 0
 
 
+def _katz_of_order(train, order):
+    grams, words = [Counter() for _ in range(order)], Counter()
+    for t in train:
+        line = ["<s>"] * (order - 1) + [*X.words(t), "</s>"]
+        for i in range(order - 1, len(line)):
+            words[line[i]] += 1
+            for k in range(order):
+                grams[k][tuple(line[i - k : i + 1])] += 1
+    n, d = sum(words.values()), [katz.discounts([sum(v == r for v in g.values()) for r in range(1, 7)]) for g in grams]
+    factor = lambda k, c: d[k][c] if c <= 5 else 1.0
+    left = sum((1 - factor(0, c)) * c for c in words.values()) / n
+    after = defaultdict(list)
+    for k in range(1, order):
+        for g in grams[k]:
+            after[g[:-1]].append(g[-1])
+
+    @functools.cache
+    def of(h):
+        counts = [grams[len(h)][*h, w] for w in after[h]]
+        free = sum((1 - factor(len(h), c)) * c for c in counts)
+        bare = free <= 0
+        return sum(counts) + bare, (1.0 if bare else free) / (1 - sum(p(h[1:], w) for w in after[h]))
+
+    def p(h, w):
+        if not h:
+            return factor(0, words[w]) * words[w] / n if w in words else left
+        if h not in after:
+            return p(h[1:], w)
+        total, rest = of(h)
+        c = grams[len(h)][*h, w]
+        return factor(len(h), c) * c / total if c else rest / total * p(h[1:], w)
+
+    return p, words
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_of_any_order_equals_brute_force(spark, order):
+    all_texts = texts(spark)
+    train = {i for i in all_texts if zlib.crc32(str(i).encode()) % 7 != 2}
+    p, words = _katz_of_order([all_texts[i] for i in train], order)
+    for h in (("<s>",) * (order - 1), ("unheard of", "the", "of")[-order + 1 :]):
+        assert sum(p(h, w) for w in words) + p(h, "unheard of") == pytest.approx(1)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    if order == 3:
+        rows = registry.QUERIES["op1_katz_trigram_scores"](spark, SF).collect()
+    else:
+        rows = katz.score_katz(docs, katz.fit_katz(docs.where(F.col("doc_id").isin(train)), order=order)).collect()
+    assert len(rows) == len(all_texts)
+    for r in rows:
+        line = ["<s>"] * (order - 1) + [*X.words(all_texts[r.doc_id]), "</s>"]
+        score = sum(math.log10(p(tuple(line[i - order + 1 : i]), line[i])) for i in range(order - 1, len(line)))
+        assert r.n_tokens == len(line) - order + 1 and r.score == pytest.approx(score, rel=1e-8)
+
+
+def test_katz_trigrams_awkward_rows(spark):
+    df = X.docs(spark, clash=True)
+    model = katz.fit_katz(df, 3, order=3)
+    rows = katz.score_katz(df, model).collect()
+    assert len(rows) == len(X.DOCS) and all(math.isfinite(r.score) for r in rows)
+    none = katz.fit_katz(X.docs(spark, empty=True), 3, order=3)
+    assert all(math.isfinite(r.score) for r in katz.score_katz(df, none).collect())
+    assert katz.score_katz(X.docs(spark, empty=True), model).count() == 0
+
+
 # op2
 
 
