@@ -137,3 +137,16 @@ def test_read_usage_stream(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"event_id": "1", "quantity": 2, "occurred_at": "2024-01-01T00:00:00Z"}\nbroken\n{"event_id": "2"}\n')
     rows = {r.event_id: r for r in drained(read_usage_stream(spark, str(tmp_path))).collect()}
     assert float(rows["1"].quantity) == 2 and float(rows["2"].quantity) == 0 and rows["2"].metadata == "{}"
+
+
+def test_every_product_of_a_page(spark):
+    block = '<script type="application/ld+json">{}</script>'.format
+    product = '{{"@type": "Product", "name": "{0}", "offers": [{{"price": "{1}"}}]}}'.format
+    items = ", ".join(f'{{"@type": "ListItem", "item": {product(f"L{k}", k)}}}' for k in range(20))
+    rows = [(1, block('{"@type": "ItemList", "itemListElement": [' + items + "]}")),
+            (2, block('{"@graph": [{"@type": "WebSite", "name": "Shop"}, {"@type": "Organization", "name": "Org"}, ' + product("G", 5) + "]}") + block("[" + product("A", 1) + ", [" + product("B", 2) + "]]")),
+            (3, block('{"@graph": [{"@type": "WebSite", "name": "Shop"}]}') + '<meta property="og:title" content="M">'), (4, block("{broken")), (5, None),
+            (6, block('{"@type": ["Product", "Thing"], "name": "T"}') + '<meta property="price" content="9">'), (7, block('{"@type": "Product", "sku": "1"}'))]
+    got = pages.extract_structured(spark.createDataFrame(rows, "page_id long, html string"), {"name": ("name", "og:title"), "price": ("offers.0.price", "price")})
+    found = sorted((r.page_id, r.name or "", r.price or "", r.method or "") for r in got.collect())
+    assert found == sorted([(1, f"L{k}", str(k), "jsonld") for k in range(20)] + [(2, "G", "5", "jsonld"), (2, "A", "1", "jsonld"), (2, "B", "2", "jsonld"), (3, "M", "", "meta"), (4, "", "", ""), (5, "", "", ""), (6, "T", "", "jsonld"), (7, "", "", "")])
