@@ -48,18 +48,34 @@ def sitemap_urls(sitemaps: DataFrame, max_children: int = 20, max_urls: int = 10
     return found.unionByName(wrong, allowMissingColumns=True)
 
 
-def expand_url_templates(templates: DataFrame, max_urls: int = 10_000, slots: int = 3) -> DataFrame:
-    """(id, url) for every combination of {a..b[:step]} ranges and {x,y} choices; more than max_urls per template raise an error."""
-    slot = r"\{([^{}]*)\}"
-    rows = templates.select("id", F.col("template").alias("url"))
-    for _ in range(slots):
-        body = F.regexp_extract("url", slot, 1)
-        a, b, step = (F.regexp_extract(body, r"^(-?[0-9]+)\.\.(-?[0-9]+)(?::([0-9]+))?$", k).try_cast("int") for k in (1, 2, 3))
-        by = F.greatest(F.coalesce(step, F.lit(1)), F.lit(1))
-        values = F.when(~F.col("url").rlike(slot), F.array(F.lit(""))).when(a.isNotNull(), F.transform(F.sequence(a, b, F.when(b >= a, by).otherwise(-by)), lambda n: n.cast("string"))).otherwise(F.transform(F.split(body, ","), lambda v: F.trim(v)))
-        rows = rows.withColumn("v", F.explode(values)).withColumn("url", F.when(F.col("url").rlike(slot), F.concat(F.regexp_extract("url", r"^(.*?)\{[^{}]*\}", 1), F.col("v"), F.regexp_extract("url", r"^.*?\{[^{}]*\}(.*)$", 1))).otherwise(F.col("url"))).drop("v")
-    many = F.count("*").over(Window.partitionBy("id"))
-    return rows.withColumn("_n", many).withColumn("url", F.when(F.col("_n") > max_urls, F.raise_error(F.lit("too many URLs in a template"))).otherwise(F.col("url"))).drop("_n")
+def expand_url_templates(templates: DataFrame, max_urls: int = 10_000) -> DataFrame:
+    """(id, url) for every combination of {a..b[:step]} ranges and {x,y} choices; a template of more than max_urls raises an error before any is made.
+
+    The combinations of a template are numbered; each number is decoded into one value per slot, the last slot first.
+    """
+    slot, span = r"\{([^{}]*)\}", r"^(-?[0-9]+)\.\.(-?[0-9]+)(?::([0-9]+))?$"
+
+    def parsed(body, k):
+        a, b, step = (F.regexp_extract(body, span, g).try_cast("long") for g in (1, 2, 3))
+        by, choices, ranged = F.greatest(F.coalesce(step, F.lit(1)), F.lit(1)), F.split(body, ","), body.rlike(span)
+        count = F.when(a.isNull() | b.isNull(), float("inf")).otherwise(F.floor(F.abs(b.cast("double") - a.cast("double")) / by) + 1)
+        return F.struct(
+            F.get("texts", k).alias("before"), a.alias("a"), F.when(b >= a, by).otherwise(-by).alias("by"), F.when(~ranged, choices).alias("choices"),
+            F.when(ranged, count).otherwise(F.size(choices)).cast("double").alias("n"))
+
+    rows = templates.select("id", F.split("template", slot, -1).alias("texts"), F.regexp_extract_all("template", F.lit(slot), 1).alias("bodies"))
+    rows = rows.withColumn("slots", F.reverse(F.transform("bodies", parsed)))
+    total = F.aggregate("slots", F.lit(1.0), lambda acc, x: acc * x["n"])
+    many = F.when(total > max_urls, F.raise_error(F.lit("too many URLs in a template")).cast("long")).otherwise(total.cast("long"))
+    rows = rows.select("id", "slots", F.element_at("texts", -1).alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("i"))
+
+    def put(acc, x):
+        n = x["n"].cast("long")
+        k = acc["i"] % n
+        value = F.coalesce(F.trim(F.get(x["choices"], k.cast("int"))), (x["a"] + k * x["by"]).cast("string"))
+        return F.struct(F.floor(acc["i"] / n).alias("i"), F.concat(x["before"], value, acc["url"]).alias("url"))
+
+    return rows.select("id", F.aggregate("slots", F.struct(F.col("i"), F.col("last").alias("url")), put)["url"].alias("url"))
 
 
 def read_leads(spark: SparkSession, path: str) -> DataFrame:

@@ -150,3 +150,17 @@ def test_every_product_of_a_page(spark):
     got = pages.extract_structured(spark.createDataFrame(rows, "page_id long, html string"), {"name": ("name", "og:title"), "price": ("offers.0.price", "price")})
     found = sorted((r.page_id, r.name or "", r.price or "", r.method or "") for r in got.collect())
     assert found == sorted([(1, f"L{k}", str(k), "jsonld") for k in range(20)] + [(2, "G", "5", "jsonld"), (2, "A", "1", "jsonld"), (2, "B", "2", "jsonld"), (3, "M", "", "meta"), (4, "", "", ""), (5, "", "", ""), (6, "T", "", "jsonld"), (7, "", "", "")])
+
+
+def test_templates_with_any_number_of_slots(spark):
+    from itertools import product
+
+    from assayer.sources.readers import expand_url_templates
+
+    rows = [(1, "h/{1..2}/{a, b}/{5..1:2}-{x,y}{0..1}{k}"), (2, "{-1..1}"), (3, "plain"), (4, None), (5, "{8000000000..8000000001}")]
+    got = sorted((r.id, r.url) for r in expand_url_templates(spark.createDataFrame(rows, "id long, template string")).collect())
+    wanted = [(1, f"h/{a}/{b}/{c}-{d}{e}k") for a, b, c, d, e in product("12", "ab", "531", "xy", "01")]
+    assert got == sorted(wanted + [(2, "-1"), (2, "0"), (2, "1"), (3, "plain"), (5, "8000000000"), (5, "8000000001")])
+    for wide in ("{1..999999999}{1..999999999}", "{1..99999999999999999999}", "{1..101}{1..100}"):
+        with pytest.raises(Exception, match="too many URLs"):
+            expand_url_templates(spark.createDataFrame([(1, wide)], "id long, template string")).collect()
