@@ -164,3 +164,21 @@ def test_templates_with_any_number_of_slots(spark):
     for wide in ("{1..999999999}{1..999999999}", "{1..99999999999999999999}", "{1..101}{1..100}"):
         with pytest.raises(Exception, match="too many URLs"):
             expand_url_templates(spark.createDataFrame([(1, wide)], "id long, template string")).collect()
+
+
+def test_selector_kinds_and_nested_specs(spark):
+    page = """<ul><li class="p"><b>one</b><i class="r"><u>good</u><s>5</s></i><i class="r"><u>bad</u></i></li><li class="p"><b>two</b></li></ul><li class="next"><a href="/2">n</a></li>
+<script>window.__NUXT__ = {"a": {"b": [{"c": "x};"}, {"@type": "T", "c": 7}]}};</script>"""
+    data = '<script id="__NEXT_DATA__" type="application/json">{"props": {"ids": ["q", 2]}}</script>'
+    df = spark.createDataFrame([(1, page), (2, data), (3, None)], "page_id long, html string")
+    S = pages.Selector
+    specs = [S("more", "pagination", ""), S("c", "embedded_json", "a.b.c"), S("t", "embedded_json", "a.b.T.c"), S("ids", "embedded_json", "props.ids", pick="all")]
+    got = {r.page_id: (r.more, r.c, r.t, r.ids) for r in pages.extract_fields(df, specs).collect()}
+    assert got == {1: ("/2", "x};", "7", None), 2: (None, None, None, '["q", "2"]'), 3: (None, None, None, None)}
+    tree = [S("name", "text", "b"), S("reviews", "css", ".r", pick="all", children=(S("word", "text", "u"), S("stars", "text", "s"))), S("top", "css", ".none", fallbacks=(S("f", "css", ".r"),), children=(S("word", "text", "u"),))]
+    rows = {r["name"]: r for r in pages.extract_tree(df, "li.p", tree).collect()}
+    assert [tuple(x) for x in rows["one"].reviews] == [("good", "5"), ("bad", None)] and rows["one"].top.word == "good"
+    assert rows["two"].reviews == [] and rows["two"].top is None and len(rows) == 2
+    for wrong in ({"kind": "xpath"}, {"kind": "csss"}, {"kind": "css", "pick": "last"}):
+        with pytest.raises(ValueError, match="unknown"):
+            S(name="x", expression="//a", **wrong)
