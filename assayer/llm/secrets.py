@@ -15,14 +15,14 @@ from assayer.llm.scratch import stored, table
 #: Kinds in the order of reports. The first three are certain; the others count only beside a complementary part.
 KINDS = ("assign", "access", "hex", "ident", "bare", "endpoint")
 ROLES = ("secret", "id", "secret", "id", "secret", "endpoint")
-#: Code points between the starts of two linked parts.
+#: Code points between two linked parts, from the end of the earlier to the start of the later.
 SCOPE = 240
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _IDENT = re.compile(r"""(?<![A-Za-z0-9])(user(?:_?name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]{3,})""", re.I | re.A)
-_BARE = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/])")
+_BARE = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/])")
 _ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,15}://[^\x00-\x20"'<>]{3,}""")
 _LONG = re.compile(r"[A-Za-z0-9+/]{24,}")
 
@@ -66,17 +66,17 @@ def scan_parts(docs: DataFrame) -> DataFrame:
 def link_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(rid, linked): the weak parts of each row that have a complementary part within scope.
 
-    An interval join: a text is cut into stretches of `scope` code points; a weak part meets the parts of its own
-    stretch and the two beside it, so a join key never holds more than one stretch of one text. An identifier
-    or endpoint needs a secret, a bare secret needs an identifier or an endpoint.
+    An interval join: a text is cut into stretches of `scope` code points; a part is entered under every stretch that
+    it covers, a weak one also under the two beside these, so a join key never holds more than one stretch of one
+    text. An identifier or endpoint needs a secret, a bare secret needs an identifier or an endpoint.
     """
     role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("kind") + 1)
     parts = found.where(F.exists("parts", lambda p: p["kind"] >= 3)).select("rid", F.inline("parts")).withColumn("role", role)
-    stretch = F.floor(F.col("start") / scope)
-    weak = parts.where("kind >= 3").withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1))).alias("w")
-    other = parts.select("rid", F.col("start").alias("at"), F.col("role").alias("beside"), stretch.alias("stretch")).alias("o")
+    first, last = F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)
+    weak = parts.where("kind >= 3").withColumn("stretch", F.explode(F.sequence(first - 1, last + 1))).alias("w")
+    other = parts.select("rid", F.col("start").alias("at"), F.col("end").alias("to"), F.col("role").alias("beside"), F.explode(F.sequence(first, last)).alias("stretch")).alias("o")
     complements = F.when(F.col("w.role") == "secret", F.col("o.beside") != "secret").otherwise(F.col("o.beside") == "secret")
-    near = F.abs(F.col("w.start") - F.col("o.at")) <= scope
+    near = (F.col("w.start") - F.col("o.to") <= scope) & (F.col("o.at") - F.col("w.end") <= scope)
     linked = weak.join(other, (F.col("w.rid") == F.col("o.rid")) & (F.col("w.stretch") == F.col("o.stretch")) & near & complements, "left_semi")
     return linked.groupBy("rid").agg(F.collect_set(F.struct("start", "kind", "end")).alias("linked"))
 

@@ -510,6 +510,28 @@ def test_weak_parts_need_a_complement(spark):
     assert secrets.find_secrets(X.docs(spark, clash=True)).count() == len(X.DOCS) and secrets.find_secrets(X.docs(spark, empty=True)).count() == 0
 
 
+def test_long_parts_link_by_the_gap_between_them(spark):
+    key, long = "Ab1" + "Zx9" * 12, "aB3/" * 200
+    rows = [(1, f"login=bob1234 {long}=="), (2, "https://h.example/" + "p" * 900 + " " + key), (3, "token=" + "x" * 700 + "- login=bob1234"), (4, f"login=bob1234 {'.' * 238}{key}"), (5, f"login=bob1234 {'.' * 240}{key}"), (6, long),
+            (7, f"{long} {'.' * 200} https://h.example/" + "p" * 900 + " " + key)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [secrets.KINDS[s.kind] for s in r.spans] for r in secrets.find_secrets(df).collect()}
+    assert got == {1: ["ident", "bare"], 2: ["endpoint", "bare"], 3: ["assign", "ident"], 4: ["ident", "bare"], 5: [], 6: [], 7: ["bare", "endpoint", "bare"]}
+    masked = {r.doc_id: r.text for r in secrets.mask_spans(df).collect()}
+    assert masked[1] == masked[2] == "[SECRET] [SECRET]" and masked[6] == long
+
+
+def test_linked_parts_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pieces = [lambda n: "login=" + "u" * (3 + n), lambda n: "aB3" * (11 + n), lambda n: "token=" + "k" * (6 + n), lambda n: "https://h.example/" + "p" * n, lambda n: "." * n]
+    rows = [(k, " ".join(pieces[int(rng.integers(5))](int(rng.choice([0, 30, 200, 230, 700]))) for _ in range(9))) for k in range(150)]
+    got = {r.doc_id: {tuple(s) for s in r.spans} for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        parts = secrets.text_parts(text)
+        pair = lambda p, o: (secrets.ROLES[p[1]] == "secret") != (secrets.ROLES[o[1]] == "secret") and p[0] - o[2] <= 240 and o[0] - p[2] <= 240
+        assert got[k] == {p for p in parts if p[1] < 3 or any(pair(p, o) for o in parts)}
+
+
 # op9
 
 
