@@ -41,7 +41,7 @@ def _fingerprint_batches(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = np.fromiter((text_fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], ["doc_id", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64)), *batch.columns[2:]], ["doc_id", "code", *batch.schema.names[2:]])
 
     return run
 
@@ -167,6 +167,19 @@ def fingerprint_links(codes: DataFrame, bits: int = 2, tile: int = 1000) -> Data
     return small.unionAll(large).groupBy("g", "gt", "i", "j").applyInPandas(_link_tile(bits), "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, bits: int, shingle: int, seed: int, tile: int, *carried: str) -> DataFrame:
+    """(doc_id, code, <carried>, component, component_id) per row; component is the smallest fingerprint of the group. carried: columns of longs."""
+    schema = ", ".join(["doc_id long, code long", *(f"`{c}` long" for c in carried)])
+    marked = docs.select("doc_id", "text", *carried).mapInArrow(_fingerprint_batches(shingle, seed), schema)
+    marked = stored(marked, "fingerprints")
+    nodes = stored(marked.groupBy("code").agg(F.min("doc_id").alias("low")), "nodes")
+    linked = stored(connected_components(fingerprint_links(nodes.select("code"), bits, tile), "a", "b"), "components")
+    grouped = nodes.join(linked.withColumnRenamed("node", "code"), "code", "left").withColumn("component", F.coalesce("component", "code"))
+    lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = stored(grouped.join(lowest, "component").select("code", "component", "component_id"), "groups")
+    return marked.join(named, "code")
+
+
 def simhash_groups(docs: DataFrame, bits: int = 2, shingle: int = 3, seed: int = 42, tile: int = 1000) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row, over whole texts.
 
@@ -175,14 +188,14 @@ def simhash_groups(docs: DataFrame, bits: int = 2, shingle: int = 3, seed: int =
     the group has only null ids); repeated rows stay. An empty table gives an empty result; other columns of
     docs have no effect.
     """
-    marked = docs.select("doc_id", "text").mapInArrow(_fingerprint_batches(shingle, seed), "doc_id long, code long")
-    marked = stored(marked, "fingerprints")
-    nodes = stored(marked.groupBy("code").agg(F.min("doc_id").alias("low")), "nodes")
-    linked = stored(connected_components(fingerprint_links(nodes.select("code"), bits, tile), "a", "b"), "components")
-    grouped = nodes.join(linked.withColumnRenamed("node", "code"), "code", "left").withColumn("component", F.coalesce("component", "code"))
-    lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = stored(grouped.join(lowest, "component").select("code", "component_id"), "groups")
-    return marked.join(named, "code").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+    grouped = _grouped(docs, bits, shingle, seed, tile)
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_rows(docs: DataFrame, mark: str, bits: int = 2, shingle: int = 3, seed: int = 42, tile: int = 1000) -> DataFrame:
+    """(doc_id, <mark>): of each group the row with the smallest (doc_id, mark) among those with an id. mark: a column of longs."""
+    grouped = _grouped(docs, bits, shingle, seed, tile, mark).where("doc_id is not null")
+    return grouped.groupBy("component").agg(F.min(F.struct("doc_id", mark)).alias("first")).select("first.*").distinct()
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that with the smallest doc_id; rows without an id stay too."""
-    groups = stored(simhash.simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct(), "firsts")
-    named = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One row of each SimHash group stays, that with the smallest doc_id; rows without an id stay too.
+
+    Rows of one id are told apart by a hash of all their columns, which any rerun gives alike: rows that repeat an id
+    with unrelated texts all stay, and of near copies under one id that with the smallest hash. Only rows equal in
+    every column, which are of one group, collapse.
+    """
+    docs = docs.select(*COLUMNS)
+    marked = docs.withColumn("_mark", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
+    firsts = stored(simhash.first_rows(marked, "_mark"), "firsts")
+    named = marked.where("doc_id is not null").join(firsts, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

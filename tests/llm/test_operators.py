@@ -607,3 +607,19 @@ def test_pipeline(spark):
     assert Counter(r.doc_id for r in packed if r.piece == 0) == most
     for df in seen.values():
         df.unpersist()
+
+
+def test_near_copies_go_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k * k}" for k in range(400)) for x in "abc")
+    rows = [(1, a), (1, b), (1, a + " end"), (1, b), (2, b), (3, c), (3, None), (4, c), (None, a), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], X.SCHEMA)
+    fingerprints = {t: simhash.text_fingerprint(t) for _, t in rows}
+    assert (fingerprints[a] ^ fingerprints[a + " end"]).bit_count() <= 2
+    for n in (1, 3, 7):
+        kept = corpus_pipeline.drop_near_copies(spark, df.repartition(n), SF).collect()
+        found = Counter((r.doc_id, r.text if r.text is None else r.text[0]) for r in kept)
+        assert found == {(1, "a"): 1, (1, "b"): 1, (3, "c"): 1, (3, None): 1, (None, "a"): 2}
+        assert n == 1 or {r.text for r in kept} == before
+        before = {r.text for r in kept}
