@@ -13,9 +13,15 @@ _BEST = f"list_max([{', '.join(f"({n}) * 100 + {99 - i}" for i, n in enumerate(_
 query("h11_script_family", lambda t: t.script_texts.withColumn("s", T.script_family(F.col("text"))).select("doc_id", "s.script", F.round("s.share", 6).alias("share")), f"""
   SELECT doc_id, CASE WHEN total = 0 THEN 'unknown' ELSE [{', '.join(f"'{k}'" for k in T.SCRIPTS)}][100 - best % 100] END AS script, CASE WHEN total = 0 THEN 0 ELSE round(floor(best / 100) / total, 6) END AS share
   FROM (SELECT doc_id, {_BEST} AS best, {' + '.join(_N.values())} AS total FROM {{script_texts}})""")
+fixture("mixed_script_texts", "SELECT doc_id, concat(text, CASE doc_id % 6 WHEN 0 THEN ' привет мир' WHEN 1 THEN 'Καλημέρα κόσμε abc' WHEN 2 THEN '12 34' WHEN 3 THEN '你好世界 hi' ELSE '' END) AS text FROM {documents}")
+query("h11_script_family_whole_texts", lambda t: t.mixed_script_texts.withColumn("s", T.script_family(F.col("text"))).select("doc_id", "s.script", F.round("s.share", 6).alias("share")), f"""
+  SELECT doc_id, CASE WHEN total = 0 THEN 'unknown' ELSE [{', '.join(f"'{k}'" for k in T.SCRIPTS)}][100 - best % 100] END AS script, CASE WHEN total = 0 THEN 0 ELSE round(floor(best / 100) / total, 6) END AS share
+  FROM (SELECT doc_id, {_BEST} AS best, {' + '.join(_N.values())} AS total FROM {{mixed_script_texts}})""")
 fixture("contacts", "SELECT doc_id, concat('Mail a', CAST(doc_id % 5 AS STRING), '@x.org or b@y.com, a', CAST(doc_id % 5 AS STRING), '@x.org; call +1 555-123-', CAST(1000 + doc_id % 9000 AS STRING), ' by 2024-01-05', CASE WHEN doc_id % 2 = 0 THEN ' or 0300 1234567' ELSE '' END) AS text FROM {documents}")
 query("h12_redact_contacts", lambda t: T.redact_contacts(t.contacts).select("doc_id", "redacted", "has_pii", (T.restore_contacts(F.col("redacted"), F.col("replacements")) == F.col("text")).alias("restored")), """
   SELECT doc_id, 'Mail <EMAIL_1> or <EMAIL_2>, <EMAIL_1>; call <PHONE_1> by 2024-01-05' || CASE WHEN doc_id % 2 = 0 THEN ' or <PHONE_2>' ELSE '' END AS redacted, true AS has_pii, true AS restored FROM {contacts}""")
+fixture("whole_contacts", "SELECT d.doc_id, concat(d.text, ' ', c.text) AS text FROM {documents} d JOIN {contacts} c ON d.doc_id = c.doc_id")
+query("h12_redact_whole_texts", lambda t: T.redact_contacts(t.whole_contacts).select("doc_id", "redacted", "has_pii", (T.restore_contacts(F.col("redacted"), F.col("replacements")) == F.col("text")).alias("restored")))
 fixture("prompts", """
   SELECT conv_id, turn, concat(CASE turn % 9 WHEN 0 THEN 'Get all products as CSV ' WHEN 1 THEN 'just this page, in excel ' WHEN 2 THEN 'up to 12 pages with full description ' WHEN 3 THEN 'bypass the paywall ' WHEN 4 THEN 'solve   the captcha and give JSON ' WHEN 5 THEN 'log in with my password ' ELSE '' END, CASE WHEN conv_id % 3 = 0 THEN 'x' ELSE text END) AS text FROM {conversations}""")
 

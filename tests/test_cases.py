@@ -182,3 +182,25 @@ def test_selector_kinds_and_nested_specs(spark):
     for wrong in ({"kind": "xpath"}, {"kind": "csss"}, {"kind": "css", "pick": "last"}):
         with pytest.raises(ValueError, match="unknown"):
             S(name="x", expression="//a", **wrong)
+
+
+def test_contacts_of_whole_texts_equal_brute_force(spark):
+    import re
+
+    from assayer import plans
+    from assayer.operators import texts
+    from assayer.plans.base import Inputs
+
+    folder = "/root/testdata/sf0.001"
+    whole = {r.doc_id: r.text for r in Inputs(spark, folder).whole_contacts.collect()}
+    got = {r.doc_id: r for r in plans.QUERIES["h12_redact_whole_texts"](spark, folder).collect()}
+    assert len(got) == len(whole) and max(len(t) for t in whole.values() if t) > 10_000
+    for k, text in whole.items():
+        emails = list(dict.fromkeys(re.findall(texts.EMAIL, text, re.A)))
+        phones = re.findall(texts.PHONE, re.sub(texts.EMAIL, " ", text, flags=re.A), re.A)
+        phones = list(dict.fromkeys(p for p in phones if 7 <= len(re.sub("[^0-9]", "", p)) <= 15 and not re.fullmatch(r"[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}", p)))
+        named = [(v, f"<{kind}_{i}>") for kind, values in (("EMAIL", emails), ("PHONE", phones)) for i, v in enumerate(values, 1)]
+        wanted = text
+        for v, token in sorted(named, key=lambda x: (-len(x[0]), x[1])):
+            wanted = wanted.replace(v, token)
+        assert (got[k].redacted, got[k].has_pii, got[k].restored) == (wanted, bool(named), True)
