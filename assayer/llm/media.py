@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import jpeg
-from assayer.llm.scratch import table
+from assayer.llm.scratch import stored, table
 from assayer.llm.tokens import as_text, text_slices
 
 #: Bytes that a task encodes or decodes at once.
-SLICE = 1 << 19
+SLICE = 1 << 20
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,7 +33,8 @@ def _schema(df: DataFrame, drop: str) -> str:
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """docs with column media in place of text: the text's UTF-8 bytes (null: none), padded with zeros to a
-    positive multiple of 64, as the coefficients of a progressive JPEG; one row per input row, lossless."""
+    positive multiple of 64, as the coefficients of a progressive JPEG; one row per input row, lossless. Extra
+    columns stay, but for one named media; an empty table gives an empty result."""
     rest = docs.select(*(c for c in docs.columns if c not in ("text", "media")), "text")
     return rest.mapInArrow(_encode, f"{_schema(rest, 'text')}, media binary")
 
@@ -51,10 +52,9 @@ def _decode(want_tensor: bool):
                     payload = size = None
                     if len(image.comment) == 16:
                         total, size = (int.from_bytes(image.comment[p : p + 8], "big") for p in (0, 8))
-                        payload = (coefficients[base[0] : base[0] + total // 64] + 128).astype(np.uint8).tobytes()
-                    flat = rgb.reshape(-1, 3)
-                    sums = flat.sum(0, dtype=np.int64).tolist()
-                    power = int((flat.astype(np.int32) ** 2).sum(dtype=np.int64))
+                        payload = jpeg.TO_BYTE[coefficients[base[0] : base[0] + total // 64] + 256].tobytes()
+                    levels = np.stack([np.bincount(rgb[..., c].ravel(), minlength=256) for c in range(3)])
+                    sums, power = levels @ np.arange(256), int((levels @ np.arange(256) ** 2).sum())
                     feature = f"{rgb.shape[0]}x{rgb.shape[1]}:{sums[0]}:{sums[1]}:{sums[2]}:{power}"
                     rows[k] = (payload, size, image.height, image.width, feature, rgb.tobytes() if want_tensor else None)
                 kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary())
@@ -75,9 +75,10 @@ def read_media(stored_: DataFrame, tensor: bool = True) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = read_media(media, tensor=False)
+    """The media table is written to the shared folder and read back; rgb is the tensor, height * width * 3 bytes."""
+    media = stored(store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
+    back = read_media(media)
     tail = F.substring("payload", F.length("payload") - 63, F.lit(64))
     return back.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(tail).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+        F.crc32(tail).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "height", "width", "rgb")
