@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import urls as U
+from assayer.sources.shared import shared_dir
 
 # States of a crawl target, phrases of pages that block robots.
-STATES = ("DISCOVERED", "QUEUED", "FETCHING", "EXTRACTED", "FAILED", "SKIPPED", "BLOCKED")
-TERMINAL = ("EXTRACTED", "SKIPPED", "BLOCKED")
+STATES = ("DISCOVERED", "QUEUED", "FETCHING", "PROCESSED", "RETRY_WAIT", "SKIPPED", "FAILED", "POLICY_REFUSED")
+TERMINAL, PENDING = ("PROCESSED", "SKIPPED", "FAILED", "POLICY_REFUSED"), ("QUEUED", "FETCHING", "RETRY_WAIT")
 BLOCK_PHRASES = ("enable javascript", "javascript is disabled", "checking your browser", "just a moment", "attention required", "access denied", "request blocked", "are you a robot", "verify you are human", "unusual traffic", "automated queries")
 
 
@@ -71,21 +72,25 @@ def robots_filter(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataF
 
 
 def crawl_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | None = None, policy: LinkPolicy | None = None) -> DataFrame:
-    """(url, depth): what is reachable from seeds (url) over edges (from_url, url) in canonical form, breadth first.
+    """(url, depth): what is reachable from seeds (url) over edges (from_url, url), breadth first.
 
-    One join of the frontier with the edges and one anti-join with what is known per depth; each depth is
-    checkpointed, so lineage stays short, and only its row count reaches the driver. max_pages keeps the first
-    pages by depth and URL.
+    Both ends of a link are brought into canonical form, and links that the policy refuses at any depth are dropped,
+    once before the first step; seeds are held to the same policy. One join of the frontier with the links and one
+    anti-join with what is known per depth; each depth is checkpointed, so lineage stays short, and only whether it
+    is empty reaches the driver. max_pages keeps the first pages by depth and URL.
     """
     policy = policy or LinkPolicy(same_domain=False)
-    seen = seeds.select(U.canonical(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0)).checkpoint()
-    links = edges.select("from_url", F.col("url").alias("to_url"))
+    shared_dir(edges.sparkSession)
+    deepest = max_depth if policy.max_depth is None else min(max_depth, policy.max_depth)
+    allowed = lambda a, b: link_verdict(b, a, F.lit(0), policy) == "allowed"
+    seen = seeds.select(U.canonical(F.col("url")).alias("url")).where(allowed(F.lit(None).cast("string"), F.col("url"))).distinct().withColumn("depth", F.lit(0)).checkpoint()
+    links = edges.select(U.canonical(F.col("from_url")).alias("from_url"), U.canonical(F.col("url")).alias("to_url"))
+    links = links.where(allowed(F.col("from_url"), F.col("to_url")) & (F.col("from_url") != F.col("to_url"))).distinct().checkpoint()
     frontier, depth = seen, 0
-    while depth < max_depth:
+    while depth < deepest:
         depth += 1
-        steps = frontier.select(F.col("url").alias("from_url")).join(links, "from_url").select("from_url", U.canonical(F.col("to_url")).alias("url"))
-        ok = steps.where(link_verdict(F.col("url"), F.col("from_url"), F.lit(depth), policy) == "allowed").select("url").distinct()
-        frontier = ok.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        steps = frontier.select(F.col("url").alias("from_url")).join(links, "from_url").select(F.col("to_url").alias("url")).distinct()
+        frontier = steps.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if frontier.isEmpty():
             break
         seen = seen.unionAll(frontier)
@@ -93,28 +98,36 @@ def crawl_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int
 
 
 def frontier_stats(targets: DataFrame) -> DataFrame:
-    """(state, n) with zeros for the states that do not occur."""
+    """(state, n, pending) with zeros for the states that do not occur; pending: some target is queued, being fetched or waiting to be."""
     states = targets.sparkSession.createDataFrame([(s,) for s in STATES], "state string")
-    return states.join(targets.groupBy("state").agg(F.count("*").alias("n")), "state", "left").select("state", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = states.join(targets.groupBy("state").agg(F.count("*").alias("n")), "state", "left").select("state", F.coalesce("n", F.lit(0)).alias("n"))
+    return counts.withColumn("pending", F.max(F.col("state").isin(*PENDING) & (F.col("n") > 0)).over(Window.partitionBy()))  # one row per state
 
 
 def frontier_states(outcomes: DataFrame, max_attempts: int = 3) -> DataFrame:
     """(url, state, attempts, delay_seconds) after all fetch outcomes (url, seq, ok, blocked).
 
-    The first success or block ends a target; else it is queued again until max_attempts, with doubling delays up
-    to 30 seconds.
+    The first success or refusal ends a target; until then it waits to be tried again, with doubling delays up to 30
+    seconds, and fails for good after max_attempts. Only a target's first max_attempts outcomes can count, so each
+    task keeps no more of them.
     """
-    end = F.when(F.col("blocked") | F.col("ok"), F.struct("seq", F.when(F.col("blocked"), "BLOCKED").otherwise("EXTRACTED").alias("state")))
-    ends = outcomes.groupBy("url").agg(F.min(end).alias("e"), F.array_sort(F.collect_list("seq")).alias("seqs"))
-    tries = F.least(F.size(F.filter("seqs", lambda s: F.col("e").isNull() | (s <= F.col("e.seq")))), F.when(F.col("e").isNull(), max_attempts).otherwise(2**31 - 1))
-    capped = F.col("e").isNotNull() & (tries <= max_attempts)
-    state = F.when(capped, F.col("e.state")).when(F.size("seqs") >= max_attempts, "FAILED").otherwise("QUEUED")
-    n = F.least(tries, F.lit(max_attempts))
-    return ends.select("url", state.alias("state"), n.alias("attempts"), F.when(state == "QUEUED", F.least(F.pow(F.lit(2.0), n - 1), F.lit(30.0))).alias("delay_seconds"))
+    n = F.row_number().over(Window.partitionBy("url").orderBy("seq"))
+    tried = outcomes.withColumn("n", n).where(F.col("n") <= max_attempts)
+    end = F.when(F.col("blocked"), F.struct("n", F.lit("POLICY_REFUSED").alias("state"))).when(F.col("ok"), F.struct("n", F.lit("PROCESSED").alias("state")))
+    ends = tried.groupBy("url").agg(F.min(end).alias("e"), F.count("*").cast("int").alias("tried"))
+    state = F.coalesce("e.state", F.when(F.col("tried") >= max_attempts, "FAILED").otherwise("RETRY_WAIT"))
+    ends = ends.select("url", state.alias("state"), F.coalesce("e.n", "tried").alias("attempts"))
+    return ends.withColumn("delay_seconds", F.when(F.col("state") == "RETRY_WAIT", F.least(F.pow(F.lit(2.0), F.col("attempts") - 1), F.lit(30.0))))
+
+
+def promote_retries(targets: DataFrame, now: Column) -> DataFrame:
+    """targets (state, retry_at): those whose wait is over, or that have no time to wait for, are QUEUED again."""
+    due = (F.col("state") == "RETRY_WAIT") & F.coalesce(F.col("retry_at") <= now, F.lit(True))
+    return targets.withColumns({"state": F.when(due, "QUEUED").otherwise(F.col("state")), "retry_at": F.when(~due, F.col("retry_at"))})
 
 
 def frontier_resume(targets: DataFrame) -> DataFrame:
-    """Targets to go on with after a stop: those in FETCHING are QUEUED again, finished ones are left out."""
+    """Targets to go on with after a stop: those in FETCHING are QUEUED again, finished ones (failed and refused ones too) are left out."""
     return targets.where(~F.col("state").isin(*TERMINAL)).withColumn("state", F.when(F.col("state") == "FETCHING", "QUEUED").otherwise(F.col("state")))
 
 

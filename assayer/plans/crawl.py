@@ -37,33 +37,27 @@ query("c4_robots_filter", lambda t: C.robots_filter(t.robot_urls, t.robots), """
   FROM (SELECT url, CAST(regexp_extract(url, 'h([0-9]+)[.]', 1) AS BIGINT) AS h, regexp_extract(url, '^https://[^/]+(.*)$', 1) AS p FROM {robot_urls}) LEFT JOIN {customer} ON c_custkey = h AND c_acctbal > 0""")
 
 fixture("site_links", """
-  SELECT concat('https://s.example/p/', CAST(c_custkey AS STRING)) AS from_url, concat('https://S.example/p/', CAST((c_custkey * 7 + 3) % 1500 AS STRING), '#x') AS url FROM {customer}
+  SELECT concat('https://S.example:443/p/', CAST(c_custkey AS STRING), CASE c_custkey % 3 WHEN 0 THEN '?utm_source=y' WHEN 1 THEN '#top' ELSE '' END) AS from_url, concat('https://S.example/p/', CAST((c_custkey * 7 + 3) % 1500 AS STRING), '#x') AS url FROM {customer}
   UNION ALL SELECT concat('https://s.example/p/', CAST(c_custkey AS STRING)), concat('https://s.example/p/', CAST((c_custkey * 11 + 5) % 1500 AS STRING), '?utm_source=z') FROM {customer}""")
-fixture("seeds", "SELECT concat('https://s.example/p/', CAST(n_nationkey AS STRING)) AS url FROM {nation} WHERE n_nationkey < 3")
-query("c5_crawl_bfs", lambda t: C.crawl_bfs(t.site_links, _checked(t.seeds), 4), """
-  WITH RECURSIVE reach AS (SELECT CAST(regexp_extract(url, '([0-9]+)$', 1) AS BIGINT) AS k, 0 AS depth FROM {seeds}
+fixture("seeds", "SELECT concat('HTTPS://s.example/p/', CAST(n_nationkey AS STRING), '#seed') AS url FROM {nation} WHERE n_nationkey < 3")
+query("c5_crawl_bfs", lambda t: C.crawl_bfs(t.site_links, t.seeds, 4), """
+  WITH RECURSIVE reach AS (SELECT CAST(regexp_extract(url, '([0-9]+)#seed$', 1) AS BIGINT) AS k, 0 AS depth FROM {seeds}
     UNION SELECT (k * m + a) % 1500, depth + 1 FROM reach JOIN {customer} ON c_custkey = k, (VALUES (7, 3), (11, 5)) AS f(m, a) WHERE depth < 4)
   SELECT 'https://s.example/p/' || k AS url, min(depth) AS depth FROM reach GROUP BY k""")
 
 
-def _checked(df):
-    """A folder for checkpoints where the session names none."""
-    import tempfile
-
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-assayer-"))
-    return df
-
-
-fixture("crawl_targets", "SELECT concat('u', CAST(o_orderkey AS STRING)) AS url, CASE o_orderkey % 5 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'FETCHING' WHEN 2 THEN 'EXTRACTED' WHEN 3 THEN 'FAILED' ELSE 'SKIPPED' END AS state FROM {orders}")
-query("d25_frontier_stats", lambda t: C.frontier_stats(t.crawl_targets), "SELECT s AS state, (SELECT count(*) FROM {crawl_targets} WHERE state = s) AS n FROM (SELECT unnest(['DISCOVERED', 'QUEUED', 'FETCHING', 'EXTRACTED', 'FAILED', 'SKIPPED', 'BLOCKED']) AS s)")
-query("i8_frontier_resume", lambda t: C.frontier_resume(t.crawl_targets), "SELECT url, CASE state WHEN 'FETCHING' THEN 'QUEUED' ELSE state END AS state FROM {crawl_targets} WHERE state IN ('QUEUED', 'FETCHING', 'FAILED')")
+fixture("crawl_targets", "SELECT concat('u', CAST(o_orderkey AS STRING)) AS url, CASE o_orderkey % 7 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'FETCHING' WHEN 2 THEN 'PROCESSED' WHEN 3 THEN 'FAILED' WHEN 4 THEN 'SKIPPED' WHEN 5 THEN 'RETRY_WAIT' ELSE 'POLICY_REFUSED' END AS state, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS retry_at FROM {orders}")
+query("d25_frontier_stats", lambda t: C.frontier_stats(t.crawl_targets), """
+  SELECT s AS state, (SELECT count(*) FROM {crawl_targets} WHERE state = s) AS n, (SELECT count(*) > 0 FROM {crawl_targets} WHERE state IN ('QUEUED', 'FETCHING', 'RETRY_WAIT')) AS pending
+  FROM (SELECT unnest(['DISCOVERED', 'QUEUED', 'FETCHING', 'PROCESSED', 'RETRY_WAIT', 'SKIPPED', 'FAILED', 'POLICY_REFUSED']) AS s)""")
+query("i8_frontier_resume", lambda t: C.frontier_resume(t.crawl_targets).select("url", "state"), "SELECT url, CASE state WHEN 'FETCHING' THEN 'QUEUED' ELSE state END AS state FROM {crawl_targets} WHERE state IN ('QUEUED', 'FETCHING', 'RETRY_WAIT')")
+query("i8_promote_retries", lambda t: C.promote_retries(t.crawl_targets, F.lit("1998-01-01").cast("timestamp_ntz")).select("url", "state", F.col("retry_at").isNull().alias("no_wait")), """
+  SELECT url, CASE WHEN due THEN 'QUEUED' ELSE state END AS state, retry_at IS NULL OR due AS no_wait FROM (SELECT *, state = 'RETRY_WAIT' AND coalesce(retry_at <= TIMESTAMP '1998-01-01', true) AS due FROM {crawl_targets})""")
 fixture("fetch_outcomes", "SELECT concat('u', CAST(user_id * 13 + event_id % 13 AS STRING)) AS url, event_id AS seq, event_type = 'view' AS ok, event_type = 'error' AND event_id % 4 = 0 AS blocked FROM {events}")
 query("i6_frontier_states", lambda t: C.frontier_states(t.fetch_outcomes), """
   WITH n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS k FROM {fetch_outcomes}),
   g AS (SELECT url, count(*) AS n, min(k) FILTER (ok OR blocked) AS e, arg_min(blocked, k) FILTER (ok OR blocked) AS b FROM n GROUP BY url)
-  SELECT url, CASE WHEN e <= 3 THEN CASE WHEN b THEN 'BLOCKED' ELSE 'EXTRACTED' END WHEN n >= 3 THEN 'FAILED' ELSE 'QUEUED' END AS state, CAST(least(3, CASE WHEN e IS NULL THEN n ELSE e END) AS INTEGER) AS attempts,
+  SELECT url, CASE WHEN e <= 3 THEN CASE WHEN b THEN 'POLICY_REFUSED' ELSE 'PROCESSED' END WHEN n >= 3 THEN 'FAILED' ELSE 'RETRY_WAIT' END AS state, CAST(least(3, CASE WHEN e IS NULL THEN n ELSE e END) AS INTEGER) AS attempts,
          CASE WHEN coalesce(e, 4) > 3 AND n < 3 THEN least(30.0, pow(2.0, n - 1)) END AS delay_seconds FROM g""")
 fixture("crawled", "SELECT user_id AS crawl_id, event_id AS seq, CAST(round(value) AS BIGINT) AS bytes, event_id % 7 AS seconds FROM {events}")
 query("e2_crawl_budget_cut", lambda t: C.crawl_budget_cut(t.crawled, 40, 1500, 100), """

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.plans.base import fixture, query
 from assayer.sources import readers as R
 from assayer.sources import writers as W
+from assayer.sources.shared import new_folder
 
 query("a1_read_url_list", lambda t: R.clean_url_list(t.pages.select(F.col("page_id").alias("seq"), F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("# "), "url")).when(F.col("page_id") % 7 == 1, "").when(F.col("page_id") % 7 == 2, "ftp://x.example/y").otherwise(F.concat(F.lit(" HTTPS://S"), (F.col("page_id") % 40).cast("string"), F.lit(".Example:443/p#x "))).alias("line"))),
       "SELECT min(page_id) AS seq, 'https://s' || (page_id % 40) || '.example/p' AS url FROM {pages} WHERE page_id % 7 > 2 GROUP BY page_id % 40")
@@ -19,22 +21,15 @@ query("a2_sitemap_urls", lambda t: R.sitemap_urls(t.sitemaps).select("root", "ur
   SELECT 'https://h' || (c_custkey - CASE WHEN c_custkey % 4 = 1 THEN 1 ELSE 0 END) || '.example/sitemap.xml' AS root, CASE WHEN c_custkey % 4 = 3 THEN NULL WHEN k = 0 THEN 'https://h' || c_custkey || '.example/a' ELSE 'https://x.example/b' END AS url,
          CASE WHEN c_custkey % 4 <> 3 AND k = 1 THEN '2024-01-01' END AS lastmod, CASE WHEN c_custkey % 4 <> 3 AND k = 0 THEN 0.5 END AS priority, CASE WHEN c_custkey % 4 = 3 THEN 'malformed sitemap' END AS warning
   FROM {customer}, (VALUES (0), (1)) AS e(k) WHERE c_custkey % 4 IN (1, 2) OR (c_custkey % 4 = 3 AND k = 0)""")
-fixture("templates", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN concat('https://x.example/', CAST(c_custkey AS STRING), '?p={{{{1..5:2}}}}&c={{{{red, blue}}}}') WHEN 1 THEN 'https://x.example/{{{{3..1}}}}' ELSE 'https://x.example/plain' END AS template FROM {customer}".replace("{{{{", "{{").replace("}}}}", "}}"))
+fixture("templates", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN concat('https://x.example/', CAST(c_custkey AS STRING), '?p={{{{1..5:2}}}}&c={{{{red, blue}}}}') WHEN 1 THEN 'https://x.example/{{{{1..3}}}}/{{{{a,b}}}}/{{{{-1..0}}}}/{{{{x,y}}}}' ELSE 'https://x.example/plain' END AS template FROM {customer}".replace("{{{{", "{{").replace("}}}}", "}}"))
 query("a3_expand_url_templates", lambda t: R.expand_url_templates(t.templates), """
   SELECT id, 'https://x.example/' || id || '?p=' || p || '&c=' || c AS url FROM {templates}, (VALUES (1), (3), (5)) AS a(p), (VALUES ('red'), ('blue')) AS b(c) WHERE id % 3 = 0
-  UNION ALL SELECT id, 'https://x.example/' || p FROM {templates}, (VALUES (1), (2), (3)) AS a(p) WHERE id % 3 = 1 UNION ALL SELECT id, 'https://x.example/plain' FROM {templates} WHERE id % 3 = 2""")
-
-
-def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return tempfile.mkdtemp(prefix="spark-assayer-") if not root else f"{root.rstrip('/')}/assayer"
+  UNION ALL SELECT id, 'https://x.example/' || p || '/' || q || '/' || r || '/' || s FROM {templates}, (VALUES (1), (2), (3)) AS a(p), (VALUES ('a'), ('b')) AS b(q), (VALUES (-1), (0)) AS c(r), (VALUES ('x'), ('y')) AS d(s) WHERE id % 3 = 1 UNION ALL SELECT id, 'https://x.example/plain' FROM {templates} WHERE id % 3 = 2""")
 
 
 def _round_trip(t, fmt: str):
-    import uuid
-
     df = t.part.select("p_partkey", "p_name", F.when(F.col("p_partkey") % 3 == 0, F.lit(None)).otherwise(F.col("p_size")).alias("p_size"))
-    path = W.write_records(df, f"{_folder(t.spark)}/{uuid.uuid4().hex}.{fmt}")
+    path = W.write_records(df, f"{new_folder(t.spark)}.{fmt}")
     reader = t.spark.read.schema(df.schema)
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path) if fmt == "jsonl" else reader.parquet(path)
 
@@ -44,9 +39,7 @@ for _fmt in ("csv", "jsonl", "parquet"):
 
 
 def _twice(t):
-    import uuid
-
-    root = f"{_folder(t.spark)}/{uuid.uuid4().hex}"
+    root = new_folder(t.spark)
     first, _ = W.write_idempotent(t.part.select("p_partkey"), f"{root}/out", f"{root}/ledger", "k1")
     again, written = W.write_idempotent(t.part.select("p_partkey").limit(1), f"{root}/out", f"{root}/ledger", "k1")
     return t.spark.read.parquet(again).select("p_partkey", F.lit(first == again).alias("same_place"), F.lit(written).alias("written_again"))
@@ -56,9 +49,7 @@ query("a8_write_idempotent", _twice, "SELECT p_partkey, true AS same_place, fals
 
 
 def _history(t):
-    import uuid
-
-    path = f"{_folder(t.spark)}/{uuid.uuid4().hex}"
+    path = new_folder(t.spark)
     W.append_run_history(t.part.select("p_partkey"), path, "q", "c1", "2024-01-01 00:00:00")
     return t.spark.read.parquet(path).select("client_id", F.get_json_object("data", "$.p_partkey").cast("long").alias("p_partkey"))
 
@@ -67,11 +58,11 @@ query("a11_append_run_history", _history, "SELECT 'c1' AS client_id, p_partkey F
 
 
 def _report(t):
-    import uuid
-
-    folder = f"{_folder(t.spark)}/{uuid.uuid4().hex}"
-    W.write_report_tables({"data": t.part.select("p_partkey"), "confidence": t.part.select("p_name"), "sources": t.supplier.select("s_suppkey")}, folder)
-    return t.spark.read.parquet(f"{folder}/data").withColumn("tables", F.lit(2))
+    folder = new_folder(t.spark)
+    written = W.write_report_tables({"data": t.part.select("p_partkey"), "confidence": t.part.select("p_name"), "sources": t.supplier.select("s_suppkey", "s_name")}, folder)
+    rows = [t.spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("row")) for name in written]
+    return reduce(DataFrame.unionAll, rows)
 
 
-query("a9_write_report_tables", _report, "SELECT p_partkey, 2 AS tables FROM {part}")
+query("a9_write_report_tables", _report, """
+  SELECT 'data' AS name, '{"p_partkey":' || p_partkey || '}' AS row FROM {part} UNION ALL SELECT 'sources', '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}' FROM {supplier}""")

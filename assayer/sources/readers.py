@@ -49,7 +49,7 @@ def sitemap_urls(sitemaps: DataFrame, max_children: int = 20, max_urls: int = 10
 
 
 def expand_url_templates(templates: DataFrame, max_urls: int = 10_000) -> DataFrame:
-    """(id, url) for every combination of {a..b[:step]} ranges and {x,y} choices; a template of more than max_urls raises an error before any is made.
+    """(id, url) for every combination of {a..b[:step]} ranges and {x,y} choices; a range that falls, a step of zero, and a template of more than max_urls raise an error before any is made.
 
     The combinations of a template are numbered; each number is decoded into one value per slot, the last slot first.
     """
@@ -57,10 +57,11 @@ def expand_url_templates(templates: DataFrame, max_urls: int = 10_000) -> DataFr
 
     def parsed(body, k):
         a, b, step = (F.regexp_extract(body, span, g).try_cast("long") for g in (1, 2, 3))
-        by, choices, ranged = F.greatest(F.coalesce(step, F.lit(1)), F.lit(1)), F.split(body, ","), body.rlike(span)
-        count = F.when(a.isNull() | b.isNull(), float("inf")).otherwise(F.floor(F.abs(b.cast("double") - a.cast("double")) / by) + 1)
+        by, choices, ranged = F.coalesce(step, F.lit(1)), F.split(body, ","), body.rlike(span)
+        count = F.when(a.isNull() | b.isNull(), float("inf")).when(by < 1, F.raise_error(F.lit("the step of a range must be 1 or more")).cast("double")).when(
+            b < a, F.raise_error(F.lit("a range must not fall")).cast("double")).otherwise(F.floor((b.cast("double") - a.cast("double")) / by) + 1)
         return F.struct(
-            F.get("texts", k).alias("before"), a.alias("a"), F.when(b >= a, by).otherwise(-by).alias("by"), F.when(~ranged, choices).alias("choices"),
+            F.get("texts", k).alias("before"), a.alias("a"), by.alias("by"), F.when(~ranged, choices).alias("choices"),
             F.when(ranged, count).otherwise(F.size(choices)).cast("double").alias("n"))
 
     rows = templates.select("id", F.split("template", slot, -1).alias("texts"), F.regexp_extract_all("template", F.lit(slot), 1).alias("bodies"))

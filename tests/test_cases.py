@@ -157,10 +157,13 @@ def test_templates_with_any_number_of_slots(spark):
 
     from assayer.sources.readers import expand_url_templates
 
-    rows = [(1, "h/{1..2}/{a, b}/{5..1:2}-{x,y}{0..1}{k}"), (2, "{-1..1}"), (3, "plain"), (4, None), (5, "{8000000000..8000000001}")]
+    rows = [(1, "h/{1..2}/{a, b}/{1..5:2}-{x,y}{0..1}{k}"), (2, "{-1..1}"), (3, "plain"), (4, None), (5, "{8000000000..8000000001}")]
     got = sorted((r.id, r.url) for r in expand_url_templates(spark.createDataFrame(rows, "id long, template string")).collect())
     wanted = [(1, f"h/{a}/{b}/{c}-{d}{e}k") for a, b, c, d, e in product("12", "ab", "531", "xy", "01")]
     assert got == sorted(wanted + [(2, "-1"), (2, "0"), (2, "1"), (3, "plain"), (5, "8000000000"), (5, "8000000001")])
+    for wrong in ("a{3..1}", "{1..5:0}"):
+        with pytest.raises(Exception, match="range"):
+            expand_url_templates(spark.createDataFrame([(1, wrong)], "id long, template string")).collect()
     for wide in ("{1..999999999}{1..999999999}", "{1..99999999999999999999}", "{1..101}{1..100}"):
         with pytest.raises(Exception, match="too many URLs"):
             expand_url_templates(spark.createDataFrame([(1, wide)], "id long, template string")).collect()
@@ -184,23 +187,42 @@ def test_selector_kinds_and_nested_specs(spark):
             S(name="x", expression="//a", **wrong)
 
 
-def test_contacts_of_whole_texts_equal_brute_force(spark):
-    import re
+def test_contacts(spark):
+    from assayer.operators import texts
+
+    rows = [(1, "call 123 4567, 12 345 678 or +92 300 1234567; born 2024-01-05 a@b.org"), (2, "0300-1234567 and 0300-1234567, then\t+1 (555)\t123 4567"), (3, None), (4, "")]
+    got = {r.k: (r.redacted, r.has_pii) for r in texts.redact_contacts(spark.createDataFrame(rows, "k long, text string")).collect()}
+    assert got[1] == ("call 123 4567, 12 345 678 or <PHONE_1>; born 2024-01-05 <EMAIL_1>", True)
+    assert got[2] == ("<PHONE_1> and <PHONE_1>, then\t<PHONE_2>", True) and got[4] == ("", False)
+
 
-    from assayer import plans
+@pytest.mark.parametrize(("text", "hints", "wanted"), [
+    ("all shoes", None, ("auto", "optional", 5, "xlsx")), ("just this one page", None, ("none", "none", 5, "xlsx")), ("up to 900 pages as json", None, ("auto", "optional", 500, "json")), ("first 1 page with reviews", None, ("none", "required", 1, "xlsx")),
+    ("3 page list", None, ("none", "none", 3, "xlsx")), (None, None, ("none", "none", 5, "xlsx")), ("all", ("none", "required", "12"), ("none", "required", 12, "xlsx")), ("all 9 pages", ("", "", "many"), ("auto", "optional", 9, "xlsx")), ("x", ("auto", "", "0"), ("auto", "optional", 5, "xlsx"))])
+def test_prompts(spark, text, hints, wanted):
     from assayer.operators import texts
-    from assayer.plans.base import Inputs
-
-    folder = "/root/testdata/sf0.001"
-    whole = {r.doc_id: r.text for r in Inputs(spark, folder).whole_contacts.collect()}
-    got = {r.doc_id: r for r in plans.QUERIES["h12_redact_whole_texts"](spark, folder).collect()}
-    assert len(got) == len(whole) and max(len(t) for t in whole.values() if t) > 10_000
-    for k, text in whole.items():
-        emails = list(dict.fromkeys(re.findall(texts.EMAIL, text, re.A)))
-        phones = re.findall(texts.PHONE, re.sub(texts.EMAIL, " ", text, flags=re.A), re.A)
-        phones = list(dict.fromkeys(p for p in phones if 7 <= len(re.sub("[^0-9]", "", p)) <= 15 and not re.fullmatch(r"[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}", p)))
-        named = [(v, f"<{kind}_{i}>") for kind, values in (("EMAIL", emails), ("PHONE", phones)) for i, v in enumerate(values, 1)]
-        wanted = text
-        for v, token in sorted(named, key=lambda x: (-len(x[0]), x[1])):
-            wanted = wanted.replace(v, token)
-        assert (got[k].redacted, got[k].has_pii, got[k].restored) == (wanted, bool(named), True)
+
+    df = spark.createDataFrame([(text, hints)], "text string, hints struct<pagination: string, detail_pages: string, max_pages: string>")
+    row = df.select(*(c.alias(n) for n, c in texts.prompt_tags(F.col("text"), F.col("hints")).items())).first()
+    assert tuple(row)[:4] == wanted
+
+
+def test_crawl_takes_links_in_any_form(spark):
+    from assayer.operators import crawl
+
+    edges = spark.createDataFrame([("https://S.example/a?utm_source=z", "https://s.example/b"), ("https://s.example/b#x", "HTTPS://s.example:443/c"), ("https://s.example/c", "ftp://s.example/d"), ("https://s.example/c", "https://s.example/a")], "from_url string, url string")
+    seeds = spark.createDataFrame([("https://s.example/a",), ("ftp://s.example/z",)], "url string")
+    assert {(r.url[-1], r.depth) for r in crawl.crawl_bfs(edges, seeds, 5).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    assert crawl.crawl_bfs(edges, seeds, 5, policy=crawl.LinkPolicy(max_depth=1)).count() == 2
+    assert crawl.crawl_bfs(edges, seeds, 5, policy=crawl.LinkPolicy(exclude=("b$",))).count() == 1
+
+
+def test_targets_fail_after_their_last_attempt_only(spark):
+    from assayer.operators import crawl
+
+    rows = [("a", 1, False, False), ("a", 2, False, False), ("a", 3, True, False), ("b", 1, False, False), ("b", 2, False, False), ("b", 3, False, False), ("b", 4, True, False), ("c", 1, False, False), ("d", 1, True, True), ("d", 2, True, False)]
+    got = {r.url: (r.state, r.attempts, r.delay_seconds) for r in crawl.frontier_states(spark.createDataFrame(rows, "url string, seq long, ok boolean, blocked boolean")).collect()}
+    assert got == {"a": ("PROCESSED", 3, None), "b": ("FAILED", 3, None), "c": ("RETRY_WAIT", 1, 1.0), "d": ("POLICY_REFUSED", 1, None)}
+    finished = spark.createDataFrame([(s, None) for s in crawl.STATES], "state string, retry_at timestamp")
+    assert {r.state for r in crawl.frontier_resume(finished).collect()} == {"DISCOVERED", "QUEUED", "RETRY_WAIT"}
+    assert all(r.pending for r in crawl.frontier_stats(finished).collect()) and not any(r.pending for r in crawl.frontier_stats(finished.where("state in ('FAILED', 'PROCESSED')")).collect())
