@@ -15,6 +15,7 @@ from assayer.llm.scratch import stored, table
 #: Kinds in the order of reports. The first three are certain; the others count only beside a complementary part.
 KINDS = ("assign", "access", "hex", "ident", "bare", "endpoint")
 ROLES = ("secret", "id", "secret", "id", "secret", "endpoint")
+SECRET = tuple(k for k, role in enumerate(ROLES) if role == "secret")
 #: Code points between two linked parts, from the end of the earlier to the start of the later.
 SCOPE = 240
 
@@ -37,11 +38,13 @@ def text_parts(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     if _LONG.search(text):
         found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-        taken = [(a, b) for a, k, b in found if k < 3]
+        taken, k, reach = sorted((a, b) for a, kind, b in found if kind < 3), 0, 0
         for m in _BARE.finditer(text):
             s = m[0]
             mixed = any(map(str.isdigit, s)) and any(map(str.isupper, s)) and any(map(str.islower, s))
-            if mixed and not any(a < m.end() and m.start() < b for a, b in taken):
+            while k < len(taken) and taken[k][0] < m.end():  # how far the certain parts reach that start before this one ends
+                reach, k = max(reach, taken[k][1]), k + 1
+            if mixed and reach <= m.start():
                 found.append((m.start(), 4, m.end()))
     if "://" in text:
         found += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
@@ -64,44 +67,57 @@ def scan_parts(docs: DataFrame) -> DataFrame:
 
 
 def link_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(rid, linked): the weak parts of each row that have a complementary part within scope.
+    """(rid, secret, other): every secret part with every identifier or endpoint whose gap to it is within scope.
 
-    An interval join: a text is cut into stretches of `scope` code points; a part is entered under every stretch that
-    it covers, a weak one also under the two beside these, so a join key never holds more than one stretch of one
-    text. An identifier or endpoint needs a secret, a bare secret needs an identifier or an endpoint.
+    An interval join: a text is cut into stretches of `scope` code points; a secret is entered under every stretch that
+    it covers and the two beside these, another part under those it covers, so a join key never holds more than one
+    stretch of one text. Of the stretches that a pair shares, the first counts.
     """
-    role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("kind") + 1)
-    parts = found.where(F.exists("parts", lambda p: p["kind"] >= 3)).select("rid", F.inline("parts")).withColumn("role", role)
-    first, last = F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)
-    weak = parts.where("kind >= 3").withColumn("stretch", F.explode(F.sequence(first - 1, last + 1))).alias("w")
-    other = parts.select("rid", F.col("start").alias("at"), F.col("end").alias("to"), F.col("role").alias("beside"), F.explode(F.sequence(first, last)).alias("stretch")).alias("o")
-    complements = F.when(F.col("w.role") == "secret", F.col("o.beside") != "secret").otherwise(F.col("o.beside") == "secret")
-    near = (F.col("w.start") - F.col("o.to") <= scope) & (F.col("o.at") - F.col("w.end") <= scope)
-    linked = weak.join(other, (F.col("w.rid") == F.col("o.rid")) & (F.col("w.stretch") == F.col("o.stretch")) & near & complements, "left_semi")
-    return linked.groupBy("rid").agg(F.collect_set(F.struct("start", "kind", "end")).alias("linked"))
+    role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("part.kind") + 1)
+    both = found.where(F.exists("parts", lambda p: p["kind"].isin(*SECRET)) & F.exists("parts", lambda p: ~p["kind"].isin(*SECRET)))
+    parts = both.select("rid", F.explode("parts").alias("part")).withColumn("role", role)
+    first, last = F.floor(F.col("part.start") / scope), F.floor(F.col("part.end") / scope)
+    entered = lambda rows, name, a, b: rows.select("rid", F.col("part").alias(name), a.alias(f"{name}_first"), F.explode(F.sequence(a, b)).alias("stretch"))
+    secrets = entered(parts.where("role = 'secret'"), "secret", first - 1, last + 1)
+    others = entered(parts.where("role <> 'secret'"), "other", first, last)
+    near = (F.col("secret.start") - F.col("other.end") <= scope) & (F.col("other.start") - F.col("secret.end") <= scope)
+    once = F.col("stretch") == F.greatest("secret_first", "other_first")
+    return secrets.join(others, ["rid", "stretch"]).where(near & once).select("rid", "secret", "other")
+
+
+def linked_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(rid, linked, links): the weak parts in a pair of link_parts, and the pairs themselves in order."""
+    pairs = link_parts(found, scope)
+    weak = F.filter(F.array_distinct(F.flatten(F.collect_list(F.array("secret", "other")))), lambda p: p["kind"] >= 3)
+    return pairs.groupBy("rid").agg(weak.alias("linked"), F.array_sort(F.collect_list(F.struct("secret", "other"))).alias("links"))
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(rid, doc_id, base, spans) per input row: certain parts, and these with the linked weak ones.
+    """(rid, doc_id, base, spans, links) per input row: certain parts; these with the linked weak ones; pairs (secret, other).
 
-    Both are arrays of (start, kind, end) in order; rows without a part have empty arrays, as have null and empty
-    texts. Repeated rows stay, each with its own result; an empty table gives an empty result.
+    base and spans are arrays of (start, kind, end) in order. links tells which identifier or endpoint goes with which
+    secret, certain ones too. Rows without a part have empty arrays, as have null and empty texts. Repeated rows stay,
+    each with its own result; an empty table gives an empty result; other columns have no effect.
     """
     found = scan_parts(docs)
-    joined = found.join(link_parts(found, scope), "rid", "left")
+    joined = found.join(linked_parts(found, scope), "rid", "left")
     base = F.filter("parts", lambda p: p["kind"] < 3)
-    return joined.select("rid", "doc_id", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("linked", F.slice(base, 1, 0)))).alias("spans"))
+    no_links = F.slice(F.transform("parts", lambda p: F.struct(p.alias("secret"), p.alias("other"))), 1, 0)
+    return joined.select("rid", "doc_id", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("linked", F.slice(base, 1, 0)))).alias("spans"), F.coalesce("links", no_links).alias("links"))
+
+
+def _named(part):
+    return F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), part["kind"] + 1), part["start"], part["end"])
 
 
 def _joined(spans: str):
-    names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda p: F.concat_ws(":", F.element_at(names, p["kind"] + 1), p["start"], p["end"])), ",")
+    return F.array_join(F.transform(spans, _named), ",")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     count = [F.size(F.filter("base", lambda p, k=k: p["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return found.select("doc_id", *count, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return found.select("doc_id", *count, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.array_join(F.transform("links", lambda p: F.concat_ws("+", _named(p["secret"]), _named(p["other"]))), ",").alias("links"))
 
 
 def _masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
@@ -164,7 +180,7 @@ def mask_spans(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -> D
     certain = docs.mapInArrow(_mask_certain(mask), schema)
     weak = docs.mapInArrow(_weak_rows, f"{schema}, _parts array<struct<start:int,kind:int,end:int>>").withColumn("_rid", F.monotonically_increasing_id())
     weak = stored(weak, "weak")
-    linked = link_parts(weak.select(F.col("_rid").alias("rid"), F.col("_parts").alias("parts")), scope).withColumnRenamed("rid", "_rid")
+    linked = linked_parts(weak.select(F.col("_rid").alias("rid"), F.col("_parts").alias("parts")), scope).withColumnRenamed("rid", "_rid")
     base = F.filter("_parts", lambda p: p["kind"] < 3)
     spans = F.array_sort(F.concat(base, F.coalesce("linked", F.slice(base, 1, 0))))
     joined = weak.join(linked, "_rid", "left").select(*docs.columns, spans.alias("_spans"))
