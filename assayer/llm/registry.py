@@ -10,6 +10,7 @@ QUERIES = {
     "op1_katz_trigram_scores": katz.op1_katz_trigram_scores,
     "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
     "op3_perspective_rotation": chat.op3_perspective_rotation,
+    "op3_rendered_dialogues": chat.op3_rendered_dialogues,
     "op4_media_columns": media.op4_media_columns,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -23,5 +24,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": embeddings.OP2_SQL,
     "op3_perspective_rotation": chat.OP3_SQL,
+    "op3_rendered_dialogues": chat.OP3_RENDERED_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
 }
