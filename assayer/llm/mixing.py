@@ -9,7 +9,7 @@ from assayer.llm.scratch import stored, table
 
 #: A source contributes each of its documents this many times at most; weights of the sources in order, repeating.
 MOST_EPOCHS, WEIGHTS = 3, (1, 2, 3)
-WORDS, JUNK = r"[^\x20\x09-\x0D]+", "#$%&*!|"
+WORDS, JUNK, LOUD = r"[^\x20\x09-\x0D]+", "#$%&*!|", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
 def text_size(text: Column) -> Column:
@@ -17,15 +17,13 @@ def text_size(text: Column) -> Column:
 
 
 def text_quality(text: Column, size: Column) -> Column:
-    """Between 0.1 and 1: falls with the number of junk characters per word."""
-    junk = F.length(text) - F.length(F.translate(text, JUNK, ""))
-    return F.greatest(F.lit(0.1), 1.0 - F.coalesce(junk, F.lit(0)) / F.greatest(size, F.lit(1)))
-
-
-def uniform(*columns: str, seed: int) -> Column:
-    """A number in (0, 1) that depends on the columns and the seed alone."""
-    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+    """Between 0.1 and 1: falls with junk characters per word, with capitals and digits among the characters, and with words shorter than two or longer than twelve characters on average."""
+    chars = F.greatest(F.length(text), F.lit(1))
+    share = lambda of, n: (F.length(text) - F.length(F.translate(text, of, ""))) / n
+    width = chars / F.greatest(size, F.lit(1))
+    odd = F.when(width < 2, 0.5).when(width > 13, 0.5).otherwise(0.0)
+    junk, loud = share(JUNK, F.greatest(size, F.lit(1))), share(LOUD, chars)
+    return F.greatest(F.lit(0.1), 1.0 - F.coalesce(junk, F.lit(0.0)) - F.greatest(F.coalesce(loud, F.lit(0.0)) - 0.1, F.lit(0.0)) - F.coalesce(odd, F.lit(0.0)))
 
 
 def source_targets(sizes: DataFrame, most: int = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -46,23 +44,31 @@ def source_targets(sizes: DataFrame, most: int = MOST_EPOCHS, weights: tuple[int
     return levels.withColumn("chosen", chosen).select("source", "source_size", F.least("cap", F.col("weight") * F.coalesce("chosen", "level")).alias("target"))
 
 
-def _key(seed: int) -> Column:
-    return -F.log(uniform("doc_id", "size", seed=seed)) / text_quality(F.col("text"), F.col("size"))
+def _sized(docs: DataFrame, quality: Column | None, *more: Column) -> DataFrame:
+    named = docs.select("doc_id", "source", "text", F.lit(None).alias("quality") if quality is None else quality.alias("quality"), *more)
+    return named.withColumn("size", text_size(F.col("text")))
+
+
+def _key(seed: int, given: bool) -> Column:
+    """-ln(u) / quality; u depends on doc_id, size and text, so that rows without an id are drawn each for itself."""
+    weight = F.greatest(F.lit(1e-6), F.coalesce(F.col("quality").cast("double"), F.lit(1e-6))) if given else text_quality(F.col("text"), F.col("size"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))), 1, 13), 16, 10)
+    return -F.log((drawn.cast("double") + 0.5) / float(2**52)) / weight
 
 
-def mix_sources(docs: DataFrame, most: int = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
-    """(rid, doc_id, source, size, source_size, target, copies, taken), one row per input row.
+def mix_sources(docs: DataFrame, most: int = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = 11, quality: Column | None = None) -> DataFrame:
+    """(doc_id, source, size, key, source_size, target, epochs, copies, taken), one row per input row.
 
     Complete epochs take every document of a source; the fraction left goes by Efraimidis-Spirakis: keys
     -ln(u) / quality ascending, summed up until the budget is met; the last document enters if at least half of
-    it fits. So a source misses its target by half a document at most. A hot source is no single sort: all
+    it fits. So a source misses its target by half a document at most. quality: a positive weight per document (the
+    score of a classifier, say), by default statistics of the text. A hot source is no single sort: all
     documents are range-partitioned by (source, key), partition totals give each partition its starting sum.
-    Null texts have size 0, a null source is a source of its own (last), repeated rows and ties are settled by
-    doc_id and size and otherwise interchangeable. Empty tables give empty results.
+    Null texts have size 0, a null source is a source of its own (last); only rows equal in doc_id, size and text
+    tie, and are interchangeable; each takes its own place. Empty tables give empty results.
     """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), F.col("text"))
-    keyed = sized.select("doc_id", "source", "size", _key(seed).alias("key"))
+    keyed = _sized(docs, quality).select("doc_id", "source", "size", _key(seed, quality is not None).alias("key"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = stored(keyed, "sizes")  # ranges are found from a sample: the texts should not be read for it again
     keyed = keyed.repartitionByRange(4 * parts, F.asc_nulls_last("source"), "key", F.asc_nulls_last("doc_id"), "size")
@@ -87,20 +93,24 @@ def _place() -> Column:
     return F.struct("key", F.col("doc_id").isNull().alias("absent"), F.coalesce("doc_id", F.lit(0)).alias("id"), "size")
 
 
-def repeat_by_mix(docs: DataFrame, most: int = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
+def repeat_by_mix(docs: DataFrame, most: int = MOST_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = 11, quality: Column | None = None) -> DataFrame:
     """docs, each row as often as the mix takes it; the texts stay where they are.
 
     The documents that enter beyond whole epochs are the first of their source's order, so a source's epochs and the
-    place of its last one settle every row where it is read: only one row per source is joined. Rows in the same
-    place (equal ids and sizes) enter together.
+    place of its last one settle every row where it is read: only one row per source is joined. Rows in the last place
+    itself (equal in doc_id, size and text) are numbered, and as many enter as the mix takes of them.
     """
-    last = F.max(F.when(F.col("copies") > F.col("epochs"), _place())).alias("last")
-    cut = mix_sources(docs, most, weights, seed).groupBy("source").agg(F.first("epochs").alias("epochs"), last)
-    cut = stored(cut.withColumnRenamed("source", "of"), "cuts")
-    keyed = docs.withColumn("size", text_size(F.col("text"))).withColumn("key", _key(seed))
-    copies = F.least(F.col("epochs") + F.coalesce(_place() <= F.col("last"), F.lit(False)).cast("int"), F.lit(most)).cast("int")
-    joined = keyed.join(cut, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", copies).where("copies > 0")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    mixed = mix_sources(docs, most, weights, seed, quality).withColumn("extra", F.col("copies") - F.least("epochs", F.lit(most)))
+    places = mixed.groupBy("source", _place().alias("place")).agg(F.sum("extra").alias("n"), F.first("epochs").alias("epochs"))
+    cut = places.groupBy("source").agg(F.first("epochs").alias("epochs"), F.max(F.when(F.col("n") > 0, F.struct("place", "n"))).alias("last"))
+    cut = stored(cut.select(F.col("source").alias("of"), "epochs", F.col("last.place").alias("last"), F.col("last.n").alias("n_last")), "cuts")
+    keyed = _sized(docs, quality, F.struct(*docs.columns).alias("row")).withColumn("key", _key(seed, quality is not None)).select("row", "source", _place().alias("place"))
+    joined = keyed.join(cut, F.col("source").eqNullSafe(F.col("of"))).withColumn("whole", F.least("epochs", F.lit(most)).cast("int"))
+    tied = F.coalesce(F.col("place") == F.col("last"), F.lit(False))
+    plain = joined.where(~tied).withColumn("copies", F.col("whole") + F.coalesce(F.col("place") < F.col("last"), F.lit(False)).cast("int"))
+    number = F.row_number().over(Window.partitionBy("of").orderBy(F.to_json("row")))
+    ties = joined.where(tied).withColumn("copies", F.col("whole") + (number <= F.col("n_last")).cast("int"))
+    return plain.unionByName(ties).where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,14 +119,16 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#$%&*!|', '')) AS junk
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, length(text) AS chars, md5(coalesce(text, '')) AS digest,
+         length(text) - length(translate(text, '#$%&*!|', '')) AS junk, length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', '')) AS loud
   FROM documents),
+weighted AS (
+  SELECT *, greatest(0.1, 1.0 - coalesce(CAST(junk AS DOUBLE) / greatest(size, 1), 0) - greatest(coalesce(CAST(loud AS DOUBLE) / greatest(chars, 1), 0) - 0.1, 0)
+    - CASE WHEN text_width < 2 OR text_width > 13 THEN 0.5 ELSE 0 END) AS quality FROM (SELECT *, CAST(greatest(chars, 1) AS DOUBLE) / greatest(size, 1) AS text_width FROM sized)),
 keyed AS (
   SELECT doc_id, source, size,
-         -ln((CAST(('0x' || substr(md5('11|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(size AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)
-           / greatest(0.1, 1.0 - CAST(junk AS DOUBLE) / greatest(size, 1)) AS key
-  FROM sized),
+         -ln((CAST(('0x' || substr(md5('11|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(size AS VARCHAR) || '|' || digest), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0) / quality AS key
+  FROM weighted),
 weighed AS (
   SELECT source, sum(size) AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight
   FROM keyed GROUP BY source),
