@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.scratch import stored, table
+from assayer.llm.scratch import table
+from assayer.llm.toxicity import labelled_sample
 
 #: Labelled rows that fitting reads at most; trees, their depth, candidate thresholds per statistic.
 MAX_ROWS, TREES, DEPTH, CUTS = 20_000, 40, 3, 32
@@ -135,17 +136,14 @@ def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float = 2e-3, rounds:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> RuleEnsemble:
-    """Fits on at most max_rows labelled documents, chosen by a hash of doc_id; null labels and ids are left out.
-    An id that several documents share brings all of them.
+    """Fits on labelled_sample(docs, labels): at most max_rows labelled documents.
 
     Statistics are computed by Spark over the whole texts; the driver gets one short row of numbers per labelled
     document of the sample. No labelled row, or one label only: a constant.
     """
-    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     stats = statistics(F.col("text"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(*(c.cast("double").alias(n) for n, c in stats.items()), F.col("label").cast("double").alias("label"))
-    rows = stored(sample, "sample").toArrow()
+    sample = labelled_sample(docs, labels, "quality", max_rows)
+    rows = sample.select(*(c.cast("double").alias(n) for n, c in stats.items()), "label").toArrow()
     names = list(stats)
     y = rows.column("label").to_numpy()
     if not len(y) or y.min() == y.max():
@@ -163,8 +161,8 @@ def score_quality(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """docs' columns with score, one row per input row; only the text counts. Null text: as empty."""
     keep = [c for c in docs.columns if c != "score"]
     stats = statistics(F.col("text"))
-    wide = docs.select(*keep, F.struct(*(c.cast("double").alias(n) for n, c in stats.items())).alias("_stats"))
-    return wide.select(*keep, model.column("_stats").alias("score"))
+    wide = docs.select(F.struct(*keep).alias("row"), F.struct(*(c.cast("double").alias(n) for n, c in stats.items())).alias("stats"))
+    return wide.select("row.*", model.column("stats").alias("score"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

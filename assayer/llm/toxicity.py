@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.scratch import stored, table
+from assayer.llm.scratch import table
 from assayer.llm.tokens import as_text, hash_spans, split_words, text_slices
 
-#: Labelled rows that fitting reads at most, terms that the machine knows at most, bits of a hashed term.
+#: Labelled rows that fitting reads at most, terms that the final machine keeps, bits of a hashed term.
 MAX_ROWS, MAX_TERMS, TERM_BITS = 20_000, 4096, 26
 PREFIX, PUNCTUATION = 5, np.isin(np.arange(256), list(b".,;:!?\"')"))
 
@@ -37,7 +37,7 @@ class FactorizationMachine:
 
 
 def hashed_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed term, row) of every word, without closing punctuation, and of every word's first five bytes."""
+    """(hashed term, row) of every word, without closing punctuation, and of every word's first five bytes or more, up to the end of a character."""
     data, start, end, doc, _ = split_words(texts)
     for _ in range(3):
         cut = PUNCTUATION[data[end - 1]] & (end - start > 1)
@@ -45,7 +45,10 @@ def hashed_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     long = end - start >= PREFIX
     shift = np.uint64(64 - TERM_BITS)
     whole = hash_spans(data, start, end, 1) >> shift
-    front = hash_spans(data, start[long], start[long] + PREFIX, 2) >> shift
+    cut = start[long] + PREFIX
+    for _ in range(3):
+        cut = cut + ((cut < end[long]) & (data[np.minimum(cut, len(data) - 1)] >> 6 == 2)) if len(cut) else cut
+    front = hash_spans(data, start[long], cut, 2) >> shift
     return np.concatenate([whole, front]).astype(np.int64), np.concatenate([doc, doc[long]])
 
 
@@ -54,18 +57,6 @@ def distinct_pairs(term: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.nd
     return both & ((1 << TERM_BITS) - 1), both >> TERM_BITS
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per (term, label) of what this task reads."""
-    for batch in batches:
-        texts, label = as_text(batch.column(0)), np.asarray(batch.column(1))
-        for lo, hi in text_slices(texts):
-            term, row = distinct_pairs(*hashed_terms(texts[lo:hi]))
-            y = label[lo:hi][row]
-            found, at = np.unique(term, return_inverse=True)
-            ones = np.bincount(at, y, len(found)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(ones), pa.array(np.bincount(at, minlength=len(found)) - ones)], ["term", "ones", "zeros"])
-
-
 def _index_terms(terms: np.ndarray):
     near = np.zeros(1 << 16, bool)
     near[terms & 0xFFFF] = True
@@ -81,17 +72,75 @@ def _index_terms(terms: np.ndarray):
     return index
 
 
-def _index_batches(terms: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index_terms(terms)
-        for batch in batches:
-            texts = as_text(batch.column(0))
-            for lo, hi in text_slices(texts):
-                at, row = index(texts[lo:hi])
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(1)[lo:hi], pa.ListArray.from_arrays(pa.array(offsets), pa.array(at.astype(np.int32)))], ["label", "terms"])
+def _list_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every distinct hashed term of each text."""
+    for batch in batches:
+        texts = as_text(batch.column(0))
+        for lo, hi in text_slices(texts):
+            term, row = distinct_pairs(*hashed_terms(texts[lo:hi]))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(1)[lo:hi], pa.ListArray.from_arrays(pa.array(offsets), pa.array(term.astype(np.int32)))], ["label", "terms"])
 
-    return run
+
+def survey(index: list[np.ndarray], label: np.ndarray, terms: int, rank: int = 4, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
+    """The norm of what a machine over all terms learns of each: its weight and, for what counts only in company, its factors.
+
+    AdaGrad on the logistic loss; a step touches the terms of its rows only.
+    """
+    rng = np.random.default_rng(seed)
+    share = np.clip(label.mean(), 0.01, 0.99)
+    table_, squares, bias, bias_square = np.zeros((terms, rank + 1)), np.full((terms, rank + 1), 1e-8), np.log(share / (1 - share)), 1e-8
+    table_[:, 1:] = rng.normal(0, 0.02, (terms, rank))
+    start = np.linalg.norm(table_[:, 1:], axis=1)
+    size = np.array([len(i) for i in index])
+    order = np.concatenate([rng.permutation(len(label)) for _ in range(-(-steps * 128 // len(label)))])
+    for k in range(0, len(order), 128):
+        rows = order[k : k + 128]
+        at, row = np.concatenate([index[r] for r in rows]), np.repeat(np.arange(len(rows)), size[rows])
+        own, place = np.unique(at, return_inverse=True)
+        x = table_[own][place]
+        sums = np.stack([np.bincount(row, c, len(rows)) for c in x.T], 1)
+        z = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - np.bincount(row, (x[:, 1:] ** 2).sum(1), len(rows)))
+        slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[rows]) / len(rows)
+        part = np.concatenate([np.ones((len(at), 1)), sums[row, 1:] - x[:, 1:]], axis=1) * slope[row, None]
+        g = np.stack([np.bincount(place, c, len(own)) for c in part.T], 1) + decay * table_[own]
+        squares[own] += g * g
+        table_[own] -= rate * g / np.sqrt(squares[own])
+        bias_square += slope.sum() ** 2
+        bias -= rate * slope.sum() / np.sqrt(bias_square)
+    return np.abs(table_[:, 0]) + np.maximum(np.linalg.norm(table_[:, 1:], axis=1) - start, 0)
+
+
+def fit_rows(rows: list[np.ndarray], label: np.ndarray, max_terms: int = MAX_TERMS) -> FactorizationMachine:
+    """The machine for rows of distinct hashed terms.
+
+    A first machine sees all terms that two rows or more hold. The final one is trained on the max_terms that this
+    machine learned most of, half of them, and whose document shares differ most between the labels, the other half.
+    """
+    size = np.array([len(r) for r in rows])
+    terms, at = np.unique(np.concatenate(rows), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), size)
+    ones, n = np.bincount(at, label[row], len(terms)), np.bincount(at, minlength=len(terms))
+    keep = n >= 2
+    terms, ones, n, number = terms[keep], ones[keep], n[keep], np.cumsum(keep) - 1
+    row, at = row[keep[at]], number[at[keep[at]]]
+
+    def lists(row: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        return np.split(at, np.cumsum(np.bincount(row, minlength=len(rows)))[:-1])
+
+    if len(terms) > max_terms:
+        n1, n0 = label.sum(), len(label) - label.sum()
+        share = n / len(label)
+        far = np.abs(ones / n1 - (n - ones) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+        learned = survey(lists(row, at), label, len(terms))
+        best = np.argsort(-far, kind="stable")[: max_terms // 2]
+        rest = np.argsort(-learned, kind="stable")
+        chosen = np.sort(np.concatenate([best, rest[~np.isin(rest, best)][: max_terms - len(best)]]))
+        number, hit = np.full(len(terms), -1), None
+        number[chosen] = np.arange(len(chosen))
+        hit = number[at] >= 0
+        terms, row, at = terms[chosen], row[hit], number[at[hit]]
+    return train(lists(row, at), label, terms)
 
 
 def train(index: list[np.ndarray], label: np.ndarray, terms: np.ndarray, rank: int = 6, epochs: int = 12, rate: float = 0.02, decay: float = 2e-5, seed: int = 7) -> FactorizationMachine:
@@ -127,32 +176,32 @@ def train(index: list[np.ndarray], label: np.ndarray, terms: np.ndarray, rank: i
     return FactorizationMachine(terms, float(table_[-1, 0]), table_[:-1, 0].copy(), table_[:-1, 1:].copy())
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> FactorizationMachine:
-    """Fits on at most max_rows labelled documents, chosen by a hash of doc_id; null labels and ids are left out.
-    An id that several documents share brings all of them.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_rows: int) -> DataFrame:
+    """(text, label) of at most max_rows labelled documents, chosen by a hash of doc_id; null labels and ids are left out.
 
-    Tasks count documents per term and label; the max_terms terms whose document shares differ most between the
-    labels (at least four standard errors) become the machine's inputs. The driver gets those and the sample's
-    rows as short lists of term indices: both are bounded by the two parameters. No labelled row: a constant.
+    One document per id, that whose text has the smallest hash, and one label, the largest: rows that repeat an id
+    cannot make the sample larger.
     """
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("double").alias("label"))
-    sample = stored(sample, "sample")
-    ones, all_rows = sample.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("*")).first()
-    none = FactorizationMachine(np.zeros(1, np.int64), 0.0, np.zeros(1), np.zeros((1, 1)))
-    if not 0 < ones < all_rows:
-        return FactorizationMachine(none.terms, float(np.log((ones + 0.5) / (all_rows - ones + 0.5))), none.weights, none.factors)
-    zeros = all_rows - ones
-    counts = sample.mapInArrow(_count_terms, "term long, ones long, zeros long").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    share = (F.col("ones") + F.col("zeros")) / all_rows
-    far = F.abs(F.col("ones") / ones - F.col("zeros") / zeros) / F.sqrt(share * (1 - share) * (1 / ones + 1 / zeros) + 1e-12)
-    best = counts.select("term", far.alias("z")).where("z >= 4").orderBy(F.desc("z"), "term").limit(max_terms)
-    terms = np.sort(np.array([r.term for r in best.collect()], np.int64))
-    if not len(terms):
-        return FactorizationMachine(none.terms, float(np.log(ones / zeros)), none.weights, none.factors)
-    rows = sample.mapInArrow(_index_batches(terms), "label double, terms array<int>").toArrow()
-    return train([np.asarray(x.values) for x in rows.column("terms").combine_chunks()], rows.column("label").to_numpy(), terms)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    once = found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return once.select("text", F.col("label").cast("double").alias("label"))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> FactorizationMachine:
+    """Fits on labelled_sample(docs, labels): the driver gets its rows as lists of hashed terms, at most max_rows of them.
+
+    No labelled row, or one label only: a constant.
+    """
+    sample = labelled_sample(docs, labels, "toxic", max_rows)
+    rows = sample.mapInArrow(_list_terms, "label double, terms array<int>").toArrow()
+    lists, label = [np.asarray(x.values).astype(np.int64) for x in rows.column("terms").combine_chunks()], rows.column("label").to_numpy()
+    ones, zeros = label.sum(), len(label) - label.sum()
+    if not (ones and zeros and any(map(len, lists))):
+        return FactorizationMachine(np.zeros(1, np.int64), float(np.log((ones + 0.5) / (zeros + 0.5))), np.zeros(1), np.zeros((1, 1)))
+    order = sorted(range(len(lists)), key=lambda k: (label[k], lists[k].tobytes()))  # whatever the order of arrival
+    return fit_rows([lists[k] for k in order], label[order], max_terms)
 
 
 def _score_batches(model: FactorizationMachine):
@@ -181,4 +230,4 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = fit_toxicity(docs, labels.where(~held_out))
     scored = score_toxicity(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
