@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.components import connected_components
@@ -119,15 +119,26 @@ def _cuts(bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
 
 
+def _gray_order(code: np.ndarray, turn: int, bits: int) -> np.ndarray:
+    shift = np.uint64(_cuts(bits)[turn][0])
+    return np.argsort(gray_rank((code << shift) | (code >> (np.uint64(64) - shift)) if shift else code), kind="stable")
+
+
+def gray_column(code: Column, start: int) -> Column:
+    """gray_rank of code turned left by `start` bits, as a number whose unsigned order is the Gray order."""
+    turned = F.shiftleft(code, start).bitwiseOR(F.shiftrightunsigned(code, 64 - start)) if start else code
+    for shift in (1, 2, 4, 8, 16, 32):
+        turned = turned.bitwiseXOR(F.shiftrightunsigned(turned, shift))
+    return turned
+
+
 def _link_tile(bits: int):
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         found = []
         for turn, rows in tile.groupby("turn", sort=True):
             code = rows["code"].to_numpy().view(np.uint64)
             side = rows["side"].to_numpy()
-            shift = np.uint64(_cuts(bits)[turn][0])
-            turned = (code << shift) | (code >> (np.uint64(64) - shift)) if shift else code
-            order = np.argsort(gray_rank(turned), kind="stable")
+            order = _gray_order(code, turn, bits)
             code, side = code[order], side[order]
             if (side == 0).all():
                 a, b = star_edges(len(code), close_pairs(code, None, bits))
@@ -141,13 +152,42 @@ def _link_tile(bits: int):
     return run
 
 
+def _large_tiles(large: DataFrame, bits: int, tile: int) -> DataFrame:
+    """Rows of blocks above `tile` under the pairs of slices in which a link may lie.
+
+    The upper part of the tree: rows are range-partitioned by (turn, block, Gray rank) and cut, within each partition,
+    into slices of `tile`, so that a slice's members share long bit patterns. A slice is known by the bits set in all and
+    in any of its members; two slices of a block that differ in more than `bits` shared bits are dropped, with all that
+    they hold, before a row is copied.
+    """
+    parts = 4 * int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rank = F.lit(0).cast("long")
+    for turn, (start, _) in enumerate(_cuts(bits)):
+        rank = F.when(F.col("turn") == turn, gray_column(F.col("code"), start)).otherwise(rank)
+    unsigned = rank.bitwiseXOR(F.lit(-(1 << 63)))
+    dealt = large.select("turn", "block", "code", unsigned.alias("rank")).repartitionByRange(parts, "turn", "block", "rank").withColumn("part", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("turn", "block", "part").orderBy("rank"))
+    sliced = stored(dealt.withColumn("slice", F.struct("part", F.floor((place - 1) / tile).alias("k"))), "slices")
+    roots = stored(sliced.groupBy("turn", "block", "slice").agg(F.bit_and("code").alias("every"), F.bit_or("code").alias("some")), "roots")
+    one, two = (roots.select("turn", "block", *(F.col(c).alias(f"{c}_{side}") for c in ("slice", "every", "some"))) for side in "ab")
+    loose = F.col("every_a").bitwiseXOR(F.col("some_a")).bitwiseOR(F.col("every_b").bitwiseXOR(F.col("some_b")))
+    apart = F.bit_count(F.col("every_a").bitwiseXOR(F.col("every_b")).bitwiseAND(F.bitwise_not(loose)))
+    meet = stored(one.join(two, ["turn", "block"]).where((F.col("slice_a") <= F.col("slice_b")) & (apart <= bits)).select("turn", "block", "slice_a", "slice_b"), "meetings")
+    alone = F.col("slice_a") == F.col("slice_b")
+    sides = [meet.select("turn", "block", F.col("slice_a").alias("slice"), "slice_a", "slice_b", F.when(alone, 0).otherwise(1).alias("side")),
+             meet.where(~alone).select("turn", "block", F.col("slice_b").alias("slice"), "slice_a", "slice_b", F.lit(2).alias("side"))]
+    met = sliced.join(sides[0].unionAll(sides[1]), ["turn", "block", "slice"])
+    return met.select("turn", "code", "side", F.col("block").alias("g"), F.col("turn").alias("gt"), F.to_json("slice_a").alias("i"), F.to_json("slice_b").alias("j"))
+
+
 def fingerprint_links(codes: DataFrame, bits: int = 2, tile: int = 1000) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints within `bits` bits.
 
     codes: distinct values in column code. 64 bits are cut into bits+1 blocks: a linked pair agrees in one of
     them, so each fingerprint is dealt out once per block under that block's value. Values held by one
-    fingerprint alone go; small groups share a bucket of about `tile` rows; a group above `tile` is cut into
-    slices by hash and every two slices meet in a task of their own, so that no group lands whole in one task.
+    fingerprint alone go; small groups share a bucket of about `tile` rows; a group above `tile` is cut into slices in
+    Gray order, and slices meet in tasks of their own where their shared bits let them, so that no group lands whole in
+    one task.
     """
     blocks = [
         F.struct(F.lit(turn).alias("turn"), F.shiftrightunsigned(F.shiftleft("code", start), 64 - width).alias("block"))
@@ -155,16 +195,14 @@ def fingerprint_links(codes: DataFrame, bits: int = 2, tile: int = 1000) -> Data
     dealt = codes.select("code", F.inline(F.array(*blocks)))
     sizes = dealt.groupBy("turn", "block").agg(F.count("*").alias("n")).where("n > 1")
     dealt = stored(dealt.join(sizes, ["turn", "block"]), "blocks")
-    buckets = max(1, -(-dealt.where(F.col("n") <= tile).count() // tile))
-    small = dealt.where(F.col("n") <= tile).select(
-        "turn", "code", F.lit(0).alias("side"),
-        F.pmod(F.xxhash64("turn", "block"), F.lit(buckets)).alias("g"), F.lit(-1).alias("gt"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    slices = F.ceil(F.col("n") / tile).cast("int")
-    mine = F.pmod(F.xxhash64("code", F.lit(7)), slices).cast("int")
-    large = dealt.where(F.col("n") > tile).select("turn", "block", "code", mine.alias("s"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("o")).select(
-        "turn", "code", F.when(F.col("s") == F.col("o"), 0).when(F.col("s") < F.col("o"), 1).otherwise(2).alias("side"),
-        F.col("block").alias("g"), F.col("turn").alias("gt"), F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
-    return small.unionAll(large).groupBy("g", "gt", "i", "j").applyInPandas(_link_tile(bits), "a long, b long").distinct()
+    rows = dealt.groupBy((F.col("n") > tile).alias("large")).count().collect()
+    counts = {r.large: r["count"] for r in rows}
+    buckets = max(1, -(-counts.get(False, 0) // tile))
+    tiles = dealt.where(F.col("n") <= tile).select(
+        "turn", "code", F.lit(0).alias("side"), F.pmod(F.xxhash64("turn", "block"), F.lit(buckets)).alias("g"), F.lit(-1).alias("gt"), F.lit("").alias("i"), F.lit("").alias("j"))
+    if counts.get(True):
+        tiles = tiles.unionAll(_large_tiles(dealt.where(F.col("n") > tile), bits, tile))
+    return tiles.groupBy("g", "gt", "i", "j").applyInPandas(_link_tile(bits), "a long, b long").distinct()
 
 
 def _grouped(docs: DataFrame, bits: int, shingle: int, seed: int, tile: int, *carried: str) -> DataFrame:
