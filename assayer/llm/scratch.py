@@ -2,30 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from assayer.sources.shared import new_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset (tests, one machine) a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-assayer-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+#: Spark's own switch: shuffle files go when the query that wrote them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, what: str, partition_by: str | None = None) -> DataFrame:
     """Writes df once to the shared folder and returns the table read back.
 
-    Later readers start from files that survive a lost executor; nothing upstream runs twice.
+    Later readers start from files that survive a lost executor; nothing upstream runs twice, so the shuffle files of
+    the write can go as soon as it ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/assayer/{uuid.uuid4().hex}/{what}"
+    spark = df.sparkSession
+    path, before = f"{new_folder(spark)}/{what}", spark.conf.get(CLEANUP, "false")
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
