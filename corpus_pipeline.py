@@ -16,9 +16,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model scores below one half stay."""
+    """Documents that the toxicity model scores below one half stay, null and empty texts too if the model has it so.
+
+    Repeated rows and rows without an id are scored each for itself; extra columns go; without labels all documents
+    score alike, with the share of toxic ones that no label tells, one half, and stay.
+    """
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs.select(*COLUMNS), model).where("score < 0.5").select(*COLUMNS)
+    return toxicity.score_toxicity(docs.select(*COLUMNS), model).where("score <= 0.5").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows of one id are told apart by a hash of all their columns, which any rerun gives alike: rows that repeat an id
     with unrelated texts all stay, and of near copies under one id that with the smallest hash. Only rows equal in
-    every column, which are of one group, collapse.
+    every column, which are of one group, collapse. Null and empty texts are one group; extra columns go; an empty
+    table gives an empty result.
     """
     docs = docs.select(*COLUMNS)
     marked = docs.withColumn("_mark", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
@@ -36,18 +41,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every reported span of a text becomes [SECRET]; documents stay."""
+    """Every reported span of a text becomes [SECRET]; all rows stay, null texts null and empty ones empty. n_chars follows the text."""
     found = secrets.mask_spans(docs.select(*COLUMNS))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it: null and empty texts have no words and cost nothing, a null source
+    is a source of its own, equal rows enter one by one."""
     return mixing.repeat_by_mix(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The slots of all pieces."""
+    """The slots of all pieces: every row has one at least, null and empty texts their end token; repeated rows one each."""
     return packing.pack_documents(docs)
 
 
