@@ -7,15 +7,23 @@ import struct
 import numpy as np
 import zstandard
 
+#: Codes below this are ranks in a dictionary; all others are from 2**63 on.
+ESCAPE = 1 << 20
+_WRAP = np.uint64(2 * ESCAPE - 1)
+
 
 class Near:
-    """Wraps an array of ids below 2**48 to be stored as differences: runs of ascending values take fewer bytes."""
+    """Wraps an array of ids to be stored as differences: runs of ascending values take fewer bytes."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
 
 
-_MASK = np.uint64((1 << 48) - 1)
+class Codes:
+    """Wraps an array of codes, most of which are small; near: as differences."""
+
+    def __init__(self, values: np.ndarray, near: bool = False):
+        self.values, self.near = values, near
 
 
 def fixed(x: np.ndarray) -> np.ndarray:
@@ -29,31 +37,47 @@ def unfixed(z: np.ndarray) -> np.ndarray:
     return v / 2.0**32
 
 
-def dump(*arrays: np.ndarray | Near) -> bytes:
+_PLAIN, _REAL, _NEAR, _CODES, _NEAR_CODES = range(5)
+
+
+def dump(*arrays: np.ndarray | Near | Codes) -> bytes:
     """Non-negative integers in as few bytes as the largest needs, doubles in eight; byte planes, then zstd."""
-    out, squeeze = [struct.pack("<B", len(arrays))], zstandard.ZstdCompressor(level=1)
+    parts: list[tuple[int, np.ndarray]] = []
     for x in arrays:
-        near = isinstance(x, Near)
-        if near:
-            x = np.diff(x.values.astype(np.uint64), prepend=np.uint64(0)) & _MASK
-        real = x.dtype == np.float64
-        flat = np.ascontiguousarray(x, np.float64 if real else np.uint64).view(np.uint64)
-        width = 8 if real else max(1, (int(flat.max()).bit_length() + 7) // 8 if len(flat) else 1)
+        if isinstance(x, Near):
+            parts.append((_NEAR, np.diff(x.values.astype(np.uint64), prepend=np.uint64(0))))
+        elif isinstance(x, Codes):
+            small = np.minimum(x.values, np.uint64(ESCAPE))
+            kind = _NEAR_CODES if x.near else _CODES
+            parts += [(kind, np.diff(small, prepend=np.uint64(0)) & _WRAP if x.near else small), (_PLAIN, x.values[x.values >= ESCAPE])]
+        else:
+            parts.append((_REAL if x.dtype == np.float64 else _PLAIN, x))
+    out, squeeze = [struct.pack("<B", len(parts))], zstandard.ZstdCompressor(level=1)
+    for kind, x in parts:
+        flat = np.ascontiguousarray(x, np.float64 if kind == _REAL else np.uint64).view(np.uint64)
+        width = 8 if kind == _REAL else max(1, (int(flat.max()).bit_length() + 7) // 8 if len(flat) else 1)
         body = squeeze.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
-        out += [struct.pack("<BBII", 2 * near + real, width, len(flat), len(body)), body]
+        out += [struct.pack("<BBII", kind, width, len(flat), len(body)), body]
     return b"".join(out)
 
 
 def load(data: bytes) -> list[np.ndarray]:
     """The arrays of dump: uint64 or float64."""
-    out, at, open_ = [], 1, zstandard.ZstdDecompressor()
+    out, at, open_, codes = [], 1, zstandard.ZstdDecompressor(), None
     for _ in range(data[0]):
         kind, width, n, size = struct.unpack_from("<BBII", data, at)
         at += struct.calcsize("<BBII")
         planes = np.frombuffer(open_.decompress(data[at : at + size], max_output_size=max(1, n * width)), np.uint8).reshape(width, n)
         flat = np.zeros((n, 8), np.uint8)
         flat[:, :width] = planes.T
-        values = flat.reshape(-1).view(np.float64 if kind == 1 else np.uint64)
-        out.append(np.cumsum(values, dtype=np.uint64) & _MASK if kind == 2 else values)
+        values = flat.reshape(-1).view(np.float64 if kind == _REAL else np.uint64)
         at += size
+        if codes is not None:
+            codes[codes == ESCAPE] = values
+            out.append(codes)
+            codes = None
+        elif kind in (_CODES, _NEAR_CODES):
+            codes = np.cumsum(values, dtype=np.uint64) & _WRAP if kind == _NEAR_CODES else values
+        else:
+            out.append(np.cumsum(values, dtype=np.uint64) if kind == _NEAR else values)
     return out

@@ -6,39 +6,40 @@ w where training saw the word, else the mass left for all unseen words. alpha(h)
 divided by 1 - sum of P(w | h') over the words seen after h, so that every distribution sums to one over the training
 words, the end and one unseen word. The start of a document is padded with start marks.
 
-All rows of a kind travel in byte strings, one per task and bucket. An n-gram goes to the bucket of its last word w,
-where w's count and the counts of all its shorter endings are at hand; a word that makes up much of the corpus is
-spread over all buckets by the word before it, and the short list of such words (their number is bounded by the number
-of buckets) goes with every task. What belongs to a history is where that history is as an n-gram of its own.
+Tokens are dealt to buckets by the word before them (w1, then w2 and so on, backwards; w is the token itself), so all
+n-grams of a token, from two words up, and all its histories are in one bucket, and backing off never leaves it. A word
+that makes up much of the corpus is spread over all buckets by the two words before a token; the counts of what follows
+such a word are summed up once, at the word that follows. Only these, and counts of rare words, come from elsewhere.
+
+A word is 63 bits of its hash. In n-grams the most frequent words, a bounded dictionary, are their ranks; all rows of a
+kind travel in byte strings, one per task and bucket. The tables of a fit are bucketed, so that jobs over the same
+buckets do not shuffle them again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.blobs import Near, dump, fixed, load, unfixed
+from assayer.llm.blobs import ESCAPE, Codes, Near, dump, fixed, load, unfixed
 from assayer.llm.scratch import stored, table
 from assayer.llm.tokens import as_text, hash_spans, mix, split_words, text_slices
 
-#: Counts up to this are discounted; tokens that a task sorts at once; a hot word has more than 1 / (HOT * buckets) of all tokens.
-MOST_DISCOUNTED, CHUNK_TOKENS, HOT = 5, 2_500_000, 4
-START, END = (1 << 48) - 1, (1 << 48) - 2
-WORDS, GRAMS, PAIRS, DOCS, OPEN, PART, HISTORIES = range(7)
-ROW = "bucket int, kind int, chunk long, data binary"
-_SHIFT = np.uint64(16)
-
-
-def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(48-bit id of every word, words per text)."""
-    data, start, end, _, count = split_words(texts)
-    return hash_spans(data, start, end, 3) >> _SHIFT, count
+#: Counts up to this are discounted; tokens that a task sorts at once; tokens of a bucket, about; a hot word has more than 1 / (HOT * buckets) of all tokens.
+MOST_DISCOUNTED, CHUNK_TOKENS, BUCKET_TOKENS, HOT = 5, 2_500_000, 4_000_000, 4
+#: Names of words are below 2**63. The codes of start and end are 0 and 1, other words of the dictionary have ranks below ESCAPE, all others are 2**63 and their name.
+RARE = np.uint64(1 << 63)
+END_NAME = np.uint64(1 << 63)
+START, END = np.uint64(0), np.uint64(1)
+PAIRS, DOCS, GRAMS, ASKED, REPLY, CONTEXT, HISTORIES, PART = range(8)
+ROW = "bucket int, target int, kind int, chunk long, data binary"
 
 
 def discounts(seen: list[int]) -> np.ndarray:
@@ -55,146 +56,234 @@ def discounts(seen: list[int]) -> np.ndarray:
     return out
 
 
-@dataclass(frozen=True)
-class KatzModel:
-    """Tables: words (bucket, id, count, denominators, backoff), grams (bucket, n-gram, count), histories (bucket, history, denominators, backoff).
+def _factor(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(count <= MOST_DISCOUNTED, d[np.minimum(count, MOST_DISCOUNTED).astype(np.int64)], 1.0)
 
-    d: discounts of orders 1 to order. starts: for orders 2 to order, log10 of denominator and of denominator times alpha of the start.
-    """
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """What every task knows: the dictionary (ascending names, their codes, counts by code) and the totals of training."""
 
     order: int
-    buckets: int
-    words: DataFrame
-    grams: DataFrame
-    histories: DataFrame | None
+    names: np.ndarray
+    codes: np.ndarray
+    counts: np.ndarray
+    hot: np.ndarray
     tokens: int
     types: int
+    d: np.ndarray
     total: int
-    d: list[np.ndarray]
     left: float
-    hot: np.ndarray
-    hot_values: np.ndarray
-    starts: list[tuple[float, float]]
+    word_buckets: int
+    labels: np.ndarray
 
+    def encode(self, names: np.ndarray) -> np.ndarray:
+        """Codes of ascending or other names."""
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[at] == names, self.codes[at], names | RARE)
 
-def unigram(count: np.ndarray, d1: np.ndarray, total: int, left: float) -> np.ndarray:
-    """P(w) from training counts; left is the mass of all unseen words together."""
-    return np.where(count > 0, _factor(count, d1) * count / total, left)
+    def is_hot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes < len(self.hot)) & self.hot[np.minimum(codes, np.uint64(len(self.hot) - 1)).astype(np.int64)]
 
+    def known(self, codes: np.ndarray, rare: np.ndarray, rare_count: np.ndarray) -> np.ndarray:
+        """Training counts of codes; those outside the dictionary are looked up among ascending `rare`."""
+        small = codes < ESCAPE
+        return np.where(small, self.counts[np.where(small, codes, 0).astype(np.int64)], _lookup(rare, rare_count, codes))
 
-def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(ids + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+    def unigram(self, count: np.ndarray) -> np.ndarray:
+        """P(w) from training counts; left is the mass of all unseen words together."""
+        return np.where(count > 0, _factor(count, self.d) * count / self.total, self.left)
 
+    def word_bucket(self, codes: np.ndarray) -> np.ndarray:
+        """Where a word's count is; for words of the dictionary, where the pairs that it ends are summed up."""
+        return _bucket(codes & ~RARE, self.word_buckets)
 
-def _spread(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """Where n-grams of hot words go by the word before."""
-    return _bucket(ids ^ np.uint64(0x5555), buckets)
 
+@dataclass(frozen=True)
+class KatzModel:
+    """vocabulary and discounts d of orders 1 to order; tables: words (target, data) with counts by word bucket, grams (n-grams with
+    counts, by bucket), pairs (counts of what follows hot words, by word bucket) and, once a fit has them, histories (log10 of
+    the total and of the backoff weight). hot: per hot word log10 of its total and of its backoff weight."""
 
-def _factor(count: np.ndarray, d: np.ndarray) -> np.ndarray:
-    return np.where(count <= MOST_DISCOUNTED, d[np.minimum(count, MOST_DISCOUNTED).astype(np.int64)], 1.0)
+    vocabulary: Vocabulary
+    d: list[np.ndarray]
+    words: DataFrame
+    grams: DataFrame
+    pairs: DataFrame
+    hot: np.ndarray
+
+    @property
+    def tokens(self) -> int:
+        return self.vocabulary.tokens
+
+
+def _lookup(names: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float = 0) -> np.ndarray:
+    """values of wanted among ascending names, default where absent."""
+    if not len(names):
+        return np.full(len(wanted), default, values.dtype)
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return np.where(names[at] == wanted, values[at], default)
+
+
+def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(names + np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
 
 
-def _row(bucket: int, kind: int, chunk: int, data: bytes) -> tuple:
-    return bucket, kind, chunk, data
+def _split(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The ranges of equal values of an ascending array."""
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield int(bucket[a]), slice(int(a), int(b))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "kind", "chunk", "data"])
+    """(bucket, target, kind, chunk, data)"""
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "target", "kind", "chunk", "data"])
 
 
-class Chunk:
-    """The tokens of some documents: distinct words, each token's place among them, and the order - 1 words before each token."""
+def _of(rows: pa.Table, kind: int) -> list[bytes]:
+    return [d for k, d in zip(rows.column("kind").to_pylist(), rows.column("data").to_pylist(), strict=True) if k == kind]
 
-    def __init__(self, ids: list[np.ndarray], counts: list[np.ndarray], order: int = 2):
-        count = np.concatenate(counts)
-        last = np.cumsum(count + 1) - 1
-        w = np.full(int(last[-1]) + 1 if len(last) else 0, END, np.uint64)
-        inner = np.ones(len(w), bool)
-        inner[last] = False
-        w[inner] = np.concatenate(ids)
-        self.names, word = np.unique(w, return_inverse=True)
-        self.word = word.astype(np.int32)
-        self.columns = [self.word]
-        for _ in range(order - 1):
-            before = np.empty_like(self.word)
-            before[1:] = self.columns[-1][:-1]
-            before[last - count] = len(self.names)
-            self.columns.append(before)
-        self.names = np.append(self.names, np.uint64(START))
-        self.doc = np.repeat(np.arange(len(count), dtype=np.int32), count + 1)
-        self.count = count
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], order: int = 2) -> Iterator[tuple[Chunk, list[pa.Array]]]:
-    """Documents in chunks of about CHUNK_TOKENS tokens, with the first column's values. The text is the last column."""
-    ids, counts, firsts, n = [], [], [], 0
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(name of every word, words per text, rows) of some rows at a time; the text is the last column."""
     for batch in batches:
         texts = as_text(batch.column(batch.num_columns - 1))
         for lo, hi in text_slices(texts):
-            own, count = word_ids(texts[lo:hi])
-            ids.append(own)
-            counts.append(count)
-            firsts.append(batch.column(0)[lo:hi])
-            n += len(own) + len(count)
-            if n >= CHUNK_TOKENS:
-                yield Chunk(ids, counts, order), firsts
-                ids, counts, firsts, n = [], [], [], 0
-    if counts:
-        yield Chunk(ids, counts, order), firsts
+            data, start, end, _, count = split_words(texts[lo:hi])
+            yield hash_spans(data, start, end, 3) >> np.uint64(1), count, batch.slice(lo, hi - lo)
 
 
-def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """The ranges of an ascending array of bucket numbers that hold something."""
-    edge = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edge)).tolist():
-        yield b, slice(int(edge[b]), int(edge[b + 1]))
+# words
 
 
 def _count_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _ in _chunks(batches):
-            names = chunk.names[:-1]
-            count = np.bincount(chunk.word, minlength=len(names))
-            bucket = _bucket(names, buckets)
+        def counted(names: list[np.ndarray], docs: int) -> pa.RecordBatch:
+            found, count = np.unique(np.concatenate([*names, np.full(docs, END_NAME)]), return_counts=True)
+            bucket = _bucket(found, buckets)
             order = np.argsort(bucket, kind="stable")
-            rows = [_row(b, WORDS, 0, dump(Near(names[order[s]]), count[order[s]])) for b, s in _split(bucket[order], buckets)]
-            yield _rows(rows)
+            rows = [(b, dump(Near(found[order[s]]), count[order[s]])) for b, s in _split(bucket[order])]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["target", "data"])
+
+        names, docs, n = [], 0, 0
+        for own, count, _ in _slices(batches):
+            names.append(own)
+            docs, n = docs + len(count), n + len(own) + len(count)
+            if n >= CHUNK_TOKENS:
+                yield counted(names, docs)
+                names, docs, n = [], 0, 0
+        if n:
+            yield counted(names, docs)
 
     return run
 
 
-def _merge_words(rows: pa.Table) -> pa.Table:
-    """One row per bucket: all its words with counts, counts of counts, and its most frequent words."""
-    names, counts = (np.concatenate(x) for x in zip(*(load(d) for d in rows.column("data").to_pylist()), strict=True))
-    names, at = np.unique(names, return_inverse=True)
-    counts = np.bincount(at, counts.astype(np.float64)).astype(np.uint64)
-    top = np.argsort(counts)[::-1][:16]
-    seen = np.bincount(np.minimum(counts, MOST_DISCOUNTED + 2).astype(np.int64), minlength=MOST_DISCOUNTED + 3)
-    return pa.table({
-        "bucket": rows.column("bucket")[:1], "data": pa.array([dump(Near(names), counts)], pa.binary()), "tokens": pa.array([int(counts.sum())]),
-        "types": pa.array([len(names)]), "seen": pa.array([seen[1 : MOST_DISCOUNTED + 2].tolist()]),
-        "top": pa.array([names[top].astype(np.int64).tolist()]), "top_count": pa.array([counts[top].astype(np.int64).tolist()])})
+def _merge_words(most: int):
+    """One row per word bucket: all its words with counts, counts of counts, and its most frequent words, `most` of them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        names, counts = (np.concatenate(x) for x in zip(*(load(d) for d in rows.column("data").to_pylist()), strict=True))
+        names, at = np.unique(names, return_inverse=True)
+        counts = np.bincount(at, counts.astype(np.float64)).astype(np.uint64)
+        top = np.argsort(counts, kind="stable")[::-1][:most]
+        top = np.sort(top[(counts[top] > 1) | (names[top] == END_NAME)])
+        seen = np.bincount(np.minimum(counts, MOST_DISCOUNTED + 2).astype(np.int64), minlength=MOST_DISCOUNTED + 3)
+        return pa.table({
+            "target": rows.column("target")[:1], "data": pa.array([dump(Near(names), counts)], pa.binary()), "tokens": pa.array([int(counts.sum())]),
+            "types": pa.array([len(names)]), "seen": pa.array([seen[1 : MOST_DISCOUNTED + 2].tolist()]), "top": pa.array([dump(Near(names[top]), counts[top])], pa.binary())})
 
+    return run
 
-def _gram_rows(chunk: Chunk, buckets: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens in the order of (bucket, word, word before, ...): (ascending buckets, order)."""
-    token_bucket = _bucket(chunk.names, buckets)[chunk.word]
-    spread = np.isin(chunk.names, hot)[chunk.word]
-    token_bucket[spread] = _spread(chunk.names, buckets)[chunk.columns[1][spread]]
-    key = (token_bucket << 48) | (chunk.word.astype(np.int64) << 24) | chunk.columns[1]
-    order = np.argsort(key)
-    for column in chunk.columns[2:]:
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
-        key = (rank << 24) | column
-        order = np.argsort(key)
-    return token_bucket[order], order
 
+def _sum_lists(df: DataFrame, column: str, n: int) -> list[int]:
+    row = df.agg(*(F.coalesce(F.sum(F.get(column, F.lit(k))), F.lit(0)) for k in range(n))).first()
+    return [int(x) for x in row]
 
-def _first(values: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+def _even_labels(spark: SparkSession, buckets: int) -> np.ndarray:
+    """Numbers that Spark's hash partitioning deals one to a partition."""
+    numbers = spark.range(40 * buckets + 400).select(F.col("id").cast("int").alias("n"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(buckets)).alias("p"))
+    found = {r.p: r.n for r in numbers.groupBy("p").agg(F.min("n").alias("n")).collect()}
+    spare = iter(range(40 * buckets + 400, 41 * buckets + 401))
+    return np.array([found.get(p) if p in found else next(spare) for p in range(buckets)], np.int32)
+
+
+def count_words(texts: DataFrame, order: int, buckets: int | None) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary of the column text of all rows, and the table of all words with counts. The driver gets the dictionary, of ESCAPE words at most."""
+    spark = texts.sparkSession
+    word_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = "target int, data binary, tokens long, types long, seen array<long>, top binary"
+    counted = stored(texts.select("text").mapInArrow(_count_words(word_buckets), "target int, data binary").groupBy("target").applyInArrow(_merge_words(-(-(ESCAPE - 3) // word_buckets)), kinds), "words")
+    tokens, types = (int(x) for x in counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first())
+    seen = _sum_lists(counted, "seen", MOST_DISCOUNTED + 1)
+    d1 = discounts(seen)
+    freed = float(sum((1 - d1[r]) * r * seen[r - 1] for r in range(1, MOST_DISCOUNTED + 1)))
+    total = tokens if freed else tokens + 1
+    left = freed / tokens if freed else 1 / total
+    top = [load(bytes(r.top)) for r in counted.select("top").collect()]
+    names = np.concatenate([np.zeros(0, np.uint64), *(t[0] for t in top)])
+    counts = np.concatenate([np.zeros(0, np.uint64), *(t[1] for t in top)]).astype(np.int64)
+    docs = int(counts[names == END_NAME].sum())
+    names, counts = names[names != END_NAME], counts[names != END_NAME]
+    order_ = np.lexsort((names, -counts))[: ESCAPE - 3]
+    names, counts = np.concatenate([[END_NAME], names[order_]]), np.concatenate([[docs], counts[order_]])
+    codes = np.arange(1, len(names) + 1, dtype=np.uint64)
+    ascending = np.argsort(names)
+    counts = np.concatenate([[0], counts])
+    n = buckets or max(word_buckets, -(-tokens // BUCKET_TOKENS))
+    hot = counts * HOT * n > tokens
+    hot[0], hot[1] = docs * HOT * n > tokens, False  # the end precedes nothing
+    vocabulary = Vocabulary(order, names[ascending], codes[ascending], counts, hot[: int(np.flatnonzero(hot).max(initial=0)) + 1], tokens, types, d1, total, left, word_buckets, _even_labels(spark, n))
+    return vocabulary, counted.select("target", "data")
+
+
+# tokens to buckets
+
+
+class Chunk:
+    """The tokens of some documents in the order (bucket, w1, w, w2, w3, ...): bucket numbers, the columns as places among ascending codes, and documents."""
+
+    def __init__(self, v: Vocabulary, names: list[np.ndarray], counts: list[np.ndarray]):
+        self.count = np.concatenate(counts)
+        last = np.cumsum(self.count + 1) - 1
+        w = np.full(int(last[-1]) + 1 if len(last) else 0, END_NAME, np.uint64)
+        inner = np.ones(len(w), bool)
+        inner[last] = False
+        w[inner] = np.concatenate(names)
+        found, word = np.unique(w, return_inverse=True)
+        codes = v.encode(found)
+        place = np.argsort(codes)
+        self.codes = np.concatenate([[START], codes[place]])
+        rank = np.empty(len(place), np.int32)
+        rank[place] = np.arange(1, len(place) + 1)
+        word = rank[word]
+        columns = [word]
+        for _ in range(max(v.order - 1, 2)):
+            before = np.empty_like(word)
+            before[1:] = columns[-1][:-1]
+            before[last - self.count] = 0
+            columns.append(before)
+        n, hot = np.uint64(len(v.labels)), v.is_hot(self.codes)[columns[1]]
+        by_word = (mix(self.codes + np.uint64(7)) % n).astype(np.int32)
+        bucket = by_word[columns[1]]
+        bucket[hot] = (mix(self.codes[columns[1][hot]] * np.uint64(0x9E3779B97F4A7C15) ^ self.codes[columns[2][hot]]) % n).astype(np.int32)
+        ordered = [columns[1], columns[0], *columns[2 : v.order]]
+        bits = int(len(self.codes)).bit_length()
+        if len(v.labels).bit_length() + 2 * bits > 63:
+            order = np.lexsort((*ordered[::-1], bucket))
+        else:
+            key = (bucket.astype(np.int64) << 2 * bits) | (ordered[0].astype(np.int64) << bits) | ordered[1]
+            order = np.argsort(key)
+            for column in ordered[2:]:
+                rank = np.empty(len(key), np.int64)
+                rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
+                key = (rank << bits) | column
+                order = np.argsort(key)
+        self.bucket, self.columns = bucket[order], [c[order] for c in ordered]
+        self.doc = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count + 1)[order]
 
 
 def _levels(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -208,460 +297,497 @@ def _levels(columns: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _up(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
-    """For every start of a longer combination, the number of the shorter one that it lies in."""
-    return np.searchsorted(outer, inner, "right") - 1
+def _sizes(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """How many longer combinations every shorter one has."""
+    return np.diff(np.append(np.searchsorted(inner, outer), len(inner)))
 
 
-def _nest(columns: list[np.ndarray]) -> list[np.ndarray | Near]:
-    """Sorted distinct rows of ids for dump: each combination once, with how many longer ones it has; from the third column on as places in a list."""
+def _nest(columns: list[np.ndarray]) -> list[np.ndarray | Codes]:
+    """Sorted distinct rows of codes for dump: each combination once, with how many longer ones it has."""
     firsts = _levels(columns)
-    out: list[np.ndarray | Near] = [Near(columns[0][firsts[0]])]
+    out: list[np.ndarray | Codes] = [Codes(columns[0][firsts[0]], True)]
     for k in range(1, len(columns)):
-        out.append(np.bincount(_up(firsts[k], firsts[k - 1]), minlength=len(firsts[k - 1])))
-        own = columns[k][firsts[k]]
-        if k == 1:
-            out.append(Near(own))
-        else:
-            names, at = np.unique(own, return_inverse=True)
-            out += [Near(names), at]
+        out += [_sizes(firsts[k], firsts[k - 1]), Codes(columns[k][firsts[k]], k == 1)]
     return out
 
 
 def _flat(parts: list[np.ndarray], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """(columns, what follows them in parts), the inverse of _nest for `width` columns."""
-    columns, at = [parts[0]], 1
+    columns = [parts[0]]
     for k in range(1, width):
-        per = parts[at].astype(np.int64)
-        columns = [np.repeat(c, per) for c in columns]
-        columns.append(parts[at + 1] if k == 1 else parts[at + 1][parts[at + 2].astype(np.int64)])
-        at += 2 if k == 1 else 3
-    return columns, parts[at:]
-
-
-def _keys(columns: list[np.ndarray], firsts: list[np.ndarray]) -> list[np.ndarray]:
-    """64-bit keys of the combinations of every number of leading columns."""
-    out = [mix(columns[0][firsts[0]])]
-    for k in range(1, len(firsts)):
-        out.append(mix(out[-1][_up(firsts[k], firsts[k - 1])] + columns[k][firsts[k]]))
-    return out
+        per = parts[2 * k - 1].astype(np.int64)
+        columns = [np.repeat(c, per) for c in columns] + [parts[2 * k]]
+    return columns, parts[2 * width - 1 :]
 
 
-def _count_grams(order: int, buckets: int, hot: np.ndarray, with_docs: bool):
-    """One row per chunk and bucket: its n-grams, tokens per n-gram and, to score, each token's document."""
+def _deal(v: Vocabulary):
+    """One row per chunk and bucket: its n-grams, how often each occurs in training and altogether, and each token's document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (chunk, firsts) in enumerate(_chunks(batches, order)):
-            name = TaskContext.get().partitionId() << 24 | number
-            bucket, place = _gram_rows(chunk, buckets, hot)
-            rows = []
-            for b, s in _split(bucket, buckets):
-                own = place[s]
-                columns = [c[own] for c in chunk.columns]
+        def dealt(number: int, names: list[np.ndarray], counts: list[np.ndarray], rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            chunk, name = Chunk(v, names, counts), TaskContext.get().partitionId() << 24 | number
+            train = np.concatenate([np.asarray(r.column(1).fill_null(False)) for r in rows])
+            out = []
+            for b, s in _split(chunk.bucket):
+                columns = [c[s] for c in chunk.columns]
                 at = _levels(columns)[-1]
-                parts = [*_nest([chunk.names[c[at]] for c in columns]), np.diff(np.append(at, len(own)))]
-                rows.append(_row(b, PAIRS, name, dump(*parts, *([chunk.doc[own]] if with_docs else []))))
-            yield _rows(rows)
-            if with_docs:
-                ids = pa.concat_arrays(firsts).cast(pa.int64())
-                known = np.asarray(ids.is_valid())
-                ids = np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64)
-                yield _rows([_row(name % buckets, DOCS, name, dump(ids, known, chunk.count + 1))])
+                doc = chunk.doc[s]
+                n, held = np.diff(np.append(at, len(doc))), np.add.reduceat((~train[doc]).astype(np.int64), at)
+                out.append((int(v.labels[b]), 0, PAIRS, name, dump(*_nest([chunk.codes[c[at]] for c in columns]), n, held, doc)))
+            ids = pa.concat_arrays([r.column(0) for r in rows]).cast(pa.int64())
+            known = np.asarray(ids.is_valid())
+            ids = np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64)
+            out.append((int(v.labels[name % len(v.labels)]), 0, DOCS, name, dump(ids, known, chunk.count + 1)))
+            return _rows(out)
+
+        names, counts, rows, n, number = [], [], [], 0, 0
+        for own, count, part in _slices(batches):
+            names.append(own)
+            counts.append(count)
+            rows.append(part)
+            n += len(own) + len(count)
+            if n >= CHUNK_TOKENS:
+                yield dealt(number, names, counts, rows)
+                names, counts, rows, n, number = [], [], [], 0, number + 1
+        if n:
+            yield dealt(number, names, counts, rows)
 
     return run
 
 
-def _of(rows: pa.Table, kind: int) -> list[bytes]:
-    return [d for k, d in zip(rows.column("kind").to_pylist(), rows.column("data").to_pylist(), strict=True) if k == kind]
+def bucketed(df: DataFrame, buckets: int, what: str) -> DataFrame:
+    """df (rows of ROW and more) written once as a table of so many buckets by the column bucket, and read back."""
+    from assayer.llm.scratch import CLEANUP, new_folder
 
-
-def _lookup(names: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float = 0.0) -> np.ndarray:
-    """values of wanted among ascending names, default where absent."""
-    if not len(names):
-        return np.full(len(wanted), default, values.dtype)
-    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
-    return np.where(names[at] == wanted, values[at], default)
+    spark, name = df.sparkSession, f"katz_{what}_{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.option("compression", "zstd").option("path", f"{new_folder(spark)}/{what}").bucketBy(buckets, "bucket").saveAsTable(name)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.table(name)
 
 
-def _merge_grams(order: int, hot: np.ndarray, hot_count: np.ndarray):
-    """One row per bucket: all its n-grams with counts, the counts of their last words, and per order from two the counts of counts."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        words = [load(d) for d in _of(rows, WORDS)]
-        parts = [_flat(load(d), order) for d in _of(rows, PAIRS)]
-        if not parts:
-            return pa.table({"bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary()), "seen": pa.array([], pa.list_(pa.int64()))})
-        columns = [np.concatenate([x[0][k] for x in parts]) for k in range(order)]
-        c = np.concatenate([x[1][0] for x in parts])
-        place = np.lexsort(columns[::-1])
-        columns = [x[place] for x in columns]
-        at = _levels(columns)[-1]
-        c = np.add.reduceat(c[place], at)
-        columns = [x[at] for x in columns]
-        firsts = _levels(columns)
-        own = columns[0][firsts[0]]
-        count = _lookup(*words[0], own) if words else np.zeros(len(own), np.uint64)
-        count = np.maximum(count, _lookup(hot, hot_count, own))
-        seen = []
-        for f in firsts[1:]:
-            seen += np.bincount(np.minimum(np.add.reduceat(c, f), MOST_DISCOUNTED + 2).astype(np.int64), minlength=MOST_DISCOUNTED + 3)[1 : MOST_DISCOUNTED + 2].tolist()
-        return pa.table({"bucket": rows.column("bucket")[:1], "data": pa.array([dump(*_nest(columns), c, count)], pa.binary()), "seen": pa.array([seen], pa.list_(pa.int64()))})
+def deal_tokens(docs: DataFrame, train: Column, v: Vocabulary) -> DataFrame:
+    """The tokens of docs (doc_id, text) by bucket; train tells which documents count in a fit (null: not)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text").mapInArrow(_deal(v), ROW)
+    return bucketed(rows.repartition(len(v.labels), "bucket"), len(v.labels), "tokens")
 
-    return run
 
+# counts
 
-def _sum_histories(order: int, lengths: range, buckets: int, hot: np.ndarray, d: list[np.ndarray], total: int, left: float):
-    """Per bucket of grams, for every history of so many words: mass that discounts free, and mass of the words seen after it without its first word.
 
-    For one word the latter is unigram mass; for more it has yet to be divided by the shorter history's denominator.
-    """
+def _dense(columns: list[np.ndarray], rare: np.ndarray) -> list[np.ndarray]:
+    """Codes as numbers in the same order: those outside the dictionary follow it by their place in ascending rare."""
+    return [np.where(c < ESCAPE, c, ESCAPE + np.searchsorted(rare, c)).astype(np.int64) for c in columns]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                columns, (c, count) = _flat(load(data), order)
-                firsts = _levels(columns)
-                for k in lengths:
-                    f, up = firsts[k], _up(firsts[k], firsts[k - 1])
-                    own = np.add.reduceat(c, f)
-                    lower = unigram(count, d[0], total, left) if k == 1 else _factor(s := np.add.reduceat(c, firsts[k - 1]), d[k - 1]) * s
-                    if k == 1:
-                        names, one, at = np.unique(columns[1][f], return_index=True, return_inverse=True)
-                        bucket = _bucket(names, buckets)
-                    else:
-                        key = mix(columns[1][f])
-                        for x in columns[2 : k + 1]:
-                            key = mix(key + x[f])
-                        names, one, at = np.unique(key, return_index=True, return_inverse=True)
-                        last, before = columns[1][f][one], columns[2][f][one]
-                        bucket = np.where(np.isin(last, hot), _spread(before, buckets), _bucket(last, buckets))
-                    free = np.bincount(at, np.where(own <= MOST_DISCOUNTED, (1 - _factor(own, d[k])) * own, 0.0))
-                    mass = np.bincount(at, lower[up])
-                    place = np.argsort(bucket, kind="stable")
-                    names = names[place]
-                    yield _rows([_row(b, OPEN, k, dump(Near(names[s]) if k == 1 else names[s], free[place[s]], mass[place[s]])) for b, s in _split(bucket[place], buckets)])
 
-    return run
+def _rare(columns: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([c[c >= ESCAPE] for c in columns]))
 
 
-def _start_key(length: int) -> np.uint64:
-    one = np.array([START], np.uint64)
-    key = mix(one)
-    for _ in range(length - 1):
-        key = mix(key + one)
-    return key[0]
+def _sorted_rows(columns: list[np.ndarray]) -> np.ndarray:
+    bits = int(max(int(c.max(initial=0)) for c in columns)).bit_length()
+    if bits * len(columns) > 63:
+        return np.lexsort(columns[::-1])
+    key = columns[0]
+    for c in columns[1:]:
+        key = (key << bits) | c
+    return np.argsort(key)
 
 
-def _finish_histories(order: int, hot: np.ndarray, hot_values: np.ndarray):
-    """Two rows per bucket: its n-grams with counts; its shorter ones from two words on as histories, with log10 of denominator and of denominator times alpha.
+def _merge_grams(v: Vocabulary):
+    """Per bucket: its n-grams with training counts, counts of counts of the orders from two, and what it asks of word buckets.
 
-    starts: (length, freed mass, mass) of histories that are nothing but the start.
+    It asks for the counts of words outside the dictionary, and of the pairs of a hot word and the word after it, of which
+    it gives its own part. Pairs of hot words are counted where they are summed up.
     """
+    width = v.order
 
     def run(rows: pa.Table) -> pa.Table:
-        bucket, grams = rows.column("bucket")[0].as_py(), _of(rows, GRAMS)
-        asked: dict[int, list] = {}
-        for kind, k, data in zip(*(rows.column(x).to_pylist() for x in ("kind", "chunk", "data")), strict=True):
-            if kind == OPEN:
-                asked.setdefault(k, []).append(load(data))
-        starts = []
-        for k, parts in asked.items():
-            bare = _start_key(k)
-            starts += [float(x) for p in parts for i in np.flatnonzero(p[0] == bare) for x in (k, p[1][i], p[2][i])]
-        out = []
-        if grams:
-            columns, (c, _) = _flat(load(grams[0]), order)
-            out.append((GRAMS, dump(*_nest(columns), c)))
-            firsts = _levels(columns)[:-1]
-            keys = _keys(columns, firsts)
-            own = columns[0][firsts[0]]
-            words = [load(d) for d in _of(rows, WORDS)]
-            deep = _lookup(words[0][0], unfixed(words[0][2]), own) if words else np.zeros(len(own))
-            below = np.rint(10.0 ** np.where(np.isin(own, hot), _lookup(hot, hot_values[:, 1], own), deep))
-            values = []
-            for k in range(2, order):
-                total = np.add.reduceat(c, firsts[k - 1]).astype(np.float64)
-                sort = np.argsort(keys[k - 1])
-                ordered = keys[k - 1][sort]
-                free, mass = np.zeros(len(total)), np.zeros(len(total))
-                for key, f, m in asked.get(k, []):
-                    at = np.minimum(np.searchsorted(ordered, key), len(ordered) - 1)
-                    hit = ordered[at] == key
-                    free[sort[at[hit]]] += f[hit]
-                    mass[sort[at[hit]]] += m[hit]
-                bare = free <= 0
-                total, free = total + bare, np.where(bare, 1.0, free)
-                values += [fixed(np.log10(total)), fixed(np.log10(free / np.maximum(1 - mass / below[_up(firsts[k - 1], firsts[k - 2])], 1e-300)))]
-                below = total
-            out.append((HISTORIES, dump(*_nest([x[firsts[-1]] for x in columns[:-1]]), *values)))
-        if not out:
-            out.append((PART, b""))
-        return pa.table({
-            "bucket": pa.array([bucket] * len(out), pa.int32()), "kind": pa.array([k for k, _ in out], pa.int32()), "chunk": pa.array([0] * len(out), pa.int64()),
-            "data": pa.array([d for _, d in out], pa.binary()), "starts": pa.array([starts] + [[]] * (len(out) - 1), pa.list_(pa.float64()))})
+        own_bucket = rows.column("bucket")[0].as_py()
+        parts = [_flat(load(d), width) for d in _of(rows, PAIRS)]
+        out, seen = [], [0] * ((width - 1) * (MOST_DISCOUNTED + 1))
+        if parts:
+            columns = [np.concatenate([p[0][k] for p in parts]) for k in range(width)]
+            c = np.concatenate([p[1][0] - p[1][1] for p in parts]).astype(np.int64)
+            place = _sorted_rows(_dense(columns, _rare(columns)))
+            columns, c = [x[place] for x in columns], c[place]
+            at = _levels(columns)[-1]
+            columns, c = [x[at] for x in columns], np.add.reduceat(c, at)
+            first = _levels(columns[:2])[1]
+            w1, w, two = columns[0][first], columns[1][first], np.add.reduceat(c, first)
+            hot = v.is_hot(w1)
+            rare = np.unique(w[w >= ESCAPE])
+            asked = np.concatenate([np.zeros(len(rare), np.uint64), w1[hot] + np.uint64(1)])  # 0: the word alone
+            word, part = np.concatenate([rare, w[hot]]), np.concatenate([np.zeros(len(rare), np.int64), two[hot]])
+            target = v.word_bucket(word)
+            order = np.lexsort((word, asked, target))
+            for t, s in _split(target[order]):
+                o = order[s]
+                out.append((own_bucket, t, ASKED, 0, dump(asked[o], Codes(word[o]), part[o])))
+            real = c > 0
+            if real.any():
+                columns, c = [x[real] for x in columns], c[real]
+                out.append((own_bucket, 0, GRAMS, 0, dump(*_nest(columns), c)))
+                seen = []
+                for k, f in enumerate(_levels(columns)[1:], 1):
+                    count = np.add.reduceat(c, f)
+                    count = count[~v.is_hot(columns[0][f])] if k == 1 else count
+                    seen += np.bincount(np.minimum(count, MOST_DISCOUNTED + 2), minlength=MOST_DISCOUNTED + 3)[1 : MOST_DISCOUNTED + 2].tolist()
+        table_ = pa.Table.from_batches([_rows(out)])
+        return table_.append_column("seen", pa.array([seen] + [[]] * (len(out) - 1) if out else [], pa.list_(pa.int64())))
 
     return run
 
 
-def _finish_words(hot: np.ndarray, starts: int):
-    """One row per bucket: word, count, log10 of its denominator as a context, log10 of denominator times alpha."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        words = [load(d) for d in _of(rows, WORDS)]
-        names, count = words[0] if words else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-        parts = [load(d) for d in _of(rows, OPEN)]
-        h = np.concatenate([x[0] for x in parts]) if parts else np.zeros(0, np.uint64)
-        all_names = np.unique(np.concatenate([names, h]))
-        at = np.searchsorted(all_names, h)
-        free = np.bincount(at, np.concatenate([x[1] for x in parts]) if parts else None, len(all_names))
-        mass = np.bincount(at, np.concatenate([x[2] for x in parts]) if parts else None, len(all_names))
-        count = _lookup(names, count, all_names)
-        total = np.where(all_names == START, float(starts), count.astype(np.float64))
-        bare = free <= 0
-        total, free = total + bare, np.where(bare, 1.0, free)
-        deep, back = np.log10(np.maximum(total, 1.0)), np.log10(free / np.maximum(1 - mass, 1e-300))
-        mine = np.isin(all_names, hot)
-        return pa.table({
-            "bucket": rows.column("bucket")[:1], "kind": pa.array([WORDS], pa.int32()), "chunk": pa.array([0], pa.int64()),
-            "data": pa.array([dump(Near(all_names), count, fixed(deep), fixed(back))], pa.binary()),
-            "hot": pa.array([all_names[mine].astype(np.int64).tolist()], pa.list_(pa.int64())),
-            "hot_values": pa.array([np.stack([count[mine], deep[mine], back[mine]], 1).ravel().tolist()], pa.list_(pa.float64()))})
+def _answer(v: Vocabulary):
+    """Per word bucket: for every asking bucket the counts it wants; the sums of pairs, for other askers; and, per hot word,
+    what its backoff weight needs: how many words follow it 1, 2, ... times, its total, and their unigram mass."""
+    hot_words = len(v.hot)
+
+    def run(key: tuple, words: pa.Table, asks: pa.Table) -> pa.Table:
+        target = key[0].as_py()
+        names, counts = load(words.column("data")[0].as_py()) if words.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        parts = [load(d) for d in asks.column("data").to_pylist() if d]
+        out, seen = [], np.zeros(MOST_DISCOUNTED + 1, np.int64)
+        stats = np.zeros((hot_words, MOST_DISCOUNTED + 2))
+        if parts:
+            asked, word = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            part = np.concatenate([p[2] for p in parts]).astype(np.int64)
+            place = np.lexsort((word, asked))
+            change = np.concatenate([[True], (asked[place][1:] != asked[place][:-1]) | (word[place][1:] != word[place][:-1])])
+            first = np.flatnonzero(change)
+            one, two, total = asked[place][first], word[place][first], np.add.reduceat(part[place], first)
+            small = two < ESCAPE
+            count = np.where(small, v.counts[np.where(small, two, 0).astype(np.int64)], _lookup(names, counts, two & ~RARE).astype(np.int64))
+            pair = one > 0
+            total[~pair] = count[~pair]
+            back = np.empty(len(place), np.int64)
+            back[place] = np.cumsum(change) - 1
+            edge = np.cumsum([0, *(len(p[0]) for p in parts)])
+            for b, lo, hi in zip(asks.column("bucket").to_pylist(), edge[:-1], edge[1:], strict=True):
+                out.append((b, target, REPLY, 0, dump(total[back[lo:hi]])))
+            seen_pair = pair & (total > 0)
+            h, c = (one[seen_pair] - np.uint64(1)).astype(np.int64), total[seen_pair]
+            seen = np.bincount(np.minimum(c, MOST_DISCOUNTED + 2), minlength=MOST_DISCOUNTED + 3)[1 : MOST_DISCOUNTED + 2]
+            for r in range(1, MOST_DISCOUNTED + 1):
+                stats[:, r - 1] = np.bincount(h[c == r], minlength=hot_words)
+            stats[:, -2], stats[:, -1] = np.bincount(h, c, hot_words), np.bincount(h, v.unigram(count[seen_pair]), hot_words)
+            out.append((-1, target, PAIRS, 0, dump(one[seen_pair], Codes(two[seen_pair]), c)))
+        used = np.flatnonzero(stats[:, -2])
+        table_ = pa.Table.from_batches([_rows(out)])
+        empty = [[]] * (len(out) - 1) if out else []
+        more = {"seen": [seen.tolist()] + empty, "hot": [used.tolist()] + empty, "stats": [stats[used].tolist()] + empty}
+        for name, kind in (("seen", pa.int64()), ("hot", pa.int64()), ("stats", pa.list_(pa.float64()))):
+            table_ = table_.append_column(name, pa.array(more[name] if out else [], pa.list_(kind)))
+        return table_
 
     return run
 
 
-def _sum_lists(df: DataFrame, column: str, n: int) -> list[int]:
-    row = df.agg(*(F.coalesce(F.sum(F.element_at(column, k + 1)), F.lit(0)) for k in range(n))).first()
-    return [int(x) for x in row]
+def _recall(v: Vocabulary):
+    """Per word bucket, for tokens that had no part in the fit: the same counts from the words and the sums of pairs."""
+
+    def run(key: tuple, known: pa.Table, asks: pa.Table) -> pa.Table:
+        target, out = key[0].as_py(), []
+        words = [load(d) for d in _of(known, DOCS)]
+        names, counts = words[0] if words else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        pairs = [load(d) for d in _of(known, PAIRS)]
+        one, two, total = pairs[0] if pairs else (np.zeros(0, np.uint64),) * 3
+        keys = mix(mix(one) + two)
+        order = np.argsort(keys)
+        for b, data in zip(asks.column("bucket").to_pylist(), asks.column("data").to_pylist(), strict=True):
+            asked, word, _ = load(data)
+            found = np.where(asked > 0, _lookup(keys[order], total[order], mix(mix(asked) + word)), _lookup(names, counts, word & ~RARE))
+            out.append((b, target, REPLY, 0, dump(found)))
+        return pa.Table.from_batches([_rows(out)])
 
+    return run
 
-def fit_katz(texts: DataFrame, buckets: int | None = None, order: int = 2) -> KatzModel:
-    """Learns from the column text of all rows of texts (null: empty). buckets: by default the shuffle partitions. order: words of an n-gram, from 2.
 
-    Three shuffles, and one more above order two: words by bucket, n-grams by their last word's bucket, per-history
-    sums by the history's bucket. Each is counted within tasks first, so a frequent word costs a task one entry. The driver gets sums and up to
-    16 frequent words a bucket.
-    """
-    if order < 2:
-        raise ValueError("order must be two or more")
-    spark = texts.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    only = texts.select(F.lit(0).alias("one"), "text")
-    kinds = "bucket int, data binary, tokens long, types long, seen array<long>, top array<long>, top_count array<long>"
-    counted = stored(only.mapInArrow(_count_words(buckets), ROW).groupBy("bucket").applyInArrow(_merge_words, kinds), "word_counts")
-    tokens, types = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    seen = _sum_lists(counted, "seen", MOST_DISCOUNTED + 1)
-    d1 = discounts(seen)
-    freed = float(sum((1 - d1[r]) * r * seen[r - 1] for r in range(1, MOST_DISCOUNTED + 1)))
-    total = int(tokens) if freed else int(tokens) + 1
-    left = freed / tokens if freed else 1 / total
-    top = counted.select(F.explode(F.arrays_zip("top", "top_count")).alias("t")).select("t.*").where(F.col("top_count") * HOT * buckets > tokens).collect()
-    hot = np.array(sorted({START, *(r.top for r in top)}), np.uint64)
-    ends = counted.where(F.col("bucket") == int(_bucket(np.array([END], np.uint64), buckets)[0])).select("data").first()
-    starts = int(_lookup(*load(bytes(ends.data)), np.array([END], np.uint64))[0]) if ends else 0
-    by_name = {r.top: r.top_count for r in top}
-    hot_count = np.array([by_name.get(int(x), starts if int(x) == START else 0) for x in hot], np.uint64)
-    words = counted.select("bucket", F.lit(WORDS).alias("kind"), F.lit(0).cast("long").alias("chunk"), "data")
-    counts = only.mapInArrow(_count_grams(order, buckets, hot, False), ROW).unionAll(words)
-    grams = stored(counts.groupBy("bucket").applyInArrow(_merge_grams(order, hot, hot_count), "bucket int, data binary, seen array<long>"), "grams")
-    seen, n = _sum_lists(grams, "seen", (order - 1) * (MOST_DISCOUNTED + 1)), MOST_DISCOUNTED + 1
-    d = [d1, *(discounts(seen[k * n : k * n + n]) for k in range(order - 1))]
-    sums = grams.select("data").mapInArrow(_sum_histories(order, range(1, 2), buckets, hot, d, total, left), ROW).unionAll(words)
-    finished = stored(sums.groupBy("bucket").applyInArrow(_finish_words(hot, starts), f"{ROW}, hot array<long>, hot_values array<double>"), "words")
-    values = {}
-    for r in finished.where(F.size("hot") > 0).select("hot", "hot_values").collect():
-        values |= {h: r.hot_values[3 * k : 3 * k + 3] for k, h in enumerate(r.hot)}
-    hot_values = np.array([values.get(int(x), [0.0, 0.0, 0.0]) for x in hot], np.float64)
-    begin = [tuple(hot_values[hot == START][0, 1:].tolist())]
-    finished, histories = finished.drop("hot", "hot_values"), None
-    grams = grams.select("bucket", F.lit(GRAMS).alias("kind"), F.lit(0).cast("long").alias("chunk"), "data")
-    if order > 2:
-        sums = grams.select("data").mapInArrow(_sum_histories(order, range(2, order), buckets, hot, d, total, left), ROW)
-        both = stored(sums.unionAll(finished).unionAll(grams).groupBy("bucket").applyInArrow(_finish_histories(order, hot, hot_values), f"{ROW}, starts array<double>"), "histories")
-        found = [r.starts for r in both.where(F.size("starts") > 0).select("starts").collect()]
-        for k in range(2, order):
-            free, mass = (sum(x[i + j] for x in found for i in range(0, len(x), 3) if x[i] == k) for j in (1, 2))
-            count = max(starts + (free <= 0), 1)
-            begin.append((float(np.log10(count)), float(np.log10((free if free > 0 else 1.0) / max(1 - mass / round(10 ** begin[-1][0]), 1e-300)))))
-        both = both.drop("starts")
-        grams, histories = both.where(F.col("kind") == GRAMS), both.where(F.col("kind") == HISTORIES)
-    return KatzModel(order, buckets, finished, grams, histories, int(tokens), int(types), total, d, left, hot, hot_values, begin)
-
-
-def _history_tables(rows: pa.Table, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per length from two to order - 1: (ascending keys, log10 of denominator, log10 of denominator times alpha)."""
-    for data in _of(rows, HISTORIES):
-        columns, values = _flat(load(data), order - 1)
-        out = []
-        for k, keys in enumerate(_keys(columns, _levels(columns))[1:]):
-            place = np.argsort(keys)
-            out.append((keys[place], unfixed(values[2 * k])[place], unfixed(values[2 * k + 1])[place]))
-        return out
-    return [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))] * (order - 2)
+# histories
+
+
+def _context(v: Vocabulary, rows: pa.Table, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a bucket learned from word buckets: ascending rare words and their counts, ascending keys of hot pairs and their counts."""
+    answers = dict(zip(replies.column("target").to_pylist(), replies.column("data").to_pylist(), strict=True))
+    asked, word, count = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for kind, target, data in zip(*(rows.column(c).to_pylist() for c in ("kind", "target", "data")), strict=True):
+        if kind == ASKED:
+            a, w, _ = load(data)
+            asked.append(a)
+            word.append(w)
+            count.append(load(answers[target])[0])
+    asked, word, count = np.concatenate(asked), np.concatenate(word), np.concatenate(count)
+    alone = asked == 0
+    rare = np.argsort(word[alone])
+    keys = mix(mix(asked[~alone]) + word[~alone])
+    pairs = np.argsort(keys)
+    return word[alone][rare], count[alone][rare], keys[pairs], count[~alone][pairs]
+
+
+def _backoff(total: np.ndarray, free: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the total, one more where discounts free nothing, and of the backoff weight."""
+    bare = free <= 0
+    total, free = total + bare, np.where(bare, 1.0, free)
+    return np.log10(np.maximum(total, 1.0)), np.log10(free / np.maximum(total, 1.0) / np.maximum(1 - mass, 1e-300))
+
+
+@dataclass
+class _Tables:
+    """A bucket's n-grams for lookups. The combination (w1, w, w2, ...) of k columns is the number id of (w1, w, ...) of k - 1 columns and one more word."""
+
+    rare: np.ndarray
+    keys: list[np.ndarray] = field(default_factory=list)
+    counts: list[np.ndarray] = field(default_factory=list)
+
+    def find(self, ids: np.ndarray, word: np.ndarray, level: int) -> np.ndarray:
+        """Numbers of combinations, -1 for those that training lacks (as where ids is)."""
+        keys = self.keys[level]
+        wanted = (ids << 32) | word
+        if not len(keys):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where((ids >= 0) & (word >= 0) & (keys[at] == wanted), at, -1)
+
+    def dense(self, codes: np.ndarray) -> np.ndarray:
+        """As _dense, -1 for words that the bucket's n-grams lack."""
+        if not len(self.rare):
+            return np.where(codes < ESCAPE, codes, np.uint64(0)).astype(np.int64) - (codes >= ESCAPE) * np.int64(1)
+        at = np.minimum(np.searchsorted(self.rare, codes), len(self.rare) - 1)
+        return np.where(codes < ESCAPE, codes.astype(np.int64), np.where(self.rare[at] == codes, ESCAPE + at, -1))
+
+
+def _tables(columns: list[np.ndarray], c: np.ndarray) -> tuple[_Tables, list[np.ndarray], list[np.ndarray]]:
+    """(tables, columns as dense numbers, first rows per level) of ascending n-grams."""
+    rare = _rare(columns)
+    dense = _dense(columns, rare)
+    firsts, t = _levels(columns), _Tables(rare)
+    for k, f in enumerate(firsts):
+        above = np.zeros(len(f), np.int64) if k == 0 else np.repeat(np.arange(len(firsts[k - 1])), _sizes(f, firsts[k - 1]))
+        t.keys.append((above << 32) | dense[k][f])
+        t.counts.append(np.add.reduceat(c, f))
+    return t, dense, firsts
+
+
+def _histories(v: Vocabulary, d: list[np.ndarray], hot: np.ndarray):
+    """Per bucket: its n-grams, what it learned from word buckets, and per length of history its words, log10 of totals and of backoff weights."""
+    order = v.order
+
+    def run(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        rare, rare_count, pairs, pair_count = _context(v, rows, replies)
+        out = [(bucket, 0, CONTEXT, 0, dump(Codes(rare), rare_count, pairs, pair_count))]
+        for data in _of(rows, GRAMS):
+            columns, (c,) = _flat(load(data), order)
+            c = c.astype(np.int64)
+            firsts = _levels(columns)
+            first, two = firsts[1], np.add.reduceat(c, firsts[1])
+            w1, w = columns[0][first], columns[1][first]
+            is_hot = v.is_hot(w1)
+            two = np.where(is_hot, _lookup(pairs, pair_count, mix(mix(w1 + np.uint64(1)) + w)).astype(np.int64), two)
+            each = _sizes(first, firsts[0])
+            start = np.cumsum(each) - each
+            total = np.add.reduceat(two, start).astype(np.float64)
+            free = np.add.reduceat(np.where(two <= MOST_DISCOUNTED, (1 - _factor(two, d[1])) * two, 0.0), start)
+            mass = np.add.reduceat(v.unigram(v.known(w, rare, rare_count)), start)
+            deep, back = _backoff(total, free, mass)
+            own = columns[0][firsts[0]]
+            mine = v.is_hot(own)
+            at = np.where(mine, own, np.uint64(0)).astype(np.int64)
+            deep, back = np.where(mine, hot[at, 0], deep), np.where(mine, hot[at, 1], back)
+            out.append((bucket, 1, HISTORIES, 0, dump(Codes(own, True), fixed(deep), fixed(back))))
+            #: P(w | history) of the n-grams of the level before, by row of that level
+            share = _factor(two, d[1]) * two / np.repeat(10.0**deep, each)
+            for k in range(2, order):
+                f = firsts[k]
+                count = np.add.reduceat(c, f)
+                words = [columns[0][f], *(x[f] for x in columns[2 : k + 1])]
+                dense = _dense(words, _rare(words))
+                place = _sorted_rows(dense)
+                words = [x[place] for x in words]
+                at = _levels(words)[-1]
+                count, up = count[place], np.repeat(np.arange(len(firsts[k - 1])), _sizes(f, firsts[k - 1]))[place]
+                total = np.add.reduceat(count, at).astype(np.float64)
+                free = np.add.reduceat(np.where(count <= MOST_DISCOUNTED, (1 - _factor(count, d[k])) * count, 0.0), at)
+                deep, back = _backoff(total, free, np.add.reduceat(share[up], at))
+                out.append((bucket, k, HISTORIES, 0, dump(*_nest([x[at] for x in words]), fixed(deep), fixed(back))))
+                share = np.empty(len(place))
+                share[place] = _factor(count, d[k]) * count / np.repeat(10.0**deep, np.diff(np.append(at, len(place))))
+            out.append((bucket, 0, GRAMS, 0, data))
+        return pa.Table.from_batches([_rows(out)])
 
+    return run
 
-def _score_bucket(m: KatzModel) -> Callable[[pa.Table], pa.Table]:
-    """For every chunk that asks this bucket: sums per document; histories of unseen n-grams go on to their own bucket.
 
-    A token's own n-gram is the next token's history, so its denominator is taken off here; the start's is taken off at the end.
-    """
-    order, buckets, hot, hot_values, d, begin = m.order, m.buckets, m.hot, m.hot_values, m.d, m.starts
-    total, left, events = m.total, m.left, m.tokens + m.types + 1
-    #: What the start adds to a token whose longest seen n-gram has so many words.
-    opening = np.array([sum(b for k, (_, b) in enumerate(begin, 2) if seen < k) - sum(a for k, (a, _) in enumerate(begin, 2) if seen <= k < order) for seen in range(order + 1)])
+# scores
 
-    def run(rows: pa.Table) -> pa.Table:
-        words = [load(x) for x in _of(rows, WORDS)]
-        names, count, deep, _ = words[0] if words else [np.zeros(0, np.uint64)] * 4
-        deep = unfixed(deep)
-        tables = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))] * (order - 1)
-        for data in _of(rows, GRAMS):
-            columns, rest = _flat(load(data), order)
-            firsts = _levels(columns)
-            tables = []
-            for keys, f in zip(_keys(columns, firsts)[1:], firsts[1:], strict=True):
-                place = np.argsort(keys)
-                tables.append((keys[place], np.add.reduceat(rest[0], f)[place]))
-        histories = _history_tables(rows, order) if order > 2 else []
-        out, far = [], []
+
+def _score(m: KatzModel) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """For every chunk with tokens in this bucket: sums per document."""
+    v, d, events = m.vocabulary, m.d, m.tokens + m.vocabulary.types + 1
+    order, hot = v.order, m.hot
+
+    def run(key: tuple, rows: pa.Table, model: pa.Table) -> pa.Table:
+        context = [load(x) for x in _of(model, CONTEXT)]
+        rare, rare_count, pairs, pair_count = context[0] if context else [np.zeros(0, np.uint64)] * 4
+        grams = [_flat(load(x), order) for x in _of(model, GRAMS)]
+        tables = _tables(grams[0][0], grams[0][1][0])[0] if grams else _Tables(np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * order, [np.zeros(0, np.int64)] * order)
+        found = sorted((k, data) for kind, k, data in zip(*(model.column(c).to_pylist() for c in ("kind", "target", "data")), strict=True) if kind == HISTORIES)
+        histories = []
+        for k, data in found:
+            words, values = _flat(load(data), k)
+            t, _, _ = _tables(words, np.ones(len(words[0]), np.int64))
+            histories.append((t, *map(unfixed, values)))
+        out = []
         for kind, chunk, data in zip(*(rows.column(x).to_pylist() for x in ("kind", "chunk", "data")), strict=True):
             if kind == DOCS:
-                out.append(_row(0, DOCS, chunk, data))
+                out.append((0, 0, DOCS, chunk, data))
             if kind != PAIRS:
                 continue
-            columns, (n, docs) = _flat(load(data), order)
-            n, docs = n.astype(np.int64), docs.astype(np.int64)
+            columns, (n, _, doc) = _flat(load(data), order)
+            n, doc = n.astype(np.int64), doc.astype(np.int64)
             firsts = _levels(columns)
-            keys = _keys(columns, firsts)
-            leaf = lambda x, k: np.repeat(x, np.diff(np.append(firsts[k], len(columns[0]))))  # noqa: B023, E731
-            w = columns[0][firsts[0]]
-            c1 = np.maximum(_lookup(names, count, w).astype(np.float64), _lookup(hot, hot_values[:, 0], w))
-            base = np.repeat(leaf(np.log10((c1 + 1) / events), 0), n)
-            value, seen = leaf(np.log10(unigram(c1, d[0], total, left)), 0), np.ones(len(columns[0]), np.int64)
+            spread = lambda x, k: np.repeat(x, np.diff(np.append(firsts[k], len(columns[0]))))  # noqa: B023, E731
+            dense = [tables.dense(x[f]) for x, f in zip(columns, firsts, strict=True)]
+            w1, w = columns[0][firsts[1]], columns[1][firsts[1]]
+            one = v.known(w, rare, rare_count).astype(np.float64)
+            value = np.log10(v.unigram(one))
+            ids = [tables.find(np.zeros(len(firsts[0]), np.int64), dense[0], 0)]
             for k in range(1, order):
-                c = _lookup(*tables[k - 1], keys[k]).astype(np.float64)
-                here = c > 0
-                known = leaf(here, k)
-                value = np.where(known, leaf(np.log10(np.where(here, _factor(c, d[k]) * c, 1.0)), k), value)
-                seen[known] = k + 1
-            if order == 2:
-                below = np.where(np.isin(w, hot), _lookup(hot, hot_values[:, 1], w), _lookup(names, deep, w)) * (w != END)
-                near = np.isin(columns[1], hot) & (seen == 1)
-                value = value + np.where(near, _lookup(hot, hot_values[:, 2], columns[1]), 0.0)
-            else:
-                below = _lookup(*histories[-1][:2], keys[-2]) * (columns[0][firsts[-2]] != END)
-                near = columns[1] == START
-                value = value + np.where(near & (seen < order), opening[seen], 0.0)
-            value = value - leaf(below, order - 2)
-            own, at = np.unique(docs, return_inverse=True)
-            sums = [np.bincount(at, x, len(own)) for x in (np.repeat(value, n), base, np.repeat(leaf(c1 > 0, 0), n).astype(np.float64))]
-            out.append(_row(0, PART, chunk, dump(Near(own), fixed(sums[0]), fixed(sums[1]), sums[2].astype(np.uint64))))
-            gone = np.repeat((seen < order) & ~near, n)
-            if gone.any():
-                far.append((np.full(int(gone.sum()), chunk, np.uint64), docs[gone], *(np.repeat(x, n)[gone] for x in (seen, *columns[1:]))))
-        if far:
-            whose, doc, seen, *before = (np.concatenate(x) for x in zip(*far, strict=True))
-            bucket = _bucket(before[0], buckets)
-            if order == 2:
-                place = np.lexsort((before[0], whose, bucket))
-                out += [_row(b, OPEN, 0, dump(Near(before[0][o]), Near(whose[o]), doc[o])) for b, s in _split(bucket[place], buckets) for o in (place[s],)]
-            else:
-                bucket = np.where(np.isin(before[0], hot), _spread(before[1], buckets), bucket)
-                place = np.lexsort((doc, whose, seen, *before[::-1], bucket))
-                for b, s in _split(bucket[place], buckets):
-                    o = place[s]
-                    own = [x[o] for x in (*before, seen.astype(np.uint64))]
-                    at = _levels(own)[-1]
-                    chunks, mine = np.unique(whose[o], return_inverse=True)
-                    out.append(_row(b, OPEN, 0, dump(*_nest([x[at] for x in own]), np.diff(np.append(at, len(o))), Near(chunks), mine, doc[o])))
-        return pa.Table.from_batches([_rows(out)])
-
-    return run
-
-
-def _back_off(m: KatzModel) -> Callable[[pa.Table], pa.Table]:
-    """log10 of denominator times alpha for the histories of unseen n-grams, less the denominators of the shorter ones down to
-    the longest n-gram that was seen; a history that training lacks adds nothing."""
-    order, hot, hot_values = m.order, m.hot, m.hot_values
-
-    def run(rows: pa.Table) -> pa.Table:
-        words = [load(d) for d in _of(rows, WORDS)]
-        names, _, deep, back = words[0] if words else [np.zeros(0, np.uint64)] * 4
-        deep, back = unfixed(deep), unfixed(back)
-        histories = _history_tables(rows, order) if order > 2 else []
-        asked = []
-        for data in _of(rows, OPEN):
-            if order == 2:
-                h, whose, doc = load(data)
-                asked.append((_lookup(names, back, h), whose, doc))
-                continue
-            columns, (n, chunks, mine, doc) = _flat(load(data), order)
-            seen, firsts = columns[-1], _levels(columns[:-1])
-            keys, h = _keys(columns[:-1], firsts), columns[0][firsts[0]]
-            hit = np.isin(h, hot)
-            values = [[np.where(hit, _lookup(hot, hot_values[:, j], h), _lookup(names, x, h)) for j, x in ((1, deep), (2, back))]]
-            values += [[_lookup(t[0], x, key) for x in t[1:]] for t, key in zip(histories, keys[1:], strict=True)]
-            value = np.zeros(len(seen))
-            for k, (a, b) in enumerate(values, 2):
-                up = _up(np.arange(len(seen)), firsts[k - 2])
-                value += np.where(seen < k, b[up], 0.0) - np.where((seen <= k) & (k < order), a[up], 0.0)
-            asked.append((np.repeat(value, n.astype(np.int64)), chunks[mine.astype(np.int64)], doc))
-        out = []
-        if asked:
-            value, whose, doc = (np.concatenate(x) for x in zip(*asked, strict=True))
-            place = np.lexsort((doc, whose))
-            whose, doc = whose[place], doc[place]
-            at = np.flatnonzero(np.concatenate([[True], (whose[1:] != whose[:-1]) | (doc[1:] != doc[:-1])]))
-            sums, whose, doc = np.add.reduceat(value[place], at), whose[at], doc[at]
-            starts = _first(whose)
-            for a, b in zip(starts, np.append(starts[1:], len(whose)), strict=True):
-                out.append(_row(0, PART, int(whose[a]), dump(Near(doc[a:b]), fixed(sums[a:b]), np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64))))
+                ids.append(tables.find(np.repeat(ids[-1], _sizes(firsts[k], firsts[k - 1])), dense[k], k))
+            is_hot = v.is_hot(w1)
+            two = np.where(ids[1] >= 0, tables.counts[1][ids[1]] if len(tables.counts[1]) else 0, 0)
+            two = np.where(is_hot, _lookup(pairs, pair_count, mix(mix(w1 + np.uint64(1)) + w)).astype(np.int64), two)
+            own = columns[0][firsts[0]]
+            deep, back = np.zeros(len(w1)), np.zeros(len(w1))
+            if histories:
+                t, *values = histories[0]
+                known = np.repeat(t.find(np.zeros(len(own), np.int64), t.dense(own), 0), _sizes(firsts[1], firsts[0]))
+                deep, back = (np.where(known >= 0, x[known], 0.0) for x in values)
+            at = np.where(is_hot, w1, np.uint64(0)).astype(np.int64)
+            deep, back = np.where(is_hot, hot[at, 0], deep), np.where(is_hot, hot[at, 1], back)
+            value = np.where(two > 0, np.log10(np.where(two > 0, _factor(two, d[1]) * two, 1.0)) - deep, value + back)
+            value = spread(value, 1)
+            for k in range(2, order):
+                full = spread(np.where(ids[k] >= 0, tables.counts[k][ids[k]] if len(tables.counts[k]) else 0, 0), k)
+                deep, back = np.zeros(len(full)), np.zeros(len(full))
+                if len(histories) >= k:
+                    t, *values = histories[k - 1]
+                    known = spread(t.find(np.zeros(len(own), np.int64), t.dense(own), 0), 0)
+                    for level in range(1, k):
+                        known = t.find(known, t.dense(columns[level + 1]), level)
+                    deep, back = (np.where(known >= 0, x[known], 0.0) for x in values)
+                value = np.where(full > 0, np.log10(np.where(full > 0, _factor(full, d[k]) * full, 1.0)) - deep, value + back)
+            docs = int(doc.max()) + 1
+            base, seen = spread(np.log10((one + 1) / events), 1), spread((one > 0).astype(np.float64), 1)
+            sums = [np.bincount(doc, np.repeat(x, n), docs) for x in (value, base, seen)]
+            own = np.flatnonzero(np.bincount(doc, minlength=docs))
+            out.append((0, 0, PART, chunk, dump(Near(own), fixed(sums[0][own]), fixed(sums[1][own]), sums[2][own].astype(np.uint64))))
         return pa.Table.from_batches([_rows(out)])
 
     return run
 
 
-def _finish_chunk(start: float):
-    def run(rows: pa.Table) -> pa.Table:
-        ids, known, n = load(_of(rows, DOCS)[0])
-        sums = np.zeros((3, len(ids)))
-        for data in _of(rows, PART):
-            own, score, base, known_words = load(data)
-            for k, values in enumerate((unfixed(score), unfixed(base), known_words)):
-                sums[k][own.astype(np.int64)] += values
-        return pa.table({
-            "doc_id": pa.array(ids.view(np.int64), mask=known == 0), "n_tokens": pa.array(n.astype(np.int64)),
-            "n_known": pa.array(sums[2].astype(np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[0] - start)})
-
-    return run
+def _finish_chunk(rows: pa.Table) -> pa.Table:
+    ids, known, n = load(_of(rows, DOCS)[0])
+    sums = np.zeros((3, len(ids)))
+    for data in _of(rows, PART):
+        own, score, base, known_words = load(data)
+        for k, values in enumerate((unfixed(score), unfixed(base), known_words)):
+            sums[k][own.astype(np.int64)] += values
+    return pa.table({
+        "doc_id": pa.array(ids.view(np.int64), mask=known == 0), "n_tokens": pa.array(n.astype(np.int64)),
+        "n_known": pa.array(sums[2].astype(np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[0])})
+
+
+# the whole
+
+
+def _fit(tokens: DataFrame, v: Vocabulary, words: DataFrame) -> tuple[KatzModel, DataFrame]:
+    """The model of the training tokens among `tokens`, and its tables as those tokens need them, by bucket."""
+    n = MOST_DISCOUNTED + 1
+    merged = bucketed(tokens.groupBy("bucket").applyInArrow(_merge_grams(v), f"{ROW}, seen array<long>"), len(v.labels), "grams")
+    asks = merged.where(F.col("kind") == ASKED).select("target", "bucket", "data")
+    answers = stored(words.groupBy("target").cogroup(asks.groupBy("target")).applyInArrow(_answer(v), f"{ROW}, seen array<long>, hot array<long>, stats array<array<double>>"), "answers")
+    seen, pairs_seen = _sum_lists(merged, "seen", (v.order - 1) * n), _sum_lists(answers, "seen", n)
+    seen[:n] = [a + b for a, b in zip(seen[:n], pairs_seen, strict=True)]
+    d = [v.d, *(discounts(seen[k * n : k * n + n]) for k in range(v.order - 1))]
+    stats = np.zeros((len(v.hot), MOST_DISCOUNTED + 2))
+    parts = answers.select(F.explode(F.arrays_zip("hot", "stats")).alias("z"))
+    for r in parts.groupBy("z.hot").agg(F.array(*(F.sum(F.col("z.stats")[k]) for k in range(MOST_DISCOUNTED + 2))).alias("sums")).collect():  # a row per hot word
+        stats[r.hot] = r.sums
+    free = (stats[:, :MOST_DISCOUNTED] * np.arange(1, MOST_DISCOUNTED + 1) * (1 - d[1][1:])).sum(1)
+    hot = np.stack(_backoff(stats[:, -2], free, stats[:, -1]), 1)
+    hot[stats[:, -2] == 0] = 0.0
+    pairs = answers.where(F.col("kind") == PAIRS).select("target", "kind", "data")
+    replies = answers.where(F.col("kind") == REPLY).select("bucket", "target", "data")
+    model = KatzModel(v, d, words, merged.where(F.col("kind") == GRAMS), pairs, hot)
+    return model, _with_histories(merged, replies, model)
+
+
+def _with_histories(rows: DataFrame, replies: DataFrame, m: KatzModel) -> DataFrame:
+    v = m.vocabulary
+    found = rows.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_histories(v, m.d, m.hot), ROW)
+    return bucketed(found, len(v.labels), "histories")
+
+
+def _scored(tokens: DataFrame, tables: DataFrame, m: KatzModel) -> DataFrame:
+    parts = tokens.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_score(m), ROW)
+    return parts.groupBy("chunk").applyInArrow(_finish_chunk, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def fit_katz(texts: DataFrame, buckets: int | None = None, order: int = 3) -> KatzModel:
+    """Learns from the column text of all rows of texts (null: empty). order: words of an n-gram, from 2. buckets: by default
+    as many as the counted tokens need, and at least the shuffle partitions. Rows are counted within tasks first, so a
+    frequent word or n-gram costs a task one entry. Repeated rows count as often as they occur; an empty table is a model in which
+    no word was seen; other columns have no effect.
+    """
+    if order < 2:
+        raise ValueError("order must be two or more")
+    v, words = count_words(texts, order, buckets)
+    return _fit(deal_tokens(texts.select(F.lit(None).alias("doc_id"), "text"), F.lit(True), v), v, words)[0]
 
 
 def score_katz(docs: DataFrame, model: KatzModel) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score), one row per row of docs (doc_id, text; null text: empty).
 
-    A document's tokens go to the buckets of their words, where seen n-grams are settled; only histories of unseen
-    ones go on. Sums come back per chunk of documents (a task's place in the scan), so docs should be a table
-    scan or a stored table, whose partitions a rerun reads alike. Repeated rows are scored each for itself.
+    A document's tokens go to the buckets of the words before them, where every token is settled; sums come back per chunk
+    of documents. Repeated rows are scored each for itself; an empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    asked = docs.mapInArrow(_count_grams(model.order, model.buckets, model.hot, True), ROW)
-    longer = model.words if model.histories is None else model.words.unionAll(model.histories)
-    tables = longer.unionAll(model.grams)
-    first = stored(asked.unionAll(tables).groupBy("bucket").applyInArrow(_score_bucket(model), ROW), "scores")
-    later = first.where(F.col("kind") == OPEN).unionAll(longer).groupBy("bucket").applyInArrow(_back_off(model), ROW)
-    return first.where(F.col("kind") != OPEN).unionAll(later).groupBy("chunk").applyInArrow(
-        _finish_chunk(model.starts[-1][0]), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    v = model.vocabulary
+    tokens = deal_tokens(docs, F.lit(False), v)
+    asked = tokens.groupBy("bucket").applyInArrow(_merge_grams(v), f"{ROW}, seen array<long>").where(F.col("kind") == ASKED)
+    asked = stored(asked.select("bucket", "target", "kind", "chunk", "data"), "asked")
+    known = model.pairs.unionAll(model.words.select("target", F.lit(DOCS).alias("kind"), "data"))
+    asks = asked.select("target", "bucket", "data")
+    replies = stored(known.groupBy("target").cogroup(asks.groupBy("target")).applyInArrow(_recall(v), ROW), "replies")
+    rows = stored(model.grams.select("bucket", "target", "kind", "chunk", "data").unionAll(asked), "rows")
+    return _scored(tokens, _with_histories(rows, replies.select("bucket", "target", "data"), model), model)
+
+
+def fit_and_score(docs: DataFrame, train: Column, order: int = 3, buckets: int | None = None) -> tuple[KatzModel, DataFrame]:
+    """fit_katz on the rows of docs for which train holds, and score_katz on all rows, from one dealing of the tokens."""
+    v, words = count_words(docs.where(train), order, buckets)
+    tokens = deal_tokens(docs, train, v)
+    model, tables = _fit(tokens, v, words)
+    return model, _scored(tokens, tables, model)
 
 
 def _held_out_scores(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    model = fit_katz(docs.where(F.coalesce(~held_out, F.lit(True))), order=order)
-    scored = score_katz(docs, model)
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    model, scored = fit_and_score(docs, ~held_out, order)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held_out_scores(spark, sf_dir, 3)
+
+
+def op1_katz_bigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out_scores(spark, sf_dir, 2)
 
 

@@ -7,6 +7,7 @@ from assayer.llm import chat, embeddings, katz, media, mixing, packing, quality,
 
 QUERIES = {
     "op1_katz_scores": katz.op1_katz_scores,
+    "op1_katz_bigram_scores": katz.op1_katz_bigram_scores,
     "op1_katz_trigram_scores": katz.op1_katz_trigram_scores,
     "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
     "op3_perspective_rotation": chat.op3_perspective_rotation,

@@ -1,5 +1,6 @@
 """The operators against brute force, round trips, held-out accuracy, and awkward rows."""
 
+import dataclasses
 import functools
 import hashlib
 import math
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import helpers as X
 from assayer.llm import chat, embeddings, jpeg, katz, media, mixing, packing, quality, registry, secrets, simhash, toxicity
-from assayer.llm.blobs import Near, dump, load
+from assayer.llm.blobs import Codes, Near, dump, load
 from assayer.llm.components import connected_components
 from rows import same_as_duckdb
 
@@ -31,10 +32,10 @@ def test_sql(spark, name):
 
 
 def test_blobs():
-    x = np.array([5, 9, 2**47, 3], np.uint64)
-    a, b, c = load(dump(x, Near(x), np.array([0.5, -1.0])))
-    assert a.tolist() == b.tolist() == x.tolist() and c.tolist() == [0.5, -1.0]
-    assert [len(v) for v in load(dump(np.zeros(0, np.uint64), Near(np.zeros(0, np.uint64))))] == [0, 0]
+    x = np.array([5, 9, 2**47, 3, 2**63 + 5], np.uint64)
+    a, b, c, d, e = load(dump(x, Near(x), np.array([0.5, -1.0]), Codes(x), Codes(x, near=True)))
+    assert a.tolist() == b.tolist() == d.tolist() == e.tolist() == x.tolist() and c.tolist() == [0.5, -1.0]
+    assert [len(v) for v in load(dump(np.zeros(0, np.uint64), Near(np.zeros(0, np.uint64)), Codes(np.zeros(0, np.uint64))))] == [0, 0, 0]
 
 
 def test_components(spark):
@@ -51,53 +52,6 @@ def test_components(spark):
 # op1
 
 
-def _katz(train):
-    c1, c2, ch = Counter(), Counter(), Counter()
-    for t in train:
-        h = "<s>"
-        for w in [*X.words(t), "</s>"]:
-            c1[w] += 1
-            c2[h, w] += 1
-            ch[h] += 1
-            h = w
-    d1, d2 = (katz.discounts([sum(v == r for v in c.values()) for r in range(1, 7)]) for c in (c1, c2))
-    n = sum(c1.values())
-    factor = lambda d, c: d[c] if c <= 5 else 1.0
-    left = sum((1 - factor(d1, c)) * c for c in c1.values()) / n
-    p1 = lambda w: factor(d1, c1[w]) * c1[w] / n if w in c1 else left
-    free, mass = defaultdict(float), defaultdict(float)
-    for (h, w), c in c2.items():
-        free[h] += (1 - factor(d2, c)) * c
-        mass[h] += p1(w)
-
-    def p(h, w):
-        if h not in ch:
-            return p1(w)
-        bare = free[h] <= 0
-        total = ch[h] + bare
-        return factor(d2, c2[h, w]) * c2[h, w] / total if (h, w) in c2 else (1.0 if bare else free[h]) / total / (1 - mass[h]) * p1(w)
-
-    return p, c1, n
-
-
-def test_katz_equals_brute_force_and_sums_to_one(spark):
-    all_texts = texts(spark)
-    train = [t for i, t in all_texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    p, c1, n = _katz(train)
-    for h in ("<s>", "the", "unheard of"):
-        assert sum(p(h, w) for w in c1) + p(h, "unheard of") == pytest.approx(1)
-    for r in registry.QUERIES["op1_katz_scores"](spark, SF).collect():
-        h, score, base, known = "<s>", 0.0, 0.0, 0
-        tokens = [*X.words(all_texts[r.doc_id]), "</s>"]
-        for w in tokens:
-            score += math.log10(p(h, w))
-            base += math.log10((c1[w] + 1) / (n + len(c1) + 1))
-            known += c1[w] > 0
-            h = w
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tokens), known, n, zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
-        assert r.score == pytest.approx(score, rel=1e-9) and r.base_score == pytest.approx(base, rel=1e-9)
-
-
 def test_katz_awkward_rows(spark):
     df = X.docs(spark, clash=True)
     model = katz.fit_katz(df, 3)
@@ -152,16 +106,46 @@ def test_katz_of_any_order_equals_brute_force(spark, order):
     p, words = _katz_of_order([all_texts[i] for i in train], order)
     for h in (("<s>",) * (order - 1), ("unheard of", "the", "of")[-order + 1 :]):
         assert sum(p(h, w) for w in words) + p(h, "unheard of") == pytest.approx(1)
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs, n, wanted = spark.read.parquet(f"{SF}/documents.parquet"), sum(words.values()), {}
+    for k, text in all_texts.items():
+        line = ["<s>"] * (order - 1) + [*X.words(text), "</s>"]
+        own = line[order - 1 :]
+        wanted[k] = (len(own), sum(w in words for w in own), sum(math.log10((words[w] + 1) / (n + len(words) + 1)) for w in own),
+                     sum(math.log10(p(tuple(line[i - order + 1 : i]), line[i])) for i in range(order - 1, len(line))))
+    few = katz.fit_katz(docs.where(F.col("doc_id").isin(train)), buckets=5, order=order)
+    results = [katz.score_katz(docs, few), katz.fit_and_score(docs, F.col("doc_id").isin(train), order, buckets=40)[1]]
     if order == 3:
-        rows = registry.QUERIES["op1_katz_trigram_scores"](spark, SF).collect()
-    else:
-        rows = katz.score_katz(docs, katz.fit_katz(docs.where(F.col("doc_id").isin(train)), order=order)).collect()
-    assert len(rows) == len(all_texts)
-    for r in rows:
-        line = ["<s>"] * (order - 1) + [*X.words(all_texts[r.doc_id]), "</s>"]
-        score = sum(math.log10(p(tuple(line[i - order + 1 : i]), line[i])) for i in range(order - 1, len(line)))
-        assert r.n_tokens == len(line) - order + 1 and r.score == pytest.approx(score, rel=1e-8)
+        results.append(registry.QUERIES["op1_katz_scores"](spark, SF))
+    for rows in results:
+        rows = rows.collect()
+        assert len(rows) == len(all_texts)
+        for r in rows:
+            tokens, known, base, score = wanted[r.doc_id]
+            assert (r.n_tokens, r.n_known) == (tokens, known)
+            assert r.score == pytest.approx(score, rel=1e-8) and r.base_score == pytest.approx(base, rel=1e-8)
+    if order == 3:
+        assert all((r.train_tokens, r.held_out) == (n, zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in rows)
+
+
+def test_katz_buckets_beyond_16_bits(spark):
+    """Bucket numbers of any size, words outside the dictionary, and a dictionary smaller than the vocabulary."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(12)
+    v, _ = katz.count_words(docs, 3, 4)
+    many = dataclasses.replace(v, labels=np.arange(40_000, dtype=np.int32))
+    names = [np.arange(1, 3000, dtype=np.uint64) * np.uint64(2**40 + 12345)]
+    chunk = katz.Chunk(many, names, [np.array([1000, 1999])])
+    assert (np.diff(chunk.bucket) >= 0).all() and chunk.bucket.min() >= 0 and chunk.bucket.max() > 32_768 and len(chunk.doc) == 3001
+    few = katz.fit_katz(docs, 4)
+    wanted = {r.doc_id: r.score for r in katz.score_katz(docs, few).collect()}
+    limit, katz.ESCAPE = katz.ESCAPE, 50
+    try:
+        small, words = katz.count_words(docs, 3, 4)
+    finally:
+        katz.ESCAPE = limit
+    assert len(small.names) < 50 < len(v.names)
+    tokens = katz.deal_tokens(docs, F.lit(True), small)
+    model, tables = katz._fit(tokens, small, words)
+    assert {r.doc_id: r.score for r in katz._scored(tokens, tables, model).collect()} == pytest.approx(wanted)
 
 
 def test_katz_trigrams_awkward_rows(spark):
