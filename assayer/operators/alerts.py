@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,24 +29,30 @@ def run_alert_events(runs: DataFrame) -> DataFrame:
 
 
 def with_recent_failures(events: DataFrame, seconds: int = 600) -> DataFrame:
-    """Adds recent_failures: failures of the same task in the last `seconds`, this one included; null for other events."""
-    failed = F.col("kind") == "job_failed"
+    """Adds recent_failures: failures of the same task in the last `seconds`, this one included; null for other events.
+
+    Only failures of named tasks are sorted; all other events pass by.
+    """
+    failed = F.coalesce((F.col("kind") == "job_failed") & (F.col("task_id") != ""), F.lit(False))
     w = Window.partitionBy("task_id").orderBy(F.unix_micros(F.col("at").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("recent_failures", F.when(failed & (F.col("task_id") != ""), F.count_if(failed).over(w)))
+    counted = events.where(failed).withColumn("recent_failures", F.count("*").over(w))
+    return counted.unionByName(events.where(~failed).withColumn("recent_failures", F.lit(None).cast("long")))
 
 
 def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
     """(event, rule) pairs where the rule applies to the event and its condition holds, with scope_key and dedup_key.
 
     events carry recent_failures; rules (rule_id, scope, scope_id, condition_type, threshold, severity,
-    cooldown_seconds, enabled) meet them on the kind of event, an equality that Spark can hash or broadcast.
+    cooldown_seconds, enabled). An event is entered once for everyone and once per client, task, job and domain that it
+    names, and meets rules on kind, scope and scope id, an equality that Spark can hash or broadcast: a rule of one client
+    meets that client's events alone.
     """
     kinds = F.create_map(*(F.lit(x) for k, v in CONDITIONS.items() for x in (k, v[0])))
-    live = rules.where("enabled").withColumn("of_kind", kinds[F.col("condition_type")])
-    pairs = events.join(live, F.col("kind") == F.col("of_kind"))
-    scope = F.when((F.col("scope") == "client") & (F.col("scope_id") != ""), F.col("scope_id") == F.col("client_id"))
-    for name in ("task", "job", "domain"):
-        scope = scope.when(F.col("scope") == name, F.col("scope_id") == F.col(f"{name}_id" if name != "domain" else "domain"))
+    everyone = ~F.coalesce(F.col("scope").isin("task", "job", "domain") | ((F.col("scope") == "client") & (F.coalesce("scope_id", F.lit("")) != "")), F.lit(False))
+    live = rules.where("enabled").withColumns({"_kind": kinds[F.col("condition_type")], "_scope": F.when(everyone, "").otherwise(F.col("scope")), "_id": F.when(everyone, "").otherwise(F.col("scope_id"))})
+    columns = {"": F.lit(""), "client": F.col("client_id"), "task": F.col("task_id"), "job": F.col("job_id"), "domain": F.col("domain")}
+    entered = events.where(F.col("kind").isin(*{v[0] for v in CONDITIONS.values()})).withColumn("_as", F.explode(F.array(*(F.struct(F.lit(s).alias("scope"), c.alias("id")) for s, c in columns.items()))))
+    pairs = entered.join(live, (F.col("kind") == F.col("_kind")) & (F.col("_as.scope") == F.col("_scope")) & (F.col("_as.id") == F.col("_id"))).drop("_as", "_kind", "_scope", "_id")
     body, holds = F.from_json("payload", _PAYLOAD), F.lit(False)
     for name, (_, value, op) in CONDITIONS.items():
         if value is None:
@@ -54,27 +63,49 @@ def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
             v = F.coalesce(body[value], F.lit(0.0)) if value in ("conflicts", "removed") else body[value]
             test = {"<": v < F.col("threshold"), ">": v > F.col("threshold"), ">=": v >= F.col("threshold")}[op]
         holds = F.when(F.col("condition_type") == name, test).otherwise(holds)
-    hit = pairs.where(F.coalesce(scope, F.lit(True)) & F.coalesce(holds, F.lit(False)))
+    hit = pairs.where(F.coalesce(holds, F.lit(False)))
     key = F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in ("task_id", "job_id", "domain")), F.lit("global"))
     digest = F.substring(F.sha2(F.concat_ws("|", "rule_id", "kind", "task_id", "job_id", "domain"), 256), 1, 16)
-    return hit.withColumn("scope_key", key).withColumn("dedup_key", digest).drop("of_kind")
-
-
-def _cool(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["at", "seq"])
-    kept, last = [], None
-    for at, gap in zip(rows["at"], rows["cooldown_seconds"], strict=True):
-        kept.append(last is None or gap <= 0 or (at - last).total_seconds() >= gap)
-        last = at if kept[-1] else last
-    return rows[kept]
+    return hit.withColumn("scope_key", key).withColumn("dedup_key", digest)
+
+
+def fires(at: np.ndarray, gap: np.ndarray, last: int | None) -> tuple[np.ndarray, int | None]:
+    """Which of the matches at ascending microseconds fire, and when the last did: each at least its gap (microseconds) after the one before."""
+    kept, k = np.zeros(len(at), bool), 0
+    while k < len(at):
+        if last is not None and gap[k] > 0 and at[k] - last < gap[k]:
+            same = np.flatnonzero(gap[k:] != gap[k])
+            end = k + int(same[0]) if len(same) else len(at)
+            k += int(np.searchsorted(at[k:end], last + gap[k]))
+            continue
+        kept[k], last = True, int(at[k])
+        k += 1
+    return kept, last
+
+
+def _cool(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by (rule_id, scope_key) and time; a key may go on in the next frame, so its last firing is kept."""
+    key, last = None, None
+    for frame in frames:
+        at, gap = frame["at"].to_numpy("datetime64[us]").astype(np.int64), frame["cooldown_seconds"].to_numpy(np.int64) * 1_000_000
+        keys = list(zip(frame["rule_id"], frame["scope_key"], strict=True))
+        edges = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]] + [len(keys)]
+        kept = np.zeros(len(keys), bool)
+        for a, b in zip(edges, edges[1:], strict=False):
+            last = last if keys[a] == key else None
+            kept[a:b], last = fires(at[a:b], gap[a:b], last)
+            key = keys[a]
+        yield frame[kept]
 
 
 def alert_cooldown(matches: DataFrame) -> DataFrame:
     """Matches that fire: per (rule, scope key), those at least the cooldown after the last that fired.
 
-    A fold over time, so each key is one group; a group holds the matches of one rule in one scope.
+    A fold over time. Rows are dealt by key and sorted within tasks by Spark, which spills; the fold keeps one time per key,
+    whatever the number of its matches.
     """
-    return matches.groupBy("rule_id", "scope_key").applyInPandas(_cool, matches.schema)
+    ordered = matches.repartition("rule_id", "scope_key").sortWithinPartitions("rule_id", "scope_key", "at", "seq")
+    return ordered.mapInPandas(_cool, matches.schema)
 
 
 def route_alerts(fired: DataFrame, connectors: DataFrame) -> DataFrame:
@@ -136,15 +167,14 @@ def incident_report(incidents_: DataFrame, now: Column, recent: int = 100) -> Da
 def slo_status(slos: DataFrame, samples: DataFrame, now: Column, margin: float = 0.1) -> DataFrame:
     """(slo_id, n, mean, status, margin): samples of the rolling window against the target.
 
-    slos (slo_id, direction above/below, target, window_days, min_samples, enabled). The join is on slo_id; means
-    come from an aggregate before it would matter how many samples an objective has.
+    slos (slo_id, direction above/below, target, window_days, min_samples, enabled). Samples older than the longest window
+    go where they are read; the others meet their objective's window, and means are taken before the rest of it is joined.
     """
-    joined = slos.join(samples.select("slo_id", "value", "sampled_at"), "slo_id", "left")
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("sampled_at").cast("timestamp"))
-    inside = (age >= 0) & (age <= F.col("window_days") * 86_400_000_000)
-    means = joined.groupBy("slo_id", "direction", "target", "min_samples", "enabled").agg(F.count_if(inside).alias("n"), F.avg(F.when(inside, F.col("value"))).alias("mean"))
+    longest = slos.agg((F.max("window_days") * 86_400_000_000).alias("_longest"))
+    recent = samples.select("slo_id", "value", age.alias("_age")).crossJoin(F.broadcast(longest)).where("_age >= 0 and _age <= _longest")  # one row
+    inside = recent.join(slos.select("slo_id", "window_days"), "slo_id").where(F.col("_age") <= F.col("window_days") * 86_400_000_000)
+    means = slos.join(inside.groupBy("slo_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean")), "slo_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     gap = F.when(F.col("direction") == "above", F.col("mean") - F.col("target")).otherwise(F.col("target") - F.col("mean"))
     status = F.when(~F.col("enabled"), "DISABLED").when(F.col("n") < F.col("min_samples"), "INSUFFICIENT").when(F.col("gap") < 0, "BREACHED").when(F.col("gap") < F.abs(F.col("target")) * margin, "AT_RISK").otherwise("MEETING")
     return means.withColumn("gap", gap).withColumn("status", status).select("slo_id", "n", "mean", "status", F.col("gap").alias("margin"))
-
-

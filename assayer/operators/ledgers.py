@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.operators.ranks import numbered
+from assayer.operators.versions import set_digest
+
 # Status codes with their block kind, kinds after which the next provider is tried, failures worth a retry, job transitions, rung costs.
 STATUS_KINDS = {200: "ok", 201: "ok", 202: "ok", 204: "ok", 206: "ok", 301: "redirect", 302: "redirect", 303: "redirect", 307: "redirect", 308: "redirect", 400: "bad_request", 401: "access_block", 402: "payment_required", 403: "access_block", 404: "not_found", 408: "timeout", 429: "rate_limit",
                 500: "server_error", 502: "server_error", 503: "service_unavailable", 504: "service_unavailable"}
@@ -43,8 +46,8 @@ def batch_result(chunks: DataFrame, strict: bool = False) -> DataFrame:
 def chunk_urls(urls: DataFrame, size: int = 100) -> DataFrame:
     """(batch_id, url, chunk): trimmed, without empty and repeated URLs, in the order of seq."""
     clean = urls.withColumn("url", F.trim("url")).where("url <> ''").groupBy("batch_id", "url").agg(F.min("seq").alias("seq"))
-    place = F.row_number().over(Window.partitionBy("batch_id").orderBy("seq"))
-    return clean.select("batch_id", "url", F.floor((place - 1) / size).cast("int").alias("chunk"))
+    placed = numbered(clean, "batch_id", [F.asc("seq"), F.asc("url")])
+    return placed.select("batch_id", "url", F.floor((F.col("place") - 1) / size).cast("int").alias("chunk"))
 
 
 def queue_stats(jobs: DataFrame) -> DataFrame:
@@ -58,7 +61,7 @@ def dead_letters(jobs: DataFrame, n: int) -> DataFrame:
 
 def lease_order(jobs: DataFrame, buckets: str = "queue") -> DataFrame:
     """Queued jobs of each queue with their place: by priority, then age."""
-    return jobs.where("state = 'QUEUED'").withColumn("place", F.row_number().over(Window.partitionBy(buckets).orderBy("priority", "created_at", "job_id")))
+    return numbered(jobs.where("state = 'QUEUED'"), buckets, [F.asc("priority"), F.asc("created_at"), F.asc("job_id")])
 
 
 def expired_leases(jobs: DataFrame, now: Column) -> DataFrame:
@@ -166,13 +169,13 @@ def audit_run_times(log: DataFrame) -> DataFrame:
 
 def adaptive_timeouts(failures: DataFrame, default: int = 60_000, step: int = 30_000, most: int = 120_000) -> DataFrame:
     """Each failure (domain, seq) with the timeout that follows it."""
-    n = F.count("*").over(Window.partitionBy("domain").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return failures.withColumn("timeout_ms", F.least(F.lit(most), F.lit(default) + n * step).cast("long"))
+    placed = numbered(failures, "domain", [F.asc("seq")], "_n")
+    return placed.withColumn("timeout_ms", F.least(F.lit(most), F.lit(default) + F.col("_n") * step).cast("long")).drop("_n")
 
 
 def run_receipt(pages: DataFrame) -> DataFrame:
-    """Per run: pages attempted, succeeded, failed, records, sources, seconds, and a digest of the record ids that is free of order."""
-    ids = F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.col("page_id").cast("string"), 256))), ""), 256)
+    """Per run: pages attempted, succeeded, failed, records, sources, seconds, and a digest of the page ids that is free of order."""
+    ids = set_digest(F.sha2(F.col("page_id").cast("string"), 256))
     return pages.groupBy("run_id").agg(F.count("*").alias("attempted"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.sum("records").alias("records"), F.count_distinct("source").alias("sources"),
                                        (F.unix_seconds(F.max("at").cast("timestamp")) - F.unix_seconds(F.min("at").cast("timestamp"))).alias("seconds"), ids.alias("digest"))
 

@@ -104,13 +104,25 @@ def quality_verdict(report: DataFrame) -> DataFrame:
 def anomalies(current: DataFrame, history: DataFrame, numeric: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """(kind, field, severity, measure) of all findings: mean shift, sudden zero, sudden identical, distribution shift.
 
-    One aggregate per side for the first three; one count per (field, value) of both sides for the fourth.
+    The first is one aggregate per side. The others start from the same counts per (field, value) of both sides, whose
+    shuffle Spark runs once.
     """
-    return zscore(current, history, numeric).unionByName(sudden_zero(current, history, fields)).unionByName(sudden_identical(current, history, fields)).unionByName(distribution_shift(current, history, fields))
+    counts = _value_counts(current, history, fields)
+    return zscore(current, history, numeric).unionByName(_sudden_zero(counts, 0.8)).unionByName(_sudden_identical(counts, 3)).unionByName(_distribution_shift(counts, 0.4))
 
 
-def _long(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    return df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.when(~is_missing(c), F.col(c).cast("string")).alias("value")) for c in fields))))
+def _value_counts(current: DataFrame, history: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(field, value, c, h): rows of both sides per value, null for missing."""
+    cells = lambda df, side: df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.when(~is_missing(c), F.col(c).cast("string")).alias("value")) for c in fields))), F.lit(side).alias("side"))
+    return cells(current, 1).unionAll(cells(history, 0)).groupBy("field", "value").agg(F.sum("side").alias("c"), F.sum(1 - F.col("side")).alias("h"))
+
+
+def _profile(counts: DataFrame) -> DataFrame:
+    """Per field: rows, rows with a value, and distinct values of both sides."""
+    some = F.col("value").isNotNull()
+    return counts.groupBy("field").agg(*(
+        agg.alias(f"{side}_{name}") for side in ("c", "h") for name, agg in (
+            ("n", F.sum(side)), ("some", F.coalesce(F.sum(F.when(some, F.col(side))), F.lit(0))), ("distinct", F.count_if(some & (F.col(side) > 0))))))
 
 
 def _finding(df: DataFrame, kind: str, severity: Column, measure: Column) -> DataFrame:
@@ -118,36 +130,44 @@ def _finding(df: DataFrame, kind: str, severity: Column, measure: Column) -> Dat
 
 
 def zscore(current: DataFrame, history: DataFrame, numeric: Sequence[str], least: float = 3.0, min_history: int = 5) -> DataFrame:
-    number = F.when(~F.isnan(F.col("value").try_cast("double")), F.col("value").try_cast("double"))
-    now = _long(current, numeric).groupBy("field").agg(F.avg(number).alias("now"))
-    old = _long(history, numeric).groupBy("field").agg(F.count(number).alias("n"), F.avg(number).alias("mean"), F.stddev_pop(number).alias("sigma"))
+    number = lambda c: F.when(~is_missing(c) & ~F.isnan(F.col(c).cast("string").try_cast("double")), F.col(c).cast("string").try_cast("double"))
+    now = current.agg(*(F.avg(number(c)).alias(f"now_{k}") for k, c in enumerate(numeric)))
+    old = history.agg(*(a.alias(f"{n}_{k}") for k, c in enumerate(numeric) for n, a in (("n", F.count(number(c))), ("mean", F.avg(number(c))), ("sigma", F.stddev_pop(number(c))))))
+    both = now.crossJoin(old)  # one row each
+    rows = both.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), *(F.col(f"{n}_{k}").alias(n) for n in ("now", "n", "mean", "sigma"))) for k, c in enumerate(numeric)))))
     z = F.when(F.col("sigma") > 0, (F.col("now") - F.col("mean")) / F.col("sigma"))
-    found = now.join(old, "field").withColumn("z", z).where((F.col("n") >= min_history) & (F.abs("z") >= least))
+    found = rows.withColumn("z", z).where((F.col("n") >= min_history) & (F.abs("z") >= least))
     return _finding(found, "zscore", F.when(F.abs("z") >= 5, "critical").otherwise("warning"), F.col("z"))
 
 
-def _profile(df: DataFrame, fields: Sequence[str], side: str) -> DataFrame:
-    return _long(df, fields).groupBy("field").agg(F.count("*").alias(f"{side}_n"), F.count("value").alias(f"{side}_some"), F.count_distinct("value").alias(f"{side}_distinct"))
+def _sudden_zero(counts: DataFrame, populated: float) -> DataFrame:
+    share = F.col("h_some") / F.col("h_n")
+    both = _profile(counts).where("c_n > 0 and h_n > 0")
+    return _finding(both.where((share >= populated) & (F.col("c_some") == 0)), "sudden_zero", F.lit("critical"), share)
 
 
 def sudden_zero(current: DataFrame, history: DataFrame, fields: Sequence[str], populated: float = 0.8) -> DataFrame:
-    both = _profile(current, fields, "c").join(_profile(history, fields, "h"), "field")
-    share = F.col("h_some") / F.col("h_n")
-    return _finding(both.where((share >= populated) & (F.col("c_some") == 0)), "sudden_zero", F.lit("critical"), share)
+    return _sudden_zero(_value_counts(current, history, fields), populated)
+
+
+def _sudden_identical(counts: DataFrame, min_distinct: int) -> DataFrame:
+    return _finding(_profile(counts).where((F.col("c_some") >= 3) & (F.col("h_distinct") >= min_distinct) & (F.col("c_distinct") == 1)), "sudden_identical", F.lit("critical"), F.col("h_distinct"))
 
 
 def sudden_identical(current: DataFrame, history: DataFrame, fields: Sequence[str], min_distinct: int = 3) -> DataFrame:
-    both = _profile(current, fields, "c").join(_profile(history, fields, "h"), "field")
-    return _finding(both.where((F.col("c_some") >= 3) & (F.col("h_distinct") >= min_distinct) & (F.col("c_distinct") == 1)), "sudden_identical", F.lit("critical"), F.col("h_distinct"))
+    return _sudden_identical(_value_counts(current, history, fields), min_distinct)
 
 
-def distribution_shift(current: DataFrame, history: DataFrame, fields: Sequence[str], most: float = 0.4) -> DataFrame:
-    counts = _long(current, fields).withColumn("side", F.lit(1)).unionAll(_long(history, fields).withColumn("side", F.lit(0))).where("value is not null").groupBy("field", "value").agg(F.sum("side").alias("c"), F.sum(1 - F.col("side")).alias("h"))
-    totals = counts.groupBy("field").agg(F.sum("c").alias("cn"), F.sum("h").alias("hn"))
-    l1 = counts.join(totals, "field").where("cn > 0 and hn > 0").groupBy("field").agg(F.sum(F.abs(F.col("c") / F.col("cn") - F.col("h") / F.col("hn"))).alias("l1"))
+def _distribution_shift(counts: DataFrame, most: float) -> DataFrame:
+    totals = _profile(counts).select("field", F.col("c_some").alias("cn"), F.col("h_some").alias("hn")).where("cn > 0 and hn > 0")
+    l1 = counts.where("value is not null").join(totals, "field").groupBy("field").agg(F.sum(F.abs(F.col("c") / F.col("cn") - F.col("h") / F.col("hn"))).alias("l1"))
     return _finding(l1.where(F.col("l1") >= most), "distribution_shift", F.lit("warning"), F.col("l1"))
 
 
+def distribution_shift(current: DataFrame, history: DataFrame, fields: Sequence[str], most: float = 0.4) -> DataFrame:
+    return _distribution_shift(_value_counts(current, history, fields), most)
+
+
 def publication_gate(verdict: DataFrame, findings: DataFrame) -> DataFrame:
     """One row (state, reason): QUALITY_FAILED, then QUARANTINED on critical anomalies or their number, else READY."""
     seen = findings.agg(F.count("*").alias("anomalies"), F.count_if(F.col("severity") == "critical").alias("critical"))

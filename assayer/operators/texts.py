@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.operators.ranks import numbered
+
 # Character ranges of scripts in the order of ties, and patterns of contacts and prompt hints.
 SCRIPTS = {
     "cjk": "\u4e00-\u9fff\u3040-\u309f\u30a0-\u30ff",
@@ -91,9 +93,8 @@ def prompt_keys(prompts: DataFrame, options: tuple[str, ...] = ()) -> DataFrame:
 def cache_retention(cache: DataFrame, now: Column, ttl_seconds: int, max_entries: int, max_bytes: int) -> DataFrame:
     """Entries that stay per tenant: those within their lifetime, most recently used first, within both caps."""
     alive = cache.where(F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("created_at").cast("timestamp")) <= ttl_seconds)
-    w = Window.partitionBy("tenant").orderBy(F.desc("used_at"), "key")
-    kept = alive.withColumns({"_n": F.row_number().over(w), "_b": F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    return kept.where((F.col("_n") <= max_entries) & (F.col("_b") <= max_bytes)).drop("_n", "_b")
+    placed = numbered(alive, "tenant", [F.desc("used_at"), F.asc("key")], "_place", {"_bytes_sum": "bytes"})
+    return placed.where((F.col("_place") <= max_entries) & (F.col("_bytes_sum") <= max_bytes)).drop("_place", "_bytes_sum")
 
 
 def json_path(value: Column, path: str) -> Column:

@@ -12,6 +12,7 @@ from assayer.functions.text import blank_to_null, comparison_value
 # Signal weights, trust limits.
 WEIGHTS = {"consensus": 0.3, "source_count": 0.15, "mean_trust": 0.15, "freshness": 0.1, "selector": 0.1, "validation": 0.1, "historical_stability": 0.05}
 ANOMALY_WEIGHT = 0.05
+KEY, UNITS = ["record_id", "field_name"], 1_000_000_000
 LEAST_TRUST, MOST_TRUST, NEUTRAL, DECAY_DAYS = 0.05, 0.99, 0.5, 90
 
 
@@ -20,49 +21,75 @@ def field_kind(name: Column) -> Column:
     return F.when(name.rlike("price|cost"), "currency").when(name.contains("date"), "date").when(name.rlike("url|link"), "url").when(name.contains("email"), "email").otherwise("text")
 
 
-def triangulate(observations: DataFrame, kinds: Mapping[str, str] | None = None) -> DataFrame:
-    """One row per (record_id, field_name): winner, confidence, sources and conflicts.
+def _votes(observations: DataFrame, kinds: Mapping[str, str] | None) -> DataFrame:
+    kind = field_kind(F.col("field_name"))
+    for name, k in (kinds or {}).items():
+        kind = F.when(F.col("field_name") == name, k).otherwise(kind)
+    trust = F.greatest(F.coalesce(F.col("trust_score"), F.lit(0.0)), F.lit(0.0))
+    return observations.select(
+        "seq", "record_id", "field_name", "value", F.coalesce(blank_to_null(F.col("source_domain")), F.lit("unknown")).alias("source"),
+        F.coalesce(blank_to_null(F.col("independence_group")), blank_to_null(F.col("source_domain")), F.lit("unknown")).alias("g"),
+        comparison_value(F.col("value"), kind).alias("norm"), F.round(trust * UNITS).cast("long").alias("w")).where("norm is not null")
+
+
+def _values(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(each group's heaviest value, weights and counts per value): numbers and one text per row.
+
+    Votes are summed per (record, field, group, value) before they are shuffled, so a field of which millions of votes tell
+    is millions of rows in no task. Weights are whole billionths: sums do not depend on the order of rows.
+    """
+    summed = votes.groupBy(*KEY, "g", "norm").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min(F.struct("seq", "value")).alias("first"))
+    best = F.max(F.struct("w", (-F.col("first.seq")).alias("early"), "norm", "n", F.col("first.value").alias("raw"))).alias("v")
+    groups = summed.groupBy(*KEY, "g").agg(best, F.min("first.seq").alias("g_seq")).select(*KEY, "g", "g_seq", "v.w", "v.norm", "v.n", "v.raw")
+    values = groups.groupBy(*KEY, "norm").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("clusters"), F.min(F.struct("g_seq", "raw")).alias("first"))
+    return groups, values
+
+
+def consensus(observations: DataFrame, kinds: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per (record_id, field_name): winner, confidence, and numbers of sources, clusters and conflicts.
 
     From (seq, record_id, field_name, source_domain, value, trust_score, independence_group); seq settles ties.
     Values are compared in a coarse form. An independence group (else its domain) has one vote, its heaviest
     value; the value with the most weight wins, then the one with fewer sources, then the first seen. Without any
     trust, source counts are the weights. confidence: share of weight times min(1, 0.4 + 0.2 (groups - 1)).
+    """
+    return _winners(_values(_votes(observations, kinds))[1])
+
+
+def _winners(values: DataFrame) -> DataFrame:
+    entry = F.struct("norm", "w", "n", F.col("first.raw").alias("raw"))
+    seen = (-F.col("first.g_seq")).alias("early")
+    fields = values.groupBy(*KEY).agg(
+        F.sum("w").alias("sum_w"), F.sum("clusters").alias("total_clusters"), (F.count("*") - 1).alias("n_conflicts"),
+        F.max(F.struct("w", (-F.col("n")).alias("few"), seen, entry.alias("v"))).alias("heaviest"), F.max(F.struct("n", seen, entry.alias("v"))).alias("commonest"))
+    trusted = F.col("sum_w") > 0
+    fields = fields.withColumn("win", F.when(trusted, F.col("heaviest.v")).otherwise(F.col("commonest.v")))
+    ratio = F.when(trusted, F.col("win.w") / F.col("sum_w")).otherwise(F.col("win.n") / F.col("total_clusters"))
+    note = F.when(F.col("total_clusters") == 1, "only one independent source").when(F.col("n_conflicts") > 0, F.concat(F.col("n_conflicts").cast("string"), F.lit(" dissenting values"))).otherwise("")
+    return fields.select(
+        *KEY, F.col("win.raw").alias("consensus_value"), F.col("win.norm").alias("normalized_value"), (ratio * F.least(F.lit(1.0), 0.4 + 0.2 * (F.col("total_clusters") - 1))).alias("confidence"),
+        F.col("win.n").alias("n_sources"), "total_clusters", "n_conflicts", note.alias("note"), trusted.alias("trusted"))
+
+
+def triangulate(observations: DataFrame, kinds: Mapping[str, str] | None = None) -> DataFrame:
+    """consensus with the lists behind the numbers: winning_sources, and conflicts (value, normalized, sources, weight) in the order seen.
 
-    All three groupings start with (record_id, field_name); sources are collected per record and field, whose
-    number of observations is that of a record's sources.
+    The lists of a (record, field) are one row; where its sources are too many for that, consensus has the numbers.
     """
-    kind = field_kind(F.col("field_name"))
-    for name, k in (kinds or {}).items():
-        kind = F.when(F.col("field_name") == name, k).otherwise(kind)
-    votes = observations.select(
-        "seq", "record_id", "field_name", "value", F.coalesce(blank_to_null(F.col("source_domain")), F.lit("unknown")).alias("source"),
-        F.coalesce(blank_to_null(F.col("independence_group")), blank_to_null(F.col("source_domain")), F.lit("unknown")).alias("g"),
-        comparison_value(F.col("value"), kind).alias("norm"), F.greatest(F.coalesce(F.col("trust_score"), F.lit(0.0)), F.lit(0.0)).alias("w")).where("norm is not null")
-    key = ["record_id", "field_name"]
-    entry = F.struct("seq", "source", "w")
-    by_value = votes.groupBy(*key, "g", "norm").agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.min(F.struct("seq", "value")).alias("first"))
-    by_value = by_value.withColumn("w", F.aggregate("entries", F.lit(0.0), lambda a, e: a + e["w"]))
-    order = F.struct("w", (-F.col("first.seq")).alias("o"))
-    groups = by_value.groupBy(*key, "g").agg(F.max_by(F.struct("norm", "w", "first", "entries"), order).alias("v"), F.min("first.seq").alias("g_seq"))
-    flat = groups.select(*key, "g_seq", "v.norm", "v.w", "v.first", F.transform("v.entries", lambda e: e["source"]).alias("sources"))
-    values = flat.groupBy(*key, "norm").agg(F.array_sort(F.collect_list(F.struct("g_seq", "w", "sources", "first"))).alias("parts"))
-    values = values.select(
-        *key, "norm", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["w"]).alias("w"), F.flatten(F.col("parts.sources")).alias("sources"),
-        F.col("parts")[0]["first"]["value"].alias("raw"), F.col("parts")[0]["g_seq"].alias("first_seq"), F.size("parts").alias("clusters"))
-    fields = values.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first_seq", "norm", "w", "sources", "raw", "clusters"))).alias("vs"))
-    total = F.aggregate("vs", F.lit(0.0), lambda a, v: a + v["w"])
-    clusters = F.aggregate("vs", F.lit(0), lambda a, v: a + v["clusters"])
-    fields = fields.withColumns({"sum_w": total, "total_clusters": clusters})
-    weight = lambda v: F.when(F.col("sum_w") > 0, v["w"]).otherwise(F.size(v["sources"]).cast("double"))
-    ranked = F.transform("vs", lambda v: F.struct(weight(v).alias("weight"), (-F.size(v["sources"])).alias("few"), (-v["first_seq"]).alias("early"), v["norm"].alias("norm"), v["raw"].alias("raw"), v["sources"].alias("sources")))
-    fields = fields.withColumn("ranked", ranked).withColumn("win", F.array_max("ranked"))
-    ratio = F.col("win.weight") / F.when(F.col("sum_w") > 0, F.col("sum_w")).otherwise(F.col("total_clusters"))
-    losers = F.filter("ranked", lambda v: v["norm"] != F.col("win.norm"))
-    conflicts = F.transform(losers, lambda v: F.struct(v["raw"].alias("value"), v["norm"].alias("normalized"), v["sources"].alias("sources"), v["weight"].alias("weight")))
-    note = F.when(F.col("total_clusters") == 1, "only one independent source").when(F.size("conflicts") > 0, F.concat(F.size("conflicts").cast("string"), F.lit(" dissenting values"))).otherwise("")
-    return fields.withColumn("conflicts", conflicts).select(
-        *key, F.col("win.raw").alias("consensus_value"), F.col("win.norm").alias("normalized_value"),
-        (ratio * F.least(F.lit(1.0), 0.4 + 0.2 * (F.col("total_clusters") - 1))).alias("confidence"), F.col("win.sources").alias("winning_sources"), "total_clusters", "conflicts", note.alias("note"))
+    votes = _votes(observations, kinds)
+    groups, values = _values(votes)
+    chosen = groups.select(*KEY, "g", "norm", "g_seq")
+    source = F.struct("g_seq", "seq", "source")
+    listed = votes.select(*KEY, "g", "norm", "seq", "source").join(chosen, [*KEY, "g", "norm"]).groupBy(*KEY, "norm").agg(F.array_sort(F.collect_list(source)).alias("s"))
+    listed = listed.select(*KEY, "norm", F.col("s.source").alias("sources"))
+    winners = _winners(values)
+    both = values.join(listed, [*KEY, "norm"]).join(winners.select(*KEY, "normalized_value", "trusted"), KEY)
+    won = F.col("norm") == F.col("normalized_value")
+    weight = F.when(F.col("trusted"), F.col("w") / UNITS).otherwise(F.col("n").cast("double"))
+    other = F.struct(F.col("first.g_seq").alias("seen"), F.struct(F.col("first.raw").alias("value"), F.col("norm").alias("normalized"), "sources", weight.alias("weight")).alias("c"))
+    lists = both.groupBy(*KEY).agg(F.max(F.when(won, F.col("sources"))).alias("winning_sources"), F.array_sort(F.collect_list(F.when(~won, other))).alias("others"))
+    joined = winners.join(lists, KEY).withColumn("conflicts", F.col("others.c"))
+    return joined.select(*KEY, "consensus_value", "normalized_value", "confidence", "winning_sources", "total_clusters", "conflicts", "note")
 
 
 def consensus_to_records(consensus: DataFrame, base: DataFrame, fields: list[str]) -> DataFrame:

@@ -134,14 +134,16 @@ def dedupe_first(df: DataFrame, key: Column, seq: str) -> DataFrame:
     return df.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(*df.columns), seq).alias("r")).select("r.*")
 
 
-def dataset_digest(df: DataFrame) -> DataFrame:
-    """One row (rows, digest) that depends on the set of rows, not on their order or partitions.
+def set_digest(digest: Column) -> Column:
+    """An aggregate over hex digests of 256 bits that is free of order: the sums of their four words, and the number of rows, digested.
 
-    Row digests are summed up per bucket in sorted order, then the buckets' digests; no task sees all rows.
+    Sums combine in any order within and between tasks; nothing is collected or sorted.
     """
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    per = df.select(row.alias("d")).groupBy(F.substring("d", 1, 3).alias("bucket")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
-    folded = F.array_sort(F.collect_list(F.struct("bucket", "d")))
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(folded, lambda r: r["d"]), ""), 256).alias("digest"))
+    words = [F.sum(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
+    return F.sha2(F.concat_ws(":", F.count(digest).cast("string"), *words), 256)
 
 
+def dataset_digest(df: DataFrame) -> DataFrame:
+    """One row (rows, digest) that depends on the multiset of rows, not on their order or partitions."""
+    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    return df.select(row.alias("d")).agg(F.count("*").alias("rows"), set_digest(F.col("d")).alias("digest"))

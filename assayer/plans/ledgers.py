@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import ledgers as L
 from assayer.plans.base import fixture, query
+from assayer.plans.versions import V_DIGEST
 
 fixture("batches", "SELECT c_custkey AS batch_id FROM {customer}")
 fixture("batch_chunks", "SELECT o_custkey AS batch_id, o_orderkey AS index_, CASE o_custkey % 4 WHEN 0 THEN 'SUCCEEDED' WHEN 1 THEN CASE WHEN o_orderstatus = 'F' THEN 'FAILED' ELSE 'SUCCEEDED' END WHEN 2 THEN CASE o_orderstatus WHEN 'F' THEN 'PAUSED' WHEN 'O' THEN 'QUEUED' ELSE 'SUCCEEDED' END ELSE 'RUNNING' END AS state FROM {orders}")
@@ -63,8 +64,8 @@ query("d41_audit_run_times", lambda t: L.audit_run_times(t.audit_log.withColumnR
   SELECT query, count(*) FILTER (event = 'started') AS started, count(*) FILTER (event = 'failed') AS failed, round(avg(CAST(json_extract_string(details, '$.elapsed') AS DOUBLE)) FILTER (event <> 'started'), 6) AS mean_elapsed,
          CAST(floor(epoch(max(at_) FILTER (event <> 'started'))) - floor(epoch(min(at_) FILTER (event = 'started'))) AS BIGINT) AS span_seconds FROM {audit_log} GROUP BY query""")
 fixture("run_pages", "SELECT user_id AS run_id, event_id AS page_id, event_type <> 'error' AS ok, event_id % 4 AS records, concat('s', CAST(event_id % 6 AS STRING)) AS source, ts AS at_ FROM {events}")
-query("d36_run_receipt", lambda t: L.run_receipt(t.run_pages.withColumnRenamed("at_", "at")), """
-  SELECT run_id, count(*) AS attempted, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, CAST(sum(records) AS BIGINT) AS records, count(DISTINCT source) AS sources, CAST(floor(epoch(max(at_))) - floor(epoch(min(at_))) AS BIGINT) AS seconds, sha256(string_agg(d, '' ORDER BY d)) AS digest
-  FROM (SELECT *, sha256(CAST(page_id AS VARCHAR)) AS d FROM {run_pages}) GROUP BY run_id""")
+query("d36_run_receipt", lambda t: L.run_receipt(t.run_pages.withColumnRenamed("at_", "at")), f"""
+  SELECT run_id, count(*) AS attempted, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, CAST(sum(records) AS BIGINT) AS records, count(DISTINCT source) AS sources, CAST(floor(epoch(max(at_))) - floor(epoch(min(at_))) AS BIGINT) AS seconds, {V_DIGEST} AS digest
+  FROM (SELECT *, sha256(CAST(page_id AS VARCHAR)) AS d FROM {{run_pages}}) GROUP BY run_id""")
 fixture("members", "SELECT concat('u', CAST(c_custkey % 50 AS STRING)) AS user_id, c_custkey % 200 AS client_id, CASE c_custkey % 3 WHEN 0 THEN 'owner' WHEN 1 THEN 'admin' ELSE 'member' END AS role FROM {customer}")
 query("b4_tenant_scope", lambda t: L.tenant_scope(t.orders.select("o_orderkey", (F.col("o_custkey") % 200).alias("client_id")), t.members, "u7", ("owner", "admin")), "SELECT o_orderkey, o_custkey % 200 AS client_id FROM {orders} WHERE o_custkey % 200 IN (SELECT client_id FROM {members} WHERE user_id = 'u7' AND role IN ('owner', 'admin'))")

@@ -32,13 +32,19 @@ _VOTES = _VOTES.replace("min(seq) AS seq, ", "seq, ").replace(", seq AS s, row_n
 
 
 def _consensus(t):
-    return T.triangulate(t.observations)
+    return T.consensus(t.observations)
 
 
 query("d1_triangulate", lambda t: _consensus(t).select(
-    "record_id", "field_name", "consensus_value", "normalized_value", F.round("confidence", 6).alias("confidence"), F.size("winning_sources").cast("long").alias("n_sources"),
-    F.col("total_clusters").cast("long").alias("total_clusters"), F.size("conflicts").cast("long").alias("n_conflicts")),
+    "record_id", "field_name", "consensus_value", "normalized_value", F.round("confidence", 6).alias("confidence"), "n_sources", "total_clusters", "n_conflicts"),
     f"WITH {_VOTES} SELECT record_id, field_name, consensus_value, normalized_value, round(confidence, 6) AS confidence, CAST(n_sources AS BIGINT) AS n_sources, CAST(total_clusters AS BIGINT) AS total_clusters, CAST(n_conflicts AS BIGINT) AS n_conflicts FROM consensus")
+query("d1_triangulate_lists", lambda t: T.triangulate(t.observations).select(
+    "record_id", "field_name", "consensus_value", F.round("confidence", 6).alias("confidence"), F.array_join("winning_sources", ",").alias("winning_sources"),
+    F.array_join(F.transform("conflicts", lambda c: F.concat_ws("=", c["normalized"], F.array_join(c["sources"], "+"))), ",").alias("conflicts")),
+    f"""WITH {_VOTES}, lists AS (SELECT v.record_id, v.field_name, v.norm, string_agg(v.source, ',' ORDER BY r.g_seq, v.seq) AS sources FROM votes v JOIN ranked r ON v.record_id = r.record_id AND v.field_name = r.field_name AND v.g = r.g AND v.norm = r.norm AND r.rn = 1 GROUP BY ALL)
+  SELECT w.record_id, w.field_name, max(w.raw) FILTER (place = 1) AS consensus_value, round(max(w.w / w.total * least(1.0, 0.4 + 0.2 * (w.total_clusters - 1))) FILTER (place = 1), 6) AS confidence, max(l.sources) FILTER (place = 1) AS winning_sources,
+         coalesce(string_agg(w.norm || '=' || replace(l.sources, ',', '+'), ',' ORDER BY w.first_seq) FILTER (place > 1), '') AS conflicts
+  FROM winners w JOIN lists l ON l.record_id = w.record_id AND l.field_name = w.field_name AND l.norm = w.norm GROUP BY ALL""")
 query("consensus_confidence", lambda t: T.record_confidence(_consensus(t)).select("record_id", F.round("confidence", 6).alias("confidence")),
       f"WITH {_VOTES} SELECT record_id, round(min(confidence), 6) AS confidence FROM consensus GROUP BY record_id")
 
@@ -81,7 +87,7 @@ query("d6_trust_decay", lambda t: T.trust_decay(T.source_trust(t.trust_events.wh
       f"""SELECT domain, CASE WHEN epoch(TIMESTAMP '2024-04-20') - floor(epoch(last_updated)) >= 7776000 THEN 0 ELSE observation_count END AS observation_count,
           CASE WHEN epoch(TIMESTAMP '2024-04-20') - floor(epoch(last_updated)) >= 7776000 THEN 0.5 ELSE round(trust_score, 6) END AS trust_score
           FROM ({_TRUST2.replace('FROM {trust_events}', "FROM {trust_events} WHERE NOT (domain = 'D4.Example' AND seen_at > TIMESTAMP '2024-01-02')")})""")
-query("d7_trust_updates", lambda t: T.trust_updates(_consensus(t)), f"""
+query("d7_trust_updates", lambda t: T.trust_updates(T.triangulate(t.observations)), f"""
   WITH {_VOTES}, sided AS (SELECT DISTINCT v.record_id, v.source, w.place = 1 AS yes FROM votes v JOIN ranked r ON v.record_id = r.record_id AND v.g = r.g AND v.norm = r.norm AND r.rn = 1 JOIN winners w ON w.record_id = v.record_id AND w.norm = v.norm),
   one AS (SELECT record_id, source, bool_or(yes) AS yes FROM sided GROUP BY ALL)
   SELECT source AS domain, sum(CAST(yes AS INTEGER)) AS agreed, sum(1 - CAST(yes AS INTEGER)) AS disagreed FROM one GROUP BY source""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,28 +26,28 @@ def write_records(df: DataFrame, path: str, fmt: str | None = None, mode: str =
     return path
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The rows (key, place) of a ledger, none if there is no ledger yet."""
     try:
-        spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(path)
-        return True
-    except Exception as missing:
-        if "PATH_NOT_FOUND" in str(missing):
-            return False
-        raise
+        return spark.read.schema("key string, place string").parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "key string, place string")
 
 
 def write_idempotent(df: DataFrame, target: str, ledger: str, key: str) -> tuple[str, bool]:
     """(where, written): the rows go to target/key once; a key in the ledger gives the first place again; no rows, no write.
 
     Spark's committer moves finished files into place before the ledger row is appended, so a failed try leaves
-    no ledger row and is repeated over its own folder.
+    no ledger row and is repeated over its own folder. One writer per key at a time: two that start together both write, the
+    later rows over the earlier, and the ledger names the one place twice.
     """
     spark = df.sparkSession
     place = f"{target.rstrip('/')}/key={key}"
-    if _exists(spark, ledger):
-        known = spark.read.parquet(ledger).where(F.col("key") == key).select("place").first()
-        if known:
-            return known.place, False
+    known = _ledger(spark, ledger).where(F.col("key") == key).select("place").first()
+    if known:
+        return known.place, False
     if df.isEmpty():
         return "", False
     df.write.mode("overwrite").parquet(place)
