@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.operators import pages as P
-from assayer.plans.base import fixture, query
+from assayer.plans.base import FIXTURES, fixture, query
 
 _S = P.Selector
 _SPECS = [_S("title", "text", "title"), _S("heading", "css", "article > h1", fallbacks=(_S("h", "css", "h1"),)), _S("nav", "link", "nav a", pick="join", separator=" "), _S("second", "text", "nav li", pick="nth", nth=1), _S("charset", "attribute", "meta[charset]", attribute="charset"), _S("price", "css", ".price", fallbacks=(_S("p", "regex", r"&copy;\s*([\w.]+)"),))]
-query("k1_extract_fields", lambda t: P.extract_fields(t.pages, _SPECS))
+_NAV = "regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)"
+query("k1_extract_fields", lambda t: P.extract_fields(t.pages, _SPECS), rf"""
+  SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, 0 AS title_rung, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS heading, 0 AS heading_rung, array_to_string(regexp_extract_all({_NAV}, 'href="([^"]*)"', 1), ' ') AS nav, 0 AS nav_rung,
+         regexp_extract_all({_NAV}, '>([^<>]*)</a>', 1)[2] AS second, 0 AS second_rung, 'utf-8' AS charset, 0 AS charset_rung, regexp_extract(html, '&copy;\s*([\w.]+)', 1) AS price, 1 AS price_rung FROM {{pages}}""")
+fixture("shelf_pages", """SELECT page_id, concat('<html><head><meta property="og:x" content="m', CAST(page_id AS STRING), '"><script id="__NEXT_DATA__" type="application/json">{{"props": {{"ids": [', CAST(page_id AS STRING), ', 7]}}}}</script></head><body><ul class="shelf"><li class="item a"><h2>First &amp; best</h2><b class="price">$', CAST(page_id % 90 AS STRING),
+  '</b><img src="/i', CAST(page_id AS STRING), '.png"></li><li class="item b" data-k="x1"><h2>Second</h2><b class="price">', CASE WHEN page_id % 2 = 0 THEN '' ELSE '$5' END, '</b></li></ul><p>one<p>two</p><table><tr><td>a</td><td>', CAST(page_id AS STRING), '</td></tr></table><a class="pagination-next" href="?p=', CAST(page_id AS STRING), '">more</a></body></html>') AS html FROM {pages}""")
+_KINDS = [_S("x_price", "xpath", "//li[@class='item a']/b"), _S("x_src", "xpath", "//img/@src"), _S("x_second", "xpath", "//ul/li[2]/h2/text()"), _S("sibling", "css", "li.a + li.b > h2"), _S("starts", "css", "li[data-k^=x] h2"), _S("last", "css", "ul.shelf li:last-child h2"), _S("second_p", "css", "p ~ p"),
+          _S("meta", "meta", "og:x"), _S("image", "image", "img"), _S("more", "pagination", ""), _S("ids", "embedded_json", "props.ids", pick="join", separator="+"), _S("cells", "table", "table"), _S("prices", "css", ".price", pick="join"), _S("other", "css", ".none", fallbacks=(_S("o", "css", "li.b .price"), _S("o", "text", "li.a h2")))]
+query("k1_selector_kinds", lambda t: P.extract_fields(t.shelf_pages, _KINDS).select("page_id", *(s.name for s in _KINDS), "other_rung"), """
+  SELECT page_id, '$' || (page_id % 90) AS x_price, '/i' || page_id || '.png' AS x_src, 'Second' AS x_second, 'Second' AS sibling, 'Second' AS starts, 'Second' AS last, 'two' AS second_p, 'm' || page_id AS meta, '/i' || page_id || '.png' AS image, '?p=' || page_id AS more, page_id || '+7' AS ids,
+         '[["a", "' || page_id || '"]]' AS cells, CASE WHEN page_id % 2 = 0 THEN '$' || (page_id % 90) ELSE '$' || (page_id % 90) || ', $5' END AS prices, CASE WHEN page_id % 2 = 0 THEN 'First & best' ELSE '$5' END AS other, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS other_rung FROM {shelf_pages}""")
+fixture("messy_pages", """SELECT page_id, concat('<html><body class="x"><nav><a href="/n">n</a></nav><!-- c', CAST(page_id AS STRING), ' --><script>var t="</p>";</script><div id="d" style="color:red"><p class="price" style="display:none">$', CAST(page_id AS STRING), '</p><a href="/p/', CAST(page_id AS STRING), '" onclick="x()">word<b>bold</a><img src="i.png" width="1" alt="a">',
+  CASE page_id % 3 WHEN 0 THEN '<input type="hidden" name="h">' WHEN 1 THEN '<i aria-hidden="true">icon</i>' ELSE '' END, '<span class="sr-only">Price ', CAST(page_id AS STRING), '</span><footer>f &amp; g</footer></div></body></html>') AS html FROM {pages}""")
 query("k2_extract_tree", lambda t: P.extract_tree(t.pages, "nav li", [_S("label", "text", "a"), _S("target", "link", "a")]), r"""
   SELECT page_id, CAST(i - 1 AS INTEGER) AS item, trim(regexp_extract(li, '>([^<>]*)</a>', 1)) AS label, regexp_extract(li, 'href="([^"]*)"', 1) AS target FROM (
     SELECT page_id, unnest(l) AS li, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li>(<a[^>]*>[^<]*</a>)</li>', 1) AS l FROM {pages}))""")
@@ -17,9 +29,18 @@ fixture("shop_pages", """SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN conca
   WHEN 1 THEN concat('<meta property="og:title" content="M', CAST(page_id AS STRING), '"><meta property="product:price" content="7">', html) ELSE html END AS html FROM {pages}""")
 query("k3_extract_structured", lambda t: P.extract_structured(t.shop_pages, {"name": ("name", "og:title"), "price": ("offers.price", "product:price")}), """
   SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'P' || page_id WHEN 1 THEN 'M' || page_id END AS name, CASE page_id % 3 WHEN 0 THEN (page_id % 50) || '.5' WHEN 1 THEN '7' END AS price, CASE page_id % 3 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'meta' END AS method FROM {shop_pages}""")
-query("k5_clean_pages", lambda t: P.clean_pages(t.pages))
-query("k6_sanitize_pages", lambda t: P.sanitize_pages(t.pages).select("page_id", "html", F.array_join(F.array_sort(F.map_keys("reasons")), ",").alias("reasons")))
+query("k5_clean_pages", lambda t: P.clean_pages(t.messy_pages), """
+  SELECT page_id, '<html><body><div><p>$' || page_id || '</p><a href="/p/' || page_id || '">word<b>bold</b></a><img src="i.png" alt="a">' || CASE page_id % 3 WHEN 0 THEN '<input>' WHEN 1 THEN '<i>icon</i>' ELSE '' END || '<span>Price ' || page_id || '</span></div></body></html>' AS html FROM {messy_pages}""")
+query("k5_clean_real_pages", lambda t: P.clean_pages(t.pages))
+_SHOWN = """'<html><body class="x"><nav><a href="/n">n</a></nav><div id="d" style="color:red"><a href="/p/' || page_id || '" onclick="x()">word<b>bold</b></a><img src="i.png" width="1" alt="a"><span class="sr-only">Price ' || page_id || '</span><footer>f &amp; g</footer></div></body></html>'"""
+_why = lambda df: F.array_join(F.array_sort(F.map_keys(df["reasons"])), ",").alias("reasons")
+query("k6_sanitize_pages", lambda t: (s := P.sanitize_pages(t.messy_pages)).select("page_id", "html", _why(s)), f"""
+  SELECT page_id, {_SHOWN} AS html, CASE page_id % 3 WHEN 1 THEN 'aria_hidden,' ELSE '' END || 'display_none,' || CASE page_id % 3 WHEN 0 THEN 'hidden_input,' ELSE '' END || 'html_comment,tag_script' AS reasons FROM {{messy_pages}}""")
+query("k6_sanitize_real_pages", lambda t: (s := P.sanitize_pages(t.pages)).select("page_id", "html", _why(s)))
 fixture("trap_pages", """SELECT page_id, concat(html, CASE page_id % 5 WHEN 0 THEN '<a href="/x" style="display: none">x</a>' WHEN 1 THEN '<a class="nav hidden" href="/y">y</a>' WHEN 2 THEN '<a rel="nofollow" href="https://a.example/">https://b.example/</a>' WHEN 3 THEN '<input type="hidden" name="honeypot">' ELSE '<input type="hidden" name="csrf">' END) AS html FROM {pages}""")
+fixture("trap_messy_pages", FIXTURES["trap_pages"].replace("{pages}", "{messy_pages}"))
 query("k7_honeypots", lambda t: P.honeypots(t.trap_pages), """
   SELECT page_id, CASE WHEN page_id % 5 = 3 THEN 'hidden_form' ELSE 'hidden_link' END AS kind, CASE page_id % 5 WHEN 0 THEN '<a href="/x" style="display: none">x</a>' WHEN 1 THEN '<a class="nav hidden" href="/y">y</a>' WHEN 2 THEN '<a rel="nofollow" href="https://a.example/">https://b.example/</a>' ELSE '<input type="hidden" name="honeypot">' END AS evidence FROM {trap_pages} WHERE page_id % 5 < 4""")
-query("d37_page_security_report", lambda t: P.page_security_report(t.trap_pages).select("page_id", "stripped", F.array_join("honeypot_kinds", ",").alias("honeypot_kinds")))
+query("d37_page_security_report", lambda t: P.page_security_report(t.trap_messy_pages).select("page_id", "stripped", F.array_join("honeypot_kinds", ",").alias("honeypot_kinds")), """
+  SELECT page_id, 3 + CASE WHEN page_id % 3 < 2 THEN 1 ELSE 0 END + CASE WHEN page_id % 5 IN (0, 3, 4) THEN 1 ELSE 0 END AS stripped, CASE WHEN page_id % 5 < 3 THEN 'hidden_link' WHEN page_id % 5 = 3 THEN 'hidden_form' ELSE '' END AS honeypot_kinds FROM {messy_pages}""")
+query("d37_real_pages_report", lambda t: P.page_security_report(t.trap_pages).select("page_id", "stripped", F.array_join("honeypot_kinds", ",").alias("honeypot_kinds")))

@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.plans.base import query
 from assayer.sources.readers import read_usage_stream
+from assayer.sources.shared import new_folder
 from assayer.streaming import keyed as K
 from assayer.streaming import usage as U
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """The rows of a stream over the files that exist, through a Parquet sink; update mode keeps every version, in batch order."""
+    """The rows of a stream over the files that exist, through a Parquet sink; update mode keeps every version, with its _batch.
+
+    A micro-batch has a folder of its own, which a repeated try overwrites, so no row is there twice.
+    """
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-assayer-")
-    base = f"{root.rstrip('/')}/assayer/{uuid.uuid4().hex}"
-    write = lambda df, number: df.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")
+    base = new_folder(spark)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/_batch=-1")  # a stream without rows
+    write = lambda df, number: df.write.mode("overwrite").parquet(f"{base}/out/_batch={number}")
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out/*").select(*stream.columns, "_batch")
 
 
 def _events(t) -> DataFrame:
@@ -34,10 +35,10 @@ def _events(t) -> DataFrame:
 
 
 query("i1_dedupe_usage_stream", lambda t: drained(U.dedupe_stream(_events(t).select((F.col("event_id") % 5000).alias("event_id"), F.col("ts").alias("occurred_at")), late="40 days")).select("event_id"), "SELECT DISTINCT event_id % 5000 AS event_id FROM {events}")
-query("i2_usage_rollup_stream", lambda t: drained(U.usage_rollup_stream(_events(t).select(F.col("ts").alias("occurred_at"), F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("client_id"), F.col("event_type").alias("resource_type"), (F.col("event_id") % 9).alias("quantity"), F.lit(1).alias("total_cost_usd")), late="1 hour"), "append").withColumn("start", F.col("start").cast("date")), """
+query("i2_usage_rollup_stream", lambda t: drained(U.usage_rollup_stream(_events(t).select(F.col("ts").alias("occurred_at"), F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("client_id"), F.col("event_type").alias("resource_type"), (F.col("event_id") % 9).alias("quantity"), F.lit(1).alias("total_cost_usd")), late="1 hour"), "append").drop("_batch").withColumn("start", F.col("start").cast("date")), """
   SELECT CAST(ts AS DATE) AS start, 'c' || (user_id % 5) AS client_id, event_type AS resource_type, count(*) AS events, CAST(sum(event_id % 9) AS BIGINT) AS quantity, count(*) AS cost_usd FROM {events}
   WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {events}) GROUP BY ALL""")
-query("i3_repeated_failures_stream", lambda t: drained(K.repeated_failures_stream(_events(t).select(F.concat(F.lit("t"), "user_id").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "job_failed").otherwise("job_completed").alias("kind")), 86400)),
+query("i3_repeated_failures_stream", lambda t: drained(K.repeated_failures_stream(_events(t).select(F.concat(F.lit("t"), "user_id").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "job_failed").otherwise("job_completed").alias("kind")), 86400)).drop("_batch"),
       "SELECT 't' || user_id AS task_id, event_id AS seq, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW) AS recent_failures FROM {events} WHERE event_type = 'error'")
 query("i4_alert_cooldown_stream", lambda t: drained(K.alert_cooldown_stream(_events(t).where("event_type = 'error'").select(F.lit("r1").alias("rule_id"), F.concat(F.lit("t"), "user_id").alias("scope_key"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.lit(86400).alias("cooldown_seconds")))).select("scope_key", "seq"), """
   WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {events} WHERE event_type = 'error'),
@@ -48,14 +49,13 @@ query("i5_incident_stream", lambda t: drained(K.incident_stream(_events(t).where
   WITH b AS (SELECT user_id, event_type = 'error' AS hit, coalesce(sum(CAST(event_type = 'signup' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM {events} WHERE event_type IN ('error', 'signup')),
   g AS (SELECT user_id, island, count(*) AS occurrences FROM b WHERE hit GROUP BY ALL)
   SELECT 'k' || user_id AS dedup_key, row_number() OVER (PARTITION BY user_id ORDER BY island) AS number, occurrences FROM g""")
-query("i6_frontier_stream", lambda t: drained(K.frontier_stream(_events(t).select((F.col("user_id") * 13 + F.col("event_id") % 13).cast("string").alias("url"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") == "view").alias("ok"), F.lit(False).alias("blocked"))), "update").groupBy("url").agg(F.max_by("state", "attempts").alias("state"), F.max("attempts").alias("attempts")), """
+query("i6_frontier_stream", lambda t: drained(K.frontier_stream(_events(t).select((F.col("user_id") * 13 + F.col("event_id") % 13).cast("string").alias("url"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") == "view").alias("ok"), F.lit(False).alias("blocked"))), "update").groupBy("url").agg(F.max_by("state", "_batch").alias("state"), F.max("attempts").alias("attempts")), """
   WITH n AS (SELECT user_id * 13 + event_id % 13 AS u, event_type = 'view' AS ok, row_number() OVER (PARTITION BY user_id * 13 + event_id % 13 ORDER BY ts, event_id) AS k FROM {events}), g AS (SELECT u, count(*) AS n, min(k) FILTER (ok) AS e FROM n GROUP BY u)
-  SELECT CAST(u AS VARCHAR) AS url, CASE WHEN e <= 3 THEN 'EXTRACTED' WHEN n >= 3 THEN 'FAILED' ELSE 'QUEUED' END AS state, least(3, n, coalesce(e, 3)) AS attempts FROM g""")
+  SELECT CAST(u AS VARCHAR) AS url, CASE WHEN e <= 3 THEN 'PROCESSED' WHEN n >= 3 THEN 'FAILED' ELSE 'RETRY_WAIT' END AS state, least(3, n, coalesce(e, 3)) AS attempts FROM g""")
 
 
 def _usage_files(t) -> DataFrame:
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-assayer-")
-    path = f"{root.rstrip('/')}/assayer/{uuid.uuid4().hex}/usage"
+    path = f"{new_folder(t.spark)}/usage"
     rows = t.events.select(F.col("event_id").cast("string").alias("event_id"), F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("client_id"), F.col("event_type").alias("resource_type"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 9).alias("quantity"), F.col("ts").cast("timestamp").alias("occurred_at"))
     rows.write.option("ignoreNullFields", "true").json(path)
     return read_usage_stream(t.spark, path)

@@ -1,96 +1,137 @@
 """Keyed-state streams: repeated failures, alert cooldowns, incidents, crawl targets.
 
-Each has a batch twin with the same rows (with_recent_failures, alert_cooldown, incidents, frontier_states). A key's
-rows are taken in the order of (at, seq) within a micro-batch; state per key is a few numbers and ends by time-out.
+Each has a batch twin (with_recent_failures, alert_cooldown, incidents, frontier_states). A key's rows are taken in the
+order of (at, seq) within a micro-batch, at once, since an alert does not wait; so a stream gives its twin's rows where no
+micro-batch holds rows older than those of an earlier one. `late` is the watermark: rows older than the latest time less
+`late` are left out, and a key's state ends when the watermark passes the time after which it can tell nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from assayer.operators.alerts import SEVERITIES
+from assayer.operators.alerts import SEVERITIES, fires
+from assayer.operators.crawl import TERMINAL
 
 
 def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(["at", "seq"])
 
 
-def repeated_failures_stream(events: DataFrame, seconds: int = 600) -> DataFrame:
-    """(task_id, seq, recent_failures) for each job_failed event of (task_id, seq, at, kind)."""
+def _micros(rows: pd.DataFrame) -> np.ndarray:
+    return rows["at"].to_numpy("datetime64[us]").astype(np.int64)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+
+def _until(state: GroupState, micros: int, values: tuple) -> None:
+    """Keeps values until the watermark passes the time, at least one millisecond ahead of it."""
+    state.update(values)
+    state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs() + 1))
+
+
+def _keyed(rows: DataFrame, keys: list[str], step: Callable, schema: str, state: str, mode: str, late: str, keep: Callable[[pd.DataFrame], int]) -> DataFrame:
+    """keep: seconds that a state stays of which only late rows told."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
             return
-        recent = list(state.get[0]) if state.exists else []
-        out = []
-        for row in _ordered(frames).itertuples():
-            now = row.at.value // 1000
-            recent = [t for t in recent if t >= now - seconds * 1_000_000] + [now]
-            out.append((key[0], row.seq, len(recent)))
-        state.update((recent,))
-        yield pd.DataFrame(out, columns=["task_id", "seq", "recent_failures"])
+        given, watermark = _ordered(frames), kept.getCurrentWatermarkMs()
+        on_time = given[_micros(given) >= watermark * 1000]  # Spark itself lets rows pass for one more micro-batch
+        if len(on_time):
+            yield step(key, on_time, kept)
+        elif kept.exists:
+            _until(kept, (watermark + keep(given) * 1000) * 1000, kept.get)
+
+    return rows.withWatermark("at", late).groupBy(*keys).applyInPandasWithState(run, schema, state, mode, GroupStateTimeout.EventTimeTimeout)
+
+
+def repeated_failures_stream(events: DataFrame, seconds: int = 600, late: str = "10 minutes") -> DataFrame:
+    """(task_id, seq, recent_failures) for each job_failed event of (task_id, seq, at, kind).
+
+    State: the times of a task's failures of the last `seconds`, and how many fell on each; it ends `seconds` after the last.
+    """
+
+    def step(key: tuple, rows: pd.DataFrame, state: GroupState) -> pd.DataFrame:
+        times, counts = map(list, state.get) if state.exists else ([], [])
+        at = _micros(rows)
+        new, n = np.unique(at, return_counts=True)
+        all_at = np.concatenate([np.array(times, np.int64), new])
+        all_n = np.concatenate([np.array(counts, np.int64), n])
+        order = np.argsort(all_at, kind="stable")
+        all_at, total = all_at[order], np.concatenate([[0], np.cumsum(all_n[order])])
+        window = seconds * 1_000_000
+        found = total[np.searchsorted(all_at, at, "right")] - total[np.searchsorted(all_at, at - window, "left")]
+        keep = all_at >= all_at[-1] - window
+        _until(state, int(all_at[-1]) + window, (all_at[keep].tolist(), all_n[order][keep].tolist()))
+        return pd.DataFrame({"task_id": pd.Series([key[0]] * len(rows), dtype=object), "seq": rows["seq"].to_numpy(), "recent_failures": found})
 
     failed = events.where("kind = 'job_failed' and task_id <> ''")
-    return failed.groupBy("task_id").applyInPandasWithState(step, "task_id string, seq long, recent_failures long", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(failed, ["task_id"], step, "task_id string, seq long, recent_failures long", "times array<long>, counts array<long>", "append", late, lambda _: seconds)
 
 
-def alert_cooldown_stream(matches: DataFrame) -> DataFrame:
-    """(rule_id, scope_key, seq, at) of the matches that fire."""
+def alert_cooldown_stream(matches: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(rule_id, scope_key, seq, at) of the matches that fire. State: the last firing; it ends with the cooldown."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for row in _ordered(frames).itertuples():
-            now = row.at.value // 1000
-            if last is None or row.cooldown_seconds <= 0 or now - last >= row.cooldown_seconds * 1_000_000:
-                out.append((*key, row.seq, row.at))
-                last = now
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["rule_id", "scope_key", "seq", "at"])
+    def step(key: tuple, rows: pd.DataFrame, state: GroupState) -> pd.DataFrame:
+        gap = rows["cooldown_seconds"].to_numpy(np.int64) * 1_000_000
+        kept, last = fires(_micros(rows), gap, state.get[0] if state.exists else None)
+        if last is not None:
+            _until(state, last + int(gap.max()), (last,))
+        names = {n: pd.Series([v] * int(kept.sum()), dtype=object) for n, v in zip(("rule_id", "scope_key"), key, strict=True)}
+        return pd.DataFrame(names | {"seq": rows["seq"].to_numpy()[kept], "at": rows["at"].to_numpy()[kept]})
 
-    return matches.groupBy("rule_id", "scope_key").applyInPandasWithState(step, "rule_id string, scope_key string, seq long, at timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(matches, ["rule_id", "scope_key"], step, "rule_id string, scope_key string, seq long, at timestamp", "last long", "append", late, lambda rows: int(rows["cooldown_seconds"].max()))
 
 
-def incident_stream(alerts: DataFrame) -> DataFrame:
+def incident_stream(alerts: DataFrame, forget: int = 30 * 86400, late: str = "10 minutes") -> DataFrame:
     """(client_id, dedup_key, number, occurrences, severity, status): each incident as it stands after a micro-batch.
 
-    alerts (client_id, dedup_key, at, seq, severity, ends): a row with ends = 1 closes the open incident.
+    alerts (client_id, dedup_key, at, seq, severity, ends): a row with ends = 1 closes the open incident. State: the last
+    incident; it ends `forget` seconds after a key's last row, and numbers start anew.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(key: tuple, rows: pd.DataFrame, state: GroupState) -> pd.DataFrame:
         number, count, rank, open_ = state.get if state.exists else (0, 0, 0, False)
-        out = {}
-        for row in _ordered(frames).itertuples():
-            if row.ends:
-                open_ = False
-            elif open_:
-                count, rank = count + 1, max(rank, SEVERITIES.index(row.severity))
-            else:
-                number, count, rank, open_ = number + 1, 1, SEVERITIES.index(row.severity), True
-            if number:
-                out[number] = (*key, number, count, SEVERITIES[rank], "open" if open_ else "resolved")
-        state.update((number, count, rank, open_))
-        yield pd.DataFrame(list(out.values()), columns=["client_id", "dedup_key", "number", "occurrences", "severity", "status"])
+        ends = rows["ends"].to_numpy(bool)
+        ranks = rows["severity"].map({s: k for k, s in enumerate(SEVERITIES)}).to_numpy(np.int64)
+        out = []
+        closed = np.flatnonzero(ends)
+        for a, b in zip([0, *(closed + 1)], [*closed, len(rows)], strict=True):  # stretches between endings, not rows
+            if b > a:
+                number, count, rank = (number, count + b - a, max(rank, int(ranks[a:b].max()))) if open_ else (number + 1, b - a, int(ranks[a:b].max()))
+                open_ = True
+            touched = b > a or open_
+            open_ = open_ and b == len(rows)
+            if number and touched:
+                out = [o for o in out if o[2] != number] + [(*key, number, int(count), SEVERITIES[rank], "open" if open_ else "resolved")]
+        _until(state, int(_micros(rows)[-1]) + forget * 1_000_000, (int(number), int(count), int(rank), bool(open_)))
+        return pd.DataFrame(out, columns=["client_id", "dedup_key", "number", "occurrences", "severity", "status"]).astype({"client_id": object, "dedup_key": object, "severity": object, "status": object})
 
     schema = "client_id string, dedup_key string, number long, occurrences long, severity string, status string"
-    return alerts.groupBy("client_id", "dedup_key").applyInPandasWithState(step, schema, "number long, count long, rank long, open boolean", "update", GroupStateTimeout.NoTimeout)
+    return _keyed(alerts, ["client_id", "dedup_key"], step, schema, "number long, count long, rank long, open boolean", "update", late, lambda _: forget)
+
 
+def frontier_stream(outcomes: DataFrame, max_attempts: int = 3, forget: int = 30 * 86400, late: str = "10 minutes") -> DataFrame:
+    """(url, state, attempts, delay_seconds): each crawl target as it stands after a micro-batch of fetch outcomes (url, at, seq, ok, blocked).
 
-def frontier_stream(outcomes: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """(url, state, attempts): each crawl target as it stands after a micro-batch of fetch outcomes (url, at, seq, ok, blocked)."""
+    Outcomes of a target that has ended change nothing. State: its name and attempts; it ends `forget` seconds after a
+    target's last outcome, and the target may be tried anew.
+    """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(key: tuple, rows: pd.DataFrame, state: GroupState) -> pd.DataFrame:
         name, attempts = state.get if state.exists else ("QUEUED", 0)
-        for row in _ordered(frames).itertuples():
-            if name == "QUEUED":
-                attempts += 1
-                name = "BLOCKED" if row.blocked else "EXTRACTED" if row.ok else "FAILED" if attempts >= max_attempts else "QUEUED"
-        state.update((name, attempts))
-        yield pd.DataFrame([(key[0], name, attempts)], columns=["url", "state", "attempts"])
-
-    return outcomes.groupBy("url").applyInPandasWithState(step, "url string, state string, attempts long", "name string, attempts long", "update", GroupStateTimeout.NoTimeout)
+        if name not in TERMINAL:
+            first = rows.iloc[: max_attempts - attempts]
+            done = np.flatnonzero((first["ok"] | first["blocked"]).to_numpy(bool))
+            attempts += int(done[0]) + 1 if len(done) else len(first)
+            name = ("POLICY_REFUSED" if first["blocked"].iloc[done[0]] else "PROCESSED") if len(done) else "FAILED" if attempts >= max_attempts else "RETRY_WAIT"
+        _until(state, int(_micros(rows)[-1]) + forget * 1_000_000, (name, attempts))
+        wait = min(2.0 ** (attempts - 1), 30.0) if name == "RETRY_WAIT" else None
+        return pd.DataFrame([(key[0], name, attempts, wait)], columns=["url", "state", "attempts", "delay_seconds"]).astype({"url": object, "state": object, "delay_seconds": float})
+
+    return _keyed(outcomes, ["url"], step, "url string, state string, attempts long, delay_seconds double", "name string, attempts long", "update", late, lambda _: forget)

@@ -169,6 +169,44 @@ def test_templates_with_any_number_of_slots(spark):
             expand_url_templates(spark.createDataFrame([(1, wide)], "id long, template string")).collect()
 
 
+@pytest.mark.parametrize(("path", "wanted"), [
+    ("//li/b", ["one", "two"]), ("/ul/li[1]/b", ["one"]), ("//li[last()]/b/text()", ["two"]), ("//*[@class='p q']/@id", ["k"]), ("//li[contains(@class, 'q')]//i", ["x", "y"]), ("//b[text()='two']", ["two"]), ("//i[2]", ["y"]), ("//li[@id]/i", ["x", "y"]), ("//u", [])])
+def test_xpath(path, wanted):
+    root = H.parse('<ul><li class="p q" id="k"><b>one</b><i>x</i><i>y</i></li><li><b>two</b></li></ul>')
+    assert H.xpath(root, path) == wanted
+
+
+def test_wrong_xpath():
+    for path in ("//li[position() > 1]", "//li/following-sibling::li"):
+        with pytest.raises(ValueError, match="unknown XPath"):
+            H.xpath(H.parse("<li>1</li><li>2</li>"), path)
+
+
+@pytest.mark.parametrize(("selector", "wanted"), [("li:nth-child(2)", ["2"]), ("li:first-child, li:last-child", ["1", "4"]), ("li + li", ["2", "3", "4"]), ("li.a ~ li", ["3", "4"]), ("[data-x^=ab]", ["3"]), ("[data-x$='c']", ["3"]), ("[data-x*=b]", ["3"]), ("[class~=b]", ["2"]), ("ul > li.b", ["2"])])
+def test_selectors_of_siblings_places_and_attributes(selector, wanted):
+    root = H.parse('<ul><li>1</li><li class="a b">2</li><li data-x="abc">3</li><li>4</li></ul>')
+    assert [n.text() for n in H.select(root, selector)] == wanted
+
+
+def test_pages_with_thousands_of_open_tags(spark):
+    deep = "<div>" * 5000 + "<p class=price>$1</p><a href='/x'>go</a><script>s</script>"
+    df = spark.createDataFrame([(1, deep), (2, None), (3, "")], "page_id long, html string")
+    rows = {r.page_id: r for r in pages.extract_fields(df, [pages.Selector("p", "css", "div .price"), pages.Selector("h", "html", "body"), pages.Selector("x", "xpath", "//a/@href")]).collect()}
+    assert (rows[1].p, rows[1].x, rows[2].p, rows[3].p_rung) == ("$1", "/x", None, -1)
+    assert pages.extract_tree(df, "a", [pages.Selector("t", "text", "."), pages.Selector("r", "regex", "href=.([^'\"]*)")]).count() == 1
+    clean = {r.page_id: r.html for r in pages.clean_pages(df).collect()}
+    assert clean[1].count("<div>") == clean[1].count("</div>") == 5000 and "script" not in clean[1] and clean[2] == clean[3] == ""
+    assert {r.page_id: dict(r.reasons) for r in pages.sanitize_pages(df).collect()}[1] == {"tag_script": 1}
+    assert pages.page_security_report(df).count() == 3
+
+
+def test_cleaning_twice_changes_nothing(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        once, (shown, _) = pages.clean_html(r.html), pages.sanitize_html(r.html)
+        assert pages.clean_html(once) == once and not any(t in once for t in ("<nav", "<script", "<!--", "class=", "<footer"))
+        assert pages.sanitize_html(shown) == (shown, {})
+
+
 def test_selector_kinds_and_nested_specs(spark):
     page = """<ul><li class="p"><b>one</b><i class="r"><u>good</u><s>5</s></i><i class="r"><u>bad</u></i></li><li class="p"><b>two</b></li></ul><li class="next"><a href="/2">n</a></li>
 <script>window.__NUXT__ = {"a": {"b": [{"c": "x};"}, {"@type": "T", "c": 7}]}};</script>"""
@@ -182,7 +220,7 @@ def test_selector_kinds_and_nested_specs(spark):
     rows = {r["name"]: r for r in pages.extract_tree(df, "li.p", tree).collect()}
     assert [tuple(x) for x in rows["one"].reviews] == [("good", "5"), ("bad", None)] and rows["one"].top.word == "good"
     assert rows["two"].reviews == [] and rows["two"].top is None and len(rows) == 2
-    for wrong in ({"kind": "xpath"}, {"kind": "csss"}, {"kind": "css", "pick": "last"}):
+    for wrong in ({"kind": "xslt"}, {"kind": "csss"}, {"kind": "css", "pick": "last"}):
         with pytest.raises(ValueError, match="unknown"):
             S(name="x", expression="//a", **wrong)
 
@@ -226,3 +264,56 @@ def test_targets_fail_after_their_last_attempt_only(spark):
     finished = spark.createDataFrame([(s, None) for s in crawl.STATES], "state string, retry_at timestamp")
     assert {r.state for r in crawl.frontier_resume(finished).collect()} == {"DISCOVERED", "QUEUED", "RETRY_WAIT"}
     assert all(r.pending for r in crawl.frontier_stats(finished).collect()) and not any(r.pending for r in crawl.frontier_stats(finished.where("state in ('FAILED', 'PROCESSED')")).collect())
+
+
+def test_streams_in_two_micro_batches_with_late_rows(spark, tmp_path):
+    """Micro-batches in time order give the batch twin's rows; rows behind the watermark are left out; state ends."""
+    from assayer.plans.streams import drained
+    from assayer.streaming import keyed
+
+    start = datetime.datetime(2024, 1, 1)
+    schema = "task_id string, seq long, at timestamp, kind string, rule_id string, scope_key string, cooldown_seconds int"
+    row = lambda t, k, s, gap=60: (t, k, start + datetime.timedelta(seconds=s), "job_failed", "r", t, gap)
+    first = [row("a", 1, 0), row("a", 2, 50), row("b", 3, 55), row("a", 4, 70), row("a", 5, 70)]
+    second = [row("a", 6, 100), row("a", 7, 131), row("b", 8, 90_000), row("a", 9, 90_001)]
+    third = [row("a", 10, 200), row("a", 11, 90_010)]  # the first of these is a day late
+    folder = f"{tmp_path}/in"
+    for k, rows in enumerate((first, second, third)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        for f in sorted(p for p in (tmp_path / "in").iterdir() if p.name.startswith("part") and p.suffix == ".parquet" and not p.name.startswith("part-9")):
+            if not f.name.startswith("x"):
+                f.rename(f.with_name(f"x{k}.parquet"))
+    import os
+    for k in range(3):
+        os.utime(f"{folder}/x{k}.parquet", (k + 1_700_000_000, k + 1_700_000_000))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder + "/x*")
+    on_time = spark.createDataFrame([r for r in first + second + third if r[1] != 10], schema)
+    got = drained(keyed.alert_cooldown_stream(stream())).collect()
+    assert sorted(r.seq for r in got) == sorted(r.seq for r in alerts.alert_cooldown(on_time).collect()) == [1, 3, 4, 7, 8, 9]
+    got = {r.seq: r.recent_failures for r in drained(keyed.repeated_failures_stream(stream(), 100)).collect()}
+    wanted = {r.seq: r.recent_failures for r in alerts.with_recent_failures(on_time.withColumnsRenamed({}), 100).collect()}
+    assert got == wanted and got[4] == got[5] == 4 and got[9] == 1 and 10 not in got
+
+
+def test_cooldown_jumps_equal_a_row_by_row_fold():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        at = np.sort(rng.integers(0, 300, 40))
+        gap = np.repeat(rng.choice([0, 5, 30, 90], 8), 5)
+        kept, last = alerts.fires(at, gap, None)
+        wanted, before = [], None
+        for t, g in zip(at, gap, strict=True):
+            wanted.append(before is None or g <= 0 or t - before >= g)
+            before = t if wanted[-1] else before
+        assert kept.tolist() == wanted and last == before
+
+
+def test_places_within_a_hot_key(spark):
+    from assayer.operators.ranks import numbered
+
+    rows = [("hot", k * 7919 % 1009, 1) for k in range(1009)] + [("cold", 5, 2), (None, 9, 3), (None, 4, 1)]
+    got = numbered(spark.createDataFrame(rows, "k string, o long, b long"), "k", [F.asc("o")], "n", {"total": "b"}).collect()
+    assert {(r.k, r.o): (r.n, r.total) for r in got} == {**{("hot", k): (k + 1, k + 1) for k in range(1009)}, ("cold", 5): (1, 2), (None, 4): (1, 1), (None, 9): (2, 4)}
+    assert numbered(spark.createDataFrame([], "k string, o long"), "k", [F.asc("o")]).count() == 0
