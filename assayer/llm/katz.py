@@ -24,21 +24,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.blobs import ESCAPE, Codes, Near, dump, fixed, load, unfixed
-from assayer.llm.scratch import stored, table
+from assayer.llm.scratch import cleaned, shared_dir, stored, table
 from assayer.llm.tokens import as_text, hash_spans, mix, split_words, text_slices
 
 #: Counts up to this are discounted; tokens that a task sorts at once; tokens of a bucket, about; a hot word has more than 1 / (HOT * buckets) of all tokens.
-MOST_DISCOUNTED, CHUNK_TOKENS, BUCKET_TOKENS, HOT = 5, 2_500_000, 4_000_000, 4
+MOST_DISCOUNTED, CHUNK_TOKENS, BUCKET_TOKENS, HOT = 5, 2_000_000, 1_500_000, 4
 #: Names of words are below 2**63. The codes of start and end are 0 and 1, other words of the dictionary have ranks below ESCAPE, all others are 2**63 and their name.
 RARE = np.uint64(1 << 63)
 END_NAME = np.uint64(1 << 63)
 START, END = np.uint64(0), np.uint64(1)
 PAIRS, DOCS, GRAMS, ASKED, REPLY, CONTEXT, HISTORIES, PART = range(8)
+DATABASE = "assayer_katz"
 ROW = "bucket int, target int, kind int, chunk long, data binary"
 
 
@@ -77,6 +78,12 @@ class Vocabulary:
     word_buckets: int
     labels: np.ndarray
 
+    def __reduce__(self) -> tuple:
+        """In few bytes: counts fall with the codes."""
+        by_code = self.names[np.argsort(self.codes)]
+        rest = (self.order, self.hot, self.tokens, self.types, self.d, self.total, self.left, self.word_buckets, self.labels)
+        return _vocabulary, (dump(by_code, self.counts), rest)
+
     def encode(self, names: np.ndarray) -> np.ndarray:
         """Codes of ascending or other names."""
         at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
@@ -99,19 +106,29 @@ class Vocabulary:
         return _bucket(codes & ~RARE, self.word_buckets)
 
 
+def _vocabulary(data: bytes, rest: tuple) -> Vocabulary:
+    by_code, counts = load(data)
+    place = np.argsort(by_code)
+    return Vocabulary(rest[0], by_code[place], place.astype(np.uint64) + np.uint64(1), counts.astype(np.int64), *rest[1:])
+
+
 @dataclass(frozen=True)
 class KatzModel:
-    """vocabulary and discounts d of orders 1 to order; tables: words (target, data) with counts by word bucket, grams (n-grams with
-    counts, by bucket), pairs (counts of what follows hot words, by word bucket) and, once a fit has them, histories (log10 of
-    the total and of the backoff weight). hot: per hot word log10 of its total and of its backoff weight."""
+    """The vocabulary, shared with all tasks; discounts d of orders 1 to order; words (target, data): all words with counts, by word bucket; tables: n-grams
+    with counts, and histories with log10 of their total and of their backoff weight, by bucket; pairs: counts of what follows hot
+    words, by word bucket; hot: per hot word log10 of its total and of its backoff weight."""
 
-    vocabulary: Vocabulary
+    shared: Broadcast
     d: list[np.ndarray]
     words: DataFrame
-    grams: DataFrame
+    tables: DataFrame
     pairs: DataFrame
     hot: np.ndarray
 
+    @property
+    def vocabulary(self) -> Vocabulary:
+        return self.shared.value
+
     @property
     def tokens(self) -> int:
         return self.vocabulary.tokens
@@ -147,6 +164,13 @@ def _of(rows: pa.Table, kind: int) -> list[bytes]:
     return [d for k, d in zip(rows.column("kind").to_pylist(), rows.column("data").to_pylist(), strict=True) if k == kind]
 
 
+def _each(rows: pa.Table, *names: str) -> Iterator[tuple]:
+    """Rows one at a time, so that only one byte string is out of Arrow."""
+    columns = [rows.column(n) for n in names]
+    for k in range(rows.num_rows):
+        yield tuple(c[k].as_py() for c in columns)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
     """(name of every word, words per text, rows) of some rows at a time; the text is the last column."""
     for batch in batches:
@@ -211,8 +235,11 @@ def _even_labels(spark: SparkSession, buckets: int) -> np.ndarray:
     return np.array([found.get(p) if p in found else next(spare) for p in range(buckets)], np.int32)
 
 
-def count_words(texts: DataFrame, order: int, buckets: int | None) -> tuple[Vocabulary, DataFrame]:
-    """The vocabulary of the column text of all rows, and the table of all words with counts. The driver gets the dictionary, of ESCAPE words at most."""
+def count_words(texts: DataFrame, order: int, buckets: int | None) -> tuple[Broadcast, DataFrame]:
+    """The vocabulary of the column text of all rows, and the table of all words with counts.
+
+    The driver gets the dictionary and broadcasts it: ESCAPE words at most, some ten megabytes.
+    """
     spark = texts.sparkSession
     word_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kinds = "target int, data binary, tokens long, types long, seen array<long>, top binary"
@@ -237,7 +264,7 @@ def count_words(texts: DataFrame, order: int, buckets: int | None) -> tuple[Voca
     hot = counts * HOT * n > tokens
     hot[0], hot[1] = docs * HOT * n > tokens, False  # the end precedes nothing
     vocabulary = Vocabulary(order, names[ascending], codes[ascending], counts, hot[: int(np.flatnonzero(hot).max(initial=0)) + 1], tokens, types, d1, total, left, word_buckets, _even_labels(spark, n))
-    return vocabulary, counted.select("target", "data")
+    return spark.sparkContext.broadcast(vocabulary), counted.select("target", "data")
 
 
 # tokens to buckets
@@ -320,10 +347,12 @@ def _flat(parts: list[np.ndarray], width: int) -> tuple[list[np.ndarray], list[n
     return columns, parts[2 * width - 1 :]
 
 
-def _deal(v: Vocabulary):
+def _deal(shared: Broadcast):
     """One row per chunk and bucket: its n-grams, how often each occurs in training and altogether, and each token's document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+
         def dealt(number: int, names: list[np.ndarray], counts: list[np.ndarray], rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             chunk, name = Chunk(v, names, counts), TaskContext.get().partitionId() << 24 | number
             train = np.concatenate([np.asarray(r.column(1).fill_null(False)) for r in rows])
@@ -355,24 +384,27 @@ def _deal(v: Vocabulary):
     return run
 
 
+def _name(what: str) -> str:
+    return f"{what}_{uuid.uuid4().hex}"
+
+
 def bucketed(df: DataFrame, buckets: int, what: str) -> DataFrame:
-    """df (rows of ROW and more) written once as a table of so many buckets by the column bucket, and read back."""
-    from assayer.llm.scratch import CLEANUP, new_folder
-
-    spark, name = df.sparkSession, f"katz_{what}_{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    try:
-        spark.conf.set(CLEANUP, "true")
-        df.write.option("compression", "zstd").option("path", f"{new_folder(spark)}/{what}").bucketBy(buckets, "bucket").saveAsTable(name)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    """df (rows of ROW and more) written once as a table of so many buckets by the column bucket, and read back.
+
+    The tables are in a database of our own in the shared folder, so DROP TABLE takes their files away.
+    """
+    spark, name = df.sparkSession, f"{DATABASE}.{what}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE} LOCATION '{shared_dir(spark)}/assayer/{DATABASE}'")
+    with cleaned(spark):
+        df.write.option("compression", "zstd").bucketBy(buckets, "bucket").saveAsTable(name)
     return spark.table(name)
 
 
-def deal_tokens(docs: DataFrame, train: Column, v: Vocabulary) -> DataFrame:
+def deal_tokens(docs: DataFrame, train: Column, shared: Broadcast) -> DataFrame:
     """The tokens of docs (doc_id, text) by bucket; train tells which documents count in a fit (null: not)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text").mapInArrow(_deal(v), ROW)
-    return bucketed(rows.repartition(len(v.labels), "bucket"), len(v.labels), "tokens")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text").mapInArrow(_deal(shared), ROW)
+    n = len(shared.value.labels)
+    return bucketed(rows.repartition(n, "bucket"), n, _name("tokens"))
 
 
 # counts
@@ -397,24 +429,25 @@ def _sorted_rows(columns: list[np.ndarray]) -> np.ndarray:
     return np.argsort(key)
 
 
-def _merge_grams(v: Vocabulary):
+def _merge_grams(shared: Broadcast):
     """Per bucket: its n-grams with training counts, counts of counts of the orders from two, and what it asks of word buckets.
 
     It asks for the counts of words outside the dictionary, and of the pairs of a hot word and the word after it, of which
     it gives its own part. Pairs of hot words are counted where they are summed up.
     """
-    width = v.order
-
     def run(rows: pa.Table) -> pa.Table:
+        v, width = shared.value, shared.value.order
         own_bucket = rows.column("bucket")[0].as_py()
-        parts = [_flat(load(d), width) for d in _of(rows, PAIRS)]
+        parts = [_flat(load(d), width) for kind, d in _each(rows, "kind", "data") if kind == PAIRS]
+        parts = [(columns, rest[0] - rest[1]) for columns, rest in parts]
         out, seen = [], [0] * ((width - 1) * (MOST_DISCOUNTED + 1))
         if parts:
             columns = [np.concatenate([p[0][k] for p in parts]) for k in range(width)]
-            c = np.concatenate([p[1][0] - p[1][1] for p in parts]).astype(np.int64)
+            c = np.concatenate([p[1] for p in parts]).astype(np.int64)
+            parts = None
             place = _sorted_rows(_dense(columns, _rare(columns)))
             columns, c = [x[place] for x in columns], c[place]
-            at = _levels(columns)[-1]
+            at, place = _levels(columns)[-1], None
             columns, c = [x[at] for x in columns], np.add.reduceat(c, at)
             first = _levels(columns[:2])[1]
             w1, w, two = columns[0][first], columns[1][first], np.add.reduceat(c, first)
@@ -442,13 +475,12 @@ def _merge_grams(v: Vocabulary):
     return run
 
 
-def _answer(v: Vocabulary):
+def _answer(shared: Broadcast):
     """Per word bucket: for every asking bucket the counts it wants; the sums of pairs, for other askers; and, per hot word,
     what its backoff weight needs: how many words follow it 1, 2, ... times, its total, and their unigram mass."""
-    hot_words = len(v.hot)
-
     def run(key: tuple, words: pa.Table, asks: pa.Table) -> pa.Table:
-        target = key[0].as_py()
+        v, target = shared.value, key[0].as_py()
+        hot_words = len(v.hot)
         names, counts = load(words.column("data")[0].as_py()) if words.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         parts = [load(d) for d in asks.column("data").to_pylist() if d]
         out, seen = [], np.zeros(MOST_DISCOUNTED + 1, np.int64)
@@ -487,7 +519,7 @@ def _answer(v: Vocabulary):
     return run
 
 
-def _recall(v: Vocabulary):
+def _recall(shared: Broadcast):
     """Per word bucket, for tokens that had no part in the fit: the same counts from the words and the sums of pairs."""
 
     def run(key: tuple, known: pa.Table, asks: pa.Table) -> pa.Table:
@@ -560,24 +592,24 @@ class _Tables:
         return np.where(codes < ESCAPE, codes.astype(np.int64), np.where(self.rare[at] == codes, ESCAPE + at, -1))
 
 
-def _tables(columns: list[np.ndarray], c: np.ndarray) -> tuple[_Tables, list[np.ndarray], list[np.ndarray]]:
-    """(tables, columns as dense numbers, first rows per level) of ascending n-grams."""
-    rare = _rare(columns)
-    dense = _dense(columns, rare)
-    firsts, t = _levels(columns), _Tables(rare)
+def _tables(columns: list[np.ndarray], c: np.ndarray | None = None) -> _Tables:
+    """Lookups of ascending combinations, with counts if there are any."""
+    t, firsts = _Tables(_rare(columns)), _levels(columns)
     for k, f in enumerate(firsts):
-        above = np.zeros(len(f), np.int64) if k == 0 else np.repeat(np.arange(len(firsts[k - 1])), _sizes(f, firsts[k - 1]))
-        t.keys.append((above << 32) | dense[k][f])
-        t.counts.append(np.add.reduceat(c, f))
-    return t, dense, firsts
+        keys = _dense([columns[k][f]], t.rare)[0]
+        if k:
+            keys |= np.repeat(np.arange(len(firsts[k - 1])) << 32, _sizes(f, firsts[k - 1]))
+        t.keys.append(keys)
+        if c is not None:
+            t.counts.append(np.add.reduceat(c, f))
+    return t
 
 
-def _histories(v: Vocabulary, d: list[np.ndarray], hot: np.ndarray):
+def _histories(shared: Broadcast, d: list[np.ndarray], hot: np.ndarray):
     """Per bucket: its n-grams, what it learned from word buckets, and per length of history its words, log10 of totals and of backoff weights."""
-    order = v.order
-
     def run(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
+        v, bucket = shared.value, key[0].as_py()
+        order = v.order
         rare, rare_count, pairs, pair_count = _context(v, rows, replies)
         out = [(bucket, 0, CONTEXT, 0, dump(Codes(rare), rare_count, pairs, pair_count))]
         for data in _of(rows, GRAMS):
@@ -627,22 +659,24 @@ def _histories(v: Vocabulary, d: list[np.ndarray], hot: np.ndarray):
 
 def _score(m: KatzModel) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     """For every chunk with tokens in this bucket: sums per document."""
-    v, d, events = m.vocabulary, m.d, m.tokens + m.vocabulary.types + 1
-    order, hot = v.order, m.hot
+    shared, d, hot, events = m.shared, m.d, m.hot, m.tokens + m.vocabulary.types + 1
 
     def run(key: tuple, rows: pa.Table, model: pa.Table) -> pa.Table:
-        context = [load(x) for x in _of(model, CONTEXT)]
-        rare, rare_count, pairs, pair_count = context[0] if context else [np.zeros(0, np.uint64)] * 4
-        grams = [_flat(load(x), order) for x in _of(model, GRAMS)]
-        tables = _tables(grams[0][0], grams[0][1][0])[0] if grams else _Tables(np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * order, [np.zeros(0, np.int64)] * order)
-        found = sorted((k, data) for kind, k, data in zip(*(model.column(c).to_pylist() for c in ("kind", "target", "data")), strict=True) if kind == HISTORIES)
-        histories = []
-        for k, data in found:
-            words, values = _flat(load(data), k)
-            t, _, _ = _tables(words, np.ones(len(words[0]), np.int64))
-            histories.append((t, *map(unfixed, values)))
+        v, order = shared.value, shared.value.order
+        rare, rare_count, pairs, pair_count = [np.zeros(0, np.uint64)] * 4
+        tables, found = _Tables(np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * order, [np.zeros(0, np.int64)] * order), {}
+        for kind, k, data in _each(model, "kind", "target", "data"):
+            if kind == CONTEXT:
+                rare, rare_count, pairs, pair_count = load(data)
+            elif kind == GRAMS:
+                words, (c,) = _flat(load(data), order)
+                tables = _tables(words, c.astype(np.int64))
+            elif kind == HISTORIES:
+                words, values = _flat(load(data), k)
+                found[k] = (_tables(words), *map(unfixed, values))
+        histories, words = [found[k] for k in sorted(found)], None
         out = []
-        for kind, chunk, data in zip(*(rows.column(x).to_pylist() for x in ("kind", "chunk", "data")), strict=True):
+        for kind, chunk, data in _each(rows, "kind", "chunk", "data"):
             if kind == DOCS:
                 out.append((0, 0, DOCS, chunk, data))
             if kind != PAIRS:
@@ -706,12 +740,12 @@ def _finish_chunk(rows: pa.Table) -> pa.Table:
 # the whole
 
 
-def _fit(tokens: DataFrame, v: Vocabulary, words: DataFrame) -> tuple[KatzModel, DataFrame]:
-    """The model of the training tokens among `tokens`, and its tables as those tokens need them, by bucket."""
-    n = MOST_DISCOUNTED + 1
-    merged = bucketed(tokens.groupBy("bucket").applyInArrow(_merge_grams(v), f"{ROW}, seen array<long>"), len(v.labels), "grams")
+def _fit(tokens: DataFrame, shared: Broadcast, words: DataFrame) -> KatzModel:
+    """The model of the training tokens among `tokens`; its tables hold what all of them need."""
+    v, n = shared.value, MOST_DISCOUNTED + 1
+    merged = bucketed(tokens.groupBy("bucket").applyInArrow(_merge_grams(shared), f"{ROW}, seen array<long>"), len(v.labels), grams := _name("grams"))
     asks = merged.where(F.col("kind") == ASKED).select("target", "bucket", "data")
-    answers = stored(words.groupBy("target").cogroup(asks.groupBy("target")).applyInArrow(_answer(v), f"{ROW}, seen array<long>, hot array<long>, stats array<array<double>>"), "answers")
+    answers = stored(words.groupBy("target").cogroup(asks.groupBy("target")).applyInArrow(_answer(shared), f"{ROW}, seen array<long>, hot array<long>, stats array<array<double>>"), "answers")
     seen, pairs_seen = _sum_lists(merged, "seen", (v.order - 1) * n), _sum_lists(answers, "seen", n)
     seen[:n] = [a + b for a, b in zip(seen[:n], pairs_seen, strict=True)]
     d = [v.d, *(discounts(seen[k * n : k * n + n]) for k in range(v.order - 1))]
@@ -724,14 +758,14 @@ def _fit(tokens: DataFrame, v: Vocabulary, words: DataFrame) -> tuple[KatzModel,
     hot[stats[:, -2] == 0] = 0.0
     pairs = answers.where(F.col("kind") == PAIRS).select("target", "kind", "data")
     replies = answers.where(F.col("kind") == REPLY).select("bucket", "target", "data")
-    model = KatzModel(v, d, words, merged.where(F.col("kind") == GRAMS), pairs, hot)
-    return model, _with_histories(merged, replies, model)
+    tables = _with_histories(merged, replies, shared, d, hot)
+    tokens.sparkSession.sql(f"DROP TABLE {DATABASE}.{grams}")  # its n-grams are in tables too
+    return KatzModel(shared, d, words, tables, pairs, hot)
 
 
-def _with_histories(rows: DataFrame, replies: DataFrame, m: KatzModel) -> DataFrame:
-    v = m.vocabulary
-    found = rows.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_histories(v, m.d, m.hot), ROW)
-    return bucketed(found, len(v.labels), "histories")
+def _with_histories(rows: DataFrame, replies: DataFrame, shared: Broadcast, d: list[np.ndarray], hot: np.ndarray) -> DataFrame:
+    found = rows.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_histories(shared, d, hot), ROW)
+    return bucketed(found, len(shared.value.labels), _name("tables"))
 
 
 def _scored(tokens: DataFrame, tables: DataFrame, m: KatzModel) -> DataFrame:
@@ -747,8 +781,8 @@ def fit_katz(texts: DataFrame, buckets: int | None = None, order: int = 3) -> Ka
     """
     if order < 2:
         raise ValueError("order must be two or more")
-    v, words = count_words(texts, order, buckets)
-    return _fit(deal_tokens(texts.select(F.lit(None).alias("doc_id"), "text"), F.lit(True), v), v, words)[0]
+    shared, words = count_words(texts, order, buckets)
+    return _fit(deal_tokens(texts.select(F.lit(None).alias("doc_id"), "text"), F.lit(True), shared), shared, words)
 
 
 def score_katz(docs: DataFrame, model: KatzModel) -> DataFrame:
@@ -757,23 +791,24 @@ def score_katz(docs: DataFrame, model: KatzModel) -> DataFrame:
     A document's tokens go to the buckets of the words before them, where every token is settled; sums come back per chunk
     of documents. Repeated rows are scored each for itself; an empty table gives an empty result.
     """
-    v = model.vocabulary
-    tokens = deal_tokens(docs, F.lit(False), v)
-    asked = tokens.groupBy("bucket").applyInArrow(_merge_grams(v), f"{ROW}, seen array<long>").where(F.col("kind") == ASKED)
+    shared = model.shared
+    tokens = deal_tokens(docs, F.lit(False), shared)
+    asked = tokens.groupBy("bucket").applyInArrow(_merge_grams(shared), f"{ROW}, seen array<long>").where(F.col("kind") == ASKED)
     asked = stored(asked.select("bucket", "target", "kind", "chunk", "data"), "asked")
     known = model.pairs.unionAll(model.words.select("target", F.lit(DOCS).alias("kind"), "data"))
     asks = asked.select("target", "bucket", "data")
-    replies = stored(known.groupBy("target").cogroup(asks.groupBy("target")).applyInArrow(_recall(v), ROW), "replies")
-    rows = stored(model.grams.select("bucket", "target", "kind", "chunk", "data").unionAll(asked), "rows")
-    return _scored(tokens, _with_histories(rows, replies.select("bucket", "target", "data"), model), model)
+    replies = stored(known.groupBy("target").cogroup(asks.groupBy("target")).applyInArrow(_recall(shared), ROW), "replies")
+    rows = stored(model.tables.where(F.col("kind") == GRAMS).unionAll(asked), "rows")
+    tables = _with_histories(rows, replies.select("bucket", "target", "data"), shared, model.d, model.hot)
+    return _scored(tokens, tables, model)
 
 
 def fit_and_score(docs: DataFrame, train: Column, order: int = 3, buckets: int | None = None) -> tuple[KatzModel, DataFrame]:
     """fit_katz on the rows of docs for which train holds, and score_katz on all rows, from one dealing of the tokens."""
-    v, words = count_words(docs.where(train), order, buckets)
-    tokens = deal_tokens(docs, train, v)
-    model, tables = _fit(tokens, v, words)
-    return model, _scored(tokens, tables, model)
+    shared, words = count_words(docs.where(train), order, buckets)
+    tokens = deal_tokens(docs, train, shared)
+    model = _fit(tokens, shared, words)
+    return model, _scored(tokens, model.tables, model)
 
 
 def _held_out_scores(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
