@@ -31,21 +31,26 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 def sitemap_urls(sitemaps: DataFrame, max_children: int = 20, max_urls: int = 10_000) -> DataFrame:
     """(root, url, lastmod, changefreq, priority, warning) from (sitemap_url, xml): entries of url sets, and of an index's children one level down.
 
-    A malformed document gives one row with a warning. Namespaces are ignored.
+    A malformed document gives one row with a warning, and so does every limit that leaves children or entries of a root out.
+    Namespaces are ignored.
     """
     plain = sitemaps.withColumn("xml", F.trim(F.regexp_replace("xml", r"(?s)\s+xmlns(:\w+)?=\"[^\"]*\"", "")))
     known = plain.withColumn("kind", F.when(F.col("xml").rlike(r"(?s)<urlset\b.*</urlset>\s*$"), "urlset").when(F.col("xml").rlike(r"(?s)<sitemapindex\b.*</sitemapindex>\s*$"), "index").when(F.coalesce(F.col("xml"), F.lit("")) == "", "empty").otherwise("malformed"))
     tag = lambda name: F.nullif(F.trim(F.regexp_extract("e", rf"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
     entries = known.where("kind = 'urlset'").select("sitemap_url", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<url>(.*?)</url>"), 1)).alias("n", "e"))
     entries = entries.select("sitemap_url", "n", tag("loc").alias("url"), tag("lastmod").alias("lastmod"), tag("changefreq").alias("changefreq"), tag("priority").try_cast("double").alias("priority")).where("url is not null")
-    children = known.where("kind = 'index'").select(F.col("sitemap_url").alias("root"), F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<sitemap>.*?<loc>\s*(.*?)\s*</loc>"), 1)).alias("k", "child")).where(F.col("k") < max_children)
+    children = known.where("kind = 'index'").select(F.col("sitemap_url").alias("root"), F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<sitemap>.*?<loc>\s*(.*?)\s*</loc>"), 1)).alias("k", "child"))
+    cut = children.where(F.col("k") == max_children).select("root", F.lit(f"children beyond {max_children} left out").alias("warning"))
+    children = children.where(F.col("k") < max_children)
     nested = children.select("child").distinct().withColumnRenamed("child", "sitemap_url")
     own = entries.join(nested, "sitemap_url", "left_anti").select(F.col("sitemap_url").alias("root"), F.lit(-1).alias("k"), "n", "url", "lastmod", "changefreq", "priority")
     below = children.join(entries, F.col("child") == F.col("sitemap_url")).select("root", "k", "n", "url", "lastmod", "changefreq", "priority")
     place = F.row_number().over(Window.partitionBy("root").orderBy("k", "n"))
-    found = own.unionByName(below).withColumn("_p", place).where(F.col("_p") <= max_urls).drop("_p", "k", "n").withColumn("warning", F.lit(None).cast("string"))
+    placed = own.unionByName(below).withColumn("_p", place)
+    found = placed.where(F.col("_p") <= max_urls).drop("_p", "k", "n").withColumn("warning", F.lit(None).cast("string"))
+    cut = cut.unionByName(placed.where(F.col("_p") == max_urls + 1).select("root", F.lit(f"entries beyond {max_urls} left out").alias("warning")))
     wrong = known.where("kind = 'malformed'").select(F.col("sitemap_url").alias("root"), F.lit("malformed sitemap").alias("warning"))
-    return found.unionByName(wrong, allowMissingColumns=True)
+    return found.unionByName(wrong.unionByName(cut), allowMissingColumns=True)
 
 
 def expand_url_templates(templates: DataFrame, max_urls: int = 10_000) -> DataFrame:

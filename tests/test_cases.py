@@ -317,3 +317,13 @@ def test_places_within_a_hot_key(spark):
     got = numbered(spark.createDataFrame(rows, "k string, o long, b long"), "k", [F.asc("o")], "n", {"total": "b"}).collect()
     assert {(r.k, r.o): (r.n, r.total) for r in got} == {**{("hot", k): (k + 1, k + 1) for k in range(1009)}, ("cold", 5): (1, 2), (None, 4): (1, 1), (None, 9): (2, 4)}
     assert numbered(spark.createDataFrame([], "k string, o long"), "k", [F.asc("o")]).count() == 0
+
+
+def test_sitemap_limits_are_told(spark):
+    from assayer.sources.readers import sitemap_urls
+
+    urls = "".join(f"<url><loc>https://a/{k}</loc></url>" for k in range(5))
+    rows = [("i", "<sitemapindex>" + "".join(f"<sitemap><loc>c{k}</loc></sitemap>" for k in range(3)) + "</sitemapindex>"), ("c0", f"<urlset>{urls}</urlset>"), ("c1", "<urlset></urlset>"), ("w", f"<urlset>{urls}</urlset>")]
+    got = sitemap_urls(spark.createDataFrame(rows, "sitemap_url string, xml string"), 2, 4).collect()
+    assert sorted((r.root, r.warning) for r in got if r.warning) == [("i", "children beyond 2 left out"), ("i", "entries beyond 4 left out"), ("w", "entries beyond 4 left out")]
+    assert sorted(r.root for r in got if r.url) == ["i"] * 4 + ["w"] * 4
