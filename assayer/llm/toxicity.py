@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.scratch import table
-from assayer.llm.tokens import as_text, hash_spans, split_words, text_slices
+from assayer.llm.tokens import as_text, hash_spans, mix, split_words, text_slices
 
 #: Labelled rows that fitting reads at most, terms that the final machine keeps, bits of a hashed term.
 MAX_ROWS, MAX_TERMS, TERM_BITS = 20_000, 4096, 26
@@ -111,36 +111,47 @@ def survey(index: list[np.ndarray], label: np.ndarray, terms: int, rank: int = 4
     return np.abs(table_[:, 0]) + np.maximum(np.linalg.norm(table_[:, 1:], axis=1) - start, 0)
 
 
-def fit_rows(rows: list[np.ndarray], label: np.ndarray, max_terms: int = MAX_TERMS) -> FactorizationMachine:
-    """The machine for rows of distinct hashed terms.
+def _pieces(n: int, size: int = 1 << 20) -> Iterator[slice]:
+    return (slice(k, min(n, k + size)) for k in range(0, n, size))
+
+
+def _tally(at: np.ndarray, n: int, weights: Callable[[slice], np.ndarray] | None = None) -> np.ndarray:
+    """np.bincount in pieces: of long arrays of small numbers no wide copy is made."""
+    return sum((np.bincount(at[s], weights(s) if weights else None, n) for s in _pieces(len(at))), np.zeros(n))
+
+
+def fit_rows(flat: np.ndarray, size: np.ndarray, label: np.ndarray, max_terms: int = MAX_TERMS) -> FactorizationMachine:
+    """The machine for rows of distinct hashed terms: those of all rows one after the other, and how many each row has.
 
     A first machine sees all terms that two rows or more hold. The final one is trained on the max_terms that this
     machine learned most of, half of them, and whose document shares differ most between the labels, the other half.
     """
-    size = np.array([len(r) for r in rows])
-    terms, at = np.unique(np.concatenate(rows), return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), size)
-    ones, n = np.bincount(at, label[row], len(terms)), np.bincount(at, minlength=len(terms))
-    keep = n >= 2
-    terms, ones, n, number = terms[keep], ones[keep], n[keep], np.cumsum(keep) - 1
-    row, at = row[keep[at]], number[at[keep[at]]]
+    terms = np.unique(flat)
+    at = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(terms, flat[s]).astype(np.int32) for s in _pieces(len(flat)))])
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
 
-    def lists(row: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        return np.split(at, np.cumsum(np.bincount(row, minlength=len(rows)))[:-1])
+    def kept(chosen: np.ndarray) -> None:
+        nonlocal terms, at, row
+        number = np.full(len(terms), -1, np.int32)
+        number[chosen] = np.arange(len(chosen))
+        at = number[at]
+        hit = at >= 0
+        terms, at, row = terms[chosen], at[hit], row[hit]
+
+    def lists() -> list[np.ndarray]:
+        return np.split(at, np.cumsum(np.bincount(row, minlength=len(size)))[:-1])
 
+    kept(np.flatnonzero(_tally(at, len(terms)) >= 2))
     if len(terms) > max_terms:
+        ones, n = _tally(at, len(terms), lambda s: label[row[s]]), _tally(at, len(terms))
         n1, n0 = label.sum(), len(label) - label.sum()
         share = n / len(label)
         far = np.abs(ones / n1 - (n - ones) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-        learned = survey(lists(row, at), label, len(terms))
+        learned = survey(lists(), label, len(terms))
         best = np.argsort(-far, kind="stable")[: max_terms // 2]
         rest = np.argsort(-learned, kind="stable")
-        chosen = np.sort(np.concatenate([best, rest[~np.isin(rest, best)][: max_terms - len(best)]]))
-        number, hit = np.full(len(terms), -1), None
-        number[chosen] = np.arange(len(chosen))
-        hit = number[at] >= 0
-        terms, row, at = terms[chosen], row[hit], number[at[hit]]
-    return train(lists(row, at), label, terms)
+        kept(np.sort(np.concatenate([best, rest[~np.isin(rest, best)][: max_terms - len(best)]])))
+    return train(lists(), label, terms.astype(np.int64))
 
 
 def train(index: list[np.ndarray], label: np.ndarray, terms: np.ndarray, rank: int = 6, epochs: int = 12, rate: float = 0.02, decay: float = 2e-5, seed: int = 7) -> FactorizationMachine:
@@ -194,14 +205,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, m
 
     No labelled row, or one label only: a constant.
     """
-    sample = labelled_sample(docs, labels, "toxic", max_rows)
-    rows = sample.mapInArrow(_list_terms, "label double, terms array<int>").toArrow()
-    lists, label = [np.asarray(x.values).astype(np.int64) for x in rows.column("terms").combine_chunks()], rows.column("label").to_numpy()
+    rows = labelled_sample(docs, labels, "toxic", max_rows).mapInArrow(_list_terms, "label double, terms array<int>").toArrow()
+    label, terms = rows.column("label").to_numpy(), rows.column("terms").combine_chunks()
+    del rows
     ones, zeros = label.sum(), len(label) - label.sum()
-    if not (ones and zeros and any(map(len, lists))):
+    flat = np.asarray(terms.values)[terms.offsets[0].as_py() : terms.offsets[-1].as_py()] if len(label) else np.zeros(0, np.int32)
+    size = np.diff(np.asarray(terms.offsets)) if len(label) else np.zeros(0, np.int64)
+    if not (ones and zeros and len(flat)):
         return FactorizationMachine(np.zeros(1, np.int64), float(np.log((ones + 0.5) / (zeros + 0.5))), np.zeros(1), np.zeros((1, 1)))
-    order = sorted(range(len(lists)), key=lambda k: (label[k], lists[k].tobytes()))  # whatever the order of arrival
-    return fit_rows([lists[k] for k in order], label[order], max_terms)
+    parts = np.split(flat, np.cumsum(size)[:-1])
+    order = np.lexsort(([int(mix(p.astype(np.uint64)).sum()) for p in parts], size, label))  # whatever the order of arrival
+    flat = np.concatenate([parts[k] for k in order])
+    del parts, terms
+    return fit_rows(flat, size[order], label[order], max_terms)
 
 
 def _score_batches(model: FactorizationMachine):
