@@ -123,9 +123,11 @@ def _tally(at: np.ndarray, n: int, weights: Callable[[slice], np.ndarray] | None
 def fit_rows(flat: np.ndarray, size: np.ndarray, label: np.ndarray, max_terms: int = MAX_TERMS) -> FactorizationMachine:
     """The machine for rows of distinct hashed terms: those of all rows one after the other, and how many each row has.
 
-    A first machine sees all terms that two rows or more hold. The final one is trained on the max_terms that this
-    machine learned most of, half of them, and whose document shares differ most between the labels, the other half.
+    A first machine sees all terms that two rows or more hold. The final one is trained on the terms that this machine
+    learned most of, and whose document shares differ most between the labels, half and half: max_terms of them, on few
+    rows no more than a quarter of the rows, since a term must be told by several.
     """
+    max_terms = min(max_terms, max(64, len(label) // 4))
     terms = np.unique(flat)
     at = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(terms, flat[s]).astype(np.int32) for s in _pieces(len(flat)))])
     row = np.repeat(np.arange(len(size), dtype=np.int32), size)
@@ -154,15 +156,15 @@ def fit_rows(flat: np.ndarray, size: np.ndarray, label: np.ndarray, max_terms: i
     return train(lists(), label, terms.astype(np.int64))
 
 
-def train(index: list[np.ndarray], label: np.ndarray, terms: np.ndarray, rank: int = 6, epochs: int = 12, rate: float = 0.02, decay: float = 2e-5, seed: int = 7) -> FactorizationMachine:
-    """Adam on the logistic loss over rows given as arrays of term indices."""
+def train(index: list[np.ndarray], label: np.ndarray, terms: np.ndarray, rank: int = 6, epochs: int = 12, steps: int = 400, rate: float = 0.02, decay: float = 2e-5, seed: int = 7) -> FactorizationMachine:
+    """Adam on the logistic loss over rows given as arrays of term indices: so many epochs, and at least so many steps."""
     rng = np.random.default_rng(seed)
     share = np.clip(label.mean() if len(label) else 0.5, 0.01, 0.99)
     table_ = np.zeros((len(terms) + 1, rank + 1))
     table_[:-1, 1:] = rng.normal(0, 0.02, (len(terms), rank))
     table_[-1, 0] = np.log(share / (1 - share))
     m, v, step = np.zeros_like(table_), np.zeros_like(table_), 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * 128 // max(1, len(label))))):
         order = rng.permutation(len(label))
         for k in range(0, len(order), 128):
             rows = order[k : k + 128]
