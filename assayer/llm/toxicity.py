@@ -125,9 +125,9 @@ def fit_rows(flat: np.ndarray, size: np.ndarray, label: np.ndarray, max_terms: i
 
     A first machine sees all terms that two rows or more hold. The final one is trained on the terms that this machine
     learned most of, and whose document shares differ most between the labels, half and half: max_terms of them, on few
-    rows no more than a quarter of the rows, since a term must be told by several.
+    rows no more than a third of the rows, since a term must be told by several.
     """
-    max_terms = min(max_terms, max(64, len(label) // 4))
+    max_terms = min(max_terms, max(64, len(label) // 3))
     terms = np.unique(flat)
     at = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(terms, flat[s]).astype(np.int32) for s in _pieces(len(flat)))])
     row = np.repeat(np.arange(len(size), dtype=np.int32), size)
