@@ -28,12 +28,11 @@ def statistics(text: Column) -> dict[str, Column]:
     def share(chars: str, of: Column) -> Column:
         return (F.length(text) - F.length(F.translate(text, chars, ""))) / of
 
-    upper = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÇÈÉÊËÎÏÔÙÛÄÖÜÁÍÓÚÑ", ""))
     return {
         "words": F.log1p(F.size(words).cast("double")),
         "word_length": F.length(text) / n_words,
         "distinct": F.size(F.array_distinct(words)) / n_words,
-        "upper": upper / n_chars,
+        "upper": F.regexp_count(text, F.lit(r"\p{Lu}")) / n_chars,
         "junk": share("#$%&*|~^<>{}\\", n_words),
         "shout": share("!", n_words),
         "stops": share(".", n_words),
