@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from assayer.llm import chat, embeddings, katz, media, mixing, packing, quality, secrets, simhash, toxicity
+from assayer.llm import bpe, chat, embeddings, katz, lexical, media, mixing, packing, quality, resampling, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_katz_scores": katz.op1_katz_scores,
@@ -19,6 +19,9 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_bpe_round_trip": bpe.op13_bpe_round_trip,
     "pipeline": corpus_pipeline.run,
 }
 #: Trained models, hashes, positions of matches and codecs are beyond SQL; tests compare those with brute force.
@@ -27,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op3_perspective_rotation": chat.OP3_SQL,
     "op3_rendered_dialogues": chat.OP3_RENDERED_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
+    "op11_lexical_search": lexical.OP11_SQL,
 }

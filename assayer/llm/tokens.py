@@ -20,6 +20,10 @@ _FOLDED[65:91] = _BYTE[97:123]
 _MULT = _rng.integers(0, 2**64, _POSITIONS, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of a term: digits, letters of ASCII, and all bytes of other characters.
+TERM = np.array([chr(b).isalnum() or b >= 0x80 for b in range(256)])
+#: Bytes with A-Z as a-z.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def text_slices(column: pa.Array, target: int = 1 << 21) -> Iterator[tuple[int, int]]:
@@ -39,8 +43,8 @@ def as_text(column: pa.Array) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, start, end, document index, words per document) of every word of a slice of texts."""
+def split_words(texts: pa.Array, inside: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, document index, words per document) of every longest run of bytes inside words, for a slice of texts."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
@@ -48,7 +52,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     if not len(data):
         none = np.zeros(0, np.int64)
         return data, none, none, none, np.zeros(len(texts), np.int64)
-    word = ~_SPACE[data]
+    word = inside[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
