@@ -19,10 +19,12 @@ _SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+|\[[^\]]+\])*)$")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    """start and end: the stretch of the page that the element takes, from its start tag to the tag that closes it."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    __slots__ = ("attrs", "children", "end", "parent", "start", "tag")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, start: int = 0, end: int = 0):
+        self.tag, self.attrs, self.parent, self.children, self.start, self.end = tag, attrs, parent, [], start, end
 
     def walk(self) -> Iterator[Node]:
         """All nodes below, in document order; a stack of our own, since pages with unclosed tags nest thousands deep."""
@@ -67,27 +69,61 @@ class Node:
 
 
 class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None)
+    """Start tags open elements and end tags close them; void elements, a p before a p, and an open link before a link close by themselves."""
 
-    def handle_starttag(self, tag, attrs):
-        while self.at.tag in SELF_CLOSING.get(tag, ()):
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Node("#root", {}, None, 0, len(html))
+        self.open: dict[str, int] = {}
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.feed(html)
+        self.close()
+        self._close_to(self.root, len(html))
+
+    def _place(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _close_to(self, node: Node, place: int) -> None:
+        """Closes what is open below node."""
+        while self.at is not node:
+            self.at.end = place
+            self.open[self.at.tag] -= 1
             self.at = self.at.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+
+    def _open(self, tag, attrs, stays: bool) -> None:
+        start = self._place()
+        # of an attribute that is there twice, the first counts
+        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at, start, start + len(self.get_starttag_text() or ""))
+        node.attrs = {k: node.attrs[k] for k, _ in attrs}
         self.at.children.append(node)
-        if tag not in VOID:
+        if stays:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
+
+    def _nearest(self, tag: str) -> Node | None:
+        if not self.open.get(tag):
+            return None
+        node = self.at
+        while node.tag != tag:
+            node = node.parent
+        return node
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a" and (link := self._nearest("a")):  # links do not nest
+            self._close_to(link.parent, self._place())
+        while self.at.tag in SELF_CLOSING.get(tag, ()):
+            self._close_to(self.at.parent, self._place())
+        self._open(tag, attrs, tag not in VOID)
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+        self._open(tag, attrs, False)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node.parent and node.tag != tag:
-            node = node.parent
-        if node.parent:
-            self.at = node.parent
+        if node := self._nearest(tag):
+            place = self._place()
+            self._close_to(node, place)
+            self._close_to(node.parent, (self.rawdata.find(">", place) + 1) or len(self.rawdata))
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -99,10 +135,7 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str | None) -> Node:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
+    return _Builder(html or "").root
 
 
 _PSEUDO = re.compile(r":(first-child|last-child|nth-child)(?:\((\d+)\))?$")

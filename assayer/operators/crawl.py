@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import urls as U
+from assayer.operators.markup import page_elements
 from assayer.sources.shared import shared_dir
 
 # States of a crawl target, phrases of pages that block robots.
@@ -24,11 +25,15 @@ class LinkPolicy:
     max_depth: int | None = None
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, from_url, url): the absolute http(s) links of each page, without repeats within a page."""
-    hrefs = F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"'<>]*)[\"']"), 1)
-    links = pages.select("page_id", F.col("url").alias("from_url"), F.explode(F.array_distinct(hrefs)).alias("href"))
-    return links.withColumn("url", U.resolve(F.trim("href"), F.col("from_url"))).where("url is not null").drop("href")
+def page_links(pages: DataFrame, hidden: bool = False) -> DataFrame:
+    """(page_id, from_url, url): the absolute http(s) links of each page, without repeats within a page.
+
+    Links that readers do not see (honeypots, links in comments or scripts) are left out unless hidden is set.
+    """
+    links = page_elements(pages, ("a",)).where("attrs['href'] <> ''")
+    links = links if hidden else links.where("not hidden")
+    found = links.select("page_id", F.col("url").alias("from_url"), U.resolve(F.trim(F.col("attrs")["href"]), F.col("url")).alias("url")).where("url is not null")
+    return found.dropDuplicates(["page_id", "from_url", "url"])
 
 
 def link_verdict(url: Column, from_url: Column, depth: Column, policy: LinkPolicy) -> Column:

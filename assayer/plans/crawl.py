@@ -19,6 +19,15 @@ _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["'']([^"''<>]*)["'']"""
 _LINKS = f"""links AS (SELECT DISTINCT page_id, url AS from_url, CASE WHEN starts_with(href, '/') THEN regexp_extract(lower(url), '^([a-z]+://)', 1) || regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) || href END AS url
   FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS href FROM {{pages}}) WHERE starts_with(href, '/'))"""
 query("k4_page_links", lambda t: C.page_links(t.pages), f"WITH {_LINKS} SELECT page_id, from_url, url FROM links")
+fixture("tangled_pages", """
+  SELECT page_id, url, concat('<body><a href=/u', CAST(page_id AS STRING), '>u</a><a title="x>y" href=', chr(39), '/late', CAST(page_id AS STRING), chr(39), '>l</a><!-- <a href="/gone">g</a> --><a HREF="/q?a=1&amp;b=', CAST(page_id AS STRING), '">q</a><script>var s = "<a href=/s>";</script>',
+    '<a href="/h" style=display:none>h</a><p aria-hidden="true"><a href="/aria">x</a></p><a class="sr-only" style="left:-9999px" href="/spoken">Skip</a><a name="n">no</a><a href="">e</a><a href="//cdn.example/x">c</a><a href="mailto:a@b.c">m</a><a href="/open">one<a href="/next">two<a href="/open">three</body>') AS html FROM {pages}""")
+_ROOT = "regexp_extract(lower(url), '^([a-z]+://)', 1) || regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)"
+query("k4_tangled_links", lambda t: C.page_links(t.tangled_pages), f"""
+  SELECT page_id, url AS from_url, CASE WHEN starts_with(h, '//') THEN regexp_extract(url, '^([A-Za-z]+):', 1) || ':' || h ELSE {_ROOT} || h END AS url FROM (
+    SELECT page_id, url, unnest(['/u' || page_id, '/late' || page_id, '/q?a=1&b=' || page_id, '/spoken', '//cdn.example/x', '/open', '/next']) AS h FROM {{tangled_pages}})""")
+query("k4_hidden_links", lambda t: C.page_links(t.tangled_pages, hidden=True).join(C.page_links(t.tangled_pages), ["page_id", "from_url", "url"], "left_anti"), f"""
+  SELECT page_id, url AS from_url, {_ROOT} || unnest(['/h', '/aria']) AS url FROM {{tangled_pages}}""")
 _POLICY = C.LinkPolicy(include=("/(the|The|[a-d])",), exclude=("ing$",), max_depth=2)
 query("b1_filter_links", lambda t: C.page_links(t.pages).withColumn("depth", (F.col("page_id") % 4).cast("int")).select("page_id", "url", C.link_verdict(F.col("url"), F.when(F.col("page_id") % 5 == 0, "https://other.example/").otherwise(F.col("from_url")), F.col("depth"), _POLICY).alias("verdict")),
       f"WITH {_LINKS} SELECT page_id, url, CASE WHEN regexp_matches(url, 'ing$') THEN 'excluded_by_pattern' WHEN page_id % 5 = 0 THEN 'different_domain' WHEN NOT regexp_matches(url, '/(the|The|[a-d])') THEN 'not_in_include_list' WHEN page_id % 4 > 2 THEN 'max_depth_exceeded' ELSE 'allowed' END AS verdict FROM links")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assayer.functions import html as H
 from assayer.functions import text as T
 from assayer.functions import urls as U
-from assayer.operators import alerts, cleaning, pages, quality, trust, versions
+from assayer.operators import alerts, cleaning, markup, pages, quality, trust, versions
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -147,8 +147,8 @@ def test_every_product_of_a_page(spark):
             (2, block('{"@graph": [{"@type": "WebSite", "name": "Shop"}, {"@type": "Organization", "name": "Org"}, ' + product("G", 5) + "]}") + block("[" + product("A", 1) + ", [" + product("B", 2) + "]]")),
             (3, block('{"@graph": [{"@type": "WebSite", "name": "Shop"}]}') + '<meta property="og:title" content="M">'), (4, block("{broken")), (5, None),
             (6, block('{"@type": ["Product", "Thing"], "name": "T"}') + '<meta property="price" content="9">'), (7, block('{"@type": "Product", "sku": "1"}'))]
-    got = pages.extract_structured(spark.createDataFrame(rows, "page_id long, html string"), {"name": ("name", "og:title"), "price": ("offers.0.price", "price")})
-    found = sorted((r.page_id, r.name or "", r.price or "", r.method or "") for r in got.collect())
+    got = markup.extract_structured(spark.createDataFrame(rows, "page_id long, html string"), {"name": ("name", "og:title"), "price": ("offers.0.price", "price")})
+    found = sorted((r.page_id, r.name or "", "" if r.price is None else f"{r.price:g}", r.method or "") for r in got.collect())
     assert found == sorted([(1, f"L{k}", str(k), "jsonld") for k in range(20)] + [(2, "G", "5", "jsonld"), (2, "A", "1", "jsonld"), (2, "B", "2", "jsonld"), (3, "M", "", "meta"), (4, "", "", ""), (5, "", "", ""), (6, "T", "", "jsonld"), (7, "", "", "")])
 
 
@@ -197,7 +197,7 @@ def test_pages_with_thousands_of_open_tags(spark):
     clean = {r.page_id: r.html for r in pages.clean_pages(df).collect()}
     assert clean[1].count("<div>") == clean[1].count("</div>") == 5000 and "script" not in clean[1] and clean[2] == clean[3] == ""
     assert {r.page_id: dict(r.reasons) for r in pages.sanitize_pages(df).collect()}[1] == {"tag_script": 1}
-    assert pages.page_security_report(df).count() == 3
+    assert markup.page_security_report(df).count() == 3
 
 
 def test_cleaning_twice_changes_nothing(spark):
@@ -327,3 +327,52 @@ def test_sitemap_limits_are_told(spark):
     got = sitemap_urls(spark.createDataFrame(rows, "sitemap_url string, xml string"), 2, 4).collect()
     assert sorted((r.root, r.warning) for r in got if r.warning) == [("i", "children beyond 2 left out"), ("i", "entries beyond 4 left out"), ("w", "entries beyond 4 left out")]
     assert sorted(r.root for r in got if r.url) == ["i"] * 4 + ["w"] * 4
+
+
+def test_links_in_ordinary_markup(spark):
+    from assayer.operators import crawl
+
+    page = """<a href=/u>1</a><a href="/q?a=1&amp;b=2">2</a><!-- <a href="/gone">3</a> --><a title="x>y" href="/late">4</a><a href = '/s p'>5</a><a href='/x"y'>6</a><a data-href="/no">7</a><style>a[href="/css"]{}</style>
+<noscript><a href="/ns">8</a></noscript><div style="visibility: hidden"><a href="/v">9</a></div><a href="/twice" href="/second">10</a><a\nhref="/nl">11</a><A HREF=/cut"""
+    df = spark.createDataFrame([(1, "https://a.example/dir/p", page), (2, "https://b.example/", None), (3, None, "<a href=/x>x</a><a href=https://c.example/y>y</a>")], "page_id long, url string, html string")
+    got = sorted(r.url for r in crawl.page_links(df).collect())
+    assert got == sorted([f"https://a.example{p}" for p in ("/u", "/q?a=1&b=2", "/late", "/s p", '/x"y', "/twice", "/nl")] + ["https://c.example/y"])
+    assert {r.url[-3:] for r in crawl.page_links(df, hidden=True).collect()} >= {"/ns", "e/v"}
+
+
+def test_elements_equal_the_tree_of_every_page(spark):
+    given = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {}
+    for r in markup.page_elements(given, ("a", "meta", "title", "li")).collect():
+        got.setdefault(r.page_id, []).append((r.tag, dict(r.attrs), r.text))
+    for r in given.collect():
+        assert got[r.page_id] == [(n.tag, n.attrs, n.text()) for n in H.parse(r.html).walk() if n.tag in ("a", "meta", "title", "li")]
+
+
+def test_source_of_elements(spark):
+    html = "<p>\n<b>one <i>two</b> three<p>four<a href=x>y<a href=z>w</p>&lt;<img src=i><td>"
+    root = H.parse(html)
+    assert [(n.tag, html[n.start : n.end]) for n in root.walk()] == [
+        ("p", "<p>\n<b>one <i>two</b> three"), ("b", "<b>one <i>two</b>"), ("i", "<i>two"), ("p", "<p>four<a href=x>y<a href=z>w</p>"), ("a", "<a href=x>y"), ("a", "<a href=z>w"), ("img", "<img src=i>"), ("td", "<td>")]
+    many = "<a href=/x><b>" * 20_000
+    df = spark.createDataFrame([(1, "https://a.example/", many)], "page_id long, url string, html string")
+    assert markup.page_elements(df, ("a",)).where("length(source) <= 123 and text = ''").count() == 20_000
+
+
+def test_meta_in_any_order_and_case(spark):
+    rows = [(1, '<meta content="M1" property="og:title"><meta content=5 name=price>'), (2, "<meta NAME='Price' CONTENT='1,234.5 USD'><meta property=og:title>"), (3, "<!-- <meta property='og:title' content='x'> -->"), (4, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    got = {r.page_id: (r.name, r.price, r.method) for r in markup.extract_structured(df, {"name": (("name", "headline"), (("property", "og:title"),)), "price": ("offers.price", "price")}).collect()}
+    assert got == {1: ("M1", 5.0, "meta"), 2: (None, 1234.5, "meta"), 3: (None, None, None), 4: (None, None, None)}
+    only = {r.page_id: r.method for r in markup.extract_structured(df, ["title", "price"]).collect()}
+    assert only == {1: None, 2: None, 3: None, 4: None}  # a title alone makes no record, and price has other names there
+
+
+def test_domain_report_without_rows(spark):
+    pages_ = spark.createDataFrame([(1, "https://a.example/", "<p>x</p>")], "page_id long, url string, html string")
+    records = spark.createDataFrame([], "page_id long, method string, note string")
+    row = markup.domain_security_report(pages_, records, cleaning.null_injections(records)).first()
+    assert (row.domain, row.pages, row.stripped, row.records, row.records_after_guard, row.guarded) == ("a.example", 1, 0, 0, 0, False)
+    lost = spark.createDataFrame([(9, "css", "fine")], "page_id long, method string, note string")
+    rows = {r.domain: r.records for r in markup.domain_security_report(pages_, lost, cleaning.null_injections(lost)).collect()}
+    assert rows == {"a.example": 0, None: 1}
