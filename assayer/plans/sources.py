@@ -12,8 +12,10 @@ from assayer.sources import readers as R
 from assayer.sources import writers as W
 from assayer.sources.shared import new_folder
 
-query("a1_read_url_list", lambda t: R.clean_url_list(t.pages.select(F.col("page_id").alias("seq"), F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("# "), "url")).when(F.col("page_id") % 7 == 1, "").when(F.col("page_id") % 7 == 2, "ftp://x.example/y").otherwise(F.concat(F.lit(" HTTPS://S"), (F.col("page_id") % 40).cast("string"), F.lit(".Example:443/p#x "))).alias("line"))),
-      "SELECT min(page_id) AS seq, 'https://s' || (page_id % 40) || '.example/p' AS url FROM {pages} WHERE page_id % 7 > 2 GROUP BY page_id % 40")
+_lines = lambda t: t.pages.select(F.col("page_id").alias("seq"), F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("# "), "url")).when(F.col("page_id") % 7 == 1, "").when(F.col("page_id") % 7 == 2, "ftp://x.example/y").otherwise(F.concat(F.lit(" HTTPS://S"), (F.col("page_id") % 40).cast("string"), F.lit(".Example:443/p#x "))).alias("line"))
+query("a1_read_url_list", lambda t: R.clean_url_list(_lines(t)), "SELECT min(page_id) AS seq, 'https://s' || (page_id % 40) || '.example/p' AS url FROM {pages} WHERE page_id % 7 > 2 GROUP BY page_id % 40")
+query("a1_dropped_lines", lambda t: R.dropped_lines(_lines(t)), """
+  SELECT count(*) AS given, count(DISTINCT CASE WHEN page_id % 7 > 2 THEN page_id % 40 END) AS kept, count(*) FILTER (page_id % 7 = 2) AS not_http, count(*) FILTER (page_id % 7 > 2) - count(DISTINCT CASE WHEN page_id % 7 > 2 THEN page_id % 40 END) AS repeated FROM {pages} WHERE page_id % 7 > 1""")
 fixture("sitemaps", """
   SELECT concat('https://h', CAST(c_custkey AS STRING), '.example/sitemap.xml') AS sitemap_url, CASE c_custkey % 4 WHEN 0 THEN concat('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://h', CAST(c_custkey + 1 AS STRING), '.example/sitemap.xml</loc></sitemap></sitemapindex>')
     WHEN 3 THEN '<urlset><url>' ELSE concat('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://h', CAST(c_custkey AS STRING), '.example/a </loc><priority>0.5</priority></url><url><loc></loc></url><url><loc>https://x.example/b</loc><lastmod>2024-01-01</lastmod></url></urlset>') END AS xml FROM {customer}""")
@@ -21,6 +23,13 @@ query("a2_sitemap_urls", lambda t: R.sitemap_urls(t.sitemaps).select("root", "ur
   SELECT 'https://h' || (c_custkey - CASE WHEN c_custkey % 4 = 1 THEN 1 ELSE 0 END) || '.example/sitemap.xml' AS root, CASE WHEN c_custkey % 4 = 3 THEN NULL WHEN k = 0 THEN 'https://h' || c_custkey || '.example/a' ELSE 'https://x.example/b' END AS url,
          CASE WHEN c_custkey % 4 <> 3 AND k = 1 THEN '2024-01-01' END AS lastmod, CASE WHEN c_custkey % 4 <> 3 AND k = 0 THEN 0.5 END AS priority, CASE WHEN c_custkey % 4 = 3 THEN 'malformed sitemap' END AS warning
   FROM {customer}, (VALUES (0), (1)) AS e(k) WHERE c_custkey % 4 IN (1, 2) OR (c_custkey % 4 = 3 AND k = 0)""")
+fixture("tangled_sitemaps", """
+  SELECT concat('https://h', CAST(c_custkey AS STRING), '.example/s.xml') AS sitemap_url, CASE c_custkey % 5 WHEN 0 THEN concat('<?xml version="1.0"?><!-- <url><loc>https://gone.example/</loc></url> --><sm:sitemapindex xmlns:sm="http://x.example/0.9"><sm:sitemap><sm:lastmod>2024</sm:lastmod><sm:loc><![CDATA[https://h', CAST(c_custkey + 1 AS STRING), '.example/s.xml]]></sm:loc></sm:sitemap><!-- c --></sm:sitemapindex>')
+    WHEN 1 THEN concat('<sm:urlset xmlns:sm="http://x.example/0.9" xmlns:im="http://y.example/"><sm:url><im:image><im:loc>https://image.example/</im:loc></im:image><sm:loc>https://a.example/?x=1&amp;y=', CAST(c_custkey AS STRING), '</sm:loc><sm:priority>high</sm:priority></sm:url><!-- <sm:url><sm:loc>https://gone.example/</sm:loc></sm:url> --><sm:url><sm:loc> <![CDATA[https://c.example/?a&b]]> </sm:loc><sm:changefreq>daily</sm:changefreq></sm:url></sm:urlset>')
+    WHEN 2 THEN '<html><body>not a map</body></html>' WHEN 3 THEN '<urlset><url><loc>https://a.example/?x&y</loc></url></urlset>' ELSE '  ' END AS xml FROM {customer}""")
+query("a2_tangled_sitemaps", lambda t: R.sitemap_urls(t.tangled_sitemaps).select("root", "url", "changefreq", "priority", "warning"), """
+  SELECT 'https://h' || CASE WHEN k < 2 THEN c_custkey - 1 ELSE c_custkey END || '.example/s.xml' AS root, CASE k WHEN 0 THEN 'https://a.example/?x=1&y=' || c_custkey WHEN 1 THEN 'https://c.example/?a&b' END AS url, CASE WHEN k = 1 THEN 'daily' END AS changefreq, NULL::DOUBLE AS priority, CASE WHEN k = 2 THEN 'malformed sitemap' END AS warning
+  FROM {customer}, (VALUES (0), (1), (2)) AS e(k) WHERE (c_custkey % 5 = 1 AND k < 2) OR (c_custkey % 5 = 3 AND k = 2)""")
 fixture("templates", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN concat('https://x.example/', CAST(c_custkey AS STRING), '?p={{{{1..5:2}}}}&c={{{{red, blue}}}}') WHEN 1 THEN 'https://x.example/{{{{1..3}}}}/{{{{a,b}}}}/{{{{-1..0}}}}/{{{{x,y}}}}' ELSE 'https://x.example/plain' END AS template FROM {customer}".replace("{{{{", "{{").replace("}}}}", "}}"))
 query("a3_expand_url_templates", lambda t: R.expand_url_templates(t.templates), """
   SELECT id, 'https://x.example/' || id || '?p=' || p || '&c=' || c AS url FROM {templates}, (VALUES (1), (3), (5)) AS a(p), (VALUES ('red'), ('blue')) AS b(c) WHERE id % 3 = 0

@@ -376,3 +376,26 @@ def test_domain_report_without_rows(spark):
     lost = spark.createDataFrame([(9, "css", "fine")], "page_id long, method string, note string")
     rows = {r.domain: r.records for r in markup.domain_security_report(pages_, lost, cleaning.null_injections(lost)).collect()}
     assert rows == {"a.example": 0, None: 1}
+
+
+@pytest.mark.parametrize(("xml", "wanted"), [
+    ("<urlset><url><loc>https://a.example/?x=1&amp;y=2</loc></url></urlset>", ("urlset", ["https://a.example/?x=1&y=2"], [])), ("<urlset><url><loc><![CDATA[https://c.example/]]></loc></url></urlset>", ("urlset", ["https://c.example/"], [])),
+    ("<urlset><!-- <url><loc>https://gone/</loc></url> --></urlset>", ("urlset", [], [])), ('<sm:urlset xmlns:sm="x"><sm:url><sm:loc>u</sm:loc></sm:url></sm:urlset>', ("urlset", ["u"], [])), ("<rss/>", ("empty", [], [])), (None, ("empty", [], [])), (" \n", ("empty", [], [])),
+    ("<urlset><url>", ("malformed", [], [])), ('<?xml version="1.0" encoding="ISO-8859-1"?><urlset><url><loc>\u00fc</loc><loc> </loc></url><url/></urlset>', ("urlset", ["\u00fc"], [])), ("<sitemapindex><sitemap><loc/></sitemap><sitemap><loc> c </loc></sitemap></sitemapindex>", ("index", [], ["c"])), ("<urlset>\x00</urlset>", ("malformed", [], []))])
+def test_sitemaps_are_xml(xml, wanted):
+    from assayer.sources.readers import parse_sitemap
+
+    kind, entries, children = parse_sitemap(xml)
+    assert (kind, [e["url"] for e in entries], children) == wanted
+
+
+def test_url_files(spark, tmp_path):
+    from assayer.sources.readers import read_url_list
+
+    (tmp_path / "u.csv").write_text("name,URL\na,https://A.example/x\nb,https://a.example/x\nc,ftp://a.example\nd,\n")
+    (tmp_path / "u.txt").write_text("# c\n\nhttps://a.example/\nnothing\n")
+    for name, wanted in (("u.csv", (3, 1, 1, 1)), ("u.txt", (2, 1, 1, 0))):
+        urls, counts = read_url_list(spark, str(tmp_path / name))
+        assert urls.count() == 1 and tuple(counts.first()) == wanted
+    (tmp_path / "e.txt").write_text("")
+    assert tuple(read_url_list(spark, str(tmp_path / "e.txt"))[1].first()) == (0, 0, 0, 0)
