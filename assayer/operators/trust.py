@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.text import blank_to_null, comparison_value
+from assayer.functions.urls import canonical
 
 # Signal weights, trust limits.
 WEIGHTS = {"consensus": 0.3, "source_count": 0.15, "mean_trust": 0.15, "freshness": 0.1, "selector": 0.1, "validation": 0.1, "historical_stability": 0.05}
@@ -21,39 +22,56 @@ def field_kind(name: Column) -> Column:
     return F.when(name.rlike("price|cost"), "currency").when(name.contains("date"), "date").when(name.rlike("url|link"), "url").when(name.contains("email"), "email").otherwise("text")
 
 
-def _votes(observations: DataFrame, kinds: Mapping[str, str] | None) -> DataFrame:
-    kind = field_kind(F.col("field_name"))
-    for name, k in (kinds or {}).items():
-        kind = F.when(F.col("field_name") == name, k).otherwise(kind)
+def _votes(observations: DataFrame) -> DataFrame:
+    """(seq, record_id, field_name, value, source, g, w) of the observations that have a value."""
     trust = F.greatest(F.coalesce(F.col("trust_score"), F.lit(0.0)), F.lit(0.0))
-    return observations.select(
+    return observations.where(F.col("value").rlike(r"\S")).select(
         "seq", "record_id", "field_name", "value", F.coalesce(blank_to_null(F.col("source_domain")), F.lit("unknown")).alias("source"),
-        F.coalesce(blank_to_null(F.col("independence_group")), blank_to_null(F.col("source_domain")), F.lit("unknown")).alias("g"),
-        comparison_value(F.col("value"), kind).alias("norm"), F.round(trust * UNITS).cast("long").alias("w")).where("norm is not null")
+        F.coalesce(blank_to_null(F.col("independence_group")), blank_to_null(F.col("source_domain")), F.lit("unknown")).alias("g"), F.round(trust * UNITS).cast("long").alias("w"))
+
+
+def _forms(raw: DataFrame, kinds: Mapping[str, str] | None) -> DataFrame:
+    """(field, told, norm): the form for comparison of every distinct (field_name, value), worked out once each.
+
+    URLs, whose canonical form is long work, are apart, so that the plan for all other values stays small.
+    """
+    kind = field_kind(F.col("field"))
+    for name, k in (kinds or {}).items():
+        kind = F.when(F.col("field") == name, k).otherwise(kind)
+    told = raw.select(F.col("field_name").alias("field"), F.col("value").alias("told")).distinct().withColumn("kind", kind)
+    urls = told.where("kind = 'url'").select("field", "told", comparison_value(F.col("told"), F.lit("url"), canonical(F.trim("told"))).alias("norm"))
+    return told.where("kind is distinct from 'url'").select("field", "told", comparison_value(F.col("told"), F.col("kind")).alias("norm")).unionAll(urls)
+
+
+def _in_form(rows: DataFrame, forms: DataFrame) -> DataFrame:
+    return rows.join(forms, rows["field_name"].eqNullSafe(forms["field"]) & (rows["value"] == forms["told"])).drop("field", "told")
 
 
-def _values(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(each group's heaviest value, weights and counts per value): numbers and one text per row.
+def _values(votes: DataFrame, kinds: Mapping[str, str] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(each group's heaviest value, weights and counts per value, forms): numbers and one text per row.
 
     Votes are summed per (record, field, group, value) before they are shuffled, so a field of which millions of votes tell
-    is millions of rows in no task. Weights are whole billionths: sums do not depend on the order of rows.
+    is millions of rows in no task; only distinct values are brought into form. Weights are whole billionths: sums do not
+    depend on the order of rows.
     """
-    summed = votes.groupBy(*KEY, "g", "norm").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min(F.struct("seq", "value")).alias("first"))
+    raw = votes.groupBy(*KEY, "g", "value").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min("seq").alias("seq"))
+    forms = _forms(raw, kinds)
+    summed = _in_form(raw, forms).groupBy(*KEY, "g", "norm").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.min(F.struct("seq", "value")).alias("first"))
     best = F.max(F.struct("w", (-F.col("first.seq")).alias("early"), "norm", "n", F.col("first.value").alias("raw"))).alias("v")
     groups = summed.groupBy(*KEY, "g").agg(best, F.min("first.seq").alias("g_seq")).select(*KEY, "g", "g_seq", "v.w", "v.norm", "v.n", "v.raw")
     values = groups.groupBy(*KEY, "norm").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("clusters"), F.min(F.struct("g_seq", "raw")).alias("first"))
-    return groups, values
+    return groups, values, forms
 
 
 def consensus(observations: DataFrame, kinds: Mapping[str, str] | None = None) -> DataFrame:
     """One row per (record_id, field_name): winner, confidence, and numbers of sources, clusters and conflicts.
 
     From (seq, record_id, field_name, source_domain, value, trust_score, independence_group); seq settles ties.
-    Values are compared in a coarse form. An independence group (else its domain) has one vote, its heaviest
+    Values are compared in a coarse form (numbers to four places, days, canonical URLs, lower case). An independence group (else its domain) has one vote, its heaviest
     value; the value with the most weight wins, then the one with fewer sources, then the first seen. Without any
     trust, source counts are the weights. confidence: share of weight times min(1, 0.4 + 0.2 (groups - 1)).
     """
-    return _winners(_values(_votes(observations, kinds))[1])
+    return _winners(_values(_votes(observations), kinds)[1])
 
 
 def _winners(values: DataFrame) -> DataFrame:
@@ -76,11 +94,11 @@ def triangulate(observations: DataFrame, kinds: Mapping[str, str] | None = None)
 
     The lists of a (record, field) are one row; where its sources are too many for that, consensus has the numbers.
     """
-    votes = _votes(observations, kinds)
-    groups, values = _values(votes)
+    votes = _votes(observations)
+    groups, values, forms = _values(votes, kinds)
     chosen = groups.select(*KEY, "g", "norm", "g_seq")
     source = F.struct("g_seq", "seq", "source")
-    listed = votes.select(*KEY, "g", "norm", "seq", "source").join(chosen, [*KEY, "g", "norm"]).groupBy(*KEY, "norm").agg(F.array_sort(F.collect_list(source)).alias("s"))
+    listed = _in_form(votes, forms).select(*KEY, "g", "norm", "seq", "source").join(chosen, [*KEY, "g", "norm"]).groupBy(*KEY, "norm").agg(F.array_sort(F.collect_list(source)).alias("s"))
     listed = listed.select(*KEY, "norm", F.col("s.source").alias("sources"))
     winners = _winners(values)
     both = values.join(listed, [*KEY, "norm"]).join(winners.select(*KEY, "normalized_value", "trusted"), KEY)

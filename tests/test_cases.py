@@ -65,6 +65,14 @@ def test_consensus_without_trust_counts_sources(spark):
     assert found.consensus_value == "x" and found.confidence == pytest.approx(2 / 2 * 0.6)
 
 
+def test_consensus_compares_forms(spark):
+    rows = [(1, "r", "product_url", "a", "https://A.example:443/p?utm_source=x", 0.5, None), (2, "r", "product_url", "b", "https://a.example/p#top", 0.5, None), (3, "r", "product_url", "c", "https://a.example/q", 0.5, None),
+            (4, "r", None, "a", "X  y", 0.5, None), (5, "r", None, "b", " x Y", 0.5, None), (6, "r", "cost", "a", " \t", 0.5, None), (7, "r", "size", "a", "$2", 0.5, None), (8, "r", "size", "b", "2.0", 0.5, None)]
+    df = spark.createDataFrame(rows, "seq long, record_id string, field_name string, source_domain string, value string, trust_score double, independence_group string")
+    got = {r.field_name: (r.consensus_value, r.normalized_value, r.n_sources, r.n_conflicts) for r in trust.consensus(df, {"size": "currency"}).collect()}
+    assert got == {"product_url": ("https://A.example:443/p?utm_source=x", "https://a.example/p", 2, 1), None: ("X  y", "x y", 2, 0), "size": ("$2", "2.0000", 2, 0)}
+
+
 @FEW
 @given(st.lists(st.tuples(st.sampled_from("rs"), st.sampled_from("abc"), st.sampled_from(["1", "2", "$2.00"]), st.sampled_from([0.25, 0.5])), min_size=1, max_size=8), st.randoms())
 def test_consensus_does_not_depend_on_row_order(spark, rows, random):
