@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from assayer.functions import urls as U
 from assayer.operators.markup import page_elements
-from assayer.sources.shared import shared_dir
+from assayer.operators.ranks import until_limits
+from assayer.sources.shared import new_folder, shared_dir
 
 # States of a crawl target, phrases of pages that block robots.
 STATES = ("DISCOVERED", "QUEUED", "FETCHING", "PROCESSED", "RETRY_WAIT", "SKIPPED", "FAILED", "POLICY_REFUSED")
 TERMINAL, PENDING = ("PROCESSED", "SKIPPED", "FAILED", "POLICY_REFUSED"), ("QUEUED", "FETCHING", "RETRY_WAIT")
 BLOCK_PHRASES = ("enable javascript", "javascript is disabled", "checking your browser", "just a moment", "attention required", "access denied", "request blocked", "are you a robot", "verify you are human", "unusual traffic", "automated queries")
+#: Where a text file's lines end.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 @dataclass(frozen=True)
@@ -54,52 +57,81 @@ def link_verdict(url: Column, from_url: Column, depth: Column, policy: LinkPolic
     return verdict.otherwise("allowed")
 
 
-def robots_filter(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
-    """urls (url) with `allowed` by their host's robots.txt (host, text).
+def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
+    """(host, rules) from (host, text): the patterns that hold for an agent, the longest first and allow before disallow.
 
-    Lines become rules of agent groups; the group that names the agent counts, else that of `*`. The longest
-    pattern that matches the path wins, allow on ties. URLs meet rules on the host only, then patterns.
+    The group that names the agent counts, else that of `*`. A rule is (n, deny, value, regex); regex is null where the
+    value is a plain prefix. A list is as long as its robots.txt.
     """
-    lines = robots.select("host", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).where(F.col("line").contains(":"))
-    rules = lines.select("host", "n", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value")).where("key in ('user-agent', 'allow', 'disallow')")
-    by = Window.partitionBy("host").orderBy("n")
-    starts = rules.withColumn("new", ((F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(by), F.lit("")) != "user-agent")).cast("int"))
+    lines = robots.select("host", F.posexplode(F.split("text", LINE_ENDS)).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).where(F.col("line").contains(":"))
+    told = lines.select("host", "n", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value")).where("key in ('user-agent', 'allow', 'disallow')")
+    by = Window.partitionBy("host").orderBy("n")  # the lines of one text
+    starts = told.withColumn("new", ((F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(by), F.lit("")) != "user-agent")).cast("int"))
     groups = starts.withColumn("g", F.sum("new").over(by))
     agents = groups.where("key = 'user-agent'").groupBy("host", "g").agg(F.collect_set(F.lower("value")).alias("agents"))
     fits = F.when(F.array_contains("agents", agent.lower()), 0).when(F.array_contains("agents", "*"), 1)
     chosen = agents.withColumn("fit", fits).where("fit is not null").groupBy("host").agg(F.min(F.struct("fit", "g")).alias("c")).select("host", F.col("c.g").alias("g"))
-    live = groups.where("key <> 'user-agent' and value <> ''").join(chosen, ["host", "g"])
     body = F.regexp_replace(F.regexp_replace("value", r"\$$", ""), r"([.+?^${}()|\[\]\\])", r"\\$1")
-    live = live.withColumn("regex", F.concat(F.lit("^"), F.replace(body, F.lit("*"), F.lit(".*")), F.when(F.col("value").endswith("$"), "$").otherwise("")))
-    asked = urls.withColumns({"host": U.host(F.col("url")), "path": F.concat(F.when(U.part(F.col("url"), 3) == "", "/").otherwise(U.part(F.col("url"), 3)), F.when(U.part(F.col("url"), 4) != "", F.concat(F.lit("?"), U.part(F.col("url"), 4))).otherwise(""))})
-    hits = asked.join(live.select("host", "key", "value", "regex"), "host").where(F.expr("path rlike regex")).groupBy("url").agg(F.max(F.struct(F.length("value").alias("n"), (F.col("key") == "allow").alias("allow"))).alias("best"))
-    return urls.join(hits, "url", "left").select(*urls.columns, F.coalesce("best.allow", F.lit(True)).alias("allowed"))
+    regex = F.when(F.col("value").rlike(r"\*|\$$"), F.concat(F.lit("^"), F.replace(body, F.lit("*"), F.lit(".*")), F.when(F.col("value").endswith("$"), "$").otherwise("")))
+    rule = F.struct((-F.length("value")).alias("n"), (F.col("key") == "disallow").alias("deny"), "value", regex.alias("regex"))
+    live = groups.where("key <> 'user-agent' and value <> ''").join(chosen, ["host", "g"])
+    return live.groupBy("host").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+
+
+def robots_filter(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
+    """urls (url, ...) with `allowed` by their host's robots.txt (host, text), row for row.
+
+    The longest pattern that matches the path wins, allow on ties: the first of the host's rule list that fits. URLs meet one
+    row per host; prefixes are compared as such, only patterns with * or $ as regular expressions.
+    """
+    path = F.concat(F.when(U.part(F.col("url"), 3) == "", "/").otherwise(U.part(F.col("url"), 3)), F.when(U.part(F.col("url"), 4) != "", F.concat(F.lit("?"), U.part(F.col("url"), 4))).otherwise(""))
+    asked = urls.withColumns({"_host": U.host(F.col("url")), "_path": path}).join(robots_rules(robots, agent).withColumnRenamed("host", "_h"), F.col("_host") == F.col("_h"), "left")
+    fits = lambda r: F.when(r["regex"].isNull(), F.startswith(F.col("_path"), r["value"])).otherwise(F.regexp_like(F.col("_path"), r["regex"]))
+    first = F.get(F.filter("rules", fits), F.lit(0))
+    return asked.withColumn("allowed", ~F.coalesce(first["deny"], F.lit(False))).drop("_host", "_path", "_h", "rules")
 
 
 def crawl_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | None = None, policy: LinkPolicy | None = None) -> DataFrame:
     """(url, depth): what is reachable from seeds (url) over edges (from_url, url), breadth first.
 
     Both ends of a link are brought into canonical form, and links that the policy refuses at any depth are dropped,
-    once before the first step; seeds are held to the same policy. One join of the frontier with the links and one
-    anti-join with what is known per depth; each depth is checkpointed, so lineage stays short, and only whether it
-    is empty reaches the driver. max_pages keeps the first pages by depth and URL.
+    once before the first step; seeds are held to the same policy. Links and known URLs are tables bucketed by URL: a
+    depth shuffles its own steps only, and is appended to what is known. max_pages keeps the first pages by depth and URL:
+    pages are counted as depths are done, no depth is begun once there are enough, and only the last one is cut.
     """
     policy = policy or LinkPolicy(same_domain=False)
     shared_dir(edges.sparkSession)
+    spark, folder = edges.sparkSession, new_folder(edges.sparkSession)
     deepest = max_depth if policy.max_depth is None else min(max_depth, policy.max_depth)
     allowed = lambda a, b: link_verdict(b, a, F.lit(0), policy) == "allowed"
-    seen = seeds.select(U.canonical(F.col("url")).alias("url")).where(allowed(F.lit(None).cast("string"), F.col("url"))).distinct().withColumn("depth", F.lit(0)).checkpoint()
-    links = edges.select(U.canonical(F.col("from_url")).alias("from_url"), U.canonical(F.col("url")).alias("to_url"))
-    links = links.where(allowed(F.col("from_url"), F.col("to_url")) & (F.col("from_url") != F.col("to_url"))).distinct().checkpoint()
-    frontier, depth = seen, 0
-    while depth < deepest:
-        depth += 1
-        steps = frontier.select(F.col("url").alias("from_url")).join(links, "from_url").select(F.col("to_url").alias("url")).distinct()
-        frontier = steps.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionAll(frontier)
-    return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"assayer_crawl_{folder.rsplit('/', 1)[-1]}"
+
+    def keep(df: DataFrame, what: str, by: str, mode: str) -> None:
+        df.write.mode(mode).bucketBy(buckets, by).sortBy(by).option("path", f"{folder}/{what}").saveAsTable(f"{name}_{what}")
+
+    try:
+        links = edges.select(U.canonical(F.col("from_url")).alias("from_url"), U.canonical(F.col("url")).alias("to_url"))
+        keep(links.where(allowed(F.col("from_url"), F.col("to_url")) & (F.col("from_url") != F.col("to_url"))).distinct().repartition(buckets, "from_url"), "links", "from_url", "errorifexists")
+        frontier = seeds.select(U.canonical(F.col("url")).alias("url")).where(allowed(F.lit(None).cast("string"), F.col("url"))).distinct().withColumn("depth", F.lit(0)).checkpoint()
+        depth, known = 0, frontier.count()
+        keep(frontier.repartition(buckets, "url"), "known", "url", "errorifexists")
+        while depth < deepest and (max_pages is None or known < max_pages):
+            depth += 1
+            steps = frontier.select(F.col("url").alias("from_url")).join(spark.table(f"{name}_links"), "from_url").select(F.col("to_url").alias("url")).distinct()
+            frontier = steps.join(spark.table(f"{name}_known"), "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+            found = frontier.count()
+            if not found:
+                break
+            keep(frontier.repartition(buckets, "url"), "known", "url", "append")
+            known += found
+    finally:  # the tables are external: their files stay
+        for what in ("links", "known"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{what}")
+    reached = spark.read.schema("url string, depth int").parquet(f"{folder}/known")
+    if max_pages is None or known <= max_pages:
+        return reached
+    last = reached.where(F.col("depth") == depth)
+    return reached.where(F.col("depth") < depth).unionAll(last.orderBy("url").limit(max_pages - (known - last.count())))
 
 
 def frontier_stats(targets: DataFrame) -> DataFrame:
@@ -137,10 +169,8 @@ def frontier_resume(targets: DataFrame) -> DataFrame:
 
 
 def crawl_budget_cut(pages: DataFrame, max_pages: int, max_bytes: int, max_seconds: float) -> DataFrame:
-    """Per crawl the pages fetched before a limit is reached; (crawl_id, seq, bytes, seconds)."""
-    w = Window.partitionBy("crawl_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = [F.count("*").over(w), F.coalesce(F.sum("bytes").over(w), F.lit(0)), F.coalesce(F.sum("seconds").over(w), F.lit(0))]
-    return pages.withColumns({"_n": before[0], "_b": before[1], "_s": before[2]}).where((F.col("_n") < max_pages) & (F.col("_b") < max_bytes) & (F.col("_s") < max_seconds)).drop("_n", "_b", "_s")
+    """Per crawl the pages fetched before a limit is reached; (crawl_id, seq, bytes, seconds). A crawl may be all rows: see ranks.until_limits."""
+    return until_limits(pages, "crawl_id", [F.asc("seq")], {"pages": (F.lit(1), max_pages), "bytes": ("bytes", max_bytes), "seconds": ("seconds", max_seconds)})
 
 
 def blocked_pages(pages: DataFrame, terms: tuple[str, ...] = ()) -> DataFrame:

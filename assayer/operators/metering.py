@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.operators.ranks import in_parts, with_totals
+
 # Units by resource, prices per 1,000 tokens (in, out) by model.
 UNITS = {"page": "page", "browser_second": "second", "token": "token", "vision_call": "call", "provider_credit": "credit", "storage_byte": "byte", "api_call": "call"}
 PRICES = {"gemini-1.5-flash": (7.5e-05, 0.0003), "gemini-1.5-pro": (0.00125, 0.005), "gpt-4o-mini": (0.00015, 0.0006), "gpt-4o": (0.0025, 0.01), "openrouter/free": (0.0, 0.0), "gsk-llama": (0.0, 0.0)}
@@ -125,23 +127,40 @@ def recent_events(events: DataFrame, n: int, client: str = "client_id", at: str
 def budget_trip(usage: DataFrame, budget: Budget = Budget()) -> DataFrame:  # noqa: B008
     """Per job: the first event at which a running total reaches its limit, why, and whether 80 % came first.
 
-    From (job_id, at, seq, tokens, usd, credits, pages, seconds). One window per job; a job's events are few.
+    From (job_id, at, seq, tokens, usd, credits, pages, seconds); (at, seq) orders the events of a job. Totals of partitions
+    tell in which partition of a job a limit is reached, and only that one is scanned in order, so a job may have all rows.
+    A negative amount raises an error, a null one counts as zero.
     """
-    w = Window.partitionBy("job_id").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    totals = {c: F.sum(c).over(w) for c in ("tokens", "usd", "credits", "pages", "seconds")}
-    run = usage.select("job_id", "at", "seq", *(t.alias(c) for c, t in totals.items()))
-    limits = [("tokens", budget.max_tokens), ("usd", budget.max_usd), ("credits", budget.max_credits), ("pages", budget.max_pages), ("seconds", budget.max_seconds)]
-    why = F.lit(None).cast("string")
-    for c, limit in reversed(limits):
-        if c != "credits" or limit > 0:
-            why = F.when(F.col(c) >= limit, f"max_{c}").otherwise(why)
-    soft = F.lit(False)
-    for c, limit in limits:
-        if limit > 0 and c != "seconds":
-            soft = soft | (F.least(F.lit(1.0), F.round(F.col(c) / limit, 4)) >= budget.soft_fraction)
-    marked = run.withColumn("why", why).withColumn("soft", soft & F.col("why").isNull())
+    limits = {"tokens": budget.max_tokens, "usd": budget.max_usd, "credits": budget.max_credits, "pages": budget.max_pages, "seconds": budget.max_seconds}
+
+    def why(total: Callable[[str], Column]) -> Column:
+        reason = F.lit(None).cast("string")
+        for c, limit in reversed(limits.items()):
+            if c != "credits" or limit > 0:
+                reason = F.when(total(c) >= limit, f"max_{c}").otherwise(reason)
+        return reason
+
+    def soft(total: Callable[[str], Column]) -> Column:
+        some = F.lit(False)
+        for c, limit in limits.items():
+            if limit > 0 and c != "seconds":
+                some = some | (F.least(F.lit(1.0), F.round(total(c) / limit, 4)) >= budget.soft_fraction)
+        return some
+
+    checked = {c: F.when(F.col(c) < 0, F.raise_error(F.lit("amounts must not be negative")).cast("double")).otherwise(F.coalesce(F.col(c), F.lit(0))) for c in limits}
+    order = [F.asc("at"), F.asc("seq")]
+    dealt, totals = in_parts(usage.select("job_id", "at", "seq", *(e.alias(c) for c, e in checked.items())), "job_id", order, {c: c for c in limits})
+    end = lambda c: F.col(f"before_{c}") + F.col(f"own_{c}")
+    parts = totals.withColumns({"over": why(end).isNotNull(), "soft": soft(end)})
+    jobs = parts.groupBy("_key").agg(F.min(F.when(F.col("over"), F.col("_in"))).alias("_at"), F.bool_or(F.col("soft") & ~F.col("over")).alias("before"))
+    crossing = parts.select("_key", "_in", *(f"before_{c}" for c in limits)).join(jobs.select(F.col("_key").alias("_k"), "_at"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_in") == F.col("_at"))).drop("_k", "_at")
+    inside = Window.partitionBy("job_id", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = with_totals(dealt, crossing, "job_id").withColumns({f"own_{c}": F.sum(c).over(inside) for c in limits})
+    marked = run.select("job_id", "at", "seq", why(end).alias("why"), soft(end).alias("soft"))
     hit = F.when(F.col("why").isNotNull(), F.struct("at", "seq", "why"))
-    return marked.groupBy("job_id").agg(F.min(hit).alias("h"), F.bool_or("soft").alias("warned")).select("job_id", F.col("h.seq").alias("trip_seq"), F.col("h.why").alias("reason"), "warned")
+    tripped = marked.groupBy(F.col("job_id").alias("_j")).agg(F.min(hit).alias("h"), F.bool_or(F.col("soft") & F.col("why").isNull()).alias("within"))
+    found = jobs.join(tripped, F.col("_key").eqNullSafe(F.col("_j")), "left")
+    return found.select(F.col("_key").alias("job_id"), F.col("h.seq").alias("trip_seq"), F.col("h.why").alias("reason"), (F.col("before") | F.coalesce("within", F.lit(False))).alias("warned"))
 
 
 def credit_headroom(usage: DataFrame, limits: DataFrame, need: int = 1) -> DataFrame:

@@ -53,6 +53,15 @@ query("c5_crawl_bfs", lambda t: C.crawl_bfs(t.site_links, t.seeds, 4), """
   WITH RECURSIVE reach AS (SELECT CAST(regexp_extract(url, '([0-9]+)#seed$', 1) AS BIGINT) AS k, 0 AS depth FROM {seeds}
     UNION SELECT (k * m + a) % 1500, depth + 1 FROM reach JOIN {customer} ON c_custkey = k, (VALUES (7, 3), (11, 5)) AS f(m, a) WHERE depth < 4)
   SELECT 'https://s.example/p/' || k AS url, min(depth) AS depth FROM reach GROUP BY k""")
+query("c5_crawl_max_pages", lambda t: C.crawl_bfs(t.site_links, t.seeds, 6, max_pages=20), """
+  WITH RECURSIVE reach AS (SELECT CAST(regexp_extract(url, '([0-9]+)#seed$', 1) AS BIGINT) AS k, 0 AS depth FROM {seeds}
+    UNION SELECT (k * m + a) % 1500, depth + 1 FROM reach JOIN {customer} ON c_custkey = k, (VALUES (7, 3), (11, 5)) AS f(m, a) WHERE depth < 6)
+  SELECT 'https://s.example/p/' || k AS url, min(depth) AS depth FROM reach GROUP BY k ORDER BY depth, url LIMIT 20""")
+fixture("agent_robots", """SELECT concat('h', CAST(c_custkey AS STRING), '.example') AS host, concat('User-agent: a', chr(13), chr(10), 'User-Agent: Bot # us', chr(10), 'Disallow: /x*y$', chr(13), 'Allow: /x1y', chr(10), 'Disallow: /q?a=', chr(10), 'Allow: /', chr(10), 'Disallow: /', CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '*.gif' END, chr(10), 'User-agent: *', chr(10), 'Disallow: /') AS text FROM {customer}""")
+fixture("agent_urls", "SELECT o_orderkey AS seq, concat('https://u@H', CAST(o_custkey AS STRING), '.example:443', CASE o_orderkey % 8 WHEN 0 THEN '/x2y' WHEN 1 THEN '/x1y' WHEN 2 THEN '/x2yz' WHEN 3 THEN '/q?a=1' WHEN 4 THEN '/q?b=1' WHEN 5 THEN '/a.gif' WHEN 6 THEN '/a.gif?x' ELSE '' END) AS url FROM {orders}")
+query("c4_robots_for_an_agent", lambda t: C.robots_filter(t.agent_urls, t.agent_robots, "bot"), """
+  SELECT seq, url, CASE seq % 8 WHEN 0 THEN false WHEN 1 THEN false WHEN 3 THEN false WHEN 5 THEN h % 2 = 0 WHEN 6 THEN h % 2 = 0 ELSE true END AS allowed FROM (SELECT seq, url, CAST(regexp_extract(url, 'H([0-9]+)[.]', 1) AS BIGINT) AS h FROM {agent_urls}) JOIN {customer} ON c_custkey = h
+  UNION ALL SELECT seq, url, true FROM {agent_urls} WHERE CAST(regexp_extract(url, 'H([0-9]+)[.]', 1) AS BIGINT) NOT IN (SELECT c_custkey FROM {customer})""")
 
 
 fixture("crawl_targets", "SELECT concat('u', CAST(o_orderkey AS STRING)) AS url, CASE o_orderkey % 7 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'FETCHING' WHEN 2 THEN 'PROCESSED' WHEN 3 THEN 'FAILED' WHEN 4 THEN 'SKIPPED' WHEN 5 THEN 'RETRY_WAIT' ELSE 'POLICY_REFUSED' END AS state, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS retry_at FROM {orders}")

@@ -407,3 +407,64 @@ def test_url_files(spark, tmp_path):
         assert urls.count() == 1 and tuple(counts.first()) == wanted
     (tmp_path / "e.txt").write_text("")
     assert tuple(read_url_list(spark, str(tmp_path / "e.txt"))[1].first()) == (0, 0, 0, 0)
+
+
+def test_limits_within_a_hot_key(spark):
+    """One key with all rows: the same rows as a running sum in one window, and no partition is scanned that need not be."""
+    import itertools
+
+    from assayer.operators import crawl, metering
+
+    rows = [("hot", k, k % 5, k % 3) for k in range(2000)] + [("cold", 1, 900, 0), ("cold", 2, 1, 0), (None, 1, 3, 3), (None, 2, None, 0)]
+    df = spark.createDataFrame(rows, "crawl_id string, seq long, bytes long, seconds long")
+    for most in ((10**9, 10**9, 10**9), (700, 10**9, 10**9), (10**9, 801, 10**9), (10**9, 10**9, 1), (10**9, 900, 50), (0, 1, 1)):
+        wanted = []
+        for key, group in itertools.groupby(rows, key=lambda r: r[0]):
+            n = b = s = 0
+            for r in group:
+                if n < most[0] and b < most[1] and s < most[2]:
+                    wanted.append(r)
+                n, b, s = n + 1, b + (r[2] or 0), s + r[3]
+        assert sorted((str(r.crawl_id), r.seq) for r in crawl.crawl_budget_cut(df, *most).collect()) == sorted((str(r[0]), r[1]) for r in wanted)
+    usage = df.selectExpr("crawl_id as job_id", "timestamp_seconds(seq) as at", "seq", "bytes * 100 as tokens", "0.0001D as usd", "0 as credits", "1 as pages", "seconds")
+    for budget in (metering.Budget(), metering.Budget(max_usd=0.0503), metering.Budget(max_pages=1999), metering.Budget(max_tokens=10**7, max_usd=9, max_seconds=2000), metering.Budget(max_tokens=10**7, max_usd=9)):
+        limits = {"tokens": budget.max_tokens, "usd": budget.max_usd, "pages": budget.max_pages, "seconds": budget.max_seconds}
+        got = {r.job_id: (r.trip_seq, r.reason, r.warned) for r in metering.budget_trip(usage, budget).collect()}
+        for key, group in itertools.groupby(rows, key=lambda r: r[0]):
+            total, hit, warned = dict.fromkeys(limits, 0), None, False
+            for r in group:
+                for c, v in (("tokens", (r[2] or 0) * 100), ("usd", 0.0001), ("pages", 1), ("seconds", r[3])):
+                    total[c] += v
+                over = [c for c in limits if total[c] >= limits[c] - (1e-9 if c == "usd" else 0)]
+                if over:
+                    hit = (r[1], f"max_{over[0]}")
+                    break
+                warned |= any(c != "seconds" and round(min(1, total[c] / limits[c]), 4) >= 0.8 for c in limits)
+            assert got[key] == (*(hit or (None, None)), warned), (key, budget)
+    with pytest.raises(Exception, match="negative"):
+        metering.budget_trip(usage.withColumn("usd", F.lit(-1.0))).collect()
+
+
+def test_robots_meet_a_host_once(spark):
+    from assayer.operators import crawl
+
+    robots = spark.createDataFrame([("h.example", "User-agent: *\n" + "\n".join(f"Disallow: /d{k}" for k in range(300)) + "\nAllow: /d7/ok")], "host string, text string")
+    urls = spark.range(5000).selectExpr("concat('https://h.example/d', id, if(id = 7, '/ok', '')) as url").unionAll(spark.createDataFrame([("https://h.example/d7",)] * 3, "url string"))
+    got = crawl.robots_filter(urls, robots).collect()
+    assert len(got) == 5003 and sum(r.allowed for r in got) == 1 + sum(not any(str(k).startswith(str(d)) for d in range(300)) for k in range(5000) if k != 7)
+    assert crawl.robots_rules(robots).selectExpr("size(rules) as n").first().n == 301
+
+
+def test_a_crawl_stops_at_its_pages(spark):
+    from unittest import mock
+
+    from assayer.operators import crawl
+
+    edges = spark.range(4000).selectExpr("concat('https://s.example/', cast((id - 1) div 3 as bigint)) as from_url", "concat('https://s.example/', id) as url")
+    seeds = spark.createDataFrame([("https://s.example/0",)], "url string")
+    plain = type(seeds.write).saveAsTable
+    with mock.patch.object(type(seeds.write), "saveAsTable", autospec=True, side_effect=plain) as tables:
+        rows = crawl.crawl_bfs(edges, seeds, 50, max_pages=30).collect()
+    assert sorted((r.depth, r.url) for r in rows)[:4] == [(0, "https://s.example/0"), (1, "https://s.example/1"), (1, "https://s.example/2"), (1, "https://s.example/3")]
+    assert [sum(r.depth == d for r in rows) for d in range(5)] == [1, 3, 9, 17, 0] and tables.call_count == 5  # links, seeds, three depths of the eight there are
+    assert len(crawl.crawl_bfs(edges, seeds, 50).collect()) == 4000 and not [t for t in spark.catalog.listTables() if "assayer_crawl" in t.name]
