@@ -22,6 +22,34 @@ FAILURE_CLASSES = {"job_failed": "unknown", "repeated_job_failure": "unknown", "
 _PAYLOAD = "quality_score double, confidence_mean double, records double, conflicts double, pct double, removed double"
 
 
+def message(condition: Column, payload: Column, job_id: Column, domain: Column, threshold: Column, recent_failures: Column) -> Column:
+    """What a fired alert says, by its condition; numbers to two places, halves to even."""
+    body, at = F.from_json(payload, _PAYLOAD), threshold.cast("int").cast("string")
+    whole = lambda c: F.when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
+    text = lambda name, default: F.coalesce(F.get_json_object(payload, f"$.{name}"), F.lit(default))
+    listed = lambda name: F.coalesce(F.concat(F.lit("['"), F.array_join(F.nullif(F.from_json(F.get_json_object(payload, f"$.{name}"), "array<string>"), F.array().cast("array<string>")), "', '"), F.lit("']")), F.lit("[]"))
+    none = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+    below = lambda what, c: F.format_string(f"{what} %.2f below threshold %.2f", F.bround(c, 2), F.bround(threshold, 2))
+    said = {
+        "job_failed": F.concat(F.lit("job "), none(job_id, "(unknown)"), F.lit(" failed")),
+        "quality_below": below("quality score", body["quality_score"]),
+        "confidence_collapse": below("mean confidence", body["confidence_mean"]),
+        "record_count_drop": F.concat(F.lit("record count "), whole(body["records"]), F.lit(" below threshold "), at),
+        "record_count_rise": F.concat(F.lit("record count "), whole(body["records"]), F.lit(" above threshold "), at),
+        "circuit_breaker_trip": F.concat(F.lit("circuit breaker tripped: "), text("reason", "unspecified")),
+        "self_healing_event": F.concat(F.lit("self-healing fired at rung "), text("rung", "?"), F.lit(" on "), none(domain, "page")),
+        "schema_change": F.concat(F.lit("schema changed (added="), listed("added"), F.lit(", removed="), listed("removed"), F.lit(")")),
+        "source_conflict_spike": F.concat(F.lit("source conflicts "), whole(F.coalesce(body["conflicts"], F.lit(0.0))), F.lit(" met/exceeded "), at),
+        "budget_threshold": F.format_string("budget at %.0f%% (threshold %.0f%%)", F.bround(body["pct"] * 100, 0), F.bround(threshold * 100, 0)),
+        "unexpected_removals": F.concat(whole(F.coalesce(body["removed"], F.lit(0.0))), F.lit(" unexpected removals (threshold "), at, F.lit(")")),
+        "repeated_job_failure": F.concat(recent_failures.cast("string"), F.lit(" failures in window (threshold "), F.coalesce(at, F.lit("3")), F.lit(")")),
+    }
+    out = F.lit(None).cast("string")
+    for name, words in said.items():
+        out = F.when(condition == name, words).otherwise(out)
+    return out
+
+
 def run_alert_events(runs: DataFrame) -> DataFrame:
     """Run outcomes as events (seq, at, kind, client_id, task_id, job_id, domain, payload)."""
     payload = F.to_json(F.struct("quality_score", "confidence_mean", "records", "conflicts"))
@@ -40,7 +68,7 @@ def with_recent_failures(events: DataFrame, seconds: int = 600) -> DataFrame:
 
 
 def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """(event, rule) pairs where the rule applies to the event and its condition holds, with scope_key and dedup_key.
+    """(event, rule) pairs where the rule applies to the event and its condition holds, with scope_key, dedup_key and message.
 
     events carry recent_failures; rules (rule_id, scope, scope_id, condition_type, threshold, severity,
     cooldown_seconds, enabled). An event is entered once for everyone and once per client, task, job and domain that it
@@ -66,7 +94,8 @@ def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
     hit = pairs.where(F.coalesce(holds, F.lit(False)))
     key = F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in ("task_id", "job_id", "domain")), F.lit("global"))
     digest = F.substring(F.sha2(F.concat_ws("|", "rule_id", "kind", "task_id", "job_id", "domain"), 256), 1, 16)
-    return hit.withColumn("scope_key", key).withColumn("dedup_key", digest)
+    said = message(F.col("condition_type"), F.col("payload"), F.col("job_id"), F.col("domain"), F.col("threshold"), F.col("recent_failures"))
+    return hit.withColumns({"scope_key": key, "dedup_key": digest, "message": said})
 
 
 def fires(at: np.ndarray, gap: np.ndarray, last: int | None) -> tuple[np.ndarray, int | None]:

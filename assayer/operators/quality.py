@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.text import EMAIL
@@ -48,11 +48,19 @@ def matches_type(c: Column, kind: str) -> Column:
     return F.coalesce(checks.get(kind, F.lit(True)), F.lit(True)) | (F.coalesce(c, F.lit("")) == "")
 
 
-def check_types(df: DataFrame, types: Mapping[str, str], key: str) -> DataFrame:
-    """(field, kind, violations, first_key, last_key): cells that do not look like their declared type."""
-    cells = df.select(F.col(key).alias("_key"), F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.lit(k).alias("kind"), (~matches_type(F.col(c).cast("string"), k)).alias("bad")) for c, k in types.items()))))
+def check_types(df: DataFrame, types: Mapping[str, str], key: str, samples: int = 3) -> DataFrame:
+    """(field, kind, violations, first_key, last_key, samples): cells that do not look like their declared type.
+
+    samples: (key, value) of the bad cells with the smallest keys, at most that many; Spark cuts them in each task before
+    they are shuffled.
+    """
+    cells = df.select(F.col(key).alias("_key"), F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.lit(k).alias("kind"), F.col(c).cast("string").alias("value"), (~matches_type(F.col(c).cast("string"), k)).alias("bad")) for c, k in types.items()))))
     bad = F.when(F.col("bad"), F.col("_key"))
-    return cells.groupBy("field", "kind").agg(F.count_if("bad").alias("violations"), F.min(bad).alias("first_key"), F.max(bad).alias("last_key"))
+    counts = cells.groupBy("field", "kind").agg(F.count_if("bad").alias("violations"), F.min(bad).alias("first_key"), F.max(bad).alias("last_key"))
+    place = F.row_number().over(Window.partitionBy("field").orderBy("_key", "value"))
+    shown = cells.where("bad").withColumn("_n", place).where(F.col("_n") <= samples).groupBy("field").agg(F.array_sort(F.collect_list(F.struct("_n", F.struct(F.col("_key").alias("key"), "value").alias("s")))).alias("l"))
+    sampled = shown.select(F.col("field").alias("_field"), F.col("l.s").alias("samples"))
+    return counts.join(sampled, F.col("field") == F.col("_field"), "left").drop("_field").withColumn("samples", F.coalesce("samples", F.array().cast(dict(sampled.dtypes)["samples"])))
 
 
 def freshness(df: DataFrame, fields: Sequence[str], window_seconds: int, now: Column) -> DataFrame:
@@ -168,13 +176,20 @@ def distribution_shift(current: DataFrame, history: DataFrame, fields: Sequence[
     return _distribution_shift(_value_counts(current, history, fields), most)
 
 
-def publication_gate(verdict: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row (state, reason): QUALITY_FAILED, then QUARANTINED on critical anomalies or their number, else READY."""
-    seen = findings.agg(F.count("*").alias("anomalies"), F.count_if(F.col("severity") == "critical").alias("critical"))
-    both = verdict.crossJoin(seen)  # one row each
-    state = F.when(~F.col("passed"), "QUALITY_FAILED").when(F.col("critical") > 0, "QUARANTINED").otherwise("READY")
-    reason = F.when(~F.col("passed"), F.array_join("failed_rules", ", ")).when(F.col("critical") > 0, F.concat(F.col("critical").cast("string"), F.lit(" critical anomalies"))).otherwise("passed")
-    return both.select(state.alias("state"), reason.alias("reason"), "score", "anomalies")
+def publication_gate(verdict: DataFrame, findings: DataFrame, by: str | None = None, block_on_critical: bool = True) -> DataFrame:
+    """(state, reason, score, anomalies): QUALITY_FAILED, then QUARANTINED on a critical anomaly unless block_on_critical is off, else READY.
+
+    One row, or with `by` one per dataset of verdict; a dataset without findings has none.
+    """
+    counts = (F.count("*").alias("anomalies"), F.count_if(F.col("severity") == "critical").alias("critical"))
+    if by is None:
+        both = verdict.crossJoin(findings.agg(*counts))  # one row each
+    else:
+        both = verdict.join(findings.groupBy(by).agg(*counts), by, "left").fillna(0, ["anomalies", "critical"])
+    held = F.lit(block_on_critical) & (F.col("critical") > 0)
+    state = F.when(~F.col("passed"), "QUALITY_FAILED").when(held, "QUARANTINED").otherwise("READY")
+    reason = F.when(~F.col("passed"), F.array_join("failed_rules", ", ")).when(held, F.concat(F.col("critical").cast("string"), F.lit(" critical anomalies"))).otherwise("passed")
+    return both.select(*([by] if by else []), state.alias("state"), reason.alias("reason"), "score", "anomalies")
 
 
 def override_gate(decision: DataFrame, justification: str) -> DataFrame:

@@ -90,13 +90,36 @@ def prompt_keys(prompts: DataFrame, options: tuple[str, ...] = ()) -> DataFrame:
     return prompts.select(key.alias("key"), F.octet_length("text").alias("size")).groupBy("key").agg(F.count("*").alias("n"), (F.sum("size") - F.max("size")).alias("bytes_saved"))
 
 
+def _placed(cache: DataFrame, now: Column, ttl_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """(entries within their lifetime with _place and _bytes_sum per tenant, most recently used first; the expired ones)."""
+    age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("created_at").cast("timestamp"))
+    alive = numbered(cache.where(age <= ttl_seconds), "tenant", [F.desc("used_at"), F.asc("key")], "_place", {"_bytes_sum": "bytes"})
+    return alive, cache.where(age > ttl_seconds)
+
+
 def cache_retention(cache: DataFrame, now: Column, ttl_seconds: int, max_entries: int, max_bytes: int) -> DataFrame:
     """Entries that stay per tenant: those within their lifetime, most recently used first, within both caps."""
-    alive = cache.where(F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("created_at").cast("timestamp")) <= ttl_seconds)
-    placed = numbered(alive, "tenant", [F.desc("used_at"), F.asc("key")], "_place", {"_bytes_sum": "bytes"})
+    placed, _ = _placed(cache, now, ttl_seconds)
     return placed.where((F.col("_place") <= max_entries) & (F.col("_bytes_sum") <= max_bytes)).drop("_place", "_bytes_sum")
 
 
+def cache_stats(cache: DataFrame, lookups: DataFrame, now: Column, ttl_seconds: int, max_entries: int, max_bytes: int) -> DataFrame:
+    """Per tenant what retention leaves and how the cache served: entry_count, total_bytes, expired, evicted, hits, misses, hit_rate.
+
+    lookups (tenant, hit boolean), one row per question; a rate without lookups is 0, rounded to four places. A null tenant
+    is one of its own.
+    """
+    placed, expired = _placed(cache, now, ttl_seconds)
+    stays = (F.col("_place") <= max_entries) & (F.col("_bytes_sum") <= max_bytes)
+    rows = [
+        placed.select("tenant", F.when(stays, "entry_count").otherwise("evicted").alias("what"), F.when(stays, F.col("bytes")).alias("bytes")), expired.select("tenant", F.lit("expired").alias("what"), F.lit(None).cast("long").alias("bytes")),
+        lookups.select("tenant", F.when(F.col("hit"), "hits").otherwise("misses").alias("what"), F.lit(None).cast("long").alias("bytes"))]
+    counts = {n: F.count_if(F.col("what") == n).alias(n) for n in ("entry_count", "expired", "evicted", "hits", "misses")}
+    found = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("tenant").agg(*counts.values(), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"))
+    asked = F.col("hits") + F.col("misses")
+    return found.withColumn("hit_rate", F.when(asked > 0, F.round(F.col("hits") / asked, 4)).otherwise(0.0))
+
+
 def json_path(value: Column, path: str) -> Column:
     """The text at a dotted path of a JSON column; a number is an index, a list steps into its first element."""
     steps = []

@@ -34,6 +34,9 @@ query("b15_run_alert_events", lambda t: A.run_alert_events(t.alert_runs.withColu
       "SELECT seq, CASE WHEN ok THEN 'job_completed' ELSE 'job_failed' END AS kind, client_id, records FROM {alert_runs}")
 query("i3_repeated_failures", lambda t: _events(t).where("recent_failures >= 2").select("seq", "task_id", "recent_failures"), f"WITH {_MATCH} SELECT seq, task_id, recent AS recent_failures FROM ev WHERE recent >= 2")
 query("c9_match_rules", lambda t: _matches(t).select("seq", "rule_id", "severity", "scope_key", "dedup_key"), f"WITH {_MATCH} SELECT seq, rule_id, severity, task_id AS scope_key, {_KEY} AS dedup_key FROM pairs")
+query("c9_alert_messages", lambda t: _matches(t).select("seq", "rule_id", "message"), f"""
+  WITH {_MATCH} SELECT seq, rule_id, CASE condition_type WHEN 'job_failed' THEN 'job ' || job_id || ' failed' WHEN 'quality_below' THEN printf('quality score %.2f below threshold 0.20', quality_score) WHEN 'confidence_collapse' THEN printf('mean confidence %.2f below threshold 0.50', confidence_mean)
+    WHEN 'record_count_drop' THEN 'record count ' || records || ' below threshold 20' WHEN 'record_count_rise' THEN 'record count ' || records || ' above threshold 35' WHEN 'source_conflict_spike' THEN 'source conflicts ' || conflicts || ' met/exceeded 5' ELSE recent || ' failures in window (threshold 2)' END AS message FROM pairs""")
 _FIRED = f"""{_MATCH},
   ordered AS (SELECT *, row_number() OVER (PARTITION BY rule_id, task_id ORDER BY at_, seq) AS n FROM pairs),
   fold AS (SELECT rule_id, task_id, n, seq, at_ AS last, true AS fires FROM ordered WHERE n = 1

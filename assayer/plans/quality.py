@@ -37,7 +37,10 @@ query("d9_quality_report", lambda t: _report(t).withColumn("value", F.round("val
 query("d9_quality_verdict", lambda t: Q.quality_verdict(_report(t)).select("passed", F.round("score", 6).alias("score"), F.array_join("failed_rules", ",").alias("failed_rules"), "action"),
       f"WITH {_REPORT} SELECT passed, round(score, 6) AS score, failed_rules, CASE WHEN passed THEN 'publish' WHEN pages THEN 'retry' WHEN score < 0.5 THEN 'escalate' ELSE 'quarantine' END AS action FROM verdict")
 query("d10_freshness_rate", lambda t: Q.freshness(t.graded, ["seen"], 20 * 86400, F.lit(_NOW).cast("timestamp")), f"WITH {_REPORT} SELECT n AS total, fresh, missing, unparseable FROM n")
-query("b13_check_types", lambda t: Q.check_types(t.graded, {"price": "currency", "email": "email"}, "seq"), f"""
+_listed = lambda rows, condition, column: f"(SELECT string_agg(seq || '=' || {column}, ', ' ORDER BY seq) FROM (SELECT seq, {column} FROM {{{rows}}} WHERE {condition} ORDER BY seq LIMIT 3))"
+query("b13_samples", lambda t: Q.check_types(t.graded, {"price": "currency", "email": "email", "title": "text"}, "seq").select("field", "violations", F.array_join(F.transform("samples", lambda s: F.concat_ws("=", s["key"].cast("string"), s["value"])), ", ").alias("samples")), f"""
+  SELECT 'price' AS field, count(*) AS violations, {_listed('graded', _BADP, 'price')} AS samples FROM {{graded}} WHERE {_BADP} UNION ALL SELECT 'email', count(*), {_listed('graded', _BADE, 'email')} FROM {{graded}} WHERE {_BADE} UNION ALL SELECT 'title', 0, ''""")
+query("b13_check_types", lambda t: Q.check_types(t.graded, {"price": "currency", "email": "email"}, "seq").drop("samples"), f"""
   SELECT 'price' AS field, 'currency' AS kind, count(*) FILTER ({_BADP}) AS violations, min(seq) FILTER ({_BADP}) AS first_key, max(seq) FILTER ({_BADP}) AS last_key FROM {{graded}}
   UNION ALL SELECT 'email', 'email', count(*) FILTER ({_BADE}), min(seq) FILTER ({_BADE}), max(seq) FILTER ({_BADE}) FROM {{graded}}""")
 
@@ -66,6 +69,13 @@ query("d15_publication_gate", lambda t: Q.publication_gate(Q.quality_verdict(_re
   WITH {_REPORT}, found AS ({_Z} UNION ALL {_ZERO} UNION ALL {_SAME} UNION ALL SELECT * FROM ({_SHIFT})), seen AS (SELECT count(*) AS anomalies, count(*) FILTER (severity = 'critical') AS critical FROM found)
   SELECT CASE WHEN NOT passed THEN 'QUALITY_FAILED' WHEN critical > 0 THEN 'QUARANTINED' ELSE 'READY' END AS state,
          CASE WHEN NOT passed THEN replace(failed_rules, ',', ', ') WHEN critical > 0 THEN critical || ' critical anomalies' ELSE 'passed' END AS reason, round(score, 6) AS score, anomalies FROM verdict, seen""")
+fixture("verdicts", "SELECT n_nationkey AS dataset, n_nationkey % 4 <> 0 AS passed, (n_nationkey % 5) / 4e0 AS score, CASE WHEN n_nationkey % 4 = 0 THEN array('required_fields', 'freshness') ELSE array() END AS failed_rules FROM {nation}".replace("array('required_fields', 'freshness')", "split('required_fields,freshness', ',')").replace("array()", "split('', ',')"))
+fixture("dataset_findings", "SELECT c_custkey % 20 AS dataset, CASE c_custkey % 3 WHEN 0 THEN 'critical' ELSE 'warning' END AS severity FROM {customer} WHERE c_custkey % 20 <> 7 AND NOT (c_custkey % 20 = 5 AND c_custkey % 3 = 0)")
+_GATE = """
+  SELECT dataset, CASE WHEN NOT passed THEN 'QUALITY_FAILED' WHEN {held} THEN 'QUARANTINED' ELSE 'READY' END AS state, CASE WHEN NOT passed THEN 'required_fields, freshness' WHEN {held} THEN critical || ' critical anomalies' ELSE 'passed' END AS reason, score, coalesce(anomalies, 0) AS anomalies
+  FROM {{verdicts}} LEFT JOIN (SELECT dataset, count(*) AS anomalies, count(*) FILTER (severity = 'critical') AS critical FROM {{dataset_findings}} GROUP BY dataset) USING (dataset)"""
+query("d15_gate_by_dataset", lambda t: Q.publication_gate(t.verdicts, t.dataset_findings, "dataset"), _GATE.format(held="coalesce(critical, 0) > 0"))
+query("d15_gate_tolerant", lambda t: Q.publication_gate(t.verdicts, t.dataset_findings, "dataset", block_on_critical=False), _GATE.format(held="false"))
 query("d17_duplicate_burst", lambda t: Q.duplicate_burst(t.events, F.col("user_id"), least=80).withColumn("share", F.round("share", 6)), "SELECT user_id AS key, count(*) AS n, round(count(*) / (SELECT count(*) FROM {events}), 6) AS share FROM {events} GROUP BY user_id HAVING count(*) >= 80")
 query("d18_identical_fields", lambda t: Q.identical_fields(t.current.withColumn("batch_id", F.col("seq") % 50), "batch_id", ["cat", "city", "email"]), """
   SELECT batch, field, min(value) AS value FROM (SELECT seq % 50 AS batch, 'cat' AS field, cat AS value FROM {current} UNION ALL SELECT seq % 50, 'city', city FROM {current} UNION ALL SELECT seq % 50, 'email', nullif(email, '') FROM {current})

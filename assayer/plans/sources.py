@@ -7,7 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.operators import cleaning as C
+from assayer.operators import quality as Q
+from assayer.operators import versions as V
 from assayer.plans.base import fixture, query
+from assayer.plans.versions import _CHANGES
+from assayer.sources import keyed_tables as K
 from assayer.sources import readers as R
 from assayer.sources import writers as W
 from assayer.sources.shared import new_folder
@@ -75,3 +80,38 @@ def _report(t):
 
 query("a9_write_report_tables", _report, """
   SELECT 'data' AS name, '{"p_partkey":' || p_partkey || '}' AS row FROM {part} UNION ALL SELECT 'sources', '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}' FROM {supplier}""")
+
+
+def _whole_report(t):
+    """The tables of a run over the orders fixtures, written and read back."""
+    folder = new_folder(t.spark)
+    report = Q.quality_report(t.cur, Q.QualityRules(required_fields=["title"]), F.lit("2024-02-02").cast("timestamp"))
+    records = t.cur.select("title", "price", (F.col("seq") % 8 / 8).alias("price_confidence"))
+    provenance = C.build_provenance(t.cur.select(F.col("title").alias("record_id"), "price"), F.lit("u"), F.lit("d"), "css", F.lit("2024-02-02").cast("date"))
+    tables = W.run_report(records, V.classify_changes(t.prev, t.cur), provenance, report, Q.quality_verdict(report), {"run": "r1", "pages": 3, "note": None}, ["late page"])
+    return t.spark, folder, W.write_report_tables(tables, folder)
+
+
+def _report_sizes(t):
+    spark, folder, names = _whole_report(t)
+    return reduce(DataFrame.unionAll, [spark.read.parquet(f"{folder}/{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n")).select("name", "n") for n in names])
+
+
+query("a9_report_sheets", _report_sizes, f"""
+  WITH {_CHANGES} SELECT 'data' AS name, count(*) AS n FROM {{cur}} UNION ALL SELECT 'changes', count(*) FILTER (change_type IN ('NEW', 'REMOVED')) + sum(CASE WHEN change_type = 'MODIFIED' THEN CAST(dp AS INTEGER) + CAST(dn AS INTEGER) + CAST(da AS INTEGER) ELSE 0 END)::BIGINT FROM changes
+  UNION ALL SELECT 'sources', count(*) FROM {{cur}} UNION ALL SELECT 'quality', 4 + 10 UNION ALL SELECT 'confidence', count(*) FROM {{cur}} UNION ALL SELECT 'run_summary', 3 UNION ALL SELECT 'errors', 1""")
+query("a9_changes_sheet", lambda t: W.run_report(t.cur, V.classify_changes(t.prev, t.cur))["changes"], f"""
+  WITH {_CHANGES} SELECT change_type AS status, identity, '' AS field, '' AS old, '' AS new FROM changes WHERE change_type IN ('NEW', 'REMOVED')
+  UNION ALL SELECT 'MODIFIED', identity, 'price', op, np FROM changes WHERE dp UNION ALL SELECT 'MODIFIED', identity, 'note', on_, nn FROM changes WHERE dn UNION ALL SELECT 'MODIFIED', identity, 'availability', oa, na FROM changes WHERE da""")
+
+
+def _upserted(t):
+    path = new_folder(t.spark)
+    K.create_table(t.stock_table, path, ["id"], 16)
+    K.upsert_table(t.stock_updates, path, "seq", keep=["first_size"])
+    return K.read_table(t.spark, path)
+
+
+query("a10_upsert_table", _upserted, """
+  WITH u AS (SELECT id, arg_max(name, seq) AS name, max(seq) AS seq, arg_min(first_size, seq) AS first_size FROM {stock_updates} GROUP BY id)
+  SELECT coalesce(t.id, u.id) AS id, coalesce(u.seq, t.seq) AS seq, coalesce(u.name, t.name) AS name, coalesce(t.first_size, u.first_size) AS first_size FROM {stock_table} t FULL JOIN u ON t.id = u.id""")

@@ -45,5 +45,13 @@ fixture("cache_rows", "SELECT event_id AS key, user_id % 6 AS tenant, ts AS crea
 query("e7_cache_retention", lambda t: T.cache_retention(t.cache_rows, F.lit("2024-01-31").cast("timestamp_ntz"), 12 * 86400, 500, 20000).select("tenant", "key", "bytes"), """
   SELECT tenant, key, bytes FROM (SELECT *, row_number() OVER w AS n, sum(bytes) OVER (PARTITION BY tenant ORDER BY used_at DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM {cache_rows}
     WHERE epoch(TIMESTAMP '2024-01-31') - floor(epoch(created_at)) <= 1036800 WINDOW w AS (PARTITION BY tenant ORDER BY used_at DESC, key)) WHERE n <= 500 AND b <= 20000""")
+fixture("cache_lookups", "SELECT user_id % 7 AS tenant, event_id % 4 <> 0 AS hit FROM {events}")
+query("e7_cache_stats", lambda t: T.cache_stats(t.cache_rows, t.cache_lookups, F.lit("2024-01-31").cast("timestamp_ntz"), 12 * 86400, 500, 20000), """
+  WITH a AS (SELECT *, epoch(TIMESTAMP '2024-01-31') - floor(epoch(created_at)) <= 1036800 AS alive FROM {cache_rows}),
+  p AS (SELECT *, row_number() OVER w AS n, sum(bytes) OVER (PARTITION BY tenant, alive ORDER BY used_at DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM a WINDOW w AS (PARTITION BY tenant, alive ORDER BY used_at DESC, key)),
+  c AS (SELECT tenant, count(*) FILTER (alive AND n <= 500 AND b <= 20000) AS entry_count, count(*) FILTER (NOT alive) AS expired, count(*) FILTER (alive AND NOT (n <= 500 AND b <= 20000)) AS evicted, CAST(coalesce(sum(bytes) FILTER (alive AND n <= 500 AND b <= 20000), 0) AS BIGINT) AS total_bytes FROM p GROUP BY tenant),
+  l AS (SELECT tenant, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM {cache_lookups} GROUP BY tenant)
+  SELECT coalesce(c.tenant, l.tenant) AS tenant, coalesce(entry_count, 0) AS entry_count, coalesce(expired, 0) AS expired, coalesce(evicted, 0) AS evicted, coalesce(hits, 0) AS hits, coalesce(misses, 0) AS misses, coalesce(total_bytes, 0) AS total_bytes, coalesce(round(hits / (hits + misses), 4), 0) AS hit_rate
+  FROM c FULL JOIN l ON c.tenant = l.tenant""")
 query("h16_json_paths", lambda t: t.events.select("event_id", T.json_path(F.col("props"), "k").alias("k"), T.json_ld(F.concat(F.lit('{"@graph": [{"@type": "Org"}, {"@type": "Product", "offers": [{"price": "'), F.col("user_id").cast("string"), F.lit('"}]}]}')), "Product", "offers.0.price").alias("price")),
       "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(user_id AS VARCHAR) AS price FROM {events}")

@@ -33,12 +33,12 @@ def _until(state: GroupState, micros: int, values: tuple) -> None:
     state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs() + 1))
 
 
-def _keyed(rows: DataFrame, keys: list[str], step: Callable, schema: str, state: str, mode: str, late: str, keep: Callable[[pd.DataFrame], int]) -> DataFrame:
-    """keep: seconds that a state stays of which only late rows told."""
+def _keyed(rows: DataFrame, keys: list[str], step: Callable, schema: str, state: str, mode: str, late: str, keep: Callable[[pd.DataFrame], int], end: Callable[[GroupState], None] = lambda kept: kept.remove()) -> DataFrame:
+    """keep: seconds that a state stays of which only late rows told; end: what becomes of a state whose time is over."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         if kept.hasTimedOut:
-            kept.remove()
+            end(kept)
             return
         given, watermark = _ordered(frames), kept.getCurrentWatermarkMs()
         on_time = given[_micros(given) >= watermark * 1000]  # Spark itself lets rows pass for one more micro-batch
@@ -89,31 +89,46 @@ def alert_cooldown_stream(matches: DataFrame, late: str = "10 minutes") -> DataF
 
 
 def incident_stream(alerts: DataFrame, forget: int = 30 * 86400, late: str = "10 minutes") -> DataFrame:
-    """(client_id, dedup_key, number, occurrences, severity, status): each incident as it stands after a micro-batch.
+    """The columns of alerts.incidents, and status: each incident as it stands after a micro-batch.
 
-    alerts (client_id, dedup_key, at, seq, severity, ends): a row with ends = 1 closes the open incident. State: the last
-    incident; it ends `forget` seconds after a key's last row, and numbers start anew.
+    alerts (client_id, dedup_key, at, seq, severity, job_id, domain, ends): a row with ends = 1 closes the open incident; at one
+    time alerts come before endings. State: the last incident with the names of its jobs and domains. An incident that stays
+    open keeps its state; of one that ended, nothing but its number is left `forget` seconds after the key's last row, so
+    numbers go on however long a key was silent.
     """
+    moment = lambda micros: pd.Timestamp(micros, unit="us") if micros is not None else pd.NaT
 
     def step(key: tuple, rows: pd.DataFrame, state: GroupState) -> pd.DataFrame:
-        number, count, rank, open_ = state.get if state.exists else (0, 0, 0, False)
-        ends = rows["ends"].to_numpy(bool)
-        ranks = rows["severity"].map({s: k for k, s in enumerate(SEVERITIES)}).to_numpy(np.int64)
-        out = []
+        rows = rows.sort_values(["at", "ends", "seq"])
+        number, count, rank, open_, started, jobs, domains = state.get if state.exists else (0, 0, 0, False, None, [], [])
+        at, ends = _micros(rows), rows["ends"].to_numpy(bool)
+        ranks = rows["severity"].map({s: k for k, s in enumerate(SEVERITIES)}).fillna(0).to_numpy(np.int64)
+        out: dict[int, tuple] = {}
         closed = np.flatnonzero(ends)
         for a, b in zip([0, *(closed + 1)], [*closed, len(rows)], strict=True):  # stretches between endings, not rows
             if b > a:
-                number, count, rank = (number, count + b - a, max(rank, int(ranks[a:b].max()))) if open_ else (number + 1, b - a, int(ranks[a:b].max()))
-                open_ = True
-            touched = b > a or open_
-            open_ = open_ and b == len(rows)
-            if number and touched:
-                out = [o for o in out if o[2] != number] + [(*key, number, int(count), SEVERITIES[rank], "open" if open_ else "resolved")]
-        _until(state, int(_micros(rows)[-1]) + forget * 1_000_000, (int(number), int(count), int(rank), bool(open_)))
-        return pd.DataFrame(out, columns=["client_id", "dedup_key", "number", "occurrences", "severity", "status"]).astype({"client_id": object, "dedup_key": object, "severity": object, "status": object})
-
-    schema = "client_id string, dedup_key string, number long, occurrences long, severity string, status string"
-    return _keyed(alerts, ["client_id", "dedup_key"], step, schema, "number long, count long, rank long, open boolean", "update", late, lambda _: forget)
+                if not open_:
+                    number, count, rank, started, jobs, domains = number + 1, 0, 0, int(at[a]), [], []
+                names = lambda c: {x for x in rows[c].iloc[a:b] if isinstance(x, str) and x}  # noqa: B023, E731
+                count, rank = count + b - a, max(rank, int(ranks[a:b].max()))
+                jobs, domains, open_ = sorted({*jobs, *names("job_id")}), sorted({*domains, *names("domain")}), True
+            if open_:
+                open_ = b == len(rows)
+                out[number] = (*key, number, int(count), SEVERITIES[rank], jobs, domains, moment(started), moment(None if open_ else int(at[b])), "open" if open_ else "resolved")
+        values = (int(number), int(count), int(rank), bool(open_), started, jobs, domains)
+        if open_:
+            state.update(values)
+        else:
+            _until(state, int(at[-1]) + forget * 1_000_000, values)
+        columns = ["client_id", "dedup_key", "number", "occurrences", "severity", "jobs", "domains", "started_at", "ended_at", "status"]
+        frame = pd.DataFrame(list(out.values()), columns=columns)
+        kinds = dict.fromkeys(("client_id", "dedup_key", "severity", "jobs", "domains", "status"), object) | dict.fromkeys(("started_at", "ended_at"), "datetime64[ns]")
+        return frame.astype(kinds)
+
+    schema = "client_id string, dedup_key string, number long, occurrences long, severity string, jobs array<string>, domains array<string>, started_at timestamp, ended_at timestamp, status string"
+    kept = "number long, count long, rank long, open boolean, started long, jobs array<string>, domains array<string>"
+    shrink = lambda state: state.update((state.get[0], 0, 0, False, None, [], []))
+    return _keyed(alerts, ["client_id", "dedup_key"], step, schema, kept, "update", late, lambda _: forget, shrink)
 
 
 def frontier_stream(outcomes: DataFrame, max_attempts: int = 3, forget: int = 30 * 86400, late: str = "10 minutes") -> DataFrame:

@@ -468,3 +468,117 @@ def test_a_crawl_stops_at_its_pages(spark):
     assert sorted((r.depth, r.url) for r in rows)[:4] == [(0, "https://s.example/0"), (1, "https://s.example/1"), (1, "https://s.example/2"), (1, "https://s.example/3")]
     assert [sum(r.depth == d for r in rows) for d in range(5)] == [1, 3, 9, 17, 0] and tables.call_count == 5  # links, seeds, three depths of the eight there are
     assert len(crawl.crawl_bfs(edges, seeds, 50).collect()) == 4000 and not [t for t in spark.catalog.listTables() if "assayer_crawl" in t.name]
+
+
+def test_messages_of_all_conditions(spark):
+    rows = [("job_failed", "{}", "", "", None, None, "job (unknown) failed"), ("quality_below", '{"quality_score": 0.125}', "", "", 0.5, None, "quality score 0.12 below threshold 0.50"), ("record_count_drop", '{"records": 3}', "", "", 20.7, None, "record count 3 below threshold 20"),
+            ("circuit_breaker_trip", "{}", "", "", None, None, "circuit breaker tripped: unspecified"), ("circuit_breaker_trip", '{"reason": "max_usd"}', "", "", None, None, "circuit breaker tripped: max_usd"), ("self_healing_event", '{"rung": 2}', "", "d", None, None, "self-healing fired at rung 2 on d"),
+            ("self_healing_event", None, "", "", None, None, "self-healing fired at rung ? on page"), ("schema_change", '{"added": ["a", "b"], "removed": []}', "", "", None, None, "schema changed (added=['a', 'b'], removed=[])"), ("budget_threshold", '{"pct": 0.855}', "", "", 0.8, None, "budget at 86% (threshold 80%)"),
+            ("unexpected_removals", '{"removed": 7}', "", "", 5.0, None, "7 unexpected removals (threshold 5)"), ("source_conflict_spike", "{}", "", "", 0.0, None, "source conflicts 0 met/exceeded 0"), ("repeated_job_failure", "{}", "j", "", None, 4, "4 failures in window (threshold 3)"), ("else", "{}", "", "", None, None, None)]
+    df = spark.createDataFrame(rows, "c string, p string, j string, d string, t double, n long, wanted string")
+    for r in df.select("wanted", alerts.message(*map(F.col, "cpjdtn")).alias("m")).collect():
+        assert r.m == r.wanted
+
+
+def test_two_writers_of_one_delivery(spark, tmp_path):
+    """The second to commit takes the first's place; what failed before its commit is done again; readers see whole folders only."""
+    from unittest import mock
+
+    from assayer.sources import writers
+
+    df, other = spark.range(10).toDF("k"), spark.range(99).toDF("k")
+    target, ledger = f"{tmp_path}/out", f"{tmp_path}/ledger"
+    first = {}
+    plain = writers.commit
+
+    def slow(spark_, path, value):
+        if not first:
+            first["done"] = None
+            first["done"] = writers.write_idempotent(other, target, ledger, "a/b: key")  # another writer is done while this one has staged
+        return plain(spark_, path, value)
+
+    with mock.patch.object(writers, "commit", slow):
+        place, written = writers.write_idempotent(df, target, ledger, "a/b: key")
+    assert first["done"] == (place, True) and not written and spark.read.parquet(place).count() == 99
+    assert len([p for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")]) == 1
+    with mock.patch.object(writers, "commit", side_effect=RuntimeError("lost")), pytest.raises(RuntimeError):
+        writers.write_idempotent(df, target, ledger, "two")
+    place, written = writers.write_idempotent(df, target, ledger, "two")
+    assert written and spark.read.parquet(place).count() == 10 and writers.write_idempotent(other, target, ledger, "two") == (place, False)
+    assert writers.write_idempotent(df.limit(0), target, ledger, "none") == ("", False)
+
+
+def test_an_update_rewrites_its_bucket_only(spark, tmp_path):
+    from unittest import mock
+
+    from assayer.sources import keyed_tables as K
+
+    path, table = f"{tmp_path}/t", spark.range(1000).selectExpr("id", "0L as seq", "concat('v', id) as name", "id as first")
+    K.create_table(table, path, ["id"], 32)
+    before = K._current(spark, path)[1]["parts"]
+    update = spark.createDataFrame([(7, 1, "new", -1)], "id long, seq long, name string, first long")
+    touched = K.upsert_table(update, path, "seq", keep=["first"])
+    after = K._current(spark, path)[1]["parts"]
+    assert len(touched) == 1 and {b for b in after if after[b] != before[b]} == {str(touched[0])}
+    rows = {r.id: (r.seq, r.name, r["first"]) for r in K.read_table(spark, path).collect()}
+    assert len(rows) == 1000 and rows[7] == (1, "new", 7) and rows[8] == (0, "v8", 8)
+    plain, raced = K.commit, []
+
+    def late(spark_, place, value):  # another writer commits between this one's read and its commit
+        if not raced:
+            raced.append(1)
+            K.upsert_table(spark.createDataFrame([(7, 2, "theirs", -1), (5000, 1, "added", 3)], update.schema), path, "seq", keep=["first"])
+        return plain(spark_, place, value)
+
+    with mock.patch.object(K, "commit", late):
+        K.upsert_table(spark.createDataFrame([(7, 3, "ours", -1)], update.schema), path, "seq", keep=["first"])
+    rows = {r.id: (r.seq, r.name, r["first"]) for r in K.read_table(spark, path).collect()}
+    assert rows[7] == (3, "ours", 7) and rows[5000] == (1, "added", 3) and len(rows) == 1001
+    K.remove_unused(spark, path)
+    assert {r.id: r.seq for r in K.read_table(spark, path).collect()} == {k: v[0] for k, v in rows.items()}
+    assert K.upsert_table(update.limit(0), path, "seq") == []
+    with pytest.raises(ValueError, match="there is a table"):
+        K.create_table(table, path, ["id"])
+    with pytest.raises(ValueError, match="no table"):
+        K.read_table(spark, f"{tmp_path}/none")
+
+
+def test_replays_are_written_once(spark, tmp_path):
+    """An id that comes again after forty days, in its own batch twice, or in a batch that is tried again, is there once."""
+    from assayer.streaming import usage
+
+    at = lambda day: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day)
+    schema, target = "event_id string, occurred_at timestamp, v long", f"{tmp_path}/out"
+    for rows in ([("a", at(0), 1), ("b", at(0), 2), ("a", at(0), 1)], [("c", at(40), 3)], [("a", at(0), 1), ("d", at(40), 4), (None, None, 5)], [("a", at(0), 1), ("d", at(40), 4), (None, None, 5)]):
+        usage.append_once(spark.createDataFrame(rows, schema), target)
+    assert sorted(r.v for r in spark.read.parquet(target).collect()) == [1, 2, 3, 4, 5]
+    moved = spark.createDataFrame([("a", at(41), 9)], schema)
+    usage.append_once(moved, target, anywhere=True)
+    assert spark.read.parquet(target).where("event_id = 'a'").count() == 1
+
+
+def test_incident_numbers_outlive_their_state(spark, tmp_path):
+    """Lists, times and severity as in the batch twin; a key that was silent for longer than `forget` goes on with its next number."""
+    import os
+
+    from assayer.plans.streams import drained
+    from assayer.streaming import keyed
+
+    start = datetime.datetime(2024, 1, 1)
+    row = lambda seq, s, severity, job, ends=0, key="k": ("c", key, start + datetime.timedelta(seconds=s), seq, severity, job, "d", ends)
+    schema = "client_id string, dedup_key string, at timestamp, seq long, severity string, job_id string, domain string, ends int"
+    files = [[row(1, 0, "info", "j2"), row(2, 5, "critical", "j1"), row(3, 5, None, "", 1)], [row(4, 50_000, "info", "j9", key="open")], [row(5, 200_000, "info", "x", key="other")], [row(6, 400_000, "warning", "j3"), row(7, 400_001, "info", "j9b", key="open")]]
+    for k, rows in enumerate(files):
+        folder = tmp_path / f"p{k}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        next(folder.glob("part-*.parquet")).rename(tmp_path / "in" / f"x{k}.parquet")
+        os.utime(tmp_path / "in" / f"x{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {}
+    for r in sorted(drained(keyed.incident_stream(stream, forget=60, late="1 minute"), "update").collect(), key=lambda r: r._batch):
+        got[r.dedup_key, r.number] = (r.occurrences, r.severity, r.jobs, r.domains, r.started_at, r.ended_at)
+    everything = spark.createDataFrame([r for f in files for r in f], schema)
+    twin = alerts.incidents(everything.where("ends = 0"), everything.where("ends = 1").select("client_id", "dedup_key", "at"))
+    assert got == {(r.dedup_key, r.number): (r.occurrences, r.severity, r.jobs, r.domains, r.started_at, r.ended_at) for r in twin.collect()}
+    assert set(got) == {("k", 1), ("k", 2), ("open", 1), ("other", 1)} and got["open", 1][:3] == (2, "info", ["j9", "j9b"])
