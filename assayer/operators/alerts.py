@@ -59,11 +59,16 @@ def run_alert_events(runs: DataFrame) -> DataFrame:
 def with_recent_failures(events: DataFrame, seconds: int = 600) -> DataFrame:
     """Adds recent_failures: failures of the same task in the last `seconds`, this one included; null for other events.
 
-    Only failures of named tasks are sorted; all other events pass by.
+    Only failures of named tasks are sorted; all other events pass by. A task's time is cut in stretches of `seconds`; each
+    failure is counted in its own and in the next one, so no task, however many failures it has, is one window.
     """
     failed = F.coalesce((F.col("kind") == "job_failed") & (F.col("task_id") != ""), F.lit(False))
-    w = Window.partitionBy("task_id").orderBy(F.unix_micros(F.col("at").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    counted = events.where(failed).withColumn("recent_failures", F.count("*").over(w))
+    span = seconds * 1_000_000
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    own = F.floor(micros / span) if span else micros
+    dealt = events.where(failed).withColumns({"_at": micros, "_own": own}).withColumn("_stretch", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = Window.partitionBy("task_id", "_stretch").orderBy("_at").rangeBetween(-span, 0)
+    counted = dealt.withColumn("recent_failures", F.count("*").over(w)).where("_stretch = _own").drop("_at", "_own", "_stretch")
     return counted.unionByName(events.where(~failed).withColumn("recent_failures", F.lit(None).cast("long")))
 
 
