@@ -1,8 +1,8 @@
-"""Toxicity scores from a factorization machine over hashed terms."""
+"""Toxicity scores from a factorization machine over all hashed terms: a table of 2**TERM_BITS slots, one code path at every size."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.scratch import table
+from assayer.llm.scratch import stored, table
 from assayer.llm.tokens import as_text, hash_spans, mix, split_words, text_slices
 
-#: Labelled rows that fitting reads at most, terms that the final machine keeps, bits of a hashed term.
-MAX_ROWS, MAX_TERMS, TERM_BITS = 20_000, 4096, 26
+#: Labelled rows that fitting reads at most, distinct terms that these rows have together at most (whole rows are left out beyond it), bits of a hashed term.
+MAX_ROWS, MAX_PAIRS, TERM_BITS = 20_000, 1 << 24, 20
 PREFIX, PUNCTUATION = 5, np.isin(np.arange(256), list(b".,;:!?\"')"))
 
 
@@ -58,16 +58,13 @@ def distinct_pairs(term: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _index_terms(terms: np.ndarray):
-    near = np.zeros(1 << 16, bool)
-    near[terms & 0xFFFF] = True
+    slot = np.full(1 << TERM_BITS, -1, np.int32)
+    slot[terms] = np.arange(len(terms))
 
     def index(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        term, row = hashed_terms(texts)
-        hit = near[term & 0xFFFF]
-        term, row = term[hit], row[hit]
-        at = np.searchsorted(terms, term)
-        hit = terms[np.minimum(at, len(terms) - 1)] == term
-        return distinct_pairs(at[hit], row[hit])
+        term, row = distinct_pairs(*hashed_terms(texts))
+        at = slot[term]
+        return at[at >= 0], row[at >= 0]
 
     return index
 
@@ -82,111 +79,76 @@ def _list_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(1)[lo:hi], pa.ListArray.from_arrays(pa.array(offsets), pa.array(term.astype(np.int32)))], ["label", "terms"])
 
 
-def survey(index: list[np.ndarray], label: np.ndarray, terms: int, rank: int = 4, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
-    """The norm of what a machine over all terms learns of each: its weight and, for what counts only in company, its factors.
+def evidence(at: np.ndarray, row: np.ndarray, label: np.ndarray, terms: int) -> np.ndarray:
+    """By how many standard errors each term's share of toxic rows differs from its share of the others."""
+    n, ones = np.bincount(at, minlength=terms), np.bincount(at, label[row], terms)
+    n1, n0 = label.sum(), len(label) - label.sum()
+    share = n / len(label)
+    z = (ones / n1 - (n - ones) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    return np.where(n < len(label), z, 0.0)
 
-    AdaGrad on the logistic loss; a step touches the terms of its rows only.
+
+def shrunk(z: np.ndarray) -> np.ndarray:
+    """(z**2 / (z**2 + 2 ln n))**2 of n standardised numbers: among so many without meaning the farthest is expected at z**2 = 2 ln n.
+
+    What chance alone explains, which abounds where rows are few, comes out near 0, and what is far beyond it near 1.
     """
-    rng = np.random.default_rng(seed)
-    share = np.clip(label.mean(), 0.01, 0.99)
-    table_, squares, bias, bias_square = np.zeros((terms, rank + 1)), np.full((terms, rank + 1), 1e-8), np.log(share / (1 - share)), 1e-8
-    table_[:, 1:] = rng.normal(0, 0.02, (terms, rank))
-    start = np.linalg.norm(table_[:, 1:], axis=1)
-    size = np.array([len(i) for i in index])
-    order = np.concatenate([rng.permutation(len(label)) for _ in range(-(-steps * 128 // len(label)))])
-    for k in range(0, len(order), 128):
-        rows = order[k : k + 128]
-        at, row = np.concatenate([index[r] for r in rows]), np.repeat(np.arange(len(rows)), size[rows])
-        own, place = np.unique(at, return_inverse=True)
-        x = table_[own][place]
-        sums = np.stack([np.bincount(row, c, len(rows)) for c in x.T], 1)
-        z = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - np.bincount(row, (x[:, 1:] ** 2).sum(1), len(rows)))
-        slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[rows]) / len(rows)
-        part = np.concatenate([np.ones((len(at), 1)), sums[row, 1:] - x[:, 1:]], axis=1) * slope[row, None]
-        g = np.stack([np.bincount(place, c, len(own)) for c in part.T], 1) + decay * table_[own]
-        squares[own] += g * g
-        table_[own] -= rate * g / np.sqrt(squares[own])
-        bias_square += slope.sum() ** 2
-        bias -= rate * slope.sum() / np.sqrt(bias_square)
-    return np.abs(table_[:, 0]) + np.maximum(np.linalg.norm(table_[:, 1:], axis=1) - start, 0)
-
-
-def _pieces(n: int, size: int = 1 << 20) -> Iterator[slice]:
-    return (slice(k, min(n, k + size)) for k in range(0, n, size))
-
-
-def _tally(at: np.ndarray, n: int, weights: Callable[[slice], np.ndarray] | None = None) -> np.ndarray:
-    """np.bincount in pieces: of long arrays of small numbers no wide copy is made."""
-    return sum((np.bincount(at[s], weights(s) if weights else None, n) for s in _pieces(len(at))), np.zeros(n))
-
-
-def fit_rows(flat: np.ndarray, size: np.ndarray, label: np.ndarray, max_terms: int = MAX_TERMS) -> FactorizationMachine:
-    """The machine for rows of distinct hashed terms: those of all rows one after the other, and how many each row has.
-
-    A first machine sees all terms that two rows or more hold. The final one is trained on the terms that this machine
-    learned most of, and whose document shares differ most between the labels, half and half: max_terms of them, on few
-    rows no more than a third of the rows, since a term must be told by several.
+    square = z * z
+    return (square / (square + 2 * np.log(len(z) + 1))) ** 2
+
+
+def descend(at: np.ndarray, size: np.ndarray, label: np.ndarray, value: np.ndarray, rank: int, epochs: int, steps: int, rate: float, decay: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """(a weight and `rank` factors per term, the same before the first step, bias): AdaGrad on the logistic loss.
+
+    at: the term numbers of all rows in a row; value: what stands for each term that a row has. So many epochs, and at least
+    so many steps, of 128 rows; a step touches the terms of its rows only.
     """
-    max_terms = min(max_terms, max(64, len(label) // 3))
-    terms = np.unique(flat)
-    at = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(terms, flat[s]).astype(np.int32) for s in _pieces(len(flat)))])
-    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
-
-    def kept(chosen: np.ndarray) -> None:
-        nonlocal terms, at, row
-        number = np.full(len(terms), -1, np.int32)
-        number[chosen] = np.arange(len(chosen))
-        at = number[at]
-        hit = at >= 0
-        terms, at, row = terms[chosen], at[hit], row[hit]
-
-    def lists() -> list[np.ndarray]:
-        return np.split(at, np.cumsum(np.bincount(row, minlength=len(size)))[:-1])
-
-    kept(np.flatnonzero(_tally(at, len(terms)) >= 2))
-    if len(terms) > max_terms:
-        ones, n = _tally(at, len(terms), lambda s: label[row[s]]), _tally(at, len(terms))
-        n1, n0 = label.sum(), len(label) - label.sum()
-        share = n / len(label)
-        far = np.abs(ones / n1 - (n - ones) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-        learned = survey(lists(), label, len(terms))
-        best = np.argsort(-far, kind="stable")[: max_terms // 2]
-        rest = np.argsort(-learned, kind="stable")
-        kept(np.sort(np.concatenate([best, rest[~np.isin(rest, best)][: max_terms - len(best)]])))
-    return train(lists(), label, terms.astype(np.int64))
-
-
-def train(index: list[np.ndarray], label: np.ndarray, terms: np.ndarray, rank: int = 6, epochs: int = 12, steps: int = 400, rate: float = 0.02, decay: float = 2e-5, seed: int = 7) -> FactorizationMachine:
-    """Adam on the logistic loss over rows given as arrays of term indices: so many epochs, and at least so many steps."""
     rng = np.random.default_rng(seed)
-    share = np.clip(label.mean() if len(label) else 0.5, 0.01, 0.99)
-    table_ = np.zeros((len(terms) + 1, rank + 1))
-    table_[:-1, 1:] = rng.normal(0, 0.02, (len(terms), rank))
-    table_[-1, 0] = np.log(share / (1 - share))
-    m, v, step = np.zeros_like(table_), np.zeros_like(table_), 0
-    for _ in range(max(epochs, -(-steps * 128 // max(1, len(label))))):
+    share = np.clip(label.mean(), 0.01, 0.99)
+    table_, squares, bias, bias_square = np.zeros((len(value), rank + 1)), np.full((len(value), rank + 1), 1e-8), np.log(share / (1 - share)), 1e-8
+    table_[:, 1:] = rng.normal(0, 0.02, (len(value), rank))
+    start, first = table_.copy(), np.cumsum(size) - size
+    for _ in range(max(epochs, -(-steps * 128 // len(label)))):
         order = rng.permutation(len(label))
         for k in range(0, len(order), 128):
             rows = order[k : k + 128]
-            at = np.concatenate([index[r] for r in rows]).astype(np.int64)
-            size = np.array([len(index[r]) for r in rows])
-            row = np.repeat(np.arange(len(rows)), size)
-            x = table_[at]
-            sums = np.zeros((len(rows), rank + 1))
-            np.add.at(sums, row, x)
-            squares = np.bincount(row, (x[:, 1:] ** 2).sum(1), len(rows))
-            z = table_[-1, 0] + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - squares)
+            own = np.concatenate([at[first[r] : first[r] + size[r]] for r in rows])
+            row = np.repeat(np.arange(len(rows)), size[rows])
+            slots, place = np.unique(own, return_inverse=True)
+            v = value[own]
+            x = table_[slots][place] * v[:, None]
+            sums = np.stack([np.bincount(row, c, len(rows)) for c in x.T], 1)
+            z = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - np.bincount(row, (x[:, 1:] ** 2).sum(1), len(rows)))
             slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[rows]) / len(rows)
-            g = np.zeros_like(table_)
-            part = np.concatenate([np.ones((len(at), 1)), sums[row, 1:] - x[:, 1:]], axis=1)
-            np.add.at(g, at, part * slope[row, None])
-            g[-1, 0] = slope.sum()
-            g[:-1] += decay * table_[:-1]
-            step += 1
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            table_ -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return FactorizationMachine(terms, float(table_[-1, 0]), table_[:-1, 0].copy(), table_[:-1, 1:].copy())
+            part = np.concatenate([np.ones((len(own), 1)), sums[row, 1:] - x[:, 1:]], axis=1) * (slope[row] * v)[:, None]
+            g = np.stack([np.bincount(place, c, len(slots)) for c in part.T], 1) + decay * table_[slots]
+            squares[slots] += g * g
+            table_[slots] -= rate * g / np.sqrt(squares[slots])
+            bias_square += slope.sum() ** 2
+            bias -= rate * slope.sum() / np.sqrt(bias_square)
+    return table_, start, float(bias)
+
+
+def fit_rows(flat: np.ndarray, size: np.ndarray, label: np.ndarray) -> FactorizationMachine:
+    """The machine over all hashed terms of rows: their distinct terms one row after the other, and how many each row has.
+
+    No term is left out, but each enters with a value of its own instead of 1, which is multiplied into its weight and
+    factors in the end: the larger of what it tells alone (its evidence) and of what a first machine, for which all terms
+    are equal, has learned of it in company (how far its factors have grown, which counts the less the fewer rows hold the
+    term); both standardised over all terms and shrunk.
+    """
+    terms = np.unique(flat)
+    at = np.searchsorted(terms, flat).astype(np.int32)
+    alone = shrunk(evidence(at, np.repeat(np.arange(len(size), dtype=np.int32), size), label, len(terms)))
+    learned, start, _ = descend(at, size, label, np.ones(len(terms)), 4, 1, 120, 0.05, 1e-4)
+    grown = np.linalg.norm(learned[:, 1:], axis=1) - np.linalg.norm(start[:, 1:], axis=1)
+    middle = np.median(grown)
+    spread = 1.4826 * np.median(np.abs(grown - middle)) + 1e-12
+    n = np.bincount(at, minlength=len(terms))
+    value = np.maximum(alone, shrunk(np.maximum(grown - middle, 0) / spread) * (n / (n + 2 * np.log(len(terms) + 1))) ** 2)
+    table_, _, bias = descend(at, size, label, value, 6, 4, 300, 0.4, 1e-4)
+    table_ *= value[:, None]
+    return FactorizationMachine(terms.astype(np.int64), bias, table_[:, 0].copy(), table_[:, 1:].copy())
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_rows: int) -> DataFrame:
@@ -202,24 +164,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_rows: i
     return once.select("text", F.col("label").cast("double").alias("label"))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> FactorizationMachine:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_pairs: int = MAX_PAIRS) -> FactorizationMachine:
     """Fits on labelled_sample(docs, labels): the driver gets its rows as lists of hashed terms, at most max_rows of them.
 
-    No labelled row, or one label only: a constant.
+    Rows are taken in the order of a hash while they have no more than max_pairs distinct terms together, so the driver's
+    memory is bounded whatever the length of texts. No labelled row, or one label only: a constant.
     """
-    rows = labelled_sample(docs, labels, "toxic", max_rows).mapInArrow(_list_terms, "label double, terms array<int>").toArrow()
-    label, terms = rows.column("label").to_numpy(), rows.column("terms").combine_chunks()
-    del rows
+    rows = labelled_sample(docs, labels, "toxic", max_rows).mapInArrow(_list_terms, "label double, terms array<int>")
+    rows = stored(rows.withColumn("_order", F.xxhash64("terms", "label")), "toxicity_rows")
+    sizes = rows.select("_order", F.size("terms").alias("n")).toArrow()  # two numbers per row
+    order, n = (np.asarray(sizes.column(c).combine_chunks(), np.int64) for c in ("_order", "n"))
+    by = np.argsort(order, kind="stable")
+    fits = np.cumsum(n[by]) <= max_pairs
+    if not fits.all():
+        rows = rows.where(F.col("_order") < F.lit(int(order[by][int(np.argmin(fits))])))
+    found = rows.select("label", "terms").toArrow()
+    label, terms = found.column("label").to_numpy(), found.column("terms").combine_chunks()
+    del found
     ones, zeros = label.sum(), len(label) - label.sum()
     flat = np.asarray(terms.values)[terms.offsets[0].as_py() : terms.offsets[-1].as_py()] if len(label) else np.zeros(0, np.int32)
-    size = np.diff(np.asarray(terms.offsets)) if len(label) else np.zeros(0, np.int64)
+    size = np.diff(np.asarray(terms.offsets)).astype(np.int64) if len(label) else np.zeros(0, np.int64)
     if not (ones and zeros and len(flat)):
         return FactorizationMachine(np.zeros(1, np.int64), float(np.log((ones + 0.5) / (zeros + 0.5))), np.zeros(1), np.zeros((1, 1)))
     parts = np.split(flat, np.cumsum(size)[:-1])
     order = np.lexsort(([int(mix(p.astype(np.uint64)).sum()) for p in parts], size, label))  # whatever the order of arrival
     flat = np.concatenate([parts[k] for k in order])
     del parts, terms
-    return fit_rows(flat, size[order], label[order], max_terms)
+    return fit_rows(flat, size[order], label[order])
 
 
 def _score_batches(model: FactorizationMachine):

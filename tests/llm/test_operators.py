@@ -496,16 +496,37 @@ def test_machine_learns_a_pair(spark):
     one, two = rng.integers(0, 2, (2, 1500))
     rows = [(k, " ".join([*(["insult"] if a else []), *(["group"] if b else []), *(f"w{w}" for w in rng.integers(0, 20000, 30))])) for k, (a, b) in enumerate(zip(one.tolist(), two.tolist(), strict=True))]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(a ^ b)) for k, (a, b) in enumerate(zip(one.tolist(), two.tolist(), strict=True))], "doc_id long, toxic int")
-    model = toxicity.fit_toxicity(docs, labels, max_terms=512)
+    model = toxicity.fit_toxicity(docs, labels)
     fresh = [(0, "nothing here"), (1, "an insult"), (2, "some group"), (3, "insult of a group")]
     score = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(fresh, "doc_id long, text string"), model).collect()}
     assert score[0] < 0.5 < score[1] and score[3] < 0.5 < score[2]
 
 
+def test_one_path_at_every_size(spark):
+    """All terms of all rows are in the machine, on a few and on thousands of rows, and it tells what it was not shown."""
+    from zlib import crc32
+
+    for sf, least in (("sf0.01", 0.93), ("sf0.1", 0.97)):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+        model = toxicity.fit_toxicity(docs, labels.where(~held))
+        shown = toxicity.labelled_sample(docs, labels.where(~held), "toxic", 20_000).mapInArrow(toxicity._list_terms, "label double, terms array<int>")
+        assert set(model.terms.tolist()) == {r.t for r in shown.select(F.explode("terms").alias("t")).distinct().collect()}
+        told = {r.doc_id: r.toxic for r in labels.collect()}
+        scored = [r for r in toxicity.score_toxicity(docs.select("doc_id", "text"), model).collect() if r.doc_id in told and crc32(str(r.doc_id).encode()) % 5 == 0]
+        assert sum((r.score >= 0.5) == told[r.doc_id] for r in scored) / len(scored) > least
+
+
+def test_the_sample_is_bounded_in_terms(spark):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(50))) for k in range(40)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    assert 500 < len(toxicity.fit_toxicity(docs, labels, max_pairs=1000).terms) <= 1000 < len(toxicity.fit_toxicity(docs, labels).terms)
+
+
 def test_scores_equal_brute_force(spark):
     """The query's scores against the machine written out over Python sets of terms."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(60)
-    model = toxicity.fit_toxicity(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), max_terms=256)
+    model = toxicity.fit_toxicity(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
     import pyarrow as pa
 
     code = lambda w: int(toxicity.hashed_terms(pa.array([w]))[0][0])
@@ -517,7 +538,7 @@ def test_scores_equal_brute_force(spark):
                 w = w[:-1] if len(w.encode()) > 1 and w[-1] in ".,;:!?\"')" else w
             found |= {int(t) for t in toxicity.hashed_terms(pa.array([w]))[0]}
         at = [k for k, t in enumerate(model.terms) if t in found]
-        raw += model.weights[at].sum() + sum(model.factors[i] @ model.factors[j] for n, i in enumerate(at) for j in at[:n])
+        raw += model.weights[at].sum() + np.triu(model.factors[at] @ model.factors[at].T, 1).sum()  # every pair once
         assert r.score == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9)
     assert code("über") != code("uber") and len(toxicity.hashed_terms(pa.array(["ééé", "abcdé"]))[0]) == 4
 
