@@ -14,8 +14,13 @@ PAGE = 32_768
 
 
 def safe_name(name: Column) -> Column:
-    """A speaker's name on one line that cannot close its header."""
-    return F.replace(F.replace(F.regexp_replace(name, r"[\n\r]", " "), F.lit(OPEN), F.lit(SAFE)), F.lit("|>"), F.lit("| >"))
+    """A speaker's name on one line that can neither close its header nor open another.
+
+    One space more is put between < and |, between | and >, and behind a < at the end, however many are there, so names that
+    differ beyond line ends still differ, and taking the spaces away gives the name again.
+    """
+    line = F.regexp_replace(F.regexp_replace(name, r"[\n\r]", " "), r"<( *)\|", r"< $1|")
+    return F.regexp_replace(F.regexp_replace(line, r"\|( *)>", r"| $1>"), r"<( *)\z", r"< $1")
 
 
 def rotate_perspectives(turns: DataFrame, speaker: str = "role", system: str = "system") -> DataFrame:
@@ -92,7 +97,7 @@ people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM clean WHERE spea
 headed AS (
   SELECT c.*, p.perspective, c.speaker = p.perspective AS own,
          CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = perspective THEN '<|assistant|>'
-              ELSE '<|user name=' || replace(replace(regexp_replace(speaker, '[\n\r]', ' ', 'g'), '<|', '< |'), '|>', '| >') || '|>' END || chr(10) AS head
+              ELSE '<|user name=' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(speaker, '[\n\r]', ' ', 'g'), '<( *)\|', '< \1|', 'g'), '\|( *)>', '| \1>', 'g'), '<( *)$', '< \1') || '|>' END || chr(10) AS head
   FROM clean c JOIN people p ON c.conv_id IS NOT DISTINCT FROM p.conv_id),
 segments AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM headed),
 placed AS (

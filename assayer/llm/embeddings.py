@@ -117,9 +117,10 @@ def _settle_tile(threshold: float, kind: str):
 
 
 def _pack_block(kind: str):
-    """A block quantised once: int8 codes, and scale and the two norms per vector."""
+    """A block quantised once, by node, as it is met again in doubles: int8 codes, and scale and the two norms per vector."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
         raw = np.stack(rows["embedding"].to_numpy()).astype(kind).astype(np.float64)
         codes, *norms = quantise(raw / np.linalg.norm(raw, axis=1)[:, None])
         first = {c: rows[c].iloc[:1] for c in ("label", "width", "block", "blocks")}

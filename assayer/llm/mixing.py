@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.scratch import stored, table
+from assayer.llm.slices import ranked
 
 #: A source contributes each of its documents this many times at most; weights of the sources in order, repeating.
 MOST_EPOCHS, WEIGHTS = 3, (1, 2, 3)
+#: Slices in which the rows tied in a source's last place are ranked.
+TIE_SLICES = 256
 WORDS, JUNK, LOUD = r"[^\x20\x09-\x0D]+", "#$%&*!|", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
@@ -98,7 +101,8 @@ def repeat_by_mix(docs: DataFrame, most: int = MOST_EPOCHS, weights: tuple[int,
 
     The documents that enter beyond whole epochs are the first of their source's order, so a source's epochs and the
     place of its last one settle every row where it is read: only one row per source is joined. Rows in the last place
-    itself (equal in doc_id, size and text) are numbered, and as many enter as the mix takes of them.
+    itself (equal in doc_id, size and text) are stored and numbered in slices of their stored numbers, so they may be most
+    of a source, and as many enter as the mix takes of them.
     """
     mixed = mix_sources(docs, most, weights, seed, quality).withColumn("extra", F.col("copies") - F.least("epochs", F.lit(most)))
     places = mixed.groupBy("source", _place().alias("place")).agg(F.sum("extra").alias("n"), F.first("epochs").alias("epochs"))
@@ -108,9 +112,10 @@ def repeat_by_mix(docs: DataFrame, most: int = MOST_EPOCHS, weights: tuple[int,
     joined = keyed.join(cut, F.col("source").eqNullSafe(F.col("of"))).withColumn("whole", F.least("epochs", F.lit(most)).cast("int"))
     tied = F.coalesce(F.col("place") == F.col("last"), F.lit(False))
     plain = joined.where(~tied).withColumn("copies", F.col("whole") + F.coalesce(F.col("place") < F.col("last"), F.lit(False)).cast("int"))
-    number = F.row_number().over(Window.partitionBy("of").orderBy(F.to_json("row")))
-    ties = joined.where(tied).withColumn("copies", F.col("whole") + (number <= F.col("n_last")).cast("int"))
-    return plain.unionByName(ties).where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
+    last = stored(joined.where(tied).select("row", "of", "whole", "n_last", F.monotonically_increasing_id().alias("number")), "ties")
+    ranks = ranked(last.select("of", "number", "whole", "n_last"), "of", ["number"], TIE_SLICES).select("number", (F.col("whole") + (F.col("rank") < F.col("n_last")).cast("int")).alias("copies"))
+    ties = last.select("row", "number").join(ranks, "number").select("row", "copies")
+    return plain.select("row", "copies").unionByName(ties).where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

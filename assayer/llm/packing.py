@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.scratch import stored, table
+from assayer.llm.slices import ranked
 from assayer.llm.tokens import as_text, hash_spans, split_words, text_slices
 
 #: Tokens of a sequence, the id after each document, words that a task's cache of token ids holds at most.
@@ -187,36 +188,22 @@ def plan_slots(counts: dict[int, int], most: int = MOST_TOKENS) -> list[tuple[in
     return slots
 
 
-def ranked(rows: DataFrame, key: str, unique: list[str], salts: int) -> DataFrame:
-    """rows with rank: 0, 1, ... within key, in an order fixed by the unique columns.
-
-    A key that holds most rows is counted and ranked in `salts` slices; their counts give each its first rank.
-    """
-    slice_ = F.pmod(F.xxhash64(*unique), F.lit(salts)).cast("int")
-    rows = rows.withColumn("slice", slice_)
-    starts = rows.groupBy(key, "slice").agg(F.count("*").alias("n")).select(
-        F.col(key).alias("_key"), F.col("slice").alias("_slice"),
-        (F.sum("n").over(Window.partitionBy(key).orderBy("slice")) - F.col("n")).alias("first"))
-    inside = F.row_number().over(Window.partitionBy(key, "slice").orderBy(*unique)) - 1
-    joined = rows.withColumn("inside", inside).join(starts, (F.col(key) == F.col("_key")) & (F.col("slice") == F.col("_slice")))
-    return joined.withColumn("rank", F.col("first") + F.col("inside")).drop("slice", "inside", "first", "_key", "_slice")
-
-
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, most: int = MOST_TOKENS, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece.
 
     Null and empty texts are one token, the end. Longer documents than `most` are cut. The driver sees a count
     per length, at most `most` rows, and plans slots; pieces take them by their rank within their length, a join
-    on length and a range of ranks. The plan is broadcast: its size depends on `most` alone. Repeated rows are
-    packed each for itself; an empty table gives an empty result.
+    on length and a range of ranks. The plan is broadcast: its size depends on `most` alone. Ranks go by the numbers of the
+    stored pieces, so rows that are equal in everything, however many, fall into all slices of their length alike. Repeated
+    rows are packed each for itself; extra columns are not read; an empty table gives an empty result.
     """
     pieces = docs.select("doc_id", "text").mapInArrow(_piece_batches(tokenizer, most, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    pieces = stored(pieces, "pieces")
+    pieces = stored(pieces.withColumn("number", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = pieces.sparkSession.createDataFrame(plan_slots(counts, most), "slot_length long, low long, high long, first long, each long, begin long")
     slot = F.col("rank") - F.col("low")
     salts = max(64, max(counts.values(), default=0) // 1_000_000)  # slices of a hot length hold about a million pieces
-    placed = ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"], salts).join(
+    placed = ranked(pieces, "length", ["number"], salts).join(
         F.broadcast(plan), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",

@@ -30,8 +30,8 @@ class FactorizationMachine:
     def raw(self, index: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         """The score before the sigmoid of n rows, from (term index, row) pairs sorted by row."""
         out = self.bias + np.bincount(row, self.weights[index], n)
-        for column in self.factors.T:
-            v = column[index]
+        for k in range(self.factors.shape[1]):
+            v = self.factors[index, k]
             out += 0.5 * (np.bincount(row, v, n) ** 2 - np.bincount(row, v * v, n))
         return out
 
@@ -53,8 +53,9 @@ def hashed_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct_pairs(term: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique((row.astype(np.int64) << TERM_BITS) | term)
-    return both & ((1 << TERM_BITS) - 1), both >> TERM_BITS
+    both = np.sort((row.astype(np.int64) << TERM_BITS) | term)
+    both = both[np.diff(both, prepend=-1) != 0]
+    return (both & ((1 << TERM_BITS) - 1)).astype(np.int32), (both >> TERM_BITS).astype(np.int32)
 
 
 def _index_terms(terms: np.ndarray):
@@ -148,7 +149,7 @@ def fit_rows(flat: np.ndarray, size: np.ndarray, label: np.ndarray) -> Factoriza
     value = np.maximum(alone, shrunk(np.maximum(grown - middle, 0) / spread) * (n / (n + 2 * np.log(len(terms) + 1))) ** 2)
     table_, _, bias = descend(at, size, label, value, 6, 4, 300, 0.4, 1e-4)
     table_ *= value[:, None]
-    return FactorizationMachine(terms.astype(np.int64), bias, table_[:, 0].copy(), table_[:, 1:].copy())
+    return FactorizationMachine(terms.astype(np.int32), bias, table_[:, 0].copy(), table_[:, 1:].copy())
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, max_rows: int) -> DataFrame:
@@ -198,7 +199,7 @@ def _score_batches(model: FactorizationMachine):
         index = _index_terms(model.terms)
         for batch in batches:
             texts = as_text(batch.column(batch.num_columns - 1))
-            for lo, hi in text_slices(texts):
+            for lo, hi in text_slices(texts, 1 << 20):
                 raw = model.raw(*index(texts[lo:hi]), hi - lo)
                 score = 1 / (1 + np.exp(-np.clip(raw, -700, 700)))
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns), pa.array(score)], [*batch.schema.names, "score"])

@@ -237,6 +237,17 @@ def test_perspectives(spark):
     assert chat.render_dialogues(chat.rotate_perspectives(df.limit(0))).count() == 0
 
 
+def test_names_stay_apart(spark):
+    names = ["a<", "a< ", "a", "<", "x|>", "x| >", "x|  >", "<|x", "< |x", "<|>", "< |>", "<| >", "|", "|>", ">", "", "$1", "a<|user name=b|>"]
+    safe = [r.s for r in spark.createDataFrame([(n,) for n in names], "n string").select(chat.safe_name(F.col("n")).alias("s")).collect()]
+    assert len(set(safe)) == len(names)
+    for n, s in zip(names, safe, strict=True):
+        header = f"<|user name={s}|>"
+        assert header.count("<|") == 1 and header.count("|>") == 1 and header.endswith("|>")
+    turns = spark.createDataFrame([(1, k, n, "hi") for k, n in enumerate(names)], "conv_id long, turn long, role string, text string")
+    assert chat.rotate_perspectives(turns).count() == len(names) ** 2
+
+
 # op4
 
 
@@ -803,3 +814,24 @@ def test_pipeline_awkward_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
+
+
+def test_many_equal_rows_in_slices(spark):
+    """A hundred thousand rows equal in everything, without ids: packed and mixed in slices of about equal size."""
+    from assayer.llm.slices import ranked
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "'same words' as text", "'en' as lang", "'s' as source", "1L as n_chars").repartition(8)
+    other = spark.createDataFrame([(1, "one other document", "en", None, 3)], schema)
+    packed = packing.pack_documents(df)
+    counts = packed.groupBy("sequence_id").agg(F.count("*").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.sum("length").alias("sum"))
+    assert counts.where("end <> sum or end > 4096").count() == 0 and packed.count() == 100_000
+    numbered = df.withColumn("number", F.monotonically_increasing_id())
+    ranks = ranked(numbered, "source", ["number"], 64)
+    assert sorted(r["rank"] for r in ranks.select("rank").collect()) == list(range(100_000))
+    sizes = [r["count"] for r in numbered.groupBy(F.pmod(F.xxhash64("number"), F.lit(64))).count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 1.3 * 100_000 / 64
+    mixed = mixing.repeat_by_mix(df.unionByName(other))
+    taken = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    planned = mixing.mix_sources(df.unionByName(other)).groupBy("doc_id").agg(F.sum("copies").alias("n"))
+    assert taken == {r.doc_id: r.n for r in planned.collect()}
