@@ -10,6 +10,8 @@ Tokens are dealt to buckets by the word before them (w1, then w2 and so on, back
 n-grams of a token, from two words up, and all its histories are in one bucket, and backing off never leaves it. A word
 that makes up much of the corpus is spread over all buckets by the two words before a token; the counts of what follows
 such a word are summed up once, at the word that follows. Only these, and counts of rare words, come from elsewhere.
+The start mark, which every document has once, is spread by the token itself: nothing but start marks precedes it, so all
+longer histories of it have the counts of the shortest one, and their totals and backoff weights follow from its sums.
 
 A word is 63 bits of its hash. In n-grams the most frequent words, a bounded dictionary, are their ranks; all rows of a
 kind travel in byte strings, one per task and bucket. The tables of a fit are bucketed, so that jobs over the same
@@ -116,7 +118,8 @@ def _vocabulary(data: bytes, rest: tuple) -> Vocabulary:
 class KatzModel:
     """The vocabulary, shared with all tasks; discounts d of orders 1 to order; words (target, data): all words with counts, by word bucket; tables: n-grams
     with counts, and histories with log10 of their total and of their backoff weight, by bucket; pairs: counts of what follows hot
-    words, by word bucket; hot: per hot word log10 of its total and of its backoff weight."""
+    words, by word bucket; hot: per hot word log10 of its total and of its backoff weight; start: the same of histories of 1, 2, ...
+    start marks, if the mark is hot."""
 
     shared: Broadcast
     d: list[np.ndarray]
@@ -124,6 +127,7 @@ class KatzModel:
     tables: DataFrame
     pairs: DataFrame
     hot: np.ndarray
+    start: np.ndarray
 
     @property
     def vocabulary(self) -> Vocabulary:
@@ -296,7 +300,8 @@ class Chunk:
         n, hot = np.uint64(len(v.labels)), v.is_hot(self.codes)[columns[1]]
         by_word = (mix(self.codes + np.uint64(7)) % n).astype(np.int32)
         bucket = by_word[columns[1]]
-        bucket[hot] = (mix(self.codes[columns[1][hot]] * np.uint64(0x9E3779B97F4A7C15) ^ self.codes[columns[2][hot]]) % n).astype(np.int32)
+        beside = np.where(columns[1][hot] == 0, columns[0][hot], columns[2][hot])  # place 0 is the start mark
+        bucket[hot] = (mix(self.codes[columns[1][hot]] * np.uint64(0x9E3779B97F4A7C15) ^ self.codes[beside]) % n).astype(np.int32)
         ordered = [columns[1], columns[0], *columns[2 : v.order]]
         bits = int(len(self.codes)).bit_length()
         if len(v.labels).bit_length() + 2 * bits > 63:
@@ -567,6 +572,19 @@ def _backoff(total: np.ndarray, free: np.ndarray, mass: np.ndarray) -> tuple[np.
     return np.log10(np.maximum(total, 1.0)), np.log10(free / np.maximum(total, 1.0) / np.maximum(1 - mass, 1e-300))
 
 
+def _start_backoff(seen: np.ndarray, total: float, one: np.ndarray, d: list[np.ndarray]) -> np.ndarray:
+    """Per number of start marks (from 1) log10 of their total and of their backoff weight, from how many words follow 1, 2, ... times.
+
+    one: that of a single mark. The words after k marks have the counts that they have after one; only the discounts differ.
+    """
+    out = np.zeros((len(d), 2))
+    out[1] = one
+    free = [float((seen * np.arange(1, MOST_DISCOUNTED + 1) * (1 - f[1:])).sum()) for f in d]
+    for k in range(2, len(d)):
+        out[k] = np.stack(_backoff(np.array([total]), np.array([free[k]]), np.array([(total - free[k - 1]) / 10.0 ** out[k - 1, 0]])), 1)[0]
+    return out
+
+
 @dataclass
 class _Tables:
     """A bucket's n-grams for lookups. The combination (w1, w, w2, ...) of k columns is the number id of (w1, w, ...) of k - 1 columns and one more word."""
@@ -605,7 +623,7 @@ def _tables(columns: list[np.ndarray], c: np.ndarray | None = None) -> _Tables:
     return t
 
 
-def _histories(shared: Broadcast, d: list[np.ndarray], hot: np.ndarray):
+def _histories(shared: Broadcast, d: list[np.ndarray], hot: np.ndarray, start: np.ndarray):
     """Per bucket: its n-grams, what it learned from word buckets, and per length of history its words, log10 of totals and of backoff weights."""
     def run(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
         v, bucket = shared.value, key[0].as_py()
@@ -621,10 +639,10 @@ def _histories(shared: Broadcast, d: list[np.ndarray], hot: np.ndarray):
             is_hot = v.is_hot(w1)
             two = np.where(is_hot, _lookup(pairs, pair_count, mix(mix(w1 + np.uint64(1)) + w)).astype(np.int64), two)
             each = _sizes(first, firsts[0])
-            start = np.cumsum(each) - each
-            total = np.add.reduceat(two, start).astype(np.float64)
-            free = np.add.reduceat(np.where(two <= MOST_DISCOUNTED, (1 - _factor(two, d[1])) * two, 0.0), start)
-            mass = np.add.reduceat(v.unigram(v.known(w, rare, rare_count)), start)
+            begin = np.cumsum(each) - each
+            total = np.add.reduceat(two, begin).astype(np.float64)
+            free = np.add.reduceat(np.where(two <= MOST_DISCOUNTED, (1 - _factor(two, d[1])) * two, 0.0), begin)
+            mass = np.add.reduceat(v.unigram(v.known(w, rare, rare_count)), begin)
             deep, back = _backoff(total, free, mass)
             own = columns[0][firsts[0]]
             mine = v.is_hot(own)
@@ -645,6 +663,8 @@ def _histories(shared: Broadcast, d: list[np.ndarray], hot: np.ndarray):
                 total = np.add.reduceat(count, at).astype(np.float64)
                 free = np.add.reduceat(np.where(count <= MOST_DISCOUNTED, (1 - _factor(count, d[k])) * count, 0.0), at)
                 deep, back = _backoff(total, free, np.add.reduceat(share[up], at))
+                marks = (words[0][at] == START) & v.is_hot(words[0][at])
+                deep, back = np.where(marks, start[k, 0], deep), np.where(marks, start[k, 1], back)
                 out.append((bucket, k, HISTORIES, 0, dump(*_nest([x[at] for x in words]), fixed(deep), fixed(back))))
                 share = np.empty(len(place))
                 share[place] = _factor(count, d[k]) * count / np.repeat(10.0**deep, np.diff(np.append(at, len(place))))
@@ -654,12 +674,22 @@ def _histories(shared: Broadcast, d: list[np.ndarray], hot: np.ndarray):
     return run
 
 
+def _asked_context(shared: Broadcast):
+    """Per bucket, for tokens that had no part in the fit: what it learned from word buckets."""
+
+    def run(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
+        rare, rare_count, pairs, pair_count = _context(shared.value, rows, replies)
+        return pa.Table.from_batches([_rows([(key[0].as_py(), 0, CONTEXT, 0, dump(Codes(rare), rare_count, pairs, pair_count))])])
+
+    return run
+
+
 # scores
 
 
 def _score(m: KatzModel) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     """For every chunk with tokens in this bucket: sums per document."""
-    shared, d, hot, events = m.shared, m.d, m.hot, m.tokens + m.vocabulary.types + 1
+    shared, d, hot, start, events = m.shared, m.d, m.hot, m.start, m.tokens + m.vocabulary.types + 1
 
     def run(key: tuple, rows: pa.Table, model: pa.Table) -> pa.Table:
         v, order = shared.value, shared.value.order
@@ -714,6 +744,8 @@ def _score(m: KatzModel) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
                     for level in range(1, k):
                         known = t.find(known, t.dense(columns[level + 1]), level)
                     deep, back = (np.where(known >= 0, x[known], 0.0) for x in values)
+                marks = spread((own == START) & v.is_hot(own), 0)
+                deep, back = np.where(marks, start[k, 0], deep), np.where(marks, start[k, 1], back)
                 value = np.where(full > 0, np.log10(np.where(full > 0, _factor(full, d[k]) * full, 1.0)) - deep, value + back)
             docs = int(doc.max()) + 1
             base, seen = spread(np.log10((one + 1) / events), 1), spread((one > 0).astype(np.float64), 1)
@@ -756,15 +788,16 @@ def _fit(tokens: DataFrame, shared: Broadcast, words: DataFrame) -> KatzModel:
     free = (stats[:, :MOST_DISCOUNTED] * np.arange(1, MOST_DISCOUNTED + 1) * (1 - d[1][1:])).sum(1)
     hot = np.stack(_backoff(stats[:, -2], free, stats[:, -1]), 1)
     hot[stats[:, -2] == 0] = 0.0
+    start = _start_backoff(stats[0, :MOST_DISCOUNTED], float(stats[0, -2]), hot[0], d) if stats[0, -2] else np.zeros((len(d), 2))
     pairs = answers.where(F.col("kind") == PAIRS).select("target", "kind", "data")
     replies = answers.where(F.col("kind") == REPLY).select("bucket", "target", "data")
-    tables = _with_histories(merged, replies, shared, d, hot)
+    tables = _with_histories(merged, replies, shared, d, hot, start)
     tokens.sparkSession.sql(f"DROP TABLE {DATABASE}.{grams}")  # its n-grams are in tables too
-    return KatzModel(shared, d, words, tables, pairs, hot)
+    return KatzModel(shared, d, words, tables, pairs, hot, start)
 
 
-def _with_histories(rows: DataFrame, replies: DataFrame, shared: Broadcast, d: list[np.ndarray], hot: np.ndarray) -> DataFrame:
-    found = rows.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_histories(shared, d, hot), ROW)
+def _with_histories(rows: DataFrame, replies: DataFrame, shared: Broadcast, d: list[np.ndarray], hot: np.ndarray, start: np.ndarray) -> DataFrame:
+    found = rows.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_histories(shared, d, hot, start), ROW)
     return bucketed(found, len(shared.value.labels), _name("tables"))
 
 
@@ -798,8 +831,9 @@ def score_katz(docs: DataFrame, model: KatzModel) -> DataFrame:
     known = model.pairs.unionAll(model.words.select("target", F.lit(DOCS).alias("kind"), "data"))
     asks = asked.select("target", "bucket", "data")
     replies = stored(known.groupBy("target").cogroup(asks.groupBy("target")).applyInArrow(_recall(shared), ROW), "replies")
-    rows = stored(model.tables.where(F.col("kind") == GRAMS).unionAll(asked), "rows")
-    tables = _with_histories(rows, replies.select("bucket", "target", "data"), shared, model.d, model.hot)
+    context = asked.groupBy("bucket").cogroup(replies.select("bucket", "target", "data").groupBy("bucket")).applyInArrow(_asked_context(shared), ROW)
+    # n-grams and histories are those of the fit, whose words these documents need not have
+    tables = stored(model.tables.where(F.col("kind") != CONTEXT).unionAll(context), "tables")
     return _scored(tokens, tables, model)
 
 

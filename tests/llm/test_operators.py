@@ -127,6 +127,38 @@ def test_katz_of_any_order_equals_brute_force(spark, order):
         assert all((r.train_tokens, r.held_out) == (n, zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in rows)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_starts_of_many_short_documents(spark, order):
+    """The start mark makes up a quarter of all histories: no bucket holds much more than the others, and scores are those of brute force."""
+    rng = np.random.default_rng(order)
+    names = [f"w{k}" for k in range(3000)]
+    draw = lambda n: [" ".join(names[int(x)] for x in (rng.pareto(0.6, 3) * 3) % 3000) for _ in range(n)]
+    train = draw(2500)
+    p, words = _katz_of_order(train, order)
+    model = katz.fit_katz(spark.createDataFrame([(t,) for t in train], "text string"), buckets=64, order=order)
+    assert model.vocabulary.hot[0]
+    asked = [*train[:60], *draw(60), "unheard of things", "unheard", "", names[2999]]
+    for r in katz.score_katz(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect():
+        line = ["<s>"] * (order - 1) + [*X.words(asked[r.doc_id]), "</s>"]
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(line[i - order + 1 : i]), line[i])) for i in range(order - 1, len(line))), rel=1e-8)
+
+
+def test_no_bucket_takes_all_starts(spark):
+    texts_ = [" ".join(f"w{x}" for x in np.random.default_rng(k).integers(0, 5000, 3)) for k in range(20_000)]
+    v, _ = katz.count_words(spark.createDataFrame([(t,) for t in texts_], "text string"), 3, 64)
+    chunk = katz.Chunk(v.value, [katz.hash_spans(*_spans(texts_)) >> np.uint64(1)], [np.full(20_000, 3)])
+    sizes = np.bincount(chunk.bucket, minlength=64)
+    assert sizes.max() < 2 * sizes.mean()
+
+
+def _spans(texts_):
+    import pyarrow as pa
+
+    from assayer.llm.tokens import split_words
+
+    return split_words(pa.array(texts_))[:3]
+
+
 def test_katz_buckets_beyond_16_bits(spark):
     """Bucket numbers of any size, words outside the dictionary, and a dictionary smaller than the vocabulary."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(12)
