@@ -15,6 +15,8 @@ from assayer.llm.components import connected_components
 from assayer.llm.scratch import stored, table
 
 FAN = 8
+#: Slices of a node above them, nodes of one further up.
+UPPER_FAN = 8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -152,13 +154,45 @@ def _link_tile(bits: int):
     return run
 
 
+def _nodes(level: DataFrame, side: str) -> DataFrame:
+    return level.select("turn", "block", F.floor(F.col("number") / UPPER_FAN).cast("long").alias(f"up_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("number", "every", "some")))
+
+
+def slice_meetings(slices: DataFrame, bits: int) -> DataFrame:
+    """(turn, block, number_a, number_b), a <= b: the slices of a block between which a link may lie.
+
+    slices (turn, block, number, every, some): numbers 0, 1, ... in Gray order, the bits set in all and in any of a slice's
+    members. Above them stand groups of UPPER_FAN neighbours, then groups of groups, each with the bits that all below share.
+    Pairs are met from the top: two nodes that differ in more than `bits` shared bits go with everything below them, so
+    most pairs of slices are never made. A level is one job; pairs of a level are joined with their children only.
+    """
+    levels = [slices]
+    most = slices.agg(F.max("number")).first()[0] or 0
+    while most >= UPPER_FAN:
+        most //= UPPER_FAN
+        up = F.floor(F.col("number") / UPPER_FAN).cast("long").alias("number")
+        levels.append(stored(levels[-1].groupBy("turn", "block", up).agg(F.bit_and("every").alias("every"), F.bit_or("some").alias("some")), "upper"))
+    loose = F.col("every_a").bitwiseXOR(F.col("some_a")).bitwiseOR(F.col("every_b").bitwiseXOR(F.col("some_b")))
+    apart = F.bit_count(F.col("every_a").bitwiseXOR(F.col("every_b")).bitwiseAND(F.bitwise_not(loose)))
+    near = (F.col("number_a") <= F.col("number_b")) & (apart <= bits)
+    met = None
+    for level in reversed(levels):
+        a, b = _nodes(level, "a"), _nodes(level, "b")
+        if met is None:  # at most UPPER_FAN nodes of a block
+            pairs = a.join(b, ["turn", "block"])
+        else:
+            above = met.withColumnsRenamed({"number_a": "up_a", "number_b": "up_b"})
+            pairs = above.join(a, ["turn", "block", "up_a"]).join(b, ["turn", "block", "up_b"])
+        met = stored(pairs.where(near).select("turn", "block", "number_a", "number_b"), "meetings")
+    return met
+
+
 def _large_tiles(large: DataFrame, bits: int, tile: int) -> DataFrame:
     """Rows of blocks above `tile` under the pairs of slices in which a link may lie.
 
     The upper part of the tree: rows are range-partitioned by (turn, block, Gray rank) and cut, within each partition,
-    into slices of `tile`, so that a slice's members share long bit patterns. A slice is known by the bits set in all and
-    in any of its members; two slices of a block that differ in more than `bits` shared bits are dropped, with all that
-    they hold, before a row is copied.
+    into slices of `tile`, so that a slice's members share long bit patterns; slice_meetings tells which slices meet, before
+    a row is copied.
     """
     parts = 4 * int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rank = F.lit(0).cast("long")
@@ -169,10 +203,13 @@ def _large_tiles(large: DataFrame, bits: int, tile: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("turn", "block", "part").orderBy("rank"))
     sliced = stored(dealt.withColumn("slice", F.struct("part", F.floor((place - 1) / tile).alias("k"))), "slices")
     roots = stored(sliced.groupBy("turn", "block", "slice").agg(F.bit_and("code").alias("every"), F.bit_or("code").alias("some")), "roots")
-    one, two = (roots.select("turn", "block", *(F.col(c).alias(f"{c}_{side}") for c in ("slice", "every", "some"))) for side in "ab")
-    loose = F.col("every_a").bitwiseXOR(F.col("some_a")).bitwiseOR(F.col("every_b").bitwiseXOR(F.col("some_b")))
-    apart = F.bit_count(F.col("every_a").bitwiseXOR(F.col("every_b")).bitwiseAND(F.bitwise_not(loose)))
-    meet = stored(one.join(two, ["turn", "block"]).where((F.col("slice_a") <= F.col("slice_b")) & (apart <= bits)).select("turn", "block", "slice_a", "slice_b"), "meetings")
+    order = Window.partitionBy("turn", "block").orderBy("slice")  # a row for every `tile` fingerprints of the block
+    roots = stored(roots.withColumn("number", (F.row_number().over(order) - 1).cast("long")), "numbered")
+    meet = slice_meetings(roots, bits)
+    for side in "ab":
+        named = roots.select("turn", "block", F.col("number").alias(f"number_{side}"), F.col("slice").alias(f"slice_{side}"))
+        meet = meet.join(named, ["turn", "block", f"number_{side}"])
+    meet = stored(meet.select("turn", "block", "slice_a", "slice_b"), "met")
     alone = F.col("slice_a") == F.col("slice_b")
     sides = [meet.select("turn", "block", F.col("slice_a").alias("slice"), "slice_a", "slice_b", F.when(alone, 0).otherwise(1).alias("side")),
              meet.where(~alone).select("turn", "block", F.col("slice_b").alias("slice"), "slice_a", "slice_b", F.lit(2).alias("side"))]

@@ -867,3 +867,30 @@ def test_many_equal_rows_in_slices(spark):
     taken = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     planned = mixing.mix_sources(df.unionByName(other)).groupBy("doc_id").agg(F.sum("copies").alias("n"))
     assert taken == {r.doc_id: r.n for r in planned.collect()}
+
+
+def test_slices_meet_from_the_top(spark, monkeypatch):
+    """A block of 10^5 fingerprints in 2,000 slices: the meetings are those of all pairs, of which the tree makes a third and keeps a thirteenth."""
+    rng = np.random.default_rng(12)
+    code = np.unique(rng.integers(0, 1 << 43, 100_000, dtype=np.uint64))
+    code = code[np.argsort(simhash.gray_rank(code))]
+    at = np.arange(0, len(code), 50)
+    every, some = np.bitwise_and.reduceat(code, at), np.bitwise_or.reduceat(code, at)
+    rows = [(0, 5, k, int(e), int(s)) for k, (e, s) in enumerate(zip(every, some, strict=True))] + [(1, 5, 0, 3, 7), (1, 5, 1, 2**40, 2**40), (1, 5, 2, 7, 7), (2, 5, 0, 1, 1)]
+    made, plain = [], simhash.stored
+
+    def counted(df, what):
+        out = plain(df, what)
+        if what == "meetings":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    met = simhash.slice_meetings(spark.createDataFrame(rows, "turn int, block long, number long, every long, some long"), 2).collect()
+    loose = (every ^ some)[:, None] | (every ^ some)[None, :]
+    near = np.bitwise_count((every[:, None] ^ every[None, :]) & ~loose) <= 2
+    i, j = np.nonzero(np.triu(near))
+    assert {(r.number_a, r.number_b) for r in met if r.turn == 0} == set(zip(i.tolist(), j.tolist(), strict=True))
+    assert {(r.number_a, r.number_b) for r in met if r.turn == 1} == {(0, 0), (0, 2), (1, 1), (2, 2)} and sum(r.turn == 2 for r in met) == 1
+    all_pairs, tried = len(every) * (len(every) + 1) // 2, 64 * sum(made[:-1])
+    assert len(made) == 4 and tried < 0.4 * all_pairs and made[-1] < 0.1 * all_pairs
