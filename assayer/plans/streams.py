@@ -47,7 +47,7 @@ query("i4_alert_cooldown_stream", lambda t: drained(K.alert_cooldown_stream(_eve
 _ALERTS = lambda t: _events(t).where("event_type in ('error', 'signup')").select(
     F.lit("c").alias("client_id"), F.concat(F.lit("k"), "user_id").alias("dedup_key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "info").when(F.col("event_id") % 3 == 1, "warning").otherwise("critical").alias("severity"),
     F.concat(F.lit("j"), (F.col("event_id") % 7).cast("string")).alias("job_id"), F.concat(F.lit("d"), (F.col("event_id") % 3).cast("string")).alias("domain"), (F.col("event_type") == "signup").cast("int").alias("ends"))
-_LAST = lambda df: df.groupBy("dedup_key", "number").agg(F.max_by(F.struct("occurrences", "severity", F.array_join("jobs", ",").alias("jobs"), F.array_join("domains", ",").alias("domains"), "started_at", "ended_at", "status"), "_batch").alias("l")).select("dedup_key", "number", "l.*")
+_LAST = lambda df: df.groupBy("dedup_key", "number").agg(F.max_by(F.struct("occurrences", "severity", F.array_join("jobs", ",").alias("jobs"), F.array_join("domains", ",").alias("domains"), *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "ended_at")), "status"), "_batch").alias("l")).select("dedup_key", "number", "l.*")
 query("i5_incident_stream", lambda t: _LAST(drained(K.incident_stream(_ALERTS(t)), "update")), """
   WITH b AS (SELECT user_id, ts, event_id, event_type = 'error' AS hit, coalesce(sum(CAST(event_type = 'signup' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_type = 'signup', event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM {events} WHERE event_type IN ('error', 'signup')),
   g AS (SELECT user_id, island, count(*) FILTER (hit) AS occurrences, max(CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END) FILTER (hit) AS rank, string_agg(DISTINCT 'j' || (event_id % 7), ',' ORDER BY 'j' || (event_id % 7)) FILTER (hit) AS jobs, string_agg(DISTINCT 'd' || (event_id % 3), ',' ORDER BY 'd' || (event_id % 3)) FILTER (hit) AS domains,
@@ -66,7 +66,7 @@ def _replayed(t) -> DataFrame:
     return t.spark.read.parquet(f"{base}/out")
 
 
-query("i1_replayed_events", lambda t: _replayed(t).select("event_id", "user_id", "occurred_at", "day"), "SELECT event_id, user_id, ts AS occurred_at, CAST(ts AS DATE) AS day FROM {events}")
+query("i1_replayed_events", lambda t: _replayed(t).select("event_id", "user_id", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "day"), "SELECT event_id, user_id, ts AS occurred_at, CAST(ts AS DATE) AS day FROM {events}")
 query("i6_frontier_stream", lambda t: drained(K.frontier_stream(_events(t).select((F.col("user_id") * 13 + F.col("event_id") % 13).cast("string").alias("url"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") == "view").alias("ok"), F.lit(False).alias("blocked"))), "update").groupBy("url").agg(F.max_by("state", "_batch").alias("state"), F.max("attempts").alias("attempts")), """
   WITH n AS (SELECT user_id * 13 + event_id % 13 AS u, event_type = 'view' AS ok, row_number() OVER (PARTITION BY user_id * 13 + event_id % 13 ORDER BY ts, event_id) AS k FROM {events}), g AS (SELECT u, count(*) AS n, min(k) FILTER (ok) AS e FROM n GROUP BY u)
   SELECT CAST(u AS VARCHAR) AS url, CASE WHEN e <= 3 THEN 'PROCESSED' WHEN n >= 3 THEN 'FAILED' ELSE 'RETRY_WAIT' END AS state, least(3, n, coalesce(e, 3)) AS attempts FROM g""")
