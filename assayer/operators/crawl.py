@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assayer.functions import urls as U
 from assayer.operators.markup import page_elements
 from assayer.operators.ranks import until_limits
-from assayer.sources.shared import new_folder, shared_dir
+from assayer.sources.shared import new_folder
 
 # States of a crawl target, phrases of pages that block robots.
 STATES = ("DISCOVERED", "QUEUED", "FETCHING", "PROCESSED", "RETRY_WAIT", "SKIPPED", "FAILED", "POLICY_REFUSED")
@@ -95,12 +95,11 @@ def crawl_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int
     """(url, depth): what is reachable from seeds (url) over edges (from_url, url), breadth first.
 
     Both ends of a link are brought into canonical form, and links that the policy refuses at any depth are dropped,
-    once before the first step; seeds are held to the same policy. Links and known URLs are tables bucketed by URL: a
-    depth shuffles its own steps only, and is appended to what is known. max_pages keeps the first pages by depth and URL:
+    once before the first step; seeds are held to the same policy. Links and known URLs are tables bucketed by URL: the last
+    depth meets its links where they are, its steps alone are shuffled, and are appended to what is known. max_pages keeps the first pages by depth and URL:
     pages are counted as depths are done, no depth is begun once there are enough, and only the last one is cut.
     """
     policy = policy or LinkPolicy(same_domain=False)
-    shared_dir(edges.sparkSession)
     spark, folder = edges.sparkSession, new_folder(edges.sparkSession)
     deepest = max_depth if policy.max_depth is None else min(max_depth, policy.max_depth)
     allowed = lambda a, b: link_verdict(b, a, F.lit(0), policy) == "allowed"
@@ -112,17 +111,18 @@ def crawl_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int
     try:
         links = edges.select(U.canonical(F.col("from_url")).alias("from_url"), U.canonical(F.col("url")).alias("to_url"))
         keep(links.where(allowed(F.col("from_url"), F.col("to_url")) & (F.col("from_url") != F.col("to_url"))).distinct().repartition(buckets, "from_url"), "links", "from_url", "errorifexists")
-        frontier = seeds.select(U.canonical(F.col("url")).alias("url")).where(allowed(F.lit(None).cast("string"), F.col("url"))).distinct().withColumn("depth", F.lit(0)).checkpoint()
-        depth, known = 0, frontier.count()
-        keep(frontier.repartition(buckets, "url"), "known", "url", "errorifexists")
+        first = seeds.select(U.canonical(F.col("url")).alias("url")).where(allowed(F.lit(None).cast("string"), F.col("url"))).distinct().withColumn("depth", F.lit(0))
+        keep(first.repartition(buckets, "url"), "known", "url", "errorifexists")
+        depth, known = 0, spark.table(f"{name}_known").count()
         while depth < deepest and (max_pages is None or known < max_pages):
+            seen = spark.table(f"{name}_known")
+            frontier = seen.where(F.col("depth") == depth).select(F.col("url").alias("from_url"))
+            steps = frontier.join(spark.table(f"{name}_links"), "from_url").select(F.col("to_url").alias("url")).distinct()
             depth += 1
-            steps = frontier.select(F.col("url").alias("from_url")).join(spark.table(f"{name}_links"), "from_url").select(F.col("to_url").alias("url")).distinct()
-            frontier = steps.join(spark.table(f"{name}_known"), "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-            found = frontier.count()
+            keep(steps.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "known", "url", "append")
+            found = spark.table(f"{name}_known").where(F.col("depth") == depth).count()
             if not found:
                 break
-            keep(frontier.repartition(buckets, "url"), "known", "url", "append")
             known += found
     finally:  # the tables are external: their files stay
         for what in ("links", "known"):
