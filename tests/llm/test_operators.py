@@ -689,6 +689,17 @@ def test_secrets_base(spark):
         assert [tuple(s) for s in r.base] == wanted
 
 
+def test_secret_counts_of_the_query(spark, tmp_path):
+    key, run = "AKIA" + "Q7" * 9, "0f" * 13
+    rows = [(1, f"{run} {run} {key}"), (2, f"token=abcdef {key} password: 123456 {run}"), (3, f"{key} {key} {key}"), (4, None), (5, "secret=abc")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.op8_secret_scan(spark, str(tmp_path)).collect()}
+    for doc_id, text in rows:
+        found = sorted((m.start(), k, m.end()) for k, (_, p, least, g) in enumerate(BASE) for m in p.finditer(text or "") if len(m[g]) >= least)
+        named = ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in found)
+        assert got[doc_id] == (*(sum(k == kind for _, k, _ in found) for kind in range(3)), hashlib.sha256(named.encode()).hexdigest())
+
+
 def test_weak_parts_need_a_complement(spark):
     key = "Ab1" + "Zx9" * 12
     rows = [(1, f"user: alice77 then {key}"), (2, f"only {key} here"), (3, "https://h.example/x"), (4, f"https://h.example/x {key}"), (5, "login=bob1234 " + "." * 500 + key), (6, None), (7, "")]
