@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +37,28 @@ FORBIDDEN = {
 }
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def script_family(text: Column) -> Column:
-    """struct(script, share): the script with the most characters among all letters counted; `unknown` without any."""
-    counts = [F.struct(F.length(F.regexp_replace(text, f"[^{chars}]", "")).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("script")) for k, (name, chars) in enumerate(SCRIPTS.items())]
-    best, total = F.array_max(F.array(*counts)), F.aggregate(F.array(*counts), F.lit(0), lambda a, c: a + c["n"])
-    return F.when(total > 0, F.struct(best["script"].alias("script"), (best["n"] / total).alias("share"))).otherwise(F.struct(F.lit("unknown").alias("script"), F.lit(0.0).alias("share")))
+    """struct(script, share): the script with the most characters among all letters counted; `unknown` without any.
+
+    A text is read twice: Latin is counted in it, and what lies beyond Latin is cut out, which is all that the other scripts
+    are counted in.
+    """
+    within = lambda c, chars: F.length(c) - F.length(F.regexp_replace(c, f"[{chars}]+", ""))
+    read = F.struct(within(text, SCRIPTS["latin"]).alias("latin"), F.regexp_replace(text, "[\\x00-\u024f]+", "").alias("rest"))
+
+    def counted(seen: Column) -> Column:
+        return F.array(*(F.struct((seen["latin"] if name == "latin" else within(seen["rest"], chars)).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("script")) for k, (name, chars) in enumerate(SCRIPTS.items())))
+
+    def family(counts: Column) -> Column:
+        best, total = F.array_max(counts), F.aggregate(counts, F.lit(0), lambda a, c: a + c["n"])
+        return F.when(total > 0, F.struct(best["script"].alias("script"), (best["n"] / total).alias("share"))).otherwise(F.struct(F.lit("unknown").alias("script"), F.lit(0.0).alias("share")))
+
+    return _once(_once(read, counted), family)
 
 
 def redact_contacts(df: DataFrame, text: str = "text") -> DataFrame:

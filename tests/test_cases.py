@@ -1,6 +1,7 @@
 """Literal cases and properties of single operators."""
 
 import datetime
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -582,3 +583,17 @@ def test_incident_numbers_outlive_their_state(spark, tmp_path):
     twin = alerts.incidents(everything.where("ends = 0"), everything.where("ends = 1").select("client_id", "dedup_key", "at"))
     assert got == {(r.dedup_key, r.number): (r.occurrences, r.severity, r.jobs, r.domains, r.started_at, r.ended_at) for r in twin.collect()}
     assert set(got) == {("k", 1), ("k", 2), ("open", 1), ("other", 1)} and got["open", 1][:3] == (2, "info", ["j9", "j9b"])
+
+
+def test_script_family_reads_a_text_twice(spark):
+    from assayer.operators import texts
+
+    samples = ["", "12 34 !?", "abc", "Ünï × ÷ ɏ", "привет мир", "你好世界 hi", "ab你好", "Καλη abcd", "กขค한글עברית नम", "ﷺ العربية", "x\U0001F600я", "ɐͯĀ"]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(samples)], "k long, x string").repartition(2)
+    found = df.withColumn("s", texts.script_family(F.col("x"))).select("k", "s.script", "s.share")
+    for r in found.collect():
+        counts = {name: len(re.sub(f"[^{chars}]", "", samples[r.k])) for name, chars in texts.SCRIPTS.items()}
+        best, total = max(counts, key=counts.get), sum(counts.values())
+        assert (r.script, r.share) == ((best, counts[best] / total) if total else ("unknown", 0.0))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_replace\(x#", plan)) == 2
