@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.text import blank_to_null, comparison_value
 from assayer.functions.urls import canonical
+from assayer.sources.shared import new_folder
 
 # Signal weights, trust limits.
 WEIGHTS = {"consensus": 0.3, "source_count": 0.15, "mean_trust": 0.15, "freshness": 0.1, "selector": 0.1, "validation": 0.1, "historical_stability": 0.05}
@@ -47,20 +48,18 @@ def _in_form(rows: DataFrame, forms: DataFrame) -> DataFrame:
     return rows.join(forms, rows["field_name"].eqNullSafe(forms["field"]) & (rows["value"] == forms["told"])).drop("field", "told")
 
 
-def _values(votes: DataFrame, kinds: Mapping[str, str] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(each group's heaviest value, weights and counts per value, forms): numbers and one text per row.
+def _values(votes: DataFrame, kinds: Mapping[str, str] | None) -> DataFrame:
+    """Weights and counts per value, of each group its heaviest: numbers and one text per row.
 
     Votes are summed per (record, field, group, value) before they are shuffled, so a field of which millions of votes tell
     is millions of rows in no task; only distinct values are brought into form. Weights are whole billionths: sums do not
     depend on the order of rows.
     """
     raw = votes.groupBy(*KEY, "g", "value").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min("seq").alias("seq"))
-    forms = _forms(raw, kinds)
-    summed = _in_form(raw, forms).groupBy(*KEY, "g", "norm").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.min(F.struct("seq", "value")).alias("first"))
+    summed = _in_form(raw, _forms(raw, kinds)).groupBy(*KEY, "g", "norm").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.min(F.struct("seq", "value")).alias("first"))
     best = F.max(F.struct("w", (-F.col("first.seq")).alias("early"), "norm", "n", F.col("first.value").alias("raw"))).alias("v")
     groups = summed.groupBy(*KEY, "g").agg(best, F.min("first.seq").alias("g_seq")).select(*KEY, "g", "g_seq", "v.w", "v.norm", "v.n", "v.raw")
-    values = groups.groupBy(*KEY, "norm").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("clusters"), F.min(F.struct("g_seq", "raw")).alias("first"))
-    return groups, values, forms
+    return groups.groupBy(*KEY, "norm").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("clusters"), F.min(F.struct("g_seq", "raw")).alias("first"))
 
 
 def consensus(observations: DataFrame, kinds: Mapping[str, str] | None = None) -> DataFrame:
@@ -71,43 +70,54 @@ def consensus(observations: DataFrame, kinds: Mapping[str, str] | None = None) -
     value; the value with the most weight wins, then the one with fewer sources, then the first seen. Without any
     trust, source counts are the weights. confidence: share of weight times min(1, 0.4 + 0.2 (groups - 1)).
     """
-    return _winners(_values(_votes(observations), kinds)[1])
+    return _winners(_values(_votes(observations), kinds), KEY)
 
 
-def _winners(values: DataFrame) -> DataFrame:
+def _winners(values: DataFrame, keys: list[str], **more: Column) -> DataFrame:
+    """more: further aggregates over the values of a (record, field), kept under their names."""
     entry = F.struct("norm", "w", "n", F.col("first.raw").alias("raw"))
     seen = (-F.col("first.g_seq")).alias("early")
-    fields = values.groupBy(*KEY).agg(
+    fields = values.groupBy(*keys).agg(
         F.sum("w").alias("sum_w"), F.sum("clusters").alias("total_clusters"), (F.count("*") - 1).alias("n_conflicts"),
-        F.max(F.struct("w", (-F.col("n")).alias("few"), seen, entry.alias("v"))).alias("heaviest"), F.max(F.struct("n", seen, entry.alias("v"))).alias("commonest"))
+        F.max(F.struct("w", (-F.col("n")).alias("few"), seen, entry.alias("v"))).alias("heaviest"), F.max(F.struct("n", seen, entry.alias("v"))).alias("commonest"), *(c.alias(name) for name, c in more.items()))
     trusted = F.col("sum_w") > 0
     fields = fields.withColumn("win", F.when(trusted, F.col("heaviest.v")).otherwise(F.col("commonest.v")))
     ratio = F.when(trusted, F.col("win.w") / F.col("sum_w")).otherwise(F.col("win.n") / F.col("total_clusters"))
     note = F.when(F.col("total_clusters") == 1, "only one independent source").when(F.col("n_conflicts") > 0, F.concat(F.col("n_conflicts").cast("string"), F.lit(" dissenting values"))).otherwise("")
     return fields.select(
-        *KEY, F.col("win.raw").alias("consensus_value"), F.col("win.norm").alias("normalized_value"), (ratio * F.least(F.lit(1.0), 0.4 + 0.2 * (F.col("total_clusters") - 1))).alias("confidence"),
-        F.col("win.n").alias("n_sources"), "total_clusters", "n_conflicts", note.alias("note"), trusted.alias("trusted"))
+        *keys, F.col("win.raw").alias("consensus_value"), F.col("win.norm").alias("normalized_value"), (ratio * F.least(F.lit(1.0), 0.4 + 0.2 * (F.col("total_clusters") - 1))).alias("confidence"),
+        F.col("win.n").alias("n_sources"), "total_clusters", "n_conflicts", note.alias("note"), trusted.alias("trusted"), *more)
 
 
 def triangulate(observations: DataFrame, kinds: Mapping[str, str] | None = None) -> DataFrame:
     """consensus with the lists behind the numbers: winning_sources, and conflicts (value, normalized, sources, weight) in the order seen.
 
-    The lists of a (record, field) are one row; where its sources are too many for that, consensus has the numbers.
+    The lists of a (record, field) are one row; where its sources are too many for that, consensus has the numbers. Since
+    its votes come together for them anyway, they are shuffled once, by (record, field), and every later step is within a
+    partition: the lists go along with the sums instead of being joined to them. Rows without a record or field are left out.
     """
-    votes = _votes(observations)
-    groups, values, forms = _values(votes, kinds)
-    chosen = groups.select(*KEY, "g", "norm", "g_seq")
-    source = F.struct("g_seq", "seq", "source")
-    listed = _in_form(votes, forms).select(*KEY, "g", "norm", "seq", "source").join(chosen, [*KEY, "g", "norm"]).groupBy(*KEY, "norm").agg(F.array_sort(F.collect_list(source)).alias("s"))
-    listed = listed.select(*KEY, "norm", F.col("s.source").alias("sources"))
-    winners = _winners(values)
-    both = values.join(listed, [*KEY, "norm"]).join(winners.select(*KEY, "normalized_value", "trusted"), KEY)
-    won = F.col("norm") == F.col("normalized_value")
-    weight = F.when(F.col("trusted"), F.col("w") / UNITS).otherwise(F.col("n").cast("double"))
-    other = F.struct(F.col("first.g_seq").alias("seen"), F.struct(F.col("first.raw").alias("value"), F.col("norm").alias("normalized"), "sources", weight.alias("weight")).alias("c"))
-    lists = both.groupBy(*KEY).agg(F.max(F.when(won, F.col("sources"))).alias("winning_sources"), F.array_sort(F.collect_list(F.when(~won, other))).alias("others"))
-    joined = winners.join(lists, KEY).withColumn("conflicts", F.col("others.c"))
-    return joined.select(*KEY, "consensus_value", "normalized_value", "confidence", "winning_sources", "total_clusters", "conflicts", "note")
+    votes = _votes(observations).where(F.col("record_id").isNotNull() & F.col("field_name").isNotNull())
+    forms = _forms(votes, kinds)
+    path = f"{new_folder(forms.sparkSession)}/forms"
+    forms.write.parquet(path)  # as a table its size is known before the votes are joined to it, so they need not move for a small one
+    told = _in_form(votes, forms.sparkSession.read.schema(forms.schema).parquet(path))
+    told = told.withColumn("key", F.struct(*KEY)).repartition("key")  # one column, since Spark folds a constant field name out of two
+    summed = told.groupBy("key", "g", "norm").agg(
+        F.sum("w").alias("w"), F.count("*").alias("n"), F.min(F.struct("seq", "value")).alias("first"), F.collect_list(F.struct("seq", "source")).alias("sources"))
+    best = F.max(F.struct("w", (-F.col("first.seq")).alias("early"), "norm", "n", F.col("first.value").alias("raw"), "sources")).alias("v")
+    groups = summed.groupBy("key", "g").agg(best, F.min("first.seq").alias("g_seq"))
+    placed = F.transform("v.sources", lambda s: F.struct(F.col("g_seq"), s["seq"].alias("seq"), s["source"].alias("source")))
+    groups = groups.select("key", "g_seq", "v.w", "v.norm", "v.n", "v.raw", placed.alias("sources"))
+    values = groups.groupBy("key", "norm").agg(
+        F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("clusters"), F.min(F.struct("g_seq", "raw")).alias("first"), F.array_sort(F.flatten(F.collect_list("sources"))).alias("s"))
+    one = F.struct(F.col("first.g_seq").alias("seen"), F.col("first.raw").alias("value"), F.col("norm").alias("normalized"), F.col("s.source").alias("sources"), "w", "n")
+    found = _winners(values, ["key"], lists=F.collect_list(one))
+    won = lambda v: v["normalized"] == F.col("normalized_value")
+    weight = lambda v: F.when(F.col("trusted"), v["w"] / UNITS).otherwise(v["n"].cast("double"))
+    others = F.array_sort(F.filter("lists", lambda v: ~won(v)))
+    conflicts = F.transform(others, lambda v: F.struct(v["value"].alias("value"), v["normalized"].alias("normalized"), v["sources"].alias("sources"), weight(v).alias("weight")))
+    winning = F.filter("lists", won)[0]["sources"]
+    return found.select("key.*", "consensus_value", "normalized_value", "confidence", winning.alias("winning_sources"), "total_clusters", conflicts.alias("conflicts"), "note")
 
 
 def consensus_to_records(consensus: DataFrame, base: DataFrame, fields: list[str]) -> DataFrame:

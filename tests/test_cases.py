@@ -597,3 +597,19 @@ def test_script_family_reads_a_text_twice(spark):
         assert (r.script, r.share) == ((best, counts[best] / total) if total else ("unknown", 0.0))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"regexp_replace\(x#", plan)) == 2
+
+
+def test_triangulate_moves_its_votes_once(spark):
+    rows = [(k, f"r{k % 7}", "price" if k % 2 else "name", f"s{k % 11}", f"${k % 3 + 10}.50", (k % 5) / 4, f"g{k % 4}" if k % 3 else None) for k in range(200)] + [(999, None, "name", "s", "x", 0.5, None)]
+    seen = spark.createDataFrame(rows, "seq long, record_id string, field_name string, source_domain string, value string, trust_score double, independence_group string")
+    found = trust.triangulate(seen)
+    for df in (seen, seen.withColumn("field_name", F.lit("price"))):
+        plan = trust.triangulate(df)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning\(", plan)) == 1
+    lists = {(r.record_id, r.field_name): r for r in found.collect()}
+    plain = [r for r in trust.consensus(seen).collect() if r.record_id]
+    assert len(plain) == len(lists) == 14
+    for r in plain:
+        both = lists[r.record_id, r.field_name]
+        assert (both.consensus_value, both.normalized_value, both.total_clusters, len(both.conflicts)) == (r.consensus_value, r.normalized_value, r.total_clusters, r.n_conflicts)
+        assert both.confidence == pytest.approx(r.confidence) and len(both.winning_sources) == r.n_sources
