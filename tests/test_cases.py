@@ -613,3 +613,21 @@ def test_triangulate_moves_its_votes_once(spark):
         both = lists[r.record_id, r.field_name]
         assert (both.consensus_value, both.normalized_value, both.total_clusters, len(both.conflicts)) == (r.consensus_value, r.normalized_value, r.total_clusters, r.n_conflicts)
         assert both.confidence == pytest.approx(r.confidence) and len(both.winning_sources) == r.n_sources
+
+
+def test_page_jobs_hold_a_few_pages_at_a_time():
+    import pyarrow as pa
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    page = "<p>" + "x" * 2000 + "</p>"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3003)), pa.array([page] * 3000 + [None, "", page * 2000])], ["page_id", "html"])
+    for run in (pages.clean_pages(Rows()), pages.sanitize_pages(Rows()), pages.extract_fields(Rows(), [pages.Selector("p", "css", "p")])):
+        found = list(run(iter([batch, batch.slice(0, 0)])))
+        assert [k for part in found for k in part.column("page_id").to_pylist()] == list(range(3003))
+        assert max(part.num_rows for part in found) <= pages.SLICE // len(page) + 3
