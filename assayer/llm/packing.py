@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -120,9 +121,15 @@ def _stems_and_stops(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc:
     return out[0], out[1], np.repeat(doc, 1 + cut)
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str | None) -> WordTokenizer:
+    """One per Python process: a vocabulary read anew for each task leaves its worker's memory in pieces that grow task by task."""
+    return WordTokenizer(path)
+
+
 def _piece_batches(path: str | None, most: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(path)
+        words = _tokenizer(path)
         for batch in batches:
             texts = as_text(batch.column(1))
             for lo, hi in text_slices(texts, 1 << 20):

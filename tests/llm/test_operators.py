@@ -905,3 +905,21 @@ def test_slices_meet_from_the_top(spark, monkeypatch):
     assert {(r.number_a, r.number_b) for r in met if r.turn == 1} == {(0, 0), (0, 2), (1, 1), (2, 2)} and sum(r.turn == 2 for r in met) == 1
     all_pairs, tried = len(every) * (len(every) + 1) // 2, 64 * sum(made[:-1])
     assert len(made) == 4 and tried < 0.4 * all_pairs and made[-1] < 0.1 * all_pairs
+
+
+def test_a_worker_reads_its_vocabulary_once(monkeypatch):
+    import pyarrow as pa
+
+    read = []
+
+    class Counted(packing.WordTokenizer):
+        def __init__(self, path):
+            read.append(path)
+            super().__init__(path)
+
+    monkeypatch.setattr(packing, "WordTokenizer", Counted)
+    if hasattr(packing, "_tokenizer"):
+        packing._tokenizer.cache_clear()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c", None])], ["doc_id", "text"])
+    tasks = [[b.to_pylist() for b in packing._piece_batches(None, 4096, 1)(iter([batch]))] for _ in range(5)]
+    assert len(read) == 1 and all(t == tasks[0] for t in tasks)
