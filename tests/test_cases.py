@@ -585,6 +585,57 @@ def test_incident_numbers_outlive_their_state(spark, tmp_path):
     assert set(got) == {("k", 1), ("k", 2), ("open", 1), ("other", 1)} and got["open", 1][:3] == (2, "info", ["j9", "j9b"])
 
 
+def _files_in_order(spark, folder, files: list[list[tuple]], schema: str):
+    """A stream that takes one file a micro-batch."""
+    import os
+
+    (folder / "in").mkdir()
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/p{k}")
+        next((folder / f"p{k}").glob("part-*.parquet")).rename(folder / "in" / f"x{k}.parquet")
+        os.utime(folder / "in" / f"x{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def test_frontier_stream_takes_its_targets_by_bucket(spark, tmp_path):
+    """Python is called once a bucket, not once a target; attempts, ends, late rows and forgetting over micro-batches, with many targets in a bucket and with few."""
+    from assayer.plans.streams import drained
+    from assayer.streaming import keyed
+
+    row = lambda url, seq, s, ok=False, blocked=False: (url, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s), seq, ok, blocked)
+    files = [
+        [row("a", 1, 0), row("b", 2, 1, True, True), row("c", 3, 2, None, None), row("d", 5, 4), row("d", 4, 3, True), row(None, 6, 5), row("e", 8, 5, True), row("e", 7, 5)],
+        [row("a", 9, 20), row("b", 10, 21, True), *(row(f"n{k}", 100 + k, 22, k % 3 == 0) for k in range(300))],
+        [row("a", 12, 40, True), row("a", 11, 40)],
+        [row("z", 13, 10_000)],
+        [row("c", 14, 6, True), row("a", 15, 10_001, True)],  # c is late; a was forgotten
+    ]
+    stream = _files_in_order(spark, tmp_path, files, "url string, at timestamp, seq long, ok boolean, blocked boolean")
+    for buckets in (2, keyed.BUCKETS):
+        found = keyed.frontier_stream(stream, forget=60, late="1 minute", buckets=buckets)
+        assert re.search(r"FlatMapGroupsInPandasWithState \S+\(_bucket#|FlatMapGroupsInPandasWithState[^\n]*\[_bucket#", found._jdf.queryExecution().analyzed().toString())
+        got = {(r._batch, r.url): (r.state, r.attempts, r.delay_seconds) for r in drained(found, "update").collect()}
+        few = {k: v for k, v in got.items() if not (k[1] or "").startswith("n")}
+        assert few == {
+            (0, "a"): ("RETRY_WAIT", 1, 1.0), (0, "b"): ("POLICY_REFUSED", 1, None), (0, "c"): ("RETRY_WAIT", 1, 1.0), (0, "d"): ("PROCESSED", 1, None), (0, None): ("RETRY_WAIT", 1, 1.0), (0, "e"): ("PROCESSED", 2, None),
+            (1, "a"): ("RETRY_WAIT", 2, 2.0), (1, "b"): ("POLICY_REFUSED", 1, None), (2, "a"): ("FAILED", 3, None), (3, "z"): ("RETRY_WAIT", 1, 1.0), (4, "a"): ("PROCESSED", 1, None),
+        }
+        assert {k[1]: v[0] for k, v in got.items() if k not in few} == {f"n{k}": "PROCESSED" if k % 3 == 0 else "RETRY_WAIT" for k in range(300)}
+
+
+def test_a_late_row_does_not_close_an_open_incident(spark, tmp_path):
+    """Nor does it touch its neighbours in the bucket: both go on as they were."""
+    from assayer.plans.streams import drained
+    from assayer.streaming import keyed
+
+    row = lambda seq, s, key, ends=0: ("c", key, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s), seq, "info", f"j{seq}", "d", ends)
+    files = [[row(1, 0, "k"), row(2, 0, "closed"), row(3, 1, "closed", 1)], [row(4, 10_000, "x")], [row(5, 1, "k")], [row(6, 20_000, "x")], [row(9, 20_001, "x")], [row(7, 20_002, "k"), row(8, 20_002, "closed")]]
+    stream = _files_in_order(spark, tmp_path, files, "client_id string, dedup_key string, at timestamp, seq long, severity string, job_id string, domain string, ends int")
+    rows = drained(keyed.incident_stream(stream, forget=60, late="1 minute", buckets=1), "update").collect()
+    last = {(r.dedup_key, r.number): (r.occurrences, r.jobs, r.status) for r in sorted(rows, key=lambda r: r._batch)}
+    assert last == {("k", 1): (2, ["j1", "j7"], "open"), ("closed", 1): (1, ["j2"], "resolved"), ("closed", 2): (1, ["j8"], "open"), ("x", 1): (3, ["j4", "j6", "j9"], "open")}
+
+
 def test_script_family_reads_a_text_twice(spark):
     from assayer.operators import texts
 
